@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, toxicity
+from . import near_dedup, packing, quality, toxicity
 from .common import table
 
 
@@ -16,9 +16,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op6_packing, op9_near_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {}
