@@ -13,11 +13,15 @@ collisions of 128-bit fingerprints.
 3. The others' suffixes enter the index. A batch gets a sorted suffix array (of
    the fingerprints of the first LENGTH bytes, the order a merge needs), is
    merge-scanned against the levels for equal prefixes, where the later of two
-   starts is removed, and becomes a level; levels of equal size merge. Suffixes
-   are dealt to tasks by prefix, after each task has kept its first of each, so a
-   passage that many documents share meets once a task.
+   starts is removed, and becomes a level; levels of equal size merge. Runs are
+   dealt to tasks by gram, with their bytes. Of grams with more than HOT runs the
+   suffixes are dealt one by one, by prefix, after each task has kept its first of
+   each, so a line that many documents share is spread over all tasks.
 4. Spans are united by document and cut from the text.
 
+What goes through a shuffle in steps 1 and 3 is packed: byte planes of whole
+columns, compressed, a row a task, bucket and flush.
+
 Null text counts as empty. Rows that repeat a doc_id with the same text are one
 document and get equal results; with different texts they are documents ordered by
 16 bits of a hash of the text. A null doc_id comes before all others. Other columns
@@ -30,15 +34,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, materialize, mix, powers, slices, utf8
+from .common import byte_codes, materialize, maybe_broadcast, mix, powers, slices, utf8
 
 LENGTH = 100
 GRAM = 24
 CHUNK = 1 << 18
 FLUSH = 1 << 20
+HOT = 8_192
 QUERY, NOTICE, INDEX, REMOVED = range(4)
 
 _BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -103,10 +109,6 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
 
 
-def _spread(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    return mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ pos.view(np.uint64)).view(np.int64)
-
-
 def _united(doc: np.ndarray, pos: np.ndarray, n: np.ndarray):
     """Spans (pos without count, n bytes) united where they touch."""
     pos = pos >> _START << _START
@@ -125,34 +127,76 @@ def _united(doc: np.ndarray, pos: np.ndarray, n: np.ndarray):
     return doc[at], pos[at] << _START, reach[last] - pos[at]
 
 
-def _rows(route, kind, print_, doc, pos) -> pa.RecordBatch:
-    as_long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-    return pa.RecordBatch.from_arrays([as_long(route), pa.array(np.broadcast_to(np.int8(kind), len(doc))), as_long(print_), as_long(doc), as_long(pos)], names=["route", "kind", "print", "doc_id", "pos"])
+def pack(*columns: np.ndarray, tail: bytes = b"") -> bytes:
+    """Columns of 64-bit values of one length (and bytes at the end) as compressed byte planes."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns]
+    return zstandard.compress(b"".join([len(columns[0]).to_bytes(8, "little"), *planes, tail]), 1)
+
+
+def unpack(payload: bytes, n_columns: int) -> tuple[list[np.ndarray], np.ndarray]:
+    data = np.frombuffer(zstandard.decompress(payload), np.uint8)
+    n = int(data[:8].view(np.int64)[0])
+    planes = data[8 : 8 + 8 * n * n_columns].reshape(n_columns, 8, n)
+    return [np.ascontiguousarray(x.T).reshape(-1).view(np.int64) for x in planes], data[8 + 8 * n * n_columns :]
+
+
+PACKED = "bucket int, kind byte, payload binary"
+
+
+def _deal(kind: int, bucket: np.ndarray, *columns: np.ndarray, sizes: np.ndarray | None = None, data: np.ndarray | None = None):
+    """One packed row a bucket; ``sizes``: the bytes of ``data`` that go with each row."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    if data is not None:
+        at = np.cumsum(sizes) - sizes
+        sizes, at = sizes[order], at[order]
+        data = data[np.arange(sizes.sum()) + np.repeat(at - np.cumsum(sizes) + sizes, sizes)]
+        edges = np.append(0, np.cumsum(sizes))
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    rows = [(bucket[a], pack(*(c[a:b] for c in columns), tail=b"" if data is None else data[edges[a] : edges[b]].tobytes())) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int8()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "kind", "payload"])
+
+
+def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
+    return ((hashes.view(np.uint64) >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+
 
+def _by_doc(doc: np.ndarray, n: int) -> np.ndarray:
+    return _bucket(mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), n)
 
-ROWS = "route long, kind byte, print long, doc_id long, pos long"
 
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted columns."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
 
-def _settle(doc: np.ndarray, pos: np.ndarray, gram: np.ndarray, content: np.ndarray, length: int):
+
+def _settle(doc: np.ndarray, pos: np.ndarray, gram: np.ndarray, content: np.ndarray, length: int, buckets: int):
     """What runs of one flush tell of each other."""
     order = np.lexsort((pos, doc, content, gram))
-    doc, pos, gram, content = doc[order], pos[order], gram[order], content[order]
-    new_gram = np.append(True, gram[1:] != gram[:-1])
-    new = new_gram | np.append(True, content[1:] != content[:-1])
+    doc, pos, gram, content = doc[order], pos[order], gram[order], content[order] >> np.uint64(16)
+    new_gram, new = _heads(gram), _heads(gram, content)
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     gone = (doc != doc[head]) | (pos != pos[head])
     if gone.any():
         d, p, n = _united(doc[gone], pos[gone], (pos[gone] & ((1 << _START) - 1)) + length - 1)
-        yield _rows(_spread(d, p), REMOVED, n, d, p)
+        yield from _deal(REMOVED, _by_doc(d, buckets), d, p, n)
     at = np.flatnonzero(new_gram)
     several = np.add.reduceat(new.astype(np.int64), at) > 1
-    single = at[~several]
-    yield _rows(gram[single], QUERY, content[single], doc[single], pos[single])
+    single = np.sort(order[at[~several]])  # in the order of the texts, which packs best
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    single = back[single]
+    yield from _deal(QUERY, _bucket(gram[single], buckets), gram[single], content[single], doc[single], pos[single])
     if several.any():
         many = new & np.repeat(several, np.diff(np.append(at, len(doc))))
-        yield _rows(_spread(doc[many], pos[many]), INDEX, content[many], doc[many], pos[many])
+        yield from _deal(INDEX, _by_doc(doc[many], buckets), doc[many], pos[many], gram[many])
         heads = at[several]
-        yield _rows(gram[heads], NOTICE, content[heads], doc[heads], pos[heads])
+        yield from _deal(NOTICE, _bucket(gram[heads], buckets), gram[heads])
 
 
 def _gather(pieces: list, settle):
@@ -160,8 +204,8 @@ def _gather(pieces: list, settle):
         yield from settle(*(np.concatenate(c) for c in zip(*pieces, strict=True)))
 
 
-def sample(docs: DataFrame, length: int) -> DataFrame:
-    """Step 1: rows of ROWS from doc_id, text, th."""
+def sample(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Step 1: packed rows from doc_id, text, th."""
 
     def run(batches):
         held, n = [], 0
@@ -175,25 +219,51 @@ def sample(docs: DataFrame, length: int) -> DataFrame:
                 held.append((doc, (th << _TEXT) | (start << _START) | count, gram, content))
                 n += len(text)
                 if n >= FLUSH:
-                    yield from _gather(held, lambda *x: _settle(*x, length))
+                    yield from _gather(held, lambda *x: _settle(*x, length, buckets))
                     held, n = [], 0
-        yield from _gather(held, lambda *x: _settle(*x, length))
+        yield from _gather(held, lambda *x: _settle(*x, length, buckets))
+
+    return docs.mapInArrow(run, PACKED)
+
 
-    return docs.mapInArrow(run, ROWS)
+def resolve(sampled: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Step 2: kind (INDEX or REMOVED), doc_id, pos, n (bytes removed), gram (of INDEX)."""
 
+    def out(kind, doc, pos, n, gram):
+        for at in range(0, len(doc), 1 << 17):
+            k = slice(at, at + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc[k]), kind, np.int8)), pa.array(doc[k]), pa.array(pos[k]), pa.array(n[k]), pa.array(gram[k])], names=["kind", "doc_id", "pos", "n", "gram"])
 
-def resolve(sampled: DataFrame, length: int) -> DataFrame:
-    """Step 2: kind (INDEX or REMOVED), doc_id, pos, n (bytes removed)."""
-    by_gram = Window.partitionBy("route")
-    asks = F.col("kind").isin(QUERY, NOTICE)
-    print_, place = F.when(asks, F.col("print")), F.when(F.col("kind") == QUERY, F.struct("doc_id", "pos"))
-    seen = sampled.withColumns({
-        "several": (F.min(print_).over(by_gram) != F.max(print_).over(by_gram)) | F.max(F.col("kind") == NOTICE).over(by_gram),
-        "first": F.min(place).over(by_gram),
-    })
-    kind = F.when((F.col("kind") == QUERY) & F.col("several"), INDEX).when((F.col("kind") == QUERY) & (F.struct("doc_id", "pos") != F.col("first")), REMOVED).when(F.col("kind").isin(INDEX, REMOVED), F.col("kind").cast("int"))
-    n = F.when(F.col("kind") == REMOVED, F.col("print")).otherwise(F.col("pos").bitwiseAND((1 << _START) - 1) + length - 1)
-    return seen.select(kind.alias("kind"), "doc_id", "pos", n.alias("n")).filter("kind IS NOT NULL")
+    def run(batches):
+        asked, told = [], []
+        for batch in batches:
+            for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if kind == QUERY:
+                    asked.append(unpack(payload, 4)[0])
+                elif kind == NOTICE:
+                    told.append(unpack(payload, 1)[0][0])
+                else:
+                    doc, pos, x = unpack(payload, 3)[0]
+                    yield from out(kind, doc, pos, x if kind == REMOVED else x * 0, x if kind == INDEX else x * 0)
+        if asked:
+            gram, content, doc, pos = (np.concatenate(c) for c in zip(*asked, strict=True))
+            order = np.lexsort((pos, doc, content, gram))
+            gram, content, doc, pos = gram[order], content[order], doc[order], pos[order]
+            new_gram, new = _heads(gram), _heads(gram, content)
+            at = np.flatnonzero(new_gram)
+            several = np.add.reduceat(new.astype(np.int64), at) > 1
+            if told:
+                several |= np.isin(gram[at], np.concatenate(told))
+            several = np.repeat(several, np.diff(np.append(at, len(gram))))
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            gone = (doc != doc[head]) | (pos != pos[head])
+            kept = new & several
+            yield from out(INDEX, doc[kept], pos[kept], pos[kept] * 0, gram[kept])
+            if gone.any():
+                d, p, n = _united(doc[gone], pos[gone], (pos[gone] & ((1 << _START) - 1)) + length - 1)
+                yield from out(REMOVED, d, p, n, n * 0)
+
+    return sampled.repartition(buckets, "bucket").mapInArrow(run, "kind byte, doc_id long, pos long, n long, gram long")
 
 
 class SuffixLevels:
@@ -230,59 +300,95 @@ class SuffixLevels:
         return tuple(np.concatenate(x) for x in zip(*removed, strict=True))
 
 
-def suffixes(texts: DataFrame, length: int) -> DataFrame:
-    """Step 3, from doc_id, text, th, at (array of pos of runs): rows of ROWS; ``print`` is the second fingerprint."""
+def _windows(doc: np.ndarray, pos: np.ndarray, data: np.ndarray, length: int):
+    """doc, pos, key, check of the suffixes of runs whose bytes stand one after the other in ``data``."""
+    edges = np.append(0, np.cumsum((pos & ((1 << _START) - 1)) + length - 1))
+    for c, chunk, valid, _ in _chunks(data, edges, length):
+        here = np.flatnonzero(valid)
+        key, check = (_prints(_sums(chunk, k), length, k)[here] for k in (0, 1))
+        r = np.searchsorted(edges, c + here, side="right") - 1
+        yield doc[r], (pos[r] >> _START << _START) + ((c + here - edges[r]) << _START), key, check
+
 
-    def settle(doc, pos, key, check):
+def suffixes(texts: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Step 3, from doc_id, text, th, at (pos of runs), gram (0: one with many runs): packed rows."""
+
+    def hot(doc, pos, key, check):
         levels = SuffixLevels()
         d, p = levels.add(key, check, doc, pos)
         if len(d):
             d, p, n = _united(d, p, np.full(len(d), length, np.int64))
-            yield _rows(_spread(d, p), REMOVED, n, d, p)
+            yield from _deal(REMOVED, _by_doc(d, buckets), d, p, n)
         for key, check, doc, pos in levels.levels:
-            yield _rows(key, QUERY, check, doc, pos)
+            yield from _deal(QUERY, _bucket(key, buckets), key, check, doc, pos)
+
+    def cold(doc, pos, gram, data):
+        sizes = (pos & ((1 << _START) - 1)) + length - 1
+        yield from _deal(INDEX, _bucket(gram, buckets), doc, pos, sizes=sizes, data=data)
 
     def run(batches):
-        held, n = [], 0
+        spread, n_spread, held, n_held = [], 0, [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = utf8(part.column(1))
                 th, docs, lists = part.column(2).to_numpy(), part.column(0).to_numpy(), part.column(3)
-                at, row = lists.flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                at, gram, row = lists.flatten().to_numpy(), part.column(4).flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 own = (at >> _TEXT) == th[row]
-                at, row = at[own], row[own]
+                at, gram, row = at[own], gram[own], row[own]
                 start, size = (at & ((1 << _TEXT) - 1)) >> _START, (at & ((1 << _START) - 1)) + length - 1
-                edges = np.append(0, np.cumsum(size))
-                index = np.arange(edges[-1]) + np.repeat(offsets[row] + start - edges[:-1], size)
-                pieces = data[index]
-                for c, chunk, valid, _ in _chunks(pieces, edges, length):
-                    here = np.flatnonzero(valid)
-                    key, check = (_prints(_sums(chunk, k), length, k)[here] for k in (0, 1))
-                    r = np.searchsorted(edges, c + here, side="right") - 1
-                    pos = (th[row[r]] << _TEXT) | ((start[r] + c + here - edges[r]) << _START)
-                    held.append((docs[row[r]], pos, key, check))
-                    n += len(here)
-                    if n >= FLUSH:
-                        yield from _gather(held, settle)
-                        held, n = [], 0
-        yield from _gather(held, settle)
-
-    return texts.mapInArrow(run, ROWS)
-
-
-def index(rows: DataFrame, length: int) -> DataFrame:
-    """Step 3: doc_id, pos, n of what is removed, from suffixes dealt out by prefix."""
+                for many in (True, False):
+                    k = (gram == 0) == many
+                    edges = np.append(0, np.cumsum(size[k]))
+                    pieces = data[np.arange(edges[-1]) + np.repeat(offsets[row[k]] + start[k] - edges[:-1], size[k])]
+                    if many:
+                        for found in _windows(docs[row[k]], at[k], pieces, length):
+                            spread.append(found)
+                            n_spread += len(found[0])
+                    else:
+                        held.append((docs[row[k]], at[k], gram[k], pieces))
+                        n_held += len(pieces)
+                if n_spread >= FLUSH:
+                    yield from _gather(spread, hot)
+                    spread, n_spread = [], 0
+                if n_held >= 32 * FLUSH:
+                    yield from _gather(held, cold)
+                    held, n_held = [], 0
+        yield from _gather(spread, hot)
+        yield from _gather(held, cold)
+
+    return texts.mapInArrow(run, PACKED)
+
+
+def index(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Step 3: doc_id, pos, n of what is removed."""
+
+    def out(d, p, n):
+        d, p, n = _united(d, p, n)
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(p), pa.array(n)], names=["doc_id", "pos", "n"])
 
     def run(batches):
-        levels = SuffixLevels()
+        levels, gone, n = SuffixLevels(), [], 0
         for batch in batches:
-            route, kind, print_, doc, pos = (c.to_numpy() for c in batch.columns)
-            known = kind == REMOVED
-            d, p = levels.add(*(x[~known] for x in (route.view(np.uint64), print_.view(np.uint64), doc, pos)))
-            out = [np.concatenate(x) for x in ((doc[known], d), (pos[known], p), (print_[known], np.full(len(d), length, np.int64)))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc_id", "pos", "n"])
-
-    return rows.repartition("route").mapInArrow(run, "doc_id long, pos long, n long")
+            for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if kind == REMOVED:
+                    gone.append(tuple(unpack(payload, 3)[0]))
+                elif kind == QUERY:
+                    key, check, doc, pos = unpack(payload, 4)[0]
+                    d, p = levels.add(key.view(np.uint64), check.view(np.uint64), doc, pos)
+                    gone.append((d, p, np.full(len(d), length, np.int64)))
+                else:
+                    (doc, pos), data = unpack(payload, 2)
+                    for doc, pos, key, check in _windows(doc, pos, data, length):
+                        d, p = levels.add(key, check, doc, pos)
+                        gone.append((d, p, np.full(len(d), length, np.int64)))
+                n += len(gone[-1][0]) if gone else 0
+                if n > FLUSH:
+                    yield out(*(np.concatenate(c) for c in zip(*gone, strict=True)))
+                    gone, n = [], 0
+        if gone:
+            yield out(*(np.concatenate(c) for c in zip(*gone, strict=True)))
+
+    return rows.repartition(buckets, "bucket").mapInArrow(run, "doc_id long, pos long, n long")
 
 
 NULL_ID = -(1 << 63)
@@ -291,10 +397,14 @@ NULL_ID = -(1 << 63)
 def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, text, th; dealt by doc_id) and, by doc_id, the list of what is removed (pos, n)."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").bitwiseAND(0xFFFF).alias("th"))
-    found = materialize(resolve(sample(texts, length), length), "runs")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = materialize(resolve(sample(texts, length, buckets), length, buckets), "runs")
     dealt = texts.repartition("doc_id")
-    wanted = found.filter(F.col("kind") == INDEX).groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
-    indexed = index(suffixes(dealt.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "th", "at"), length), length)
+    runs_ = found.filter(F.col("kind") == INDEX)
+    hot = materialize(runs_.groupBy("gram").agg(F.count("*").alias("hot")).filter(F.col("hot") > HOT), "hot")
+    wanted = runs_.join(maybe_broadcast(hot, hot.count(), 16), "gram", "left").withColumn("gram", F.when(F.col("hot").isNull(), F.col("gram")).otherwise(0))
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list("pos").alias("at"), F.collect_list("gram").alias("gram"))
+    indexed = index(suffixes(dealt.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "th", "at", "gram"), length, buckets), length, buckets)
     removed = found.filter(F.col("kind") == REMOVED).select("doc_id", "pos", "n").union(indexed)
     return dealt, removed.groupBy("doc_id").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n"))
 
