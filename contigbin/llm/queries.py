@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, near_dedup, packing, quality, resampling, sharding, suffix_dedup, token_counts, toxicity
+import corpus_pipeline
+
+from . import chat, decontaminate, near_dedup, packing, quality, resampling, sharding, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -18,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "\\### Assistant: </turn> ok"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
@@ -48,5 +54,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_quality_rules, op4_chat_format, op5_token_counts, op6_packing, op7_resampling, op8_suffix_dedup, op9_near_dedup, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding, op2_quality_rules, op3_decontamination, op4_chat_format, op5_token_counts, op6_packing, op7_resampling, op8_suffix_dedup, op9_near_dedup,
+        op10_toxicity,
+    )
+} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
