@@ -70,6 +70,12 @@ def _clean() -> None:
 BROADCAST_BYTES = 24 << 20
 
 
+def columns(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a table of proven small size, brought to the driver as Arrow."""
+    got = df.toArrow()
+    return {name: got[name].to_numpy() for name in got.column_names}
+
+
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted size is within BROADCAST_BYTES."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

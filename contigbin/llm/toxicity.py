@@ -3,8 +3,8 @@
 Features are hashed character n-grams (over UTF-8 bytes; A-Z lower-cased, digits
 and runs of white space folded) that a text holds, present or absent. For each
 feature r = log(p / q), with p and q the smoothed shares of toxic and other
-training texts that hold it; features whose r is within Z_MIN of its standard
-errors of 0 are left out. A logistic regression is then trained on the vectors
+training texts that hold it; the FEATURES whose r is most standard errors away from
+0 stay, Z_MIN at least. A logistic regression is then trained on the vectors
 scaled by r and brought to unit length. Only labelled rows whose crc32(doc_id as
 text) mod ``folds`` is not ``fold`` take part in training.
 
@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, powers, slices, utf8
+from .common import columns, mix, powers, slices, utf8
 
 BITS = 20
 SIZES = (4, 5, 6, 7)
-FIT_ROWS = 40_000
+FIT_ROWS = 20_000
+FEATURES = 4_096
 Z_MIN = 3.0
-EPOCHS = 80
+MIN_TEXTS = 3
+EPOCHS = 60
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -99,16 +101,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[0, used], pa.int64()), pa.array(counts[1, used], pa.int64())], names=["f", "q", "p"])
 
-    # one row a feature at most
-    sums = train.mapInArrow(tally, "f long, q long, p long").groupBy("f").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).toPandas()
+    # one row a feature at most; those of fewer than MIN_TEXTS texts are never selected
+    sums = columns(train.mapInArrow(tally, "f long, q long, p long").groupBy("f").agg(F.sum("q").alias("q"), F.sum("p").alias("p")).filter(f"p + q >= {MIN_TEXTS} OR f = {n_features}"))
     counts = np.zeros((2, n_features + 1))
     counts[0, sums["f"]], counts[1, sums["f"]] = sums["q"], sums["p"]
     none = {"ratio": np.zeros(n_features, np.float32), "weights": np.zeros(n_features, np.float32), "bias": 0.0, "bits": bits}
     if not counts[0, -1] or not counts[1, -1]:
         return none
     q, p = counts[:, :-1] + 0.5
-    r = np.log(p / (counts[1, -1] + 1)) - np.log(q / (counts[0, -1] + 1))
-    r[(np.abs(r) < z_min * np.sqrt(1 / p + 1 / q)) | (counts[:, :-1].sum(0) < 3)] = 0
+    r = select(np.log(p / (counts[1, -1] + 1)) - np.log(q / (counts[0, -1] + 1)), p, q, z_min)
     ratio = context.broadcast(r.astype(np.float32))
 
     def vectors(batches):
@@ -121,19 +122,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     return none | {"ratio": r.astype(np.float32)} | regress([np.frombuffer(x["f"], np.int32) for x in got], np.array([x["y"] for x in got], np.float64), r)
 
 
-def regress(xs: list, ys: np.ndarray, r: np.ndarray, epochs: int = EPOCHS, l2: float = 1e-3) -> dict:
+def select(r: np.ndarray, p: np.ndarray, q: np.ndarray, z_min: float) -> np.ndarray:
+    """r of the features that tell most; 0 for the others."""
+    z = np.where(p + q >= MIN_TEXTS + 1, np.abs(r) / np.sqrt(1 / p + 1 / q), 0)
+    least = max(z_min, np.partition(z, -FEATURES)[-FEATURES] if len(z) > FEATURES else 0)
+    return np.where(z >= least, r, 0)
+
+
+def regress(xs: list, ys: np.ndarray, r: np.ndarray, epochs: int = EPOCHS, l2: float = 1e-3, rows: int = 1000) -> dict:
     """Logistic regression (Adam, full batch) on rows scaled by r and brought to unit length; classes weigh alike."""
-    flat = np.concatenate(xs) if xs else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
-    value = r[flat]
-    value = value / (np.sqrt(np.bincount(row, value * value, len(xs))) + 1e-9)[row]
-    weigh = np.where(ys == 1, 0.5 / max(1, ys.sum()), 0.5 / max(1, (1 - ys).sum()))
-    used, at = np.unique(flat, return_inverse=True)
+    used = np.flatnonzero(r)
+    at = np.zeros(len(r), np.int32)
+    at[used] = np.arange(len(used))
+    blocks = []
+    for k in range(0, len(xs), rows):
+        flat = np.concatenate(xs[k : k + rows])
+        row = np.repeat(np.arange(len(xs[k : k + rows]), dtype=np.int32), [len(x) for x in xs[k : k + rows]])
+        norm = np.sqrt(np.bincount(row, r[flat] ** 2, len(xs[k : k + rows]))) + 1e-9
+        blocks.append((at[flat], row, (r[flat] / norm[row]).astype(np.float32), ys[k : k + rows]))
+    weigh = 0.5 / max(1, (ys == 0).sum()), 0.5 / max(1, (ys == 1).sum())
     w, b, m, v = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, epochs + 1):
-        z = np.bincount(row, value * w[at], len(xs)) + b
-        d = (1 / (1 + np.exp(-z)) - ys) * weigh
-        g = np.append(np.bincount(at, value * d[row], len(used)) + l2 / max(1, len(used)) * w, d.sum())
+        g = np.append(l2 / max(1, len(used)) * w, 0.0)
+        for f, row, value, y in blocks:
+            d = (1 / (1 + np.exp(-np.bincount(row, value * w[f], len(y)) - b)) - y) * np.where(y == 1, weigh[1], weigh[0])
+            g[:-1] += np.bincount(f, value * d[row], len(used))
+            g[-1] += d.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         change = 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - change[:-1], b - change[-1]
