@@ -1,0 +1 @@
+"""Plans: registered queries on the supplied tables, each with an independent SQL form."""
