@@ -10,8 +10,9 @@
    or more go on. At similarity 0.8 either bound loses about one pair in a million.
    A list of over SMALL members first proposes its two central members with each
    other member; after these are confirmed and linked, only pairs in different
-   components are compared (skip merging). Lists of over BLOCK members are dealt out as
-   pairs of blocks. No list is cut.
+   components are compared (skip merging), on the full sets at once, so that members
+   with no link make no rows. Lists of over BLOCK members are dealt out as pairs of
+   blocks. No list is cut.
 4. Pairs are confirmed on the full sets; components are those of the confirmed links.
 
 Words are runs of anything but ASCII white space, A-Z in lower case. A text of
@@ -28,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, maybe_broadcast, mix, slices
+from .common import columns, discard, materialize, maybe_broadcast, mix, slices
 from .components import components
 from .signatures import COMPARED, POSTED, fingerprint, minhash, shingle_sets
 
 MIN_POSTED = 34
 MIN_MATCHES = 126
 RARITY_BITS = 18
-SMALL, BLOCK, HUBS = 64, 4096, 2
+SMALL, BLOCK, HUBS = 64, 2048, 2
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -77,7 +78,7 @@ def postings(classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bucket", "n"])
 
     # 2**RARITY_BITS rows at most
-    sums = classes.select("posted").mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = columns(classes.select("posted").mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
     rarity = np.zeros(1 << RARITY_BITS, np.uint64)
     rarity[sums["bucket"]] = np.minimum(sums["n"], 2**31)
     shared = classes.sparkSession.sparkContext.broadcast(rarity)
@@ -116,6 +117,11 @@ def _matrix(rows: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(rows["compared"].to_pylist()), np.uint16).reshape(-1, COMPARED)
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _hubs(sig: np.ndarray) -> list[int]:
     """The members that agree most with the commonest value of each coordinate."""
     ordered = np.sort(sig, axis=0)
@@ -128,7 +134,7 @@ def _hubs(sig: np.ndarray) -> list[int]:
 
 
 def _pairs(rows: pa.Table, percent: int, later: bool):
-    """Pairs of a list whose signatures agree enough; ``later``: only what the first round has left."""
+    """Pairs of a list whose signatures agree enough; ``later``: links among what the first round has left."""
     sig, size, rep, block = _matrix(rows), rows["size"].to_numpy(), rows["rep"].to_numpy(), rows["block"].to_numpy()
     label = rows["label"].to_numpy() if later else None
     token, bi, bj, n = (rows[k][0].as_py() for k in ("token", "bi", "bj", "n"))
@@ -151,13 +157,14 @@ def _pairs(rows: pa.Table, percent: int, later: bool):
         if (label == label[0]).all():
             return
         own = [set(x) for x in rows["hot"].to_pylist()]
+        sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
     for i in everyone[:-1]:
         if later and i in hubs:
             continue
         rest = everyone[i + 1 :]
         for j in agree(i, rest[label[rest] != label[i]] if later else rest):
             # a pair belongs to the least of the lists that hold both
-            if not later or j not in hubs and min(own[i] & own[j]) == token:
+            if not later or j not in hubs and min(own[i] & own[j]) == token and similar(sets[i], sets[j], percent):
                 yield rep[i], rep[j]
 
 
@@ -172,9 +179,9 @@ def candidates(lists: DataFrame, percent: int, later: bool) -> DataFrame:
     return lists.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "rep").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b of the pairs whose full sets are similar enough."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, set: the shingle hashes of the documents in ``ids`` (id)."""
+    ids = materialize(ids.distinct(), "ids")
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(maybe_broadcast(ids, ids.count(), 16), "id")
 
     def collect(batches):
@@ -182,16 +189,16 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part.column(1), size)], pa.binary())], names=["id", "set"])
 
-    sets = materialize(wanted.mapInArrow(collect, "id long, set binary"), "sets")
-    discard(ids)
+    return materialize(wanted.mapInArrow(collect, "id long, set binary"), "sets")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b of the pairs whose full sets are similar enough."""
+    sets = full_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), size)
 
     def check(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            good = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
@@ -220,15 +227,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     spread = lists.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.select("token", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "n", "rep", "block")
     full = spread.join(classes.select("rep", "size", "compared"), "rep")
-    columns = ["token", "bi", "bj", "n", "rep", "block", "size", "compared"]
-    links = confirm(docs, materialize(candidates(full.select(*columns), percent, later=False), "pairs"), size, percent)
+    carried = ["token", "bi", "bj", "n", "rep", "block", "size", "compared"]
+    links = confirm(docs, materialize(candidates(full.select(*carried), percent, later=False), "pairs"), size, percent)
     labels = materialize(components(links.select("a", "b")), "labels")
 
-    hot = lists.filter(F.col("n") > SMALL)
+    hot = lists.filter(F.col("n") > SMALL).join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    mixed = hot.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    hot = materialize(hot.join(mixed, "token"), "hot")
     if hot.take(1):
+        sets = full_sets(docs, hot.select(F.col("rep").alias("id")), size)
         own = hot.groupBy("rep").agg(F.collect_set("token").alias("hot"))
-        left = full.filter(F.col("n") > SMALL).join(own, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
-        more = confirm(docs, materialize(candidates(left.select(*columns, "label", "hot"), percent, later=True), "pairs"), size, percent)
+        left = full.join(hot.select("token", "rep", "label"), ["token", "rep"]).join(own, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+        more = materialize(candidates(left.select(*carried, "label", "hot", "set"), percent, later=True), "links")
         labels = materialize(components(links.select("a", "b").union(more.select("a", "b"))), "labels")
 
     named = base.select("doc_id", "n_shingles", "fp_a", "fp_b").join(reps, ["fp_a", "fp_b"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
