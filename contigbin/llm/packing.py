@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import columns, materialize
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -126,12 +126,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, **how) -
     cut = materialize(pieces(docs, capacity, salts=salts, **how), "pieces")
     dealt = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     # at most capacity x salts rows, whatever the input
-    by = dealt.toPandas().sort_values(["length", "salt"])
-    counts = {int(k): int(v) for k, v in by.groupby("length")["n"].sum().items()}
-    made = plan(counts, capacity)
-    before = (by.groupby("length")["n"].cumsum() - by["n"]).to_numpy(np.int64)
-    starts = np.zeros((capacity + 1, salts), np.int64)
-    starts[by["length"], by["salt"]] = before
+    by = columns(dealt)
+    counts = np.zeros((capacity + 1, salts), np.int64)
+    counts[by["length"], by["salt"]] = by["n"]
+    starts = counts.cumsum(1) - counts
+    made = plan({length: n for length, n in enumerate(counts.sum(1).tolist()) if n}, capacity)
     shared = spark.sparkContext.broadcast((starts, made))
 
     def place(batches):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, shingle_hashes, slices, utf8, word_hashes
+from .common import columns, materialize, maybe_broadcast, shingle_hashes, slices, utf8, word_hashes
 
 BUCKETS = 10_000
 LENGTH = 100.0
@@ -60,7 +60,7 @@ def models(docs: DataFrame, labels: DataFrame, label: str, value: int) -> tuple[
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[0, used]), pa.array(counts[1, used])], names=["g", "raw", "target"])
 
     # BUCKETS rows at most
-    sums = marked.mapInArrow(tally, "g long, raw long, target long").groupBy("g").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    sums = columns(marked.mapInArrow(tally, "g long, raw long, target long").groupBy("g").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     raw[sums["g"]] += sums["raw"]
     target[sums["g"]] += sums["target"]
