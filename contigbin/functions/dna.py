@@ -52,11 +52,16 @@ def direct_repeat(sequence: Column, seed: int) -> Column:
 
 def inverted_repeat(sequence: Column, seed: int) -> Column:
     """Length, at most half, of what the sequence and its reverse complement have in common at the start; 0 below ``seed``."""
-    n, other = F.length(sequence), reverse_complement(sequence)
+    n = F.length(sequence)
     half = F.floor(n / 2).cast("int")
-    differ = F.filter(F.sequence(F.lit(seed + 1), half), lambda j: F.substr(sequence, j, F.lit(1)) != F.substr(other, j, F.lit(1)))
-    hit = (n >= 4 * seed) & (F.left(sequence, F.lit(seed)) == F.left(other, F.lit(seed)))
-    return F.when(hit, F.coalesce(F.try_element_at(differ, F.lit(1)) - 1, half)).otherwise(F.lit(0)).cast("long")
+
+    def common(other: Column) -> Column:
+        differ = F.filter(F.sequence(F.lit(seed + 1), half), lambda j: F.substr(sequence, j, F.lit(1)) != F.substr(other, j, F.lit(1)))
+        hit = (n >= 4 * seed) & (F.left(sequence, F.lit(seed)) == F.left(other, F.lit(seed)))
+        return F.when(hit, F.coalesce(F.try_element_at(differ, F.lit(1)) - 1, half)).otherwise(F.lit(0)).cast("long")
+
+    # as an array of one, the reverse complement is made once a row and not once a letter
+    return F.get(F.transform(F.array(reverse_complement(sequence)), common), 0)
 
 
 def wrapped(sequence: Column, width: int = 80) -> Column:

@@ -22,7 +22,11 @@ def gate(repeats: DataFrame, least: int = 20, share: float = 0.20) -> DataFrame:
 
 
 def isolate(labelled: DataFrame) -> DataFrame:
-    """contig, bin: locked contigs get labels of their own, then all labels become dense from 0 in their order (ML-15)."""
+    """contig, bin: locked contigs get labels of their own, then all labels become dense from 0 in their order (ML-15).
+
+    The input is read several times, so it is checkpointed.
+    """
+    labelled = labelled.select("contig", "label", "locked").checkpoint()
     top = labelled.agg(F.max("label").alias("top"))
     alone = dense_index(labelled.filter("locked"), "contig", "r").join(F.broadcast(top)).select("contig", (F.col("top") + 1 + F.col("r")).alias("label"))
     rest = labelled.filter("NOT locked").select("contig", "label")

@@ -1 +1,134 @@
+"""Queries 21-27, 34-36, 57-58, 62: assembly graph, terminal repeats, sequence identity."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.dna import reverse_complement
+from ..operators import completeness, features, graph, labelling, neighbours
+from .common import SEQ, WALK, r6, seq, table, walk
+from .feature_queries import query as _query
+
+_NEXT = f"{WALK}, nxt as (select contig, segment as a, lead(segment) over (partition by contig order by n1, segment, n3) as b from walk)"
+
+
+@_query(f"with {_NEXT} select distinct least(a, b) as src, greatest(a, b) as dst from nxt where b is not null and a <> b")
+def canonical_edges(spark, d):
+    return neighbours.canonical_edges(graph.consecutive(walk(spark, d)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+# links come from the first orders placed, the segments' contigs are all others
+_LINKS = f"""{_NEXT}, o as (select o_orderkey as contig, o_orderdate < timestamp '1995-02-01' as early from orders),
+links as (select distinct a, b from nxt join o using (contig) where early and b is not null and a <> b), members as (select distinct segment, contig from walk join o using (contig) where not early)"""
+_PROJ = f"{_LINKS}, proj as (select least(x.contig, y.contig) as src, greatest(x.contig, y.contig) as dst, count(*)::BIGINT as n_links from links l join members x on x.segment = l.a join members y on y.segment = l.b where x.contig <> y.contig group by 1, 2)"
+_SHARED = f"{_PROJ}, shared as (select x.contig as src, y.contig as dst, count(*)::BIGINT as shared from members x join members y on x.segment = y.segment and x.contig < y.contig group by 1, 2)"
+
+
+def _parts(spark, d):
+    w = walk(spark, d)
+    early = table(spark, d, "orders").select(F.col("o_orderkey").alias("contig"), (F.col("o_orderdate") < F.lit("1995-02-01").cast("timestamp")).alias("early"))
+    links = graph.consecutive(w).join(early, "contig").filter("early AND a <> b").select("a", "b").distinct()
+    return links, w.join(early, "contig").filter("NOT early").select("segment", "contig").distinct()
+
+
+@_query(f"with {_PROJ} select src, dst, n_links from proj")
+def gfa_link_projection(spark, d):
+    return graph.project_links(*_parts(spark, d))
+
+
+@_query(f"with {_SHARED} select src, dst, shared from shared")
+def shared_segment_pairs(spark, d):
+    return graph.shared_segments(_parts(spark, d)[1])
+
+
+@_query(f"with {_SHARED} select src, dst, n_links from proj p where not exists (select 1 from shared s where s.src = p.src and s.dst = p.dst)")
+def path_projection_excl_shared(spark, d):
+    links, members = _parts(spark, d)
+    return graph.without_shared(graph.project_links(links, members), graph.shared_segments(members))
+
+
+@_query(f"""with {WALK}, p as (select contig, segment, orientation, row_number() over (partition by contig order by n1, segment, n3) - 1 as pos, count(*) over (partition by contig) as path_length from walk)
+select contig, segment, orientation, pos::BIGINT as pos, path_length::BIGINT as path_length, round(pos / greatest(path_length - 1, 1), 6) as rel from p""")
+def walk_positions(spark, d):
+    return graph.walk_positions(walk(spark, d)).select("contig", "segment", "orientation", "pos", "path_length", r6(F.col("rel")).alias("rel"))
+
+
+@_query("select p_partkey as segment, o as orientation, round(ln(1 + p_size), 6) as log_size, round(p_retailprice, 4) as price from part cross join (values ('+'), ('-')) t(o)")
+def oriented_segment_states(spark, d):
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("segment"), F.explode(F.array(F.lit("+"), F.lit("-"))).alias("orientation"), r6(F.log1p("p_size")).alias("log_size"), F.round("p_retailprice", 4).alias("price"))
+
+
+_ORIENTED = f"{WALK}, lk as (select segment as a, orientation as ao, lead(segment) over w as b, lead(orientation) over w as bo from walk window w as (partition by contig order by n1, segment, n3))"
+
+
+@_query(f"""with {_ORIENTED}, x as (select a, ao, b, bo, 0 as reversed from lk where b is not null union all select b, translate(bo, '+-', '-+'), a, translate(ao, '+-', '-+'), 1 from lk where b is not null)
+select a, ao, b, bo, reversed, count(*)::BIGINT as n from x group by all""")
+def reverse_complement_links(spark, d):
+    by = F.lead(F.struct("segment", "orientation"))
+    from pyspark.sql import Window
+
+    w = walk(spark, d).withColumn("next", by.over(Window.partitionBy("contig").orderBy("step"))).filter("next IS NOT NULL")
+    links = w.select(F.col("segment").alias("a"), F.col("orientation").alias("ao"), F.col("next.segment").alias("b"), F.col("next.orientation").alias("bo"))
+    return graph.both_strands(links).groupBy("a", "ao", "b", "bo", "reversed").agg(F.count("*").alias("n"))
+
+
+def _with_repeats(spark, d):
+    """Sequences; every third glued to its own first 40 letters, every next to their reverse complement."""
+    s = seq(spark, d)
+    start = F.left("sequence", F.lit(40))
+    glued = F.when(F.col("contig") % 3 == 0, F.concat("sequence", start)).when(F.col("contig") % 3 == 1, F.concat("sequence", reverse_complement(start))).otherwise(F.col("sequence"))
+    return s.select("contig", glued.alias("sequence"))
+
+
+_REP = f"""{SEQ}, g as (select contig, case contig % 3 when 0 then sequence || left(sequence, 40) when 1 then sequence || reverse(translate(left(sequence, 40), 'ACGT', 'TGCA')) else sequence end as s from seq),
+h as (select contig, s, reverse(translate(s, 'ACGT', 'TGCA')) as rc, length(s) as n, instr(reverse(s), reverse(left(s, 21))) as behind from g),
+rep as (select contig, n::BIGINT as length, (case when n >= 84 and n > 20 + behind and 20 + behind <= n // 2 and right(s, 20 + behind) = left(s, 20 + behind) then 20 + behind else 0 end)::BIGINT as direct_repeat,
+(case when n >= 84 and left(s, 21) = left(rc, 21) then coalesce(list_min(list_filter(range(22, n // 2 + 1), lambda j: s[j] <> rc[j])) - 1, n // 2) else 0 end)::BIGINT as inverted_repeat from h)"""
+
+
+@_query(f"with {_REP} select * from rep")
+def terminal_repeats(spark, d):
+    return completeness.terminal_repeats(_with_repeats(spark, d))
+
+
+@_query(f"with {_REP} select *, greatest(direct_repeat, inverted_repeat) >= 20 and greatest(direct_repeat, inverted_repeat) <= 0.2 * length as locked from rep")
+def completeness_gate(spark, d):
+    return completeness.gate(completeness.terminal_repeats(_with_repeats(spark, d)))
+
+
+@_query(f"""with {_REP}, l as (select contig, contig % 20 as label, greatest(direct_repeat, inverted_repeat) >= 20 and greatest(direct_repeat, inverted_repeat) <= 0.2 * length as locked from rep),
+x as (select contig, case when locked then (select max(label) from l) + row_number() over (partition by locked order by contig) else label end as label from l)
+select contig, (dense_rank() over (order by label) - 1)::BIGINT as bin from x""")
+def isolate_and_relabel(spark, d):
+    gated = completeness.gate(completeness.terminal_repeats(_with_repeats(spark, d)))
+    return completeness.isolate(gated.select("contig", (F.col("contig") % 20).alias("label"), "locked"))
+
+
+_ID = f"{SEQ}, r as (select contig as l, sequence from seq where sequence <> ''), q as (select contig as r, case when contig % 2 = 0 then sequence else reverse(translate(sequence, 'ACGT', 'TGCA')) end as sequence from seq where sequence <> '')"
+
+
+@_query(f"with {_ID}, x as (select l, r.sequence as a, q.r as r, q.sequence as b, '+' as strand from r join q on r.sequence = q.sequence union all select l, r.sequence, q.r, q.sequence, '-' from r join q on reverse(translate(r.sequence, 'ACGT', 'TGCA')) = q.sequence) select l, r, min(strand) as strand from x group by 1, 2")
+def sequence_identity_join(spark, d):
+    s = seq(spark, d).filter("sequence <> ''")
+    turned = s.select(F.col("contig").alias("id"), F.when(F.col("contig") % 2 == 0, F.col("sequence")).otherwise(reverse_complement(F.col("sequence"))).alias("sequence"))
+    return labelling.identity_matches(s.select(F.col("contig").alias("id"), "sequence"), turned)
+
+
+@_query(f"""with {SEQ}, b as (select regexp_replace(d.source || '/' || d.lang, '[^A-Za-z0-9._-]', '_', 'g') as bin, contig, sequence from seq join documents d on d.doc_id = contig)
+select bin, count(*)::BIGINT as n_contigs, md5(string_agg(sequence, repeat('N', 1500) order by contig)) as digest, (sum(length(sequence)) + 1500 * (count(*) - 1))::BIGINT as length from b group by 1""")
+def bin_linking(spark, d):
+    s = seq(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("contig"), F.concat_ws("/", "source", "lang").alias("name")), "contig")
+    bins = s.withColumn("bin", F.regexp_replace("name", "[^A-Za-z0-9._-]", "_")).groupBy("bin").agg(F.count("*").alias("n_contigs"), F.array_sort(F.collect_list(F.struct("contig", "sequence"))).alias("s"))
+    linked = F.array_join(F.transform("s", lambda x: x["sequence"]), "N" * 1500)
+    return bins.select("bin", "n_contigs", F.md5(linked.cast("binary")).alias("digest"), F.length(linked).cast("long").alias("length"))
+
+
+_CIGAR = "(o_orderkey % 90 + 10) || 'M' || (o_orderkey % 7) || 'I' || (o_orderkey % 13) || '=' || (o_orderkey % 5) || 'D' || (o_orderkey % 11) || 'X'"
+
+
+@_query(f"with c as (select o_orderkey as id, {_CIGAR} as cigar from orders) select id, list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[M=X]', 1), lambda x: x::BIGINT))::BIGINT as aligned from c")
+def cigar_length(spark, d):
+    k = F.col("o_orderkey")
+    cigar = F.concat(k % 90 + 10, F.lit("M"), k % 7, F.lit("I"), k % 13, F.lit("="), k % 5, F.lit("D"), k % 11, F.lit("X"))
+    return table(spark, d, "orders").select(k.alias("id"), labelling.cigar_length(cigar).alias("aligned"))

@@ -1 +1,158 @@
+"""Queries 44-51, 53-54, 56, 59-60: labels from alignments, dataset reports, keyed tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import graph, labelling
+from .common import COV, cov, r6, table
+from .feature_queries import query as _query
+
+_SPANS = "spans as (select l_suppkey as target, l_partkey as query, date_diff('day', date '1992-01-01', l_shipdate::DATE)::BIGINT as s, (date_diff('day', date '1992-01-01', l_shipdate::DATE) + l_quantity)::BIGINT as e from lineitem)"
+
+
+def _spans(spark, d):
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("long")
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("target"), F.col("l_partkey").alias("query"), day.alias("start"), (day + F.col("l_quantity").cast("long")).alias("end"))
+
+
+def _union_sql(source: str, by: str) -> str:
+    return f"(select {by}, sum(greatest(0, e - greatest(s, coalesce(reach, s))))::BIGINT as covered from (select *, max(e) over (partition by {by} order by s, e rows between unbounded preceding and 1 preceding) as reach from {source}) group by {by})"
+
+
+@_query(f"with {_SPANS} select target, covered from {_union_sql('spans', 'target')}")
+def interval_union(spark, d):
+    return labelling.interval_union(_spans(spark, d), "target")
+
+
+_SCORED = "scored as (select l_partkey as query, l_suppkey as target, sum(l_quantity)::BIGINT as matches, sum(l_quantity + round(l_discount * 100))::BIGINT as block from lineitem group by 1, 2)"
+
+
+def _scored(spark, d):
+    q = F.col("l_quantity")
+    hits = table(spark, d, "lineitem").select(F.col("l_partkey").alias("query"), F.col("l_suppkey").alias("target"), q.cast("long").alias("matches"), (q + F.round(F.col("l_discount") * 100)).cast("long").alias("block"))
+    return labelling.identities(hits)
+
+
+@_query(f"""with {_SCORED}, x as (select *, max(matches) over (partition by query) as best, row_number() over (partition by query order by matches desc, target) as r from scored),
+y as (select *, count_if(matches >= best * 0.98e0) over (partition by query) as n_tied from x) select query, target, matches, round(matches / greatest(block, 1), 6) as identity, n_tied::BIGINT as n_tied from y where r = 1 and matches / greatest(block, 1) >= 0.9""")
+def paf_identity_labels(spark, d):
+    best = labelling.best_targets(_scored(spark, d)).filter("identity >= 0.9")
+    return best.select("query", "target", "matches", r6(F.col("identity")).alias("identity"), "n_tied")
+
+
+@_query(f"""with recursive {_SCORED}, x as (select *, max(matches) over (partition by query) as best, first_value(target) over (partition by query order by matches desc, target) as top from scored),
+e as (select distinct top as a, target as b from x where matches >= best * 0.98e0 and target <> top), b as (select a, b from e union select b, a from e),
+reach(id, other) as (select a, a from b union select r.id, b.b from reach r join b on b.a = r.other), c as (select id, min(other) as component from reach group by 1)
+select component, string_agg(id::VARCHAR, '|' order by id) as members, count(*)::BIGINT as size from c group by 1""")
+def tie_groups(spark, d):
+    pairs = labelling.tied_pairs(_scored(spark, d))
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return labelling.group_names(graph.connected_components(nodes, pairs))
+
+
+_CHIMERA = f"{_SPANS}, tot as (select query, target, covered, row_number() over (partition by query order by covered desc, target) as r from {_union_sql('spans', 'query, target')})"
+
+
+@_query(f"""with {_CHIMERA}, best as (select query, target as best, covered as b from tot where r = 1), rival as (select query, target as rival, covered as v from tot where r = 2),
+both_ as (select s.query, s.s, s.e from spans s join best on s.query = best.query and s.target = best.best union all select s.query, s.s, s.e from spans s join rival on s.query = rival.query and s.target = rival.rival)
+select query, best, rival, (covered - b)::BIGINT as extra, (covered - b) >= 0.25 * covered as chimeric from best join rival using (query) join {_union_sql('both_', 'query')} using (query)""")
+def chimera_flag(spark, d):
+    spans = _spans(spark, d)
+    total = labelling.interval_union(spans, "query", "target")
+    by = Window.partitionBy("query").orderBy(F.desc("covered"), "target")
+    ranked = total.withColumn("r", F.row_number().over(by)).filter("r <= 2")
+    pair = ranked.groupBy("query").agg(F.max(F.when(F.col("r") == 1, F.col("target"))).alias("best"), F.max(F.when(F.col("r") == 2, F.col("target"))).alias("rival"), F.max(F.when(F.col("r") == 1, F.col("covered"))).alias("b")).filter("rival IS NOT NULL")
+    both = labelling.interval_union(spans.join(ranked.select("query", "target"), ["query", "target"]), "query")
+    extra = F.col("covered") - F.col("b")
+    return pair.join(both, "query").select("query", "best", "rival", extra.alias("extra"), (extra >= 0.25 * F.col("covered")).alias("chimeric"))
+
+
+@_query(f"""with {_SPANS}, u as (select target, covered from {_union_sql('spans', 'target')}), n as (select target, count(distinct query) as contigs, sum(e - s) as bp from spans group by 1)
+select s_suppkey as target, coalesce(covered, 0)::BIGINT as covered, round(least(coalesce(covered, 0) / 3650.0e0, 1.0e0), 6) as fraction, coalesce(contigs, 0)::BIGINT as contigs, coalesce(bp, 0)::BIGINT as bp, coalesce(covered, 0) / 3650.0e0 >= 0.5 as recovered from supplier left join u on u.target = s_suppkey left join n on n.target = s_suppkey""")
+def reference_recovery(spark, d):
+    spans = _spans(spark, d)
+    n = spans.groupBy("target").agg(F.countDistinct("query").alias("contigs"), F.sum(F.col("end") - F.col("start")).alias("bp"))
+    refs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target")).join(labelling.interval_union(spans, "target"), "target", "left").join(n, "target", "left").na.fill(0)
+    share = F.col("covered") / 3650.0
+    return refs.select("target", "covered", r6(F.least(share, F.lit(1.0))).alias("fraction"), "contigs", "bp", (share >= 0.5).alias("recovered"))
+
+
+@_query("""with c as (select lang, n_chars as length, sum(n_chars) over (partition by lang order by n_chars desc, doc_id rows unbounded preceding) as reached, sum(n_chars) over (partition by lang) as total from documents),
+n as (select lang, max(case when reached >= total / 2 then length end) as n50 from c group by 1),
+h as (select lang, case when n_chars < 5000 then 'short' when n_chars <= 10000 then 'medium' else 'long' end as size, count(*) as n, min(n_chars) as shortest, median(n_chars) as middle, max(n_chars) as longest, sum(n_chars) as total from documents group by grouping sets ((lang, size), (lang)))
+select h.lang, coalesce(size, 'all') as size, h.n::BIGINT as n, shortest::BIGINT as shortest, round(middle, 1) as middle, longest::BIGINT as longest, h.total::BIGINT as total, case when size is null then n50 end as n50 from h join n on n.lang = h.lang""")
+def n50_histogram(spark, d):
+    docs = table(spark, d, "documents").select("lang", F.col("n_chars").alias("length"))
+    sized = docs.withColumn("size", F.when(F.col("length") < 5000, "short").when(F.col("length") <= 10000, "medium").otherwise("long"))
+    stats = [F.count("*").alias("n"), F.min("length").alias("shortest"), F.round(F.percentile("length", F.lit(0.5)), 1).alias("middle"), F.max("length").alias("longest"), F.sum("length").alias("total")]
+    whole = sized.groupBy("lang").agg(*stats).join(labelling.n50(docs, "lang"), "lang").withColumn("size", F.lit("all"))
+    return sized.groupBy("lang", "size").agg(*stats).withColumn("n50", F.lit(None).cast("long")).unionByName(whole)
+
+
+@_query(f"""with {COV}, r as (select contig, sample, rank() over (partition by sample order by depth) + (count(*) over (partition by sample, depth) - 1) / 2.0e0 as r from cov)
+select a.sample as a, b.sample as b, round(corr(a.r, b.r), 6) + 0.0 as rho from r a join r b on a.contig = b.contig and a.sample < b.sample group by 1, 2""")
+def spearman_samples(spark, d):
+    r = labelling.average_ranks(cov(spark, d), "sample", "depth").select("contig", "sample", "rank_avg")
+    a, b = (r.select("contig", F.col("sample").alias(s), F.col("rank_avg").alias(f"r{s}")) for s in ("a", "b"))
+    return a.join(b, "contig").filter("a < b").groupBy("a", "b").agg(r6(F.corr("ra", "rb")).alias("rho"))
+
+
+@_query("""with l as (select distinct doc_id, md5(unnest(string_split(text, chr(10)))) as line from documents), n as (select line from l group by 1 having count(*) > 1)
+select d.source, count(*)::BIGINT as contigs, count(s.doc_id)::BIGINT as joinable, round(count(s.doc_id) / count(*), 6) as fraction from documents d left join (select distinct doc_id from l join n using (line)) s on s.doc_id = d.doc_id group by 1""")
+def joinable_fraction(spark, d):
+    docs = table(spark, d, "documents")
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", F.md5(F.col("l").cast("binary")).alias("line")).distinct()
+    common = lines.groupBy("line").agg(F.count("*").alias("n")).filter("n > 1").select("line")
+    joined = lines.join(common, "line", "left_semi").select("doc_id").distinct().withColumn("j", F.lit(1))
+    return docs.select("doc_id", "source").join(joined, "doc_id", "left").groupBy("source").agg(F.count("*").alias("contigs"), F.count("j").alias("joinable"), r6(F.count("j") / F.count("*")).alias("fraction"))
+
+
+@_query("""with m as (select l_orderkey as contig, p_brand as cluster, count(*) as n from lineitem join part on p_partkey = l_partkey group by 1, 2)
+select contig, cluster, n::BIGINT as n_proteins, (sum(n) over (partition by cluster))::BIGINT as cluster_size, (count(*) over (partition by cluster))::BIGINT as cluster_contigs from m""")
+def protein_cluster_rollup(spark, d):
+    brand = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("cluster"))
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("contig"), "l_partkey").join(brand, "l_partkey").groupBy("contig", "cluster").agg(F.count("*").alias("n_proteins"))
+    sizes = m.groupBy("cluster").agg(F.sum("n_proteins").alias("cluster_size"), F.count("*").alias("cluster_contigs"))
+    return m.join(sizes, "cluster").select("contig", "cluster", "n_proteins", "cluster_size", "cluster_contigs")
+
+
+@_query("""with o as (select conv_id as contig, turn, role, length(text) as len, lag(role) over (partition by conv_id order by turn) as before from conversations),
+s as (select contig, count(*) as n_orfs, avg(len) as mean_len, sum(len) as coding, count_if(before is not null and before <> role) as switches, mode(role order by role) as x from o group by 1)
+select contig, n_orfs::BIGINT as n_orfs, round(mean_len, 4) as mean_orf_len, coding::BIGINT as coding, round(case when n_orfs > 1 then switches / (n_orfs - 1) else 0 end, 6) as switch_rate from s""")
+def orf_architecture(spark, d):
+    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    o = table(spark, d, "conversations").select(F.col("conv_id").alias("contig"), F.char_length("text").alias("len"), (before.isNotNull() & (before != F.col("role"))).alias("switch"))
+    s = o.groupBy("contig").agg(F.count("*").alias("n_orfs"), F.round(F.avg("len"), 4).alias("mean_orf_len"), F.sum("len").alias("coding"), F.count_if("switch").alias("switches"))
+    return s.select("contig", "n_orfs", "mean_orf_len", "coding", r6(F.when(F.col("n_orfs") > 1, F.col("switches") / (F.col("n_orfs") - 1)).otherwise(0.0)).alias("switch_rate"))
+
+
+@_query("select md5(text) as digest, min(doc_id) as first_id, count(*)::BIGINT as copies from documents where text is not null group by 1")
+def md5_dedupe(spark, d):
+    digest = F.md5(F.col("text").cast("binary"))
+    return table(spark, d, "documents").filter("text IS NOT NULL").groupBy(digest.alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+
+
+@_query("""with old as (select o_orderkey as k, o_orderstatus as status, round(o_totalprice, 2) as price from orders where o_orderdate < timestamp '1998-01-01'),
+new as (select o_orderkey as k, 'U' as status, round(o_totalprice, 2) as price from orders where o_orderpriority = '1-URGENT')
+select k, status, price from new union all select k, status, price from old where k not in (select k from new)""")
+def keyed_upsert(spark, d):
+    from ..sources.tables import upsert
+
+    o = table(spark, d, "orders")
+    rows = o.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.round("o_totalprice", 2).alias("price"), "o_orderdate", "o_orderpriority")
+    old = rows.filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")).select("k", "status", "price")
+    new = rows.filter("o_orderpriority = '1-URGENT'").select("k", F.lit("U").alias("status"), "price")
+    return upsert(old, new, ["k"], replace=True)
+
+
+@_query("select c_name as contig, 'bin' || c_nationkey as bin from customer")
+def assignment_import(spark, d):
+    from ..sources.tables import read_assignments
+
+    c = table(spark, d, "customer")
+    number, name, bin_ = F.col("c_custkey"), F.col("c_name"), F.concat(F.lit("bin"), "c_nationkey")
+    lines = c.select(F.when(number % 3 == 0, F.concat_ws("\t", name, bin_)).when(number % 3 == 1, F.concat_ws(",", bin_, name)).otherwise(F.concat_ws(" ", name, bin_, F.lit("x"))).alias("value"))
+    lines = lines.union(spark.createDataFrame([("# comment",), ("",), ("unknown\tbin1",)], "value string"))
+    return read_assignments(lines, c.select(name.alias("contig")))

@@ -1,0 +1 @@
+"""Sources and sinks: FASTA, GFA, walks, alignments, coverage, registries, assignments."""
