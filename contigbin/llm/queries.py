@@ -9,6 +9,7 @@ import corpus_pipeline
 
 from . import chat, decontaminate, near_dedup, packing, quality, resampling, sharding, suffix_dedup, token_counts, toxicity
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,8 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("hamming").withColumn("similarity", F.round("similarity", 9))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +63,3 @@ QUERIES = {
         op10_toxicity,
     )
 } | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {}
