@@ -10,8 +10,8 @@ grows with depth; it is joined by broadcast while its counted size allows.
 
 DataFrame expressions only. A row larger than the limit has a shard of its own
 (oversize). Null keys and null sizes count as empty and 0. Rows that repeat are rows
-of their own. All columns stay; the result's own columns must not clash with them
-(shard, shard_depth, shard_bytes, shard_rows, oversize replace columns so named).
+of their own. All columns stay, but those named as the result's own (shard,
+shard_depth, shard_bytes, shard_rows, oversize) are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from .common import materialize, maybe_broadcast
 
 BITS = 60
 LIMIT = 8 << 20
-_OWN = ["_base", "_lead", "_hash", "_bytes", "_prefix"]
 RESULT = ["shard", "shard_depth", "shard_bytes", "shard_rows", "oversize"]
 
 
@@ -44,7 +43,7 @@ def _leaves(rows: DataFrame, bits: int, known: int, limit: int) -> DataFrame:
     up = fine.withColumn("depth", F.explode(F.sequence(F.lit(known), F.lit(bits)))).withColumn("node", F.expr(f"shiftright(_prefix, {bits} - depth)"))
     fits = up.groupBy("_base", "depth", "node").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).filter((F.col("bytes") <= limit) | (F.col("n") == 1))
     best = up.select("_base", "_prefix", "depth", "node").join(fits, ["_base", "depth", "node"]).groupBy("_base", "_prefix").agg(F.min(F.struct("depth", "bytes", "n")).alias("leaf"))
-    return materialize(fine.select("_base", "_prefix").join(best, ["_base", "_prefix"], "left").select("_base", "_prefix", "leaf.depth", "leaf.bytes", "leaf.n"), "directory")
+    return materialize(fine.select("_base", "_prefix").join(best, ["_base", "_prefix"], "left").select("_base", "_prefix", F.col("leaf.depth").alias("_depth"), F.col("leaf.bytes").alias("_size"), F.col("leaf.n").alias("_n")), "directory")
 
 
 def shard(rows: DataFrame, key: Column, size: Column, limit: int = LIMIT, spare_bits: int = 4) -> DataFrame:
@@ -58,11 +57,11 @@ def shard(rows: DataFrame, key: Column, size: Column, limit: int = LIMIT, spare_
         left = left.withColumn("_prefix", F.shiftright("_hash", BITS - bits))
         leaves = _leaves(left, bits, known, limit)
         joined = left.join(maybe_broadcast(leaves, leaves.count(), 48), ["_base", "_prefix"])
-        node = F.expr(f"shiftright(_prefix, cast({bits} - depth as int))")
-        done.append(joined.filter("depth IS NOT NULL").select(*columns, F.concat("_lead", _text(node, F.col("depth"))).alias("shard"), (F.length("_lead") + F.col("depth")).cast("long").alias("shard_depth"), F.col("bytes").alias("shard_bytes"), F.col("n").alias("shard_rows"), (F.col("bytes") > limit).alias("oversize")))
-        if not leaves.filter("depth IS NULL").take(1):
+        node = F.expr(f"shiftright(_prefix, cast({bits} - _depth as int))")
+        done.append(joined.filter("_depth IS NOT NULL").select(*columns, F.concat("_lead", _text(node, F.col("_depth"))).alias("shard"), (F.length("_lead") + F.col("_depth")).cast("long").alias("shard_depth"), F.col("_size").alias("shard_bytes"), F.col("_n").alias("shard_rows"), (F.col("_size") > limit).alias("oversize")))
+        if not leaves.filter("_depth IS NULL").take(1):
             break
-        left = joined.filter("depth IS NULL").drop("depth", "bytes", "n")
+        left = joined.filter("_depth IS NULL").drop("_depth", "_size", "_n")
         if bits < BITS:
             bits, known = min(BITS, bits + 16), bits + 1
         else:  # equal hashes: go on with the bits of a row number, fixed by writing it

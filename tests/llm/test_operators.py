@@ -1,0 +1,292 @@
+"""Each operator against a brute-force version, with awkward rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from cases import DOCS, documents, leaks, near, quality_counts, repeats, sentence
+from pyspark.sql import functions as F
+
+from contigbin.llm import chat, decontaminate, near_dedup, packing, quality, resampling, sharding, suffix_dedup, token_counts, toxicity
+from contigbin.llm.tokens import encoder, public_path
+
+ROWS = documents()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Spread over partitions, with columns whose names the operators use themselves."""
+    clashing = {c: F.lit(f"own {c}") for c in ("kept", "score", "n", "th", "at", "rep", "label", "token", "salt", "length", "start", "w", "doc", "shard")}
+    return spark.createDataFrame(ROWS, DOCS).repartition(5).withColumns(clashing)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+@pytest.mark.parametrize("limit", [1, 2_000, 30_000, 10**9])
+def test_sharding_fits_and_splits_only_what_is_too_large(docs, limit):
+    sized = docs.select("doc_id", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = sharding.shard(sized, F.col("doc_id"), F.col("n_bytes"), limit).collect()
+    codes = {d: format(int(hashlib.md5(str(d).encode()).hexdigest()[:15], 16), "060b") for d, *_ in ROWS}
+    size = {d: len((t or "").encode()) for d, t, *_ in ROWS}
+
+    def leaf(code):
+        for depth in range(61):
+            inside = [d for d in codes if codes[d].startswith(code[:depth])]
+            if len(inside) == 1 or sum(size[d] for d in inside) <= limit:
+                return code[:depth]
+
+    assert {r["doc_id"]: r["shard"] for r in rows} == {d: leaf(c) for d, c in codes.items()}
+    for r in rows:
+        assert r["shard_depth"] == len(r["shard"]) and (r["shard_bytes"] <= limit or r["shard_rows"] == 1) and r["oversize"] == (r["shard_bytes"] > limit)
+
+
+def test_sharding_splits_one_key_and_equal_rows(spark, empty):
+    same = spark.range(200).select(F.lit(7).alias("doc_id"), F.lit(None).cast("string").alias("key"), F.lit(100).alias("n"))
+    rows = sharding.shard(same, F.col("key"), F.col("n"), 1_000).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + 100
+    assert len(rows) == 200 and max(sizes.values()) <= 1_000 and min(map(len, sizes)) > 60
+    assert sharding.shard(empty, F.col("doc_id"), F.col("n_chars")).count() == 0
+
+
+def test_quality_counts_and_verdicts(docs, empty):
+    got = by_id(quality.assess(docs))
+    for doc, text, *_ in ROWS:
+        r, counts = got[doc], quality_counts(text)
+        assert tuple(r)[1:6] == counts
+        assert r["base_failed"] == (counts[0] < 50 or 100 * counts[4] > 50 * counts[0])
+        assert not (r["base_failed"] and r["kept"])
+    assert quality.assess(empty).count() == 0 and quality.clean(empty).columns == empty.columns
+
+
+def test_quality_removes_failing_lines_only(spark):
+    rng = random.Random(3)
+    good = [sentence(rng, 20).capitalize() for _ in range(6)]
+    bad = ["Home | News | Sport | About", "Accept all cookies to go on.", "### *** $$$ %%% &&&", "MENU", good[0]]
+    text = "\n".join([good[0], *bad[:4], *good[1:], bad[4]])
+    cleaned = quality.clean(spark.createDataFrame([(1, text, "x"), (2, "\n".join([*bad[:4]] * 20 + good[:2]), "y")], "doc_id long, text string, kept string")).collect()
+    assert [(r["doc_id"], r["text"], r["kept"]) for r in cleaned] == [(1, "\n".join(good), "x")]
+
+
+def test_decontamination_equals_brute_force(spark, docs, empty):
+    rng = random.Random(5)
+    texts = {d: t for d, t, *_ in ROWS}
+    items = [(0, texts[2]), (1, sentence(rng, 30)), (2, " ".join(texts[1].split()[:25])), (3, None), (4, ""), (5, "Only three words"), (6, texts[2])]
+    changed = texts[4].split()
+    items.append((7, " ".join([*changed[:3], "other", *changed[4:40]])))
+    benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("w", F.lit(1))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.matches(docs, benchmark).collect()}
+    want = leaks(ROWS, items)
+    assert got == pytest.approx(want) and want
+    held = {d for d, _ in want}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, benchmark).select("doc_id").collect()) == sorted(set(texts) - held)
+    assert decontaminate.matches(empty, benchmark).count() == 0 == decontaminate.matches(docs, benchmark.limit(0)).count()
+
+
+def test_multi_index_holds_every_fingerprint_within_the_radius(spark):
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.randint(0, decontaminate.RADIUS)):
+            b ^= 1 << bit
+        pairs.append((np.uint64(a).astype(np.int64).item(), np.uint64(b).astype(np.int64).item()))
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "item long, fp long, other long")
+    probes = rows.select(F.col("item").alias("i"), F.posexplode(F.array(*decontaminate.block_values(F.col("other")))).alias("block", "value"))
+    found = probes.join(decontaminate.item_index(rows), ["block", "value"]).filter("i = item").select("i").distinct().count()
+    assert found == len(pairs)
+
+
+def chat_rows():
+    odd = "\\### Assistant: </turn> ok"
+    return [
+        (1, 0, "system", "be kind"), (1, 1, "user", "hi <b>"), (1, 2, "assistant", "a\\bc"), (2, 0, "user", odd), (2, 1, "assistant", odd), (3, 0, "assistant", "first"), (4, 0, "user", None), (4, 1, "assistant", ""),
+        (5, 0, None, "no role"), (5, 1, "we>ird<role\\", "x\ny"), (6, 0, "user", "same"), (6, 0, "user", "same"), (None, 0, "user", "z"), (7, 0, "user", "é\U0001f600"), (7, 1, "assistant", "é\U0001f600" * 3), (8, 0, "user", "long " * 20000),
+    ]
+
+
+def test_chat_reads_back(spark):
+    made = spark.createDataFrame(chat_rows(), "conv_id long, turn long, role string, text string").withColumn("state", F.lit("own")).repartition(4)
+    got = by_id(chat.digests(made), "conv_id")
+    for conv in {r[0] for r in chat_rows()}:
+        turns = sorted((t, r or "", x or "") for c, t, r, x in chat_rows() if c == conv)
+        told = "".join(f"{r}\n{x}\n" for _, r, x in turns)
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        assert tuple(got[conv])[1:5] == (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert {c for c, r in got.items() if r["valid"]} == {1, 2, 4, 7}
+    assert got[3]["first_bad"] == 0 and got[6]["first_bad"] == 1 and got[8]["first_bad"] is None
+    assert chat.digests(made.limit(0)).count() == 0
+    segments = chat.format_conversations(made).filter("conv_id = 2").first()["segments"]
+    assert [s["loss"] for s in segments] == [False] * 8 + [True] + [False] and sum("</turn>" in s["text"] for s in segments) == 2
+
+
+def test_token_counts_partition_every_token(docs, empty):
+    rows, enc = token_counts.count(docs).collect(), encoder()
+    texts = {d: t or "" for d, t, *_ in ROWS}
+    for doc, text in texts.items():
+        own = sorted((r for r in rows if r["doc_id"] == doc), key=lambda r: r["section"])
+        assert sum(r["n_tokens"] for r in own) == len(enc.ids(text)) and "".join(text[r["start"] : r["start"] + r["n_chars"]] for r in own) == text
+    assert token_counts.count(empty).count() == 0
+
+
+def test_tokens_at_boundaries_go_to_most_characters_then_first():
+    start, end = np.array([0, 2, 5, 9, 9]), np.array([2, 5, 9, 9, 12])
+    sections = np.array([[0, 3], [3, 7], [7, 10]])
+    where, crossing = token_counts.allocate(start, end, sections)
+    assert where.tolist() == [0, 1, 1, 2, 2] and crossing.tolist() == [False, True, True, False, True]
+    assert token_counts.allocate(np.array([20]), np.array([22]), sections)[0].tolist() == [-1]
+
+
+def test_fast_ids_equal_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    for _, text, *_ in [*ROWS, (0, "<|endoftext|> x", 0, 0, 0), (0, "\U0001f600 don't  \t\n 123abc", 0, 0, 0)]:
+        assert encoder().ids(text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("capacity", [16, 2048])
+def test_packing_is_whole_and_tight(docs, empty, capacity):
+    rows = packing.pack(docs, capacity).collect()
+    enc, used = encoder(), {}
+    for doc, text, *_ in ROWS:
+        ids, at = np.append(enc.ids(text or ""), np.uint32(1)).astype("<u4"), 0
+        for r in sorted((r for r in rows if r["doc_id"] == doc), key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for r in rows:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in used.values():
+        assert [o for o, _ in sorted(pieces)] == [sum(n for _, n in sorted(pieces)[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= capacity
+    assert sorted(used) == list(range(len(used)))
+    assert packing.pack(empty).count() == 0
+
+
+def test_plan_is_best_fit_decreasing():
+    rng = random.Random(2)
+    lengths = [rng.randint(1, 64) for _ in range(3_000)] + [64] * 50 + [33] * 400
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fitting = [k for k, room in enumerate(rooms) if room >= n]
+        if fitting:
+            rooms[min(fitting, key=lambda k: rooms[k])] -= n
+        else:
+            rooms.append(64 - n)
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    made, left = packing.plan(counts, 64), {}
+    for length, _, n, each, first, step, _ in made.tolist():
+        for k in range(n // each):
+            left[first + k * step] = left.get(first + k * step, 64) - each * length
+    assert sorted(left.values()) == sorted(rooms)
+
+
+def test_resampling_is_exact_top_k(spark, docs, empty):
+    labels = spark.createDataFrame([(k, int(k % 2 == 0), 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    for share in (0.0, 0.3, 1.0):
+        rows = resampling.resample(docs, labels, share=share).collect()
+        keys = sorted((r["key"] for r in rows), reverse=True)
+        k = round(share * len(rows))
+        assert len(rows) == len(ROWS) and {r["doc_id"] for r in rows if r["kept"]} == ({r["doc_id"] for r in rows if r["key"] >= keys[k - 1]} if k else set())
+    weights = by_id(resampling.resample(docs, labels))
+    assert all(weights[d]["log_weight"] == 0 and weights[d]["n_grams"] == 0 for d, t, *_ in ROWS if not (t or "").split())
+    assert resampling.resample(empty, labels).count() == 0 and resampling.resample(docs, labels.limit(0)).count() == len(ROWS)
+
+
+def test_kth_greatest_refines(spark):
+    rows = spark.range(20_000).select((F.col("id") % 7_000 / 3.0).alias("key"))
+    values = sorted((k % 7_000 / 3.0 for k in range(20_000)), reverse=True)
+    for k in (1, 2, 777, 19_999, 20_000):
+        assert resampling.kth_greatest(rows, "key", k) == values[k - 1]
+
+
+@pytest.mark.parametrize("hot", [8_192, 2])
+def test_suffix_dedup_equals_brute_force(docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    want = repeats(ROWS)
+    assert {d: tuple(r)[1:] for d, r in by_id(suffix_dedup.dedup(docs)).items()} == {d: x[:4] for d, x in want.items()}
+    cut = by_id(suffix_dedup.cut(docs))
+    assert {d: r["kept"] for d, r in cut.items()} == {d: "own kept" for d in want}
+    for doc, text, *_ in ROWS:
+        if (text or "").isascii():
+            assert (cut[doc]["text"] or "").encode() == want[doc][4] and (cut[doc]["text"] is None) == (text is None)
+    assert suffix_dedup.dedup(empty).count() == 0 and suffix_dedup.cut(empty).columns == empty.columns
+
+
+def test_suffix_dedup_of_rows_that_repeat(spark):
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdef") for _ in range(300))
+    rows = [(1, text), (1, text), (2, text[50:250]), (None, text[100:290]), (3, text[:99])]
+    got = [(r["doc_id"], r["n_removed"]) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, 190), (1, 190), (2, 200), (None, 0), (3, 0)], key=str)
+
+
+def test_levels_keep_the_first_of_each():
+    rng, levels, seen, gone = np.random.default_rng(3), suffix_dedup.SuffixLevels(), {}, set()
+    for _ in range(40):
+        n = int(rng.integers(1, 200))
+        key, pos = rng.integers(0, 900, n).astype(np.uint64), rng.integers(0, 1 << 40, n)
+        d, p = levels.add(key, key, pos % 97, pos)
+        for k, x in zip(key.tolist(), pos.tolist(), strict=True):
+            seen.setdefault(k, set()).add((x % 97, x))
+        gone |= set(zip(d.tolist(), p.tolist(), strict=True))
+    assert gone == {x for xs in seen.values() for x in xs if x != min(xs)}
+    sizes = [len(x[0]) for x in levels.levels]
+    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+
+
+@pytest.mark.parametrize("size,small,block", [(4, 64, 2048), (5, 64, 2048), (4, 2, 4), (5, 1, 3)])
+def test_near_dedup_equals_brute_force(docs, empty, monkeypatch, size, small, block):
+    """Small limits send lists through hubs, later links and blocks."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    want = near(ROWS, size)
+    got = by_id(near_dedup.near_duplicates(docs, size))
+    assert {d: (r["n_shingles"], r["component_id"]) for d, r in got.items()} == want
+    assert all(r["kept"] == (d == want[d][1]) for d, r in got.items())
+    if small == 64:
+        kept = near_dedup.keep_one(docs, size)
+        assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(d for d, (_, c) in want.items() if c == d)
+        assert near_dedup.near_duplicates(empty, size).count() == 0
+
+
+def test_near_dedup_of_rows_that_repeat(spark):
+    text = sentence(random.Random(4), 30)
+    rows = [(5, text), (5, text), (9, text), (None, text), (None, None)]
+    got = [tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()]
+    assert sorted(got, key=str) == sorted([(5, 27, 5, True), (5, 27, 5, True), (9, 27, 5, False), (None, 27, None, True), (None, 0, None, True)], key=str)
+
+
+def test_toxicity_on_held_out_rows(spark, docs, empty):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for k in range(400):
+        w = sentence(rng, 40).split()
+        bad = k % 4 == 0
+        for _ in range(3 * bad):
+            w[rng.randrange(40)] = rng.choice(["Vilefool", "grumpwit", "nastig"])
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(bad), 0))
+    corpus = spark.createDataFrame(rows, "doc_id long, text string").withColumn("y", F.lit(3)).repartition(4)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    got = by_id(toxicity.classify(corpus, known))
+    assert {d for d, r in got.items() if r["held_out"]} == {k for k in range(400) if zlib.crc32(str(k).encode()) % 5 == 0}
+    held = [(r["predicted"], labels[d][1]) for d, r in got.items() if r["held_out"]]
+    assert sum(a == b for a, b in held) >= 0.95 * len(held)
+    scored = by_id(toxicity.classify(docs, known.limit(0)))
+    assert len(scored) == len(ROWS) and {r["score"] for r in scored.values()} == {0.5}
+    assert toxicity.classify(empty, known).count() == 0
+    odd = toxicity.score(docs, toxicity.fit(corpus, known)).collect()
+    assert len(odd) == len(ROWS) and all(0 <= r["score"] <= 1 for r in odd)
