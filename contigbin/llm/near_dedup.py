@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     hot = lists.filter(F.col("n") > SMALL).join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
     mixed = hot.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    hot = materialize(hot.join(mixed, "token"), "hot")
+    mixed = materialize(mixed, "mixed")
+    hot = materialize(hot.join(maybe_broadcast(mixed, mixed.count(), 16), "token"), "hot")
     if hot.take(1):
         sets = full_sets(docs, hot.select(F.col("rep").alias("id")), size)
         own = hot.groupBy("rep").agg(F.collect_set("token").alias("hot"))
