@@ -41,21 +41,40 @@ def em_step(scores: DataFrame, fit: dict, column: str = "score") -> DataFrame:
     return moved.select("mass", "mean", F.sqrt(F.greatest(variance, F.lit(1e-6))).alias("scale"))
 
 
-def fit_mixture(scores: DataFrame, prior: float, column: str = "score", rounds: int = 200) -> dict:
-    """EM with a fixed null; stops when the mass is under 10 or the step under 1e-9. Each round is one aggregate."""
+#: Scores up to this number (8 MB) are fitted as one array; more by an aggregate a round.
+LOCAL = 1_000_000
+
+
+def fit_mixture(scores: DataFrame, prior: float, column: str = "score", rounds: int = 200, local: int = LOCAL) -> dict:
+    """EM with a fixed null; stops when the mass is under 10 or the step under 1e-9."""
     null = robust_null(scores, column).first()
     fit = {"null_mean": null["centre"], "null_scale": null["scale"], "alt_mean": null["centre"] + 2 * null["scale"], "alt_scale": null["scale"], "prior": min(max(prior, 1e-9), 0.5)}
+    values = scores.select(column).toArrow()[column].to_numpy() if null["n"] <= local else None
     for _ in range(rounds if null["n"] else 0):
-        step = em_step(scores, fit, column).first()
-        if not step["mass"] or step["mass"] < 10:
+        mass, mean, scale = _em_array(values, fit) if values is not None else em_step(scores, fit, column).first()
+        if not mass or mass < 10:
             break
-        moved = abs(step["mean"] - fit["alt_mean"]) + abs(step["scale"] - fit["alt_scale"])
+        moved = abs(mean - fit["alt_mean"]) + abs(scale - fit["alt_scale"])
         if moved < 1e-9:
             break
-        fit |= {"alt_mean": step["mean"], "alt_scale": step["scale"]}
+        fit |= {"alt_mean": mean, "alt_scale": scale}
     return fit
 
 
+def _em_array(x: np.ndarray, fit: dict) -> tuple[float, float, float]:
+    """``em_step`` on an array."""
+    def density(k: str) -> np.ndarray:
+        return -0.5 * ((x - fit[f"{k}_mean"]) / fit[f"{k}_scale"]) ** 2 - math.log(fit[f"{k}_scale"])
+
+    gap = np.clip(math.log1p(-fit["prior"]) + density("null") - math.log(fit["prior"]) - density("alt"), -700, 700)
+    r = 1 / (1 + np.exp(gap))
+    mass = float(r.sum())
+    if mass < 10:
+        return mass, fit["alt_mean"], fit["alt_scale"]
+    mean = max(float(r @ x) / mass, fit["null_mean"])
+    return mass, mean, math.sqrt(max(float(r @ (x - mean) ** 2) / mass, 1e-6))
+
+
 def informative(fit: dict) -> bool:
     return all(np.isfinite(fit[k]) for k in ("null_mean", "null_scale", "alt_mean", "alt_scale")) and fit["null_scale"] >= 1e-3
 

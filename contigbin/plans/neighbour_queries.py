@@ -168,3 +168,35 @@ cells as (select bin, label, count(*) as n from c join vec using (id) group by 1
 hb as (select sum(n) as h from (select max(n) as n from cells group by bin)), ht as (select sum(n) as h from (select max(n) as n from cells group by label)), t as (select sum(n) as n from cells)
 select count(*)::BIGINT as bins, count_if(s.n = 1)::BIGINT as singletons, count_if(s.n > 1)::BIGINT as multi, max(s.n)::BIGINT as largest, round(any_value(hb.h) / any_value(t.n), 6) as "precision", round(any_value(ht.h) / any_value(t.n), 6) as recall,
 round(2 * (any_value(hb.h) / any_value(t.n)) * (any_value(ht.h) / any_value(t.n)) / (any_value(hb.h) / any_value(t.n) + any_value(ht.h) / any_value(t.n)), 6) as f1 from sizes s, hb, ht, t""")(flagship)
+
+
+@_query(None)
+def cpm_partition(spark, d):
+    from ..operators import partition
+
+    v = vec(spark, d)
+    edges = neighbours.reciprocal_knn(v, 8).withColumn("weight", logit_of_cosine(F.col("cosine")) + 1.0)
+    return partition.cpm_partition(v, edges, 0.25)
+
+
+@_query(None)
+def unknown_k_binning(spark, d):
+    from ..config import BinningConfig
+    from ..operators import partition
+
+    config = BinningConfig()
+    a, b = (vec(spark, d, at, 32) for at in (1, 33))
+    pairs = neighbours.reciprocal_knn(a, 8).select("src", "dst").union(neighbours.reciprocal_knn(b, 8).select("src", "dst")).distinct()
+    views = a.select("id", F.col("u").alias("a")).join(b.select("id", F.col("u").alias("b")), "id")
+    nulls = {k: partition.null_scores(x, config.null_pair_samples, config.seed).checkpoint() for k, x in (("a", a), ("b", b))}
+    return partition.unknown_k(views, pairs, nulls, config)[0]
+
+
+@_query(None)
+def masked_autoencoder(spark, d):
+    from ..config import BinningConfig
+    from ..operators import model
+
+    v = vec(spark, d)
+    z = model.embed(v, neighbours.reciprocal_knn(v, 8), BinningConfig())
+    return z.select("id", F.posexplode("z").alias("dim", "value")).select("id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
