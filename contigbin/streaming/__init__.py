@@ -1,0 +1 @@
+"""Incremental ingest, an extension: the operators themselves are batch."""
