@@ -74,3 +74,49 @@ def identity_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     ends = a.select("l", F.explode(F.array(F.struct(F.col("h").alias("k"), F.lit("+").alias("strand")), F.struct(F.col("b").alias("k"), F.lit("-").alias("strand")))).alias("e")).select("l", "e.k", "e.strand")
     found = ends.join(right.select(F.col("id").alias("r"), F.sha2("sequence", 256).alias("k")), "k")
     return found.groupBy("l", "r").agg(F.min("strand").alias("strand"))
+
+
+# Accession and segment tokens at the end of a reference name.
+ACCESSION = r"_[A-Z]{1,2}(_?[0-9]{5,8})(\.[0-9]+)?$"
+SEGMENT = r"(?i)^(.+)_(RNA[0-9]+[A-Za-z]*|DNA-?[A-Za-z0-9]+|segment[_-]?\w+|S[0-9]|M[0-9]|L[0-9]|clone_[0-9]+)$"
+
+
+def agent_name(name: Column, accessions: int = 4) -> Column:
+    """The agent of a reference name: without accessions at its end, then without one segment (PRJ-18); the molecule is the whole name."""
+    rest = name
+    for _ in range(accessions):
+        rest = F.regexp_replace(rest, ACCESSION, "")
+    return F.coalesce(F.nullif(F.regexp_replace(rest, SEGMENT, "$1"), F.lit("")), name)
+
+
+def gene_architecture(genes: DataFrame, lengths: DataFrame) -> DataFrame:
+    """contig and its ORF features (AGG-29, WIN-4), zeros without genes. ``genes``: contig, start, end, strand, gc, table."""
+    by = Window.partitionBy("contig").orderBy("start", "end", "strand")
+    g = genes.withColumns({"size": F.col("end") - F.col("start"), "switch": F.coalesce((F.lag("strand").over(by) != F.col("strand")).cast("int"), F.lit(0))})
+    s = g.groupBy("contig").agg(F.count("*").alias("n"), F.sum("size").alias("coding"), F.avg("size").alias("mean_orf_len"), F.sum("switch").alias("switches"), F.avg("gc").alias("gc_mean"), F.mode("table", True).alias("translation_table"))
+    n, length = F.coalesce("n", F.lit(0)), F.greatest("length", F.lit(1))
+    return lengths.join(s, "contig", "left").select(
+        "contig", "length", n.alias("n_orfs"), (F.coalesce("coding", F.lit(0)) / length).alias("coding_density"), F.coalesce("mean_orf_len", F.lit(0.0)).alias("mean_orf_len"), (1000.0 * n / length).alias("orfs_per_kb"),
+        F.when(n > 1, F.col("switches") / (n - 1)).otherwise(0.0).alias("strand_switch_rate"), F.coalesce("gc_mean", F.lit(0.0)).alias("gc_mean"), F.coalesce("translation_table", F.lit(0)).alias("translation_table"),
+    )
+
+
+def protein_clusters(members: DataFrame) -> DataFrame:
+    """contig, cluster, n_proteins, cluster_size, cluster_contigs (AGG-30). ``members``: protein, contig, cluster (null: a cluster of its own)."""
+    named = members.withColumn("cluster", F.coalesce("cluster", "protein"))
+    each = named.groupBy("contig", "cluster").agg(F.count("*").alias("n_proteins"))
+    sizes = each.groupBy("cluster").agg(F.sum("n_proteins").alias("cluster_size"), F.count("*").alias("cluster_contigs"))
+    return each.join(sizes, "cluster").select("contig", "cluster", "n_proteins", "cluster_size", "cluster_contigs")
+
+
+def dead_samples(coverage: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """sample whose depths are all alike (AGG-34)."""
+    return coverage.groupBy("sample").agg((F.max("depth") - F.min("depth")).alias("d")).filter(F.col("d") <= tolerance).select("sample")
+
+
+def reachable_pairs(labels: DataFrame, components: DataFrame) -> DataFrame:
+    """One row: pairs of contigs of one label, and those of them in one component (JN-17), from counts alone. Rows: contig, label; id, component."""
+    pairs = lambda c: F.sum(c * (c - 1) / 2)
+    both = labels.join(components.withColumnRenamed("id", "contig"), "contig").groupBy("label", "component").agg(F.count("*").alias("n"))
+    every = both.groupBy("label").agg(F.sum("n").alias("n")).agg(pairs(F.col("n")).alias("pairs"))
+    return every.join(both.agg(pairs(F.col("n")).alias("reachable"))).select(F.coalesce(F.col("pairs"), F.lit(0.0)).cast("long").alias("pairs"), F.coalesce(F.col("reachable"), F.lit(0.0)).cast("long").alias("reachable"))

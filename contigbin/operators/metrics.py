@@ -90,6 +90,7 @@ def equivalent(labels: DataFrame, a: str, b: str) -> DataFrame:
 
 def quality_summary(rows: DataFrame, by: str) -> DataFrame:
     """Counts by tier, mean and median completeness and contamination without nulls, rounded to 2 (AGG-28). Rows: tier, completeness, contamination."""
+    # Tiers, best first
     tiers = ("Complete", "High-quality", "Medium-quality", "Low-quality", "Not-determined")
     counts = [F.count_if(F.col("tier") == t).alias(t.lower().replace("-", "_")) for t in tiers]
     stats = [f(c).alias(f"{n}_{c}") for c in ("completeness", "contamination") for n, f in (("mean", lambda c: F.round(F.avg(c), 2)), ("median", lambda c: F.round(F.percentile(c, F.lit(0.5)), 2)))]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.dna import wrapped
+from ..operators.features import dense_index
+
 PAF = "query string, query_length long, query_start long, query_end long, strand string, target string, target_length long, target_start long, target_end long, matches long, block long"
 
 
@@ -73,16 +76,77 @@ def read_assignments(lines: DataFrame, contigs: DataFrame) -> DataFrame:
     return found.withColumn("bin", F.when(check, F.raise_error(F.concat("contig", F.lit(" occurs in two bins")))).otherwise(F.col("bin")))
 
 
-def read_bins(rows: DataFrame) -> DataFrame:
-    """contig, bin from a table of two columns: by header name, else the side with more distinct values is the contig (SRC-24)."""
-    a, b = rows.columns[:2]
-    names = {"contig", "contig_id", "contigname", "sequence", "node"}
-    if b.lower() in names and a.lower() not in names:
-        a, b = b, a
-    elif a.lower() not in names:
-        n = rows.agg(F.countDistinct(a), F.countDistinct(b)).first()
-        a, b = (b, a) if n[1] > n[0] else (a, b)
-    return rows.select(F.col(a).alias("contig"), F.col(b).alias("bin"))
+# Header names of bin tables, compared in lower case.
+CONTIG_NAMES = ("contig", "contig_id", "contigname", "contig_name", "sequence", "sequence_id", "scaffold", "scaffold_id", "name", "seq_name")
+BIN_NAMES = ("bin", "bin_id", "cluster", "cluster_id", "clustername", "cluster_name", "binid", "group")
+
+
+def read_bins(spark: SparkSession, path: str) -> DataFrame:
+    """contig, bin from a tab-separated table (SRC-24): by its header, else the column with more distinct values is the contig."""
+    lines = spark.read.text(path).filter("trim(value) <> '' AND NOT value LIKE '#%'").select("value", F.split("value", "\t").alias("f"))
+    first = lines.first()
+    if first is None or len(first["f"]) < 2:
+        raise ValueError(f"{path} is not a table of two columns or more")
+    header = [x.strip().lower() for x in first["f"]]
+    contig, bin_ = (next((k for k, x in enumerate(header) if x in names), None) for names in (CONTIG_NAMES, BIN_NAMES))
+    body = lines if contig is None and bin_ is None else lines.filter(F.col("value") != first["value"])
+    if contig is None or bin_ is None:
+        n = body.agg(F.countDistinct(F.get("f", F.lit(0))), F.countDistinct(F.get("f", F.lit(1)))).first()
+        contig, bin_ = (0, 1) if n[0] >= n[1] else (1, 0)
+    return body.filter(F.size("f") > max(contig, bin_)).select(F.trim(F.col("f")[contig]).alias("contig"), F.trim(F.col("f")[bin_]).alias("bin"))
+
+
+def assignments_from_records(records: DataFrame, contigs: DataFrame) -> DataFrame:
+    """contig, bin from a folder of FASTA, one file a bin (SRC-23): rows path, contig. The bin is the file's name. Raises if a contig is in two."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(fa|fna|fasta)(\.gz)?$", "")
+    found = records.select("contig", name.alias("bin")).join(contigs.select("contig").distinct(), "contig", "left_semi").distinct()
+    several = F.count("*").over(Window.partitionBy("contig")) > 1
+    return found.withColumn("bin", F.when(several, F.raise_error(F.concat("contig", F.lit(" occurs in two bins")))).otherwise(F.col("bin")))
+
+
+def read_pairs(files: DataFrame) -> DataFrame:
+    """sample, stem, r1, r2 from a listing (path) of read files, mates marked _1/_2 or _R1/_R2 (SRC-18); numbered by stem. Raises if a mate repeats."""
+    base = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(fastq|fq)(\.gz)?$", "")
+    mate = F.coalesce(F.nullif(F.regexp_extract(base, r"[._]R?([12])$", 1), F.lit("")), F.lit("1"))
+    marked = files.filter(F.col("path").rlike(r"\.(fastq|fq)(\.gz)?$")).select("path", F.regexp_replace(base, r"[._]R?[12]$", "").alias("stem"), mate.alias("mate"))
+    twice = marked.groupBy("stem", "mate").count().filter("count > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"mates repeat: {[tuple(r)[:2] for r in twice]}")
+    wide = marked.groupBy("stem").agg(F.max(F.when(F.col("mate") == "1", F.col("path"))).alias("r1"), F.max(F.when(F.col("mate") == "2", F.col("path"))).alias("r2"))
+    return dense_index(wide, "stem", "n").select(F.concat(F.lit("sample"), F.col("n").cast("string")).alias("sample"), "stem", "r1", "r2")
+
+
+def read_virus_names(spark: SparkSession, path: str) -> DataFrame:
+    """contig of a virus summary (seq_name), without a provirus suffix (SRC-20)."""
+    return spark.read.csv(path, sep="\t", header=True).select(F.substring_index("seq_name", "|", 1).alias("contig")).distinct()
+
+
+def read_quality_summary(spark: SparkSession, path: str) -> DataFrame:
+    """contig, tier, completeness, contamination of a quality summary (SRC-21); what is no number is null."""
+    number = lambda c: F.expr(f"try_cast({c} as double)")
+    return spark.read.csv(path, sep="\t", header=True).select(F.col("contig_id").alias("contig"), F.col("checkv_quality").alias("tier"), number("completeness").alias("completeness"), number("contamination").alias("contamination"))
+
+
+def export_cohort(records: DataFrame, truth: DataFrame, coverage: DataFrame, path: str, least: int = 2000) -> int:
+    """Labelled contigs of ``least`` bases for other tools (SNK-9, PRJ-3, PRJ-4, PRJ-17): FASTA, truth, coverage, alias tables; their number.
+
+    ``truth``: contig, strain; labels that are empty, nan, none, unmapped or unbinned do not count.
+    """
+    labelled = truth.filter(~F.lower(F.trim("strain")).isin("", "nan", "none", "unmapped", "unbinned"))
+    cohort = records.withColumn("length", F.length("sequence").cast("long")).filter(F.col("length") >= least).join(labelled, "contig").checkpoint()
+    missing = cohort.join(coverage, "contig", "left_anti").select("contig").limit(3).collect()
+    if missing:
+        raise ValueError(f"contigs without coverage: {[r[0] for r in missing]}")
+    species = F.regexp_replace("strain", r"_s\d+$", "")
+    mean = coverage.groupBy("contig").agg(F.avg("depth").alias("mean_depth"))
+    alias = F.format_string("CB%07d_length_%d_cov_%.4f", F.col("n") + 1, "length", "mean_depth")
+    named = dense_index(cohort.join(mean, "contig"), "contig", "n").select("contig", alias.alias("alias"))
+    cohort.select("contig", "length", "strain", species.alias("species")).write.mode("overwrite").csv(f"{path}/truth.tsv", sep="\t", header=True)
+    coverage.join(cohort.select("contig"), "contig", "left_semi").write.mode("overwrite").parquet(f"{path}/coverage.parquet")
+    named.write.mode("overwrite").csv(f"{path}/aliases.tsv", sep="\t", header=True)
+    for name, rows in (("cohort.fasta", cohort), ("aliased.fasta", cohort.join(named, "contig").select(F.col("alias").alias("contig"), "sequence"))):
+        rows.select(F.concat(F.lit(">"), "contig", F.lit("\n"), wrapped(F.col("sequence")))).write.mode("overwrite").text(f"{path}/{name}")
+    return cohort.count()
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], replace: bool) -> DataFrame:

@@ -274,7 +274,15 @@ def test_tables(spark, inputs, tmp_path):
     assert sorted(map(tuple, tables.read_assignments(lines, contigs).collect())) == [("contig_0", "bin1"), ("contig_1", "bin2")]
     with pytest.raises(Exception, match="occurs in two bins"):
         tables.read_assignments(lines.union(frame(spark, [("contig_0 bin9",)], "value string")), contigs).collect()
-    assert tables.read_bins(frame(spark, [("b", "x"), ("b", "y")], "one string, two string")).columns == ["contig", "bin"]
+    for text in ("cluster\tname\nb1\tx\nb1\ty\n", "b1\tx\nb1\ty\n"):
+        assert sorted(map(tuple, tables.read_bins(spark, write(tmp_path / "bins.tsv", text)).collect())) == [("x", "b1"), ("y", "b1")]
+    files = frame(spark, [(f"/r/{n}.fastq.gz",) for n in ("b_R1", "b_R2", "a_1", "a_2", "c")] + [("/r/x.txt",)], "path string")
+    assert sorted(map(tuple, tables.read_pairs(files).select("sample", "stem", (F.col("r2").isNotNull()).alias("p")).collect())) == [("sample0", "a", True), ("sample1", "b", True), ("sample2", "c", False)]
+    folder = frame(spark, [("/o/bin_1.fa", "contig_0"), ("/o/bin_2.fa", "contig_1"), ("/o/bin_2.fa", "other")], "path string, contig string")
+    assert sorted(map(tuple, tables.assignments_from_records(folder, contigs).collect())) == [("contig_0", "bin_1"), ("contig_1", "bin_2")]
+    records, truth = frame(spark, [("contig_0", "A" * 2500), ("contig_1", "C" * 2500), ("x", "A")], "contig string, sequence string"), frame(spark, [("contig_0", "g1_s2"), ("contig_1", "unbinned")], "contig string, strain string")
+    assert tables.export_cohort(records, truth, tables.read_coverage(spark, inputs["coverage"]), str(tmp_path / "cohort")) == 1
+    assert spark.read.csv(str(tmp_path / "cohort/truth.tsv"), sep="\t", header=True).first()["species"] == "g1"
     old, new = (frame(spark, r, "k long, v string") for r in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]))
     assert sorted(map(tuple, tables.upsert(old, new, ["k"], True).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert sorted(map(tuple, tables.upsert(old, new, ["k"], False).collect())) == [(1, "a"), (2, "b"), (3, "d")]
@@ -325,3 +333,16 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "table")).count() == expected
         write(folder / "b.fa", ">z\nGG\n")
     assert {r["contig"]: r["sequence"] for r in spark.read.parquet(str(tmp_path / "table")).collect()} == {"x": "ACGT", "y": "TT", "z": "GG"}
+
+
+def test_reports(spark):
+    names = {"Alfalfa_mosaic_virus_RNA1_MZ405653": "Alfalfa_mosaic_virus", "Banana_bunchy_top_virus_DNA-C": "Banana_bunchy_top_virus", "Phage_X": "Phage_X", "NC_001416.1": "NC_001416.1"}
+    assert {n: one(spark, labelling.agent_name(F.lit(n))) for n in names} == names | {"NC_001416.1": one(spark, labelling.agent_name(F.lit("NC_001416.1")))}
+    genes = frame(spark, [("a", 0, 300, "+", 0.5, 11), ("a", 400, 500, "-", 0.3, 11), ("a", 600, 700, "-", 0.4, 4)], "contig string, start long, end long, strand string, gc double, table long")
+    rows = {r["contig"]: r for r in labelling.gene_architecture(genes, frame(spark, [("a", 1000), ("b", 500)], "contig string, length long")).collect()}
+    assert (rows["a"]["n_orfs"], rows["a"]["coding_density"], rows["a"]["strand_switch_rate"], rows["a"]["translation_table"]) == (3, 0.5, 0.5, 11) and rows["b"]["n_orfs"] == 0
+    clusters = labelling.protein_clusters(frame(spark, [("p1", "a", "x"), ("p2", "b", "x"), ("p3", "a", None)], "protein string, contig string, cluster string"))
+    assert sorted(map(tuple, clusters.collect())) == [("a", "p3", 1, 1, 1), ("a", "x", 1, 2, 2), ("b", "x", 1, 2, 2)]
+    assert [r[0] for r in labelling.dead_samples(frame(spark, [("s", 1.0), ("s", 1.0), ("t", 1.0), ("t", 2.0)], "sample string, depth double")).collect()] == ["s"]
+    pairs = labelling.reachable_pairs(frame(spark, [("a", 1), ("b", 1), ("c", 1)], "contig string, label long"), frame(spark, [("a", 0), ("b", 0), ("c", 2)], "id string, component long"))
+    assert tuple(pairs.first()) == (3, 1)
