@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,16 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Arrow batches that go to Python hold about so many bytes, whatever the length of their rows.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session sends Python batches of BATCH_BYTES at most (a longer row goes alone)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (rows + 1) of an Arrow string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -97,9 +108,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """Cut a record batch into pieces whose ``column`` holds about ``limit`` bytes; a longer row stands alone."""
-    _, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
+    lengths = pc.binary_length(batch.column(batch.schema.get_field_index(column)))
+    offsets = np.append(0, np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
     at, n = 0, batch.num_rows
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, discard, materialize, maybe_broadcast, mix, slices
+from .common import bounded_batches, columns, discard, materialize, maybe_broadcast, mix, slices
 from .components import components
 from .signatures import COMPARED, POSTED, fingerprint, minhash, shingle_sets
 
@@ -55,7 +55,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()] * 2, strict=True))], names=["doc_id", "n_shingles", "fp_a", "fp_b", "posted", "compared"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp_a long, fp_b long, posted binary, compared binary")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp_a long, fp_b long, posted binary, compared binary")
 
 
 def _token_table(column) -> np.ndarray:

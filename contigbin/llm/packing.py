@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, materialize
+from .common import bounded_batches, columns, materialize
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -117,7 +117,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, mode
                 continue
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 5 + [pa.int32()], strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, **how) -> DataFrame:

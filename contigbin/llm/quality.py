@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # Marks that end a sentence (a closing quote or bracket may follow).
 END = ".!?…:;。！？"
 CLOSING = "\"'”’»)]"
@@ -111,7 +113,7 @@ def assess(docs: DataFrame, **how) -> DataFrame:
             rows = [judge(text or "", **how)[0] for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(_column([r[k] for r in rows], name) for k, name in enumerate(NAMES))], names=["doc_id", *NAMES])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {RESULT}")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, {RESULT}")
 
 
 def clean(docs: DataFrame, **how) -> DataFrame:
@@ -126,4 +128,4 @@ def clean(docs: DataFrame, **how) -> DataFrame:
             kept = pa.array([row[NAMES.index("kept")] for row, _ in judged], pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(kept)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)

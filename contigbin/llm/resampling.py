@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, materialize, maybe_broadcast, shingle_hashes, slices, utf8, word_hashes
+from .common import bounded_batches, columns, materialize, maybe_broadcast, shingle_hashes, slices, utf8, word_hashes
 
 BUCKETS = 10_000
 LENGTH = 100.0
@@ -44,7 +44,7 @@ def _ngrams(column: pa.Array):
 def models(docs: DataFrame, labels: DataFrame, label: str, value: int) -> tuple[np.ndarray, float]:
     """log(target / raw) of each bucket."""
     wanted = materialize(labels.filter(F.col(label) == value).select(F.col("doc_id").cast("long")).distinct().withColumn("target", F.lit(True)), "targets")
-    marked = docs.select(F.col("doc_id").cast("long"), "text").join(maybe_broadcast(wanted, wanted.count(), 24), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    marked = bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").join(maybe_broadcast(wanted, wanted.count(), 24), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
 
     def tally(batches):
         counts = np.zeros((2, BUCKETS), np.int64)
@@ -80,7 +80,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 n, w = zip(*rows, strict=True) if rows else ((), ())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(w, pa.float64())], names=["doc_id", "n_grams", "log_weight"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
 
 
 def kth_greatest(rows: DataFrame, column: str, k: int) -> float | None:

@@ -38,12 +38,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_codes, materialize, maybe_broadcast, mix, powers, slices, utf8
+from .common import bounded_batches, byte_codes, materialize, maybe_broadcast, mix, powers, slices, utf8
 
 LENGTH = 100
 GRAM = 24
 CHUNK = 1 << 18
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 HOT = 8_192
 QUERY, NOTICE, INDEX, REMOVED = range(4)
 
@@ -350,7 +350,7 @@ def suffixes(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 if n_spread >= FLUSH:
                     yield from _gather(spread, hot)
                     spread, n_spread = [], 0
-                if n_held >= 32 * FLUSH:
+                if n_held >= 4 * FLUSH:
                     yield from _gather(held, cold)
                     held, n_held = [], 0
         yield from _gather(spread, hot)
@@ -396,7 +396,7 @@ NULL_ID = -(1 << 63)
 
 def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, text, th; dealt by doc_id) and, by doc_id, the list of what is removed (pos, n)."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").bitwiseAND(0xFFFF).alias("th"))
+    texts = bounded_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").bitwiseAND(0xFFFF).alias("th"))
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(resolve(sample(texts, length, buckets), length, buckets), "runs")
     dealt = texts.repartition("doc_id")

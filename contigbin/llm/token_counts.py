@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .tokens import encoder
 
 RESULT = "doc_id long, section long, start long, n_chars long, n_tokens long, n_boundary long"
@@ -79,4 +80,4 @@ def count(docs: DataFrame, sections=lines, model: str = "byte_bpe_50k.json", ran
                 table = np.concatenate([r for _, r in out]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(5))], names=["doc_id", "section", "start", "n_chars", "n_tokens", "n_boundary"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)

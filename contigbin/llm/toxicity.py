@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns, mix, powers, slices, utf8
+from .common import bounded_batches, columns, mix, powers, slices, utf8
 
 BITS = 20
 SIZES = (4, 5, 6, 7)
@@ -87,7 +87,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fo
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, bits: int = BITS, fit_rows: int = FIT_ROWS, z_min: float = Z_MIN) -> dict:
     """The model: ratio r and weight (scaled by r) of each feature, and the bias."""
     n_features = 1 << bits
-    train = training_rows(docs, labels, label, folds, fold, fit_rows)
+    train = training_rows(bounded_batches(docs), labels, label, folds, fold, fit_rows)
     context = docs.sparkSession.sparkContext
 
     def tally(batches):
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 out.append(1 / (1 + np.exp(-min(max(z, -60.0), 60.0))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, **how) -> DataFrame:
