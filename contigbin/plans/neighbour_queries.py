@@ -49,7 +49,8 @@ def cosine_logit(spark, d):
 
 
 def _scores(spark, d):
-    return neighbours.all_scores(vec(spark, d)).select(logit_of_cosine(F.col("cosine")).alias("score"))
+    """Read several times by what follows, so checkpointed."""
+    return neighbours.all_scores(vec(spark, d)).select(logit_of_cosine(F.col("cosine")).alias("score")).checkpoint()
 
 
 @_query(f"{_NULL} select round(centre, 6) + 0.0 as centre, round(scale, 6) as scale, n::BIGINT as n from c, m")
