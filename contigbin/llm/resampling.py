@@ -41,7 +41,7 @@ def _ngrams(column: pa.Array):
         yield np.concatenate([one[a:b], two[a : max(a, b - 1)]])
 
 
-def models(docs: DataFrame, labels: DataFrame, label: str, value: int) -> tuple[np.ndarray, float]:
+def models(docs: DataFrame, labels: DataFrame, label: str, value: int) -> np.ndarray:
     """log(target / raw) of each bucket."""
     wanted = materialize(labels.filter(F.col(label) == value).select(F.col("doc_id").cast("long")).distinct().withColumn("target", F.lit(True)), "targets")
     marked = bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").join(maybe_broadcast(wanted, wanted.count(), 24), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))

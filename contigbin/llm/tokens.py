@@ -38,7 +38,9 @@ class Encoder:
         if self.fast is not None:
             try:
                 return np.asarray(self.fast.encode_ordinary(text), np.uint32)
-            except (ValueError, RuntimeError):  # too deep for its pattern engine
+            except (KeyboardInterrupt, SystemExit, MemoryError):
+                raise
+            except BaseException:  # its pattern engine gives up on very long white space, by a panic that is no Exception
                 pass
         if self.slow is None:
             from tokenizers import Tokenizer

@@ -153,7 +153,7 @@ def test_fast_ids_equal_those_of_the_library():
 
     library = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
     library.encode_special_tokens = True
-    for _, text, *_ in [*ROWS, (0, "<|endoftext|> x", 0, 0, 0), (0, "\U0001f600 don't  \t\n 123abc", 0, 0, 0)]:
+    for _, text, *_ in [*ROWS, (0, "<|endoftext|> x", 0, 0, 0), (0, "\U0001f600 don't  \t\n 123abc", 0, 0, 0), (0, "\n" * 1_000_000 + "a", 0, 0, 0)]:
         assert encoder().ids(text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
