@@ -5,6 +5,9 @@
    also has are anchors; each sets windows of that item's size at the anchor's place
    in the item (moved inside the text at its ends). A window of similarity t to any
    item has at least t of its shingles among the anchors, so windows with fewer go.
+   Passages altered at both ends and lengthened between fit best at a start that no
+   anchor sets, so all other starts whose window holds enough anchors of items of its
+   size are tried too: similarity t of x and y shingles needs t / (1 + t) * (x + y).
 2. Each window and item has a 64-bit SimHash of its shingles, weighted by how often
    they occur. The fingerprint is cut into BLOCKS blocks; the index holds every item
    under all values within FLIPS bits of each block. Two fingerprints within RADIUS =
@@ -16,7 +19,7 @@
 
 DataFrame expressions only. Null and short texts match nothing; items without
 words match nothing. Rows that repeat a doc_id count as one document (the best of
-their matches); repeated items give the same rows once each. A null doc_id or item_id is kept as such. Other columns are ignored.
+their matches; of windows equally similar one that an anchor sets, then the first); repeated items give the same rows once each. A null doc_id or item_id is kept as such. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,6 +90,26 @@ def similarity(x: Column, y: Column) -> Column:
     return both / (F.size(x) + F.size(y) - both)
 
 
+def starts_between(hits: DataFrame, least: float) -> DataFrame:
+    """doc, start, n, k of all windows of an item's size that hold enough anchors of items of that size.
+
+    Enough are ``need``: so each run of ``need`` places that one window can hold gives the starts from its last to its first place.
+    """
+    sizes = F.array_distinct(F.transform("at", lambda a: a["n"]))
+    places = hits.select("doc", "nw", "k", "p", F.explode(sizes).alias("m")).groupBy("doc", "nw", "k", "m").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    places = places.withColumn("n", F.least("m", "nw")).withColumn("x", F.col("n") - F.col("k") + 1)
+    need = F.ceil(F.lit((least - 1e-9) / (1 + least)) * (F.col("x") + F.col("m") - F.col("k") + 1) - 1e-9)
+    places = places.withColumn("need", F.greatest(F.lit(1), need.cast("int"))).filter(F.size("ps") >= F.col("need"))
+
+    def run(i: Column) -> Column:
+        first, last = F.get("ps", i), F.get("ps", i + F.col("need") - 1)
+        inside = F.sequence(F.greatest(F.lit(0), last - F.col("x") + 1), F.least(first, F.col("nw") - F.col("n")))
+        return F.when(last - first < F.col("x"), inside).otherwise(F.array().cast("array<int>"))
+
+    runs = F.transform(F.sequence(F.lit(0), F.size("ps") - F.col("need")), run)
+    return places.select("doc", F.explode(F.array_distinct(F.flatten(runs))).alias("start"), "n", "k")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, start_word, n_words, hamming, similarity: the best window of each pair."""
     own = benchmark.select("item_id", words(F.col("text")).alias("w")).filter("size(w) > 0").withColumn("n", F.size("w")).withColumn("k", F.least("n", F.lit(SHINGLE)))
@@ -117,17 +140,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) ->
     windows = windows.withColumn("start", F.greatest(F.lit(0), F.least("start", F.col("nw") - F.col("n")))).distinct().join(places, ["doc", "nw", "k"])
     inside = F.size(F.filter("ps", lambda p: (p >= F.col("start")) & (p <= F.col("start") + F.col("n") - F.col("k"))))
     windows = windows.filter(inside >= F.ceil(F.lit(least - 1e-9) * (F.col("n") - F.col("k") + 1)))
-    windows = materialize(windows.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "k")).alias("at")), "windows")
+    windows = windows.select("doc", "start", "n", "k", F.lit(True).alias("anchored")).union(starts_between(hits, least).withColumn("anchored", F.lit(False)))
+    windows = windows.groupBy("doc", "start", "n", "k").agg(F.max("anchored").alias("anchored"))
+    windows = materialize(windows.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "k", "anchored")).alias("at")), "windows")
 
     read = texts.join(maybe_broadcast(windows, windows.count(), 256), "doc").select("doc", "w", F.explode("at").alias("a")).select("doc", "w", "a.*")
     by_size = F.coalesce(*(F.when(F.col("k") == k, shingles(F.col("w"), F.col("start"), F.least(F.col("n"), F.size("w") - F.col("start")), k)) for k in sizes))
-    read = read.filter("start < size(w)").select("doc", "start", "n", by_size.alias("ws")).withColumn("wfp", simhash(F.col("ws")))
-    probes = read.select("doc", "start", "n", "ws", "wfp", F.posexplode(F.array(*block_values(F.col("wfp")))).alias("block", "value"))
+    read = read.filter("start < size(w)").select("doc", "start", "n", "anchored", by_size.alias("ws")).withColumn("wfp", simhash(F.col("ws")))
+    probes = read.select("doc", "start", "n", "anchored", "ws", "wfp", F.posexplode(F.array(*block_values(F.col("wfp")))).alias("block", "value"))
     index = materialize(item_index(items), "index")
     near = probes.join(maybe_broadcast(index, index.count(), 40), ["block", "value"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp")))).filter(F.col("hamming") <= RADIUS)
     near = near.dropDuplicates(["doc", "start", "n", "item"])
     full = near.join(maybe_broadcast(items.select("item", "item_id", "hs"), items.count(), 1024), "item").withColumn("similarity", similarity(F.col("ws"), F.col("hs"))).filter(F.col("similarity") >= least - 1e-9)
-    best = full.groupBy("doc", "item_id").agg(F.max_by(F.struct("start", "n", "hamming", "similarity"), F.struct("similarity", -F.col("start"))).alias("best"))
+    best = full.groupBy("doc", "item_id").agg(F.max_by(F.struct("start", "n", "hamming", "similarity"), F.struct("similarity", "anchored", -F.col("start"))).alias("best"))
     doc = F.when(F.col("doc") != NULL_ID, F.col("doc"))
     return best.select(doc.alias("doc_id"), "item_id", F.col("best.start").cast("long").alias("start_word"), F.col("best.n").cast("long").alias("n_words"), F.col("best.hamming").cast("long").alias("hamming"), F.col("best.similarity").alias("similarity"))
 

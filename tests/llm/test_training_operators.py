@@ -93,6 +93,18 @@ def test_decontamination_equals_brute_force(spark, docs, empty):
     assert decontaminate.matches(empty, benchmark).count() == 0 == decontaminate.matches(docs, benchmark.limit(0)).count()
 
 
+@pytest.mark.parametrize("n,ends,added", [(59, 1, 2), (200, 8, 16)])
+def test_decontamination_tries_starts_that_no_anchor_sets(spark, n, ends, added):
+    """Both ends replaced and words inserted in the middle: the best window starts between the anchored ones."""
+    item = [f"w{k}" for k in range(n)]
+    other = lambda name, many: [f"{name}{k}" for k in range(many)]
+    text = other("before", 30) + other("head", ends) + item[ends : n // 2] + other("mid", added) + item[n // 2 : n - ends] + other("tail", ends) + other("after", 30)
+    rows, items = [(1, " ".join(text))], [(7, " ".join(item))]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = leaks([(1, " ".join(text), "", "", 0)], items)
+    assert list(want) == [(1, 7)] and got == pytest.approx(want)
+
+
 def test_multi_index_holds_every_fingerprint_within_the_radius(spark):
     rng = random.Random(9)
     pairs = []
