@@ -2,8 +2,8 @@
 
 Exact search multiplies blocks of rows: each task takes a block of queries and a
 block of the table and keeps the best k of each query, so what is shuffled grows
-with rows times blocks, never with pairs. Above a limit the table is first dealt
-into buckets, and blocks are made inside them.
+with rows times blocks, never with pairs. ``reciprocal_knn`` can be given a limit
+above which the table is first dealt into buckets, and blocks are made inside them.
 """
 
 from __future__ import annotations
@@ -42,8 +42,13 @@ def top_k(rows: DataFrame, k: int, bucket: str | None = None, block: int = BLOCK
             part = ask.iloc[at : at + 256]
             c = np.round(np.stack(part["u"].to_list()) @ table.T, DIGITS)
             c[part["id"].to_numpy()[:, None] == ids[None]] = -np.inf
-            order = np.argsort(-c, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"i": np.repeat(part["id"].to_numpy(), order.shape[1]), "j": ids[order].ravel(), "cosine": np.take_along_axis(c, order, 1).ravel()}))
+            least = np.partition(c, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+            row, col = np.nonzero(c >= least[:, None])  # k of each row, or more where the last ones tie
+            order = np.lexsort((col, -c[row, col], row))
+            row, col = row[order], col[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[first], col[first]
+            out.append(pd.DataFrame({"i": part["id"].to_numpy()[row], "j": ids[col], "cosine": c[row, col]}))
         found = pd.concat(out)
         return found[np.isfinite(found["cosine"])]
 
@@ -58,10 +63,9 @@ def reciprocal(neighbours: DataFrame) -> DataFrame:
     return neighbours.filter("i < j").join(back, ["i", "j"]).select(F.col("i").alias("src"), F.col("j").alias("dst"), "cosine")
 
 
-def reciprocal_knn(rows: DataFrame, k: int, exact_limit: int = 4000, seeds: tuple = (0, 1)) -> DataFrame:
-    """src, dst, cosine of reciprocal neighbours; above ``exact_limit`` rows, inside k-means buckets of two seeds (JN-9, JN-10)."""
-    n = rows.count()
-    if n <= exact_limit:
+def reciprocal_knn(rows: DataFrame, k: int, exact_limit: int | None = None, seeds: tuple = (0, 1)) -> DataFrame:
+    """src, dst, cosine of reciprocal neighbours, exact at every size (JN-9); above ``exact_limit`` rows, if given, inside k-means buckets of two seeds (JN-10)."""
+    if exact_limit is None or (n := rows.count()) <= exact_limit:
         return reciprocal(top_k(rows, k))
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector

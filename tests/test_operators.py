@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,17 @@ def test_neighbours_do_not_depend_on_blocks(spark):
     assert all(a < b for a, b in {(r["src"], r["dst"]) for r in neighbours.reciprocal_knn(rows, 3, exact_limit=10, seeds=(0,)).collect()})
 
 
+def test_reciprocal_neighbours_are_exact_above_4000_rows(spark):
+    x = np.random.default_rng(3).normal(size=(4_100, 6))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = np.round(u @ u.T, 9)
+    np.fill_diagonal(c, -9)
+    near = {(i, j) for i, row in enumerate(np.argsort(-c, axis=1, kind="stable")[:, :8].tolist()) for j in row}
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(u)), "u": u.tolist()}))
+    got = {(r["src"], r["dst"]) for r in neighbours.reciprocal_knn(rows, 8).select("src", "dst").collect()}
+    assert got == {(i, j) for i, j in near if i < j and (j, i) in near}
+
+
 def test_graph_merge_adjacency_components(spark):
     a, b = (frame(spark, e, "src long, dst long") for e in ([(0, 1), (1, 2)], [(1, 2), (2, 3)]))
     s = graph.merge_stats(a, b).first()
