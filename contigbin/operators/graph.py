@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import dot
 from .neighbours import canonical_edges
 
 
@@ -62,6 +63,20 @@ def degree_ceiling(n: int) -> int:
     return max(8, min(20, math.ceil(math.log2(max(n, 2)))))
 
 
+def limit_degree(views: DataFrame, pairs: DataFrame, exact_limit: int) -> DataFrame:
+    """src, dst of ``pairs`` (src < dst, each once), capped by ``degree_ceiling`` where there are over ``exact_limit`` nodes and more pairs than the ceiling lets all nodes have (ML-5).
+
+    ``views``: id, a, b (unit rows). A pair's strength is its cosine in a, and that in b if both rows have one.
+    """
+    n = views.count()
+    ceiling = degree_ceiling(n)
+    if n <= exact_limit or pairs.count() <= n * ceiling // 2:
+        return pairs.select("src", "dst")
+    u, v = (views.select(F.col("id").alias(e), F.col("a").alias(f"a_{e}"), F.col("b").alias(f"b_{e}")) for e in ("src", "dst"))
+    score = dot(F.col("a_src"), F.col("a_dst")) + dot(F.col("b_src"), F.col("b_dst"))  # a row of zeros adds 0
+    return cap_degree(pairs.join(u, "src").join(v, "dst").select("src", "dst", score.alias("score")), ceiling).select("src", "dst")
+
+
 def merge_stats(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: sizes of both edge sets, their union, what b adds, and the Jaccard index (AGG-16, AGG-17)."""
     marked = a.select("src", "dst", F.lit(1).alias("a"), F.lit(0).alias("b")).union(b.select("src", "dst", F.lit(0), F.lit(1))).groupBy("src", "dst").agg(F.max("a").alias("a"), F.max("b").alias("b"))

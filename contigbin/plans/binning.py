@@ -66,10 +66,14 @@ def run(spark: SparkSession, fasta_path: str, coverage_path: str, gfa_path: str,
     def knn(rows, k):
         return neighbours.reciprocal_knn(rows, min(k, n - 1), config.exact_knn_limit).select("src", "dst")
 
-    seeds = knn(a, config.initial_graph_neighbors).union(knn(b, config.initial_graph_neighbors)).union(supported).distinct()
+    def statistical(u, k):
+        pairs = knn(u, k).union(knn(b, k)).distinct().checkpoint()
+        return graph.limit_degree(u.select("id", F.col("u").alias("a")).join(b.select("id", F.col("u").alias("b")), "id"), pairs, config.exact_knn_limit)
+
+    seeds = statistical(a, config.initial_graph_neighbors).union(supported).distinct()
     embedding = a if not learn or n > model.MAX_NODES else model.embed(a, seeds, config).select("id", F.col("z").alias("u"))
     embedding = embedding.checkpoint()
-    candidates = knn(embedding, config.sparse_neighbors).union(knn(b, config.sparse_neighbors)).distinct().union(supported).distinct()
+    candidates = statistical(embedding, config.sparse_neighbors).union(supported).distinct()
     null_a = partition.null_scores(embedding, config.null_pair_samples, config.seed).checkpoint()
 
     locked = None

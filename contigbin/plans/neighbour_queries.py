@@ -187,8 +187,9 @@ def unknown_k_binning(spark, d):
 
     config = BinningConfig()
     a, b = (vec(spark, d, at, 32) for at in (1, 33))
-    pairs = neighbours.reciprocal_knn(a, 8).select("src", "dst").union(neighbours.reciprocal_knn(b, 8).select("src", "dst")).distinct()
+    pairs = neighbours.reciprocal_knn(a, config.sparse_neighbors).select("src", "dst").union(neighbours.reciprocal_knn(b, config.sparse_neighbors).select("src", "dst")).distinct().checkpoint()
     views = a.select("id", F.col("u").alias("a")).join(b.select("id", F.col("u").alias("b")), "id")
+    pairs = graph.limit_degree(views, pairs, config.exact_knn_limit)
     nulls = {k: partition.null_scores(x, config.null_pair_samples, config.seed).checkpoint() for k, x in (("a", a), ("b", b))}
     return partition.unknown_k(views, pairs, nulls, config)[0]
 

@@ -125,6 +125,37 @@ def test_graph_merge_adjacency_components(spark):
     assert got == dict(enumerate(root))
 
 
+def test_degree_is_limited_above_the_exact_limit(spark):
+    x = np.abs(np.random.default_rng(8).normal(size=(2, 40, 3)))
+    u, v = x / np.linalg.norm(x, axis=2, keepdims=True)
+    v[:5] = 0
+    views = frame(spark, [(i, u[i].tolist(), v[i].tolist()) for i in range(40)], "id long, a array<double>, b array<double>")
+    pairs = [(i, j) for i in range(40) for j in range(i + 1, 40)]
+    score = {(i, j): u[i] @ u[j] + v[i] @ v[j] for i, j in pairs}
+    top = {k: set(sorted((p for p in pairs if k in p), key=lambda p: -score[p])[:8]) for k in range(40)}
+    given = frame(spark, pairs, "src long, dst long")
+    got = lambda limit: {(r["src"], r["dst"]) for r in graph.limit_degree(views, given, limit).collect()}
+    assert got(40) == set(pairs) and got(39) == {p for p in pairs if p in top[p[0]] and p in top[p[1]]}
+
+
+def test_unknown_k_query_takes_the_configured_neighbours(spark, tmp_path, monkeypatch):
+    from contigbin.plans import queries
+
+    x = np.random.default_rng(9).normal(size=(80, 64))
+    spark.createDataFrame([(i, i % 4, r.tolist()) for i, r in enumerate(x)], "vec_id long, label long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    seen = []
+    monkeypatch.setattr(partition, "unknown_k", lambda views, pairs, *_: (seen.append(pairs), None))
+    queries.QUERIES["unknown_k_binning"](spark, str(tmp_path))
+    want = set()
+    for part in (x[:, :32], x[:, 32:]):
+        u = part / np.linalg.norm(part, axis=1, keepdims=True)
+        c = np.round(u @ u.T, 9)
+        np.fill_diagonal(c, -9)
+        near = {(i, j) for i, row in enumerate(np.argsort(-c, axis=1, kind="stable")[:, : BinningConfig().sparse_neighbors].tolist()) for j in row}
+        want |= {(i, j) for i, j in near if i < j and (j, i) in near}
+    assert {(r["src"], r["dst"]) for r in seen[0].collect()} == want
+
+
 def test_metrics(spark):
     perfect = frame(spark, [(i, b, t) for i, (b, t) in enumerate([("a", "4"), ("a", "4"), ("b", "8"), ("b", "8")])], "contig long, bin string, truth string")
     assert tuple(metrics.precision_recall(perfect).first())[:3] == (1.0, 1.0, 1.0) and tuple(metrics.ari_nmi(perfect).first()) == (1.0, 1.0)
