@@ -1,25 +1,26 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
 1. Texts and items are words (lower case); shingles are SHINGLE words (an item of
-   fewer words has its whole sequence as one). Shingles of documents that an item
-   also has are anchors; each sets windows of that item's size at the anchor's place
-   in the item (moved inside the text at its ends). A window of similarity t to any
-   item has at least t of its shingles among the anchors, so windows with fewer go.
-   Passages altered at both ends and lengthened between fit best at a start that no
-   anchor sets, so all other starts whose window holds enough anchors of items of its
-   size are tried too: similarity t of x and y shingles needs t / (1 + t) * (x + y).
+   fewer words has its whole sequence as one). The windows are all runs of as many
+   words as an item has (or the whole text, if that is shorter). A window that holds
+   no shingle of any item of its size has similarity 0 to each of them, so those are
+   passed over; every other window gets a fingerprint. Such windows are found in
+   chunks of CHUNK starts, around the shingles that a text has in common with items.
 2. Each window and item has a 64-bit SimHash of its shingles, weighted by how often
-   they occur. The fingerprint is cut into BLOCKS blocks; the index holds every item
-   under all values within FLIPS bits of each block. Two fingerprints within RADIUS =
-   BLOCKS * (FLIPS + 1) - 1 bits agree to FLIPS bits in one block at least, so none within the
-   radius is missed. At similarity 0.8 the expected distance is 10 bits, and about
-   one pair in a thousand is beyond the radius of 19.
+   they occur. A window's bit sums are the difference of two running sums over its
+   chunk (counters of ``field_width`` bits, packed into longs). The fingerprint is cut into
+   BLOCKS blocks; the index holds every item under all values within FLIPS bits of
+   each block. Two fingerprints within RADIUS = BLOCKS * (FLIPS + 1) - 1 bits agree to
+   FLIPS bits in one block at least, so none within the radius is missed. At similarity
+   0.8 the expected distance is 10 bits.
 3. Candidates are verified by exact weighted Jaccard similarity of the shingle
    multisets: the sum of the lesser counts over the sum of the greater.
 
 DataFrame expressions only. Null and short texts match nothing; items without
-words match nothing. Rows that repeat a doc_id count as one document (the best of
-their matches; of windows equally similar one that an anchor sets, then the first); repeated items give the same rows once each. A null doc_id or item_id is kept as such. Other columns are ignored.
+words match nothing. Very long texts are read whole; what leaves them are rows of a
+chunk or a window. Rows that repeat a doc_id count as one document (the best of
+their matches; of windows equally similar the first); repeated items give the same
+rows once each. A null doc_id or item_id is kept as such. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BITS, BLOCKS, FLIPS = 64, 5, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
+CHUNK = 128
 NULL_ID = -(1 << 63)
 
 
@@ -61,6 +63,40 @@ def simhash(hashes: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(bit(b)))
 
 
+def field_width(most: int) -> int:
+    """Bits of a counter for windows of at most ``most`` shingles: two are spare, so that no sum reaches the sign."""
+    return 16 if most + CHUNK < 1 << 14 else 32
+
+
+def _fields(value: int, width: int) -> int:
+    return sum(value << at for at in range(0, BITS, width))
+
+
+def running_sums(hashes: Column, width: int) -> Column:
+    """For each prefix of ``hashes``, ``width`` longs: counter t of long j holds how many hashes have bit t * width + j."""
+    one = F.lit(_fields(1, width))
+    none = F.array_repeat(F.lit(0).cast("bigint"), width)
+
+    def add(sums: Column, h: Column) -> Column:
+        more = F.transform(F.element_at(sums, -1), lambda x, j: x + F.call_function("shiftrightunsigned", h, j).bitwiseAND(one))
+        return F.array_append(sums, more)
+
+    return F.aggregate(hashes, F.array(none), add)
+
+
+def window_simhash(sums: Column, at: Column, n: Column, width: int) -> Column:
+    """The SimHash of hashes at .. at + n - 1, from the running sums."""
+    top = width - 2
+    pad = (F.lit((1 << top) - 1).cast("bigint") - F.floor(n / 2)) * F.lit(_fields(1, width))
+    before, after = F.get(sums, at), F.get(sums, at + n)
+
+    def lane(acc: Column, j: Column) -> Column:
+        most = (F.get(after, j) - F.get(before, j) + pad).bitwiseAND(F.lit(_fields(1 << top, width)))
+        return acc.bitwiseOR(F.call_function("shiftleft", F.shiftrightunsigned(most, top), j))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(width - 1)), F.lit(0).cast("bigint"), lane)
+
+
 def _blocks() -> list[tuple[int, int]]:
     """Start and width of each block of a fingerprint."""
     edges = [round(BITS * k / BLOCKS) for k in range(BLOCKS + 1)]
@@ -72,14 +108,26 @@ def block_values(fp: Column) -> list[Column]:
 
 
 def item_index(items: DataFrame) -> DataFrame:
-    """block, value, item, fp: each item under all values within FLIPS bits of its blocks."""
+    """``items`` (item, fp, ..), each under all values within FLIPS bits of its blocks: block, value."""
 
     def block(k: int, width: int, value: Column) -> Column:
         masks = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda m: F.bit_count(m) <= FLIPS)
         return F.transform(masks, lambda m: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(m).alias("value")))
 
     rows = [block(k, width, value) for k, ((_, width), value) in enumerate(zip(_blocks(), block_values(F.col("fp")), strict=True))]
-    return items.select("item", "fp", F.explode(F.concat(*rows)).alias("at")).select("at.block", "at.value", "item", "fp")
+    return items.select("*", F.explode(F.concat(*rows)).alias("at")).select(*items.columns, "at.block", "at.value")
+
+
+def slot(size: Column, block: Column, value: Column) -> Column:
+    """One number for an item's size, a block and its value."""
+    return (size.cast("bigint") * BLOCKS + block) * (1 << 16) + value
+
+
+def first_block(distance: Column) -> Column:
+    """The first block in which fingerprints of this difference (XOR) are within FLIPS bits."""
+    masks = [((1 << width) - 1) << a for a, width in _blocks()]
+    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+    return F.coalesce(*(F.when(F.bit_count(distance.bitwiseAND(F.lit(m))) <= FLIPS, F.lit(k)) for k, m in enumerate(signed)))
 
 
 def similarity(x: Column, y: Column) -> Column:
@@ -90,74 +138,123 @@ def similarity(x: Column, y: Column) -> Column:
     return both / (F.size(x) + F.size(y) - both)
 
 
-def starts_between(hits: DataFrame, least: float) -> DataFrame:
-    """doc, start, n, k of all windows of an item's size that hold enough anchors of items of that size.
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc, th (two texts under one doc_id are told apart by it), text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("th"), "text")
 
-    Enough are ``need``: so each run of ``need`` places that one window can hold gives the starts from its last to its first place.
-    """
-    sizes = F.array_distinct(F.transform("at", lambda a: a["n"]))
-    places = hits.select("doc", "nw", "k", "p", F.explode(sizes).alias("m")).groupBy("doc", "nw", "k", "m").agg(F.array_sort(F.collect_set("p")).alias("ps"))
-    places = places.withColumn("n", F.least("m", "nw")).withColumn("x", F.col("n") - F.col("k") + 1)
-    need = F.ceil(F.lit((least - 1e-9) / (1 + least)) * (F.col("x") + F.col("m") - F.col("k") + 1) - 1e-9)
-    places = places.withColumn("need", F.greatest(F.lit(1), need.cast("int"))).filter(F.size("ps") >= F.col("need"))
 
-    def run(i: Column) -> Column:
-        first, last = F.get("ps", i), F.get("ps", i + F.col("need") - 1)
-        inside = F.sequence(F.greatest(F.lit(0), last - F.col("x") + 1), F.least(first, F.col("nw") - F.col("n")))
-        return F.when(last - first < F.col("x"), inside).otherwise(F.array().cast("array<int>"))
+def _items(benchmark: DataFrame) -> tuple[DataFrame, list[int], int]:
+    """item, item_id, m (words), k (words a shingle), hs, fp; the values of k; the most shingles of an item."""
+    own = benchmark.select("item_id", words(F.col("text")).alias("w")).filter("size(w) > 0").withColumn("m", F.size("w")).withColumn("k", F.least("m", F.lit(SHINGLE)))
+    found = own.groupBy("k").agg(F.max("m").alias("m")).collect()  # SHINGLE rows at most
+    sizes = sorted(r["k"] for r in found) or [SHINGLE]
+    hashes = F.coalesce(*(F.when(F.col("k") == k, shingles(F.col("w"), F.lit(0), F.col("m"), k)) for k in sizes))
+    items = own.select(F.monotonically_increasing_id().alias("item"), "item_id", "m", "k", hashes.alias("hs")).withColumn("fp", simhash(F.col("hs")))
+    return materialize(items, "items"), sizes if found else [], max((r["m"] for r in found), default=0)
 
-    runs = F.transform(F.sequence(F.lit(0), F.size("ps") - F.col("need")), run)
-    return places.select("doc", F.explode(F.array_distinct(F.flatten(runs))).alias("start"), "n", "k")
 
-
-def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, start_word, n_words, hamming, similarity: the best window of each pair."""
-    own = benchmark.select("item_id", words(F.col("text")).alias("w")).filter("size(w) > 0").withColumn("n", F.size("w")).withColumn("k", F.least("n", F.lit(SHINGLE)))
-    sizes = sorted(r[0] for r in own.select("k").distinct().collect())  # SHINGLE values at most
-    no_items = not sizes
-    sizes = sizes or [SHINGLE]
-    by_size = F.coalesce(*(F.when(F.col("k") == k, shingles(F.col("w"), F.lit(0), F.col("n"), k)) for k in sizes))
-    items = own.select(F.monotonically_increasing_id().alias("item"), "item_id", "n", "k", by_size.alias("hs")).withColumn("fp", simhash(F.col("hs")))
-    items = materialize(items, "items")
-
-    anchors = items.select("k", "n", F.posexplode("hs").alias("q", "h")).groupBy("k", "h").agg(F.collect_set(F.struct("n", "q")).alias("at"))
-    anchors = materialize(anchors, "anchors")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), words(F.col("text")).alias("w"))
+def shared(texts: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc, th, nw, k, p, sizes: places of shingles that items of these sizes have too (nw: the text's words)."""
+    anchors = materialize(items.select("k", "m", F.explode("hs").alias("h")).groupBy("k", "h").agg(F.collect_set("m").alias("sizes")), "anchors")
+    split = texts.select("doc", "th", words(F.col("text")).alias("w"))
 
     def spots_of(k: int) -> Column:
         return F.transform(shingles(F.col("w"), F.lit(0), F.size("w"), k), lambda h, p: F.struct(F.lit(k).alias("k"), p.alias("p"), h.alias("h")))
 
     if len(sizes) > 1:
-        spots = texts.select("doc", F.size("w").alias("nw"), F.explode(F.concat(*map(spots_of, sizes))).alias("s")).select("doc", "nw", "s.k", "s.p", "s.h")
+        spots = F.concat(*map(spots_of, sizes))
+        rows = split.select("doc", "th", F.size("w").alias("nw"), F.explode(spots).alias("s")).select("doc", "th", "nw", "s.k", "s.p", "s.h")
     else:
-        spots = texts.select("doc", F.size("w").alias("nw"), F.posexplode(shingles(F.col("w"), F.lit(0), F.size("w"), sizes[0])).alias("p", "h")).withColumn("k", F.lit(sizes[0]))
-    hits = materialize(spots.join(maybe_broadcast(anchors, anchors.count(), 64), ["k", "h"]).select("doc", "nw", "k", "p", "at"), "hits")
-    if no_items or not hits.take(1):
-        return hits.select(F.col("doc").alias("doc_id"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.col("p").alias("start_word"), F.col("p").alias("n_words"), F.col("p").alias("hamming"), F.lit(0.0).alias("similarity")).filter("false")
-
-    places = hits.groupBy("doc", "nw", "k").agg(F.array_sort(F.collect_set("p")).alias("ps"))
-    windows = hits.select("doc", "nw", "k", "p", F.explode("at").alias("a")).select("doc", "nw", "k", F.least("a.n", "nw").alias("n"), (F.col("p") - F.col("a.q")).alias("start"))
-    windows = windows.withColumn("start", F.greatest(F.lit(0), F.least("start", F.col("nw") - F.col("n")))).distinct().join(places, ["doc", "nw", "k"])
-    inside = F.size(F.filter("ps", lambda p: (p >= F.col("start")) & (p <= F.col("start") + F.col("n") - F.col("k"))))
-    windows = windows.filter(inside >= F.ceil(F.lit(least - 1e-9) * (F.col("n") - F.col("k") + 1)))
-    windows = windows.select("doc", "start", "n", "k", F.lit(True).alias("anchored")).union(starts_between(hits, least).withColumn("anchored", F.lit(False)))
-    windows = windows.groupBy("doc", "start", "n", "k").agg(F.max("anchored").alias("anchored"))
-    windows = materialize(windows.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "k", "anchored")).alias("at")), "windows")
-
-    read = texts.join(maybe_broadcast(windows, windows.count(), 256), "doc").select("doc", "w", F.explode("at").alias("a")).select("doc", "w", "a.*")
-    by_size = F.coalesce(*(F.when(F.col("k") == k, shingles(F.col("w"), F.col("start"), F.least(F.col("n"), F.size("w") - F.col("start")), k)) for k in sizes))
-    read = read.filter("start < size(w)").select("doc", "start", "n", "anchored", by_size.alias("ws")).withColumn("wfp", simhash(F.col("ws")))
-    probes = read.select("doc", "start", "n", "anchored", "ws", "wfp", F.posexplode(F.array(*block_values(F.col("wfp")))).alias("block", "value"))
-    index = materialize(item_index(items), "index")
-    near = probes.join(maybe_broadcast(index, index.count(), 40), ["block", "value"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp")))).filter(F.col("hamming") <= RADIUS)
-    near = near.dropDuplicates(["doc", "start", "n", "item"])
-    full = near.join(maybe_broadcast(items.select("item", "item_id", "hs"), items.count(), 1024), "item").withColumn("similarity", similarity(F.col("ws"), F.col("hs"))).filter(F.col("similarity") >= least - 1e-9)
-    best = full.groupBy("doc", "item_id").agg(F.max_by(F.struct("start", "n", "hamming", "similarity"), F.struct("similarity", "anchored", -F.col("start"))).alias("best"))
+        rows = split.select("doc", "th", F.size("w").alias("nw"), F.posexplode(shingles(F.col("w"), F.lit(0), F.size("w"), sizes[0])).alias("p", "h")).withColumn("k", F.lit(sizes[0]))
+    n = anchors.agg(F.count("*"), F.sum(F.size("sizes"))).first()
+    return rows.join(maybe_broadcast(anchors, n[0] or 0, 80 + 4 * ((n[1] or 0) // max(1, n[0] or 0))), ["k", "h"]).select("doc", "th", "nw", "k", "p", "sizes")
+
+
+def regions(hits: DataFrame) -> DataFrame:
+    """doc, th, regions: array of (k, base, last, at); ``at``: of each size m in a chunk, its n words a window and its first and last start."""
+    near = hits.repartition("doc", "th").select("doc", "th", "nw", "k", "p", F.explode("sizes").alias("m")).withColumn("n", F.least("m", "nw"))
+    near = near.withColumns({"lo": F.greatest(F.lit(0), F.col("p") - (F.col("n") - F.col("k"))), "hi": F.least("p", F.col("nw") - F.col("n"))})
+    chunk = lambda c: F.floor(F.col(c) / CHUNK).cast("int")
+    near = near.withColumn("c", F.explode(F.sequence(chunk("lo"), chunk("hi"))))
+    starts = near.groupBy("doc", "th", "nw", "k", "c", "m", "n").agg(F.min(F.greatest("lo", F.col("c") * CHUNK)).alias("lo"), F.max(F.least("hi", F.col("c") * CHUNK + (CHUNK - 1))).alias("hi"))
+    chunks = starts.groupBy("doc", "th", "nw", "k", "c").agg(F.min("lo").alias("base"), F.max(F.col("hi") + F.col("n") - 1).alias("last"), F.collect_list(F.struct("m", "n", "lo", "hi")).alias("at"))
+    return chunks.groupBy("doc", "th").agg(F.collect_list(F.struct("k", "base", "last", "at")).alias("regions"))
+
+
+def windows(texts: DataFrame, spots: DataFrame, sizes: list[int], width: int) -> DataFrame:
+    """doc, th, k, start, m, n, wfp: the fingerprints of all windows in ``spots`` (rows of ``regions``)."""
+    read = texts.join(spots, ["doc", "th"]).select("doc", "th", words(F.col("text")).alias("w"), "regions")
+
+    def hashed(r: Column) -> Column:
+        n = r["last"] - r["base"] + 1
+        hs = F.coalesce(*(F.when(r["k"] == k, shingles(F.col("w"), r["base"], n, k)) for k in sizes))
+        return F.struct(r["k"].alias("k"), r["base"].alias("base"), r["at"].alias("at"), hs.alias("hs"))
+
+    parts = read.select("doc", "th", F.explode(F.transform("regions", hashed)).alias("r")).select("doc", "th", "r.*")
+
+    def prints(sums: Column) -> Column:
+        def one(start: Column, a: Column) -> Column:
+            fp = window_simhash(sums, start - F.col("base"), a["n"] - F.col("k") + 1, width)
+            return F.struct(start.alias("start"), a["m"].alias("m"), a["n"].alias("n"), fp.alias("wfp"))
+
+        return F.flatten(F.transform("at", lambda a: F.transform(F.sequence(a["lo"], a["hi"]), lambda start: one(start, a))))
+
+    # as an array of one, the sums are made once a chunk and not once a window
+    made = F.flatten(F.transform(F.array(running_sums(F.col("hs"), width)), prints))
+    return parts.select("doc", "th", "k", F.explode(made).alias("x")).select("doc", "th", "k", "x.*")
+
+
+def near_items(found: DataFrame, items: DataFrame) -> DataFrame:
+    """doc, th, k, start, n, item, hamming: windows and items of one size within RADIUS bits, each pair once."""
+    block, value = F.col("block"), F.col("value")
+    index = materialize(item_index(items.select("item", "m", "fp")).select(slot(F.col("m"), block, value).alias("slot"), "block", "item", "fp"), "index")
+    probes = found.select("*", F.posexplode(F.array(*block_values(F.col("wfp")))).alias("b", "value")).withColumn("slot", slot(F.col("m"), F.col("b"), value))
+    met = probes.join(maybe_broadcast(index, index.count(), 64), "slot").withColumn("apart", F.col("fp").bitwiseXOR(F.col("wfp")))
+    met = met.withColumn("hamming", F.bit_count("apart")).filter((F.col("hamming") <= RADIUS) & (first_block(F.col("apart")) == block))
+    return met.select("doc", "th", "k", "start", "n", "item", "hamming")
+
+
+def verified(texts: DataFrame, near: DataFrame, items: DataFrame, sizes: list[int], least: float) -> DataFrame:
+    """doc, th, item_id, start, n, hamming, similarity of the candidates that are similar enough."""
+    grouped = materialize(near.groupBy("doc", "th").agg(F.collect_list(F.struct("k", "start", "n", "item", "hamming")).alias("near")), "candidates")
+    n = grouped.agg(F.count("*"), F.sum(F.size("near"))).first()
+    read = texts.join(maybe_broadcast(grouped, 1, 64 * (n[0] or 0) + 48 * (n[1] or 0)), ["doc", "th"]).select("doc", "th", words(F.col("text")).alias("w"), "near")
+
+    def cut(c: Column) -> Column:
+        ws = F.coalesce(*(F.when(c["k"] == k, shingles(F.col("w"), c["start"], c["n"], k)) for k in sizes))
+        return F.struct(c["start"].alias("start"), c["n"].alias("n"), c["item"].alias("item"), c["hamming"].alias("hamming"), ws.alias("ws"))
+
+    pairs = read.select("doc", "th", F.explode(F.transform("near", cut)).alias("c")).select("doc", "th", "c.*")
+    n = items.agg(F.count("*"), F.sum(F.size("hs"))).first()
+    full = pairs.join(maybe_broadcast(items.select("item", "item_id", "hs"), 1, 96 * (n[0] or 0) + 8 * (n[1] or 0)), "item")
+    return full.withColumn("similarity", similarity(F.col("ws"), F.col("hs"))).filter(F.col("similarity") >= least - 1e-9).select("doc", "th", "item_id", "start", "n", "hamming", "similarity")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
+    texts = _texts(docs)
+    items, sizes, most = _items(benchmark)
+    width = field_width(most)
+    none = texts.select("doc", "th", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("hamming"), F.lit(0.0).alias("similarity")).filter("false")
+    if not sizes:
+        return none
+    hits = materialize(shared(texts, items, sizes), "hits")
+    spots = materialize(regions(hits), "regions")
+    n = spots.agg(F.count("*"), F.sum(F.aggregate("regions", F.lit(0), lambda s, r: s + 32 + 16 * F.size(r["at"])))).first()
+    if not n[0]:
+        return none
+    near = near_items(windows(texts, maybe_broadcast(spots, 1, 64 * n[0] + n[1]), sizes, width), items)
+    return verified(texts, near, items, sizes, least)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, item_id, start_word, n_words, hamming, similarity: the best window of each pair."""
+    best = _found(docs, benchmark, least).groupBy("doc", "item_id").agg(F.max_by(F.struct("start", "n", "hamming", "similarity"), F.struct("similarity", -F.col("start"))).alias("best"))
     doc = F.when(F.col("doc") != NULL_ID, F.col("doc"))
     return best.select(doc.alias("doc_id"), "item_id", F.col("best.start").cast("long").alias("start_word"), F.col("best.n").cast("long").alias("n_words"), F.col("best.hamming").cast("long").alias("hamming"), F.col("best.similarity").alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The documents that hold no item, with all columns."""
-    found = materialize(matches(docs, benchmark, least).select("doc_id").distinct(), "found")
-    return docs.join(maybe_broadcast(found, found.count(), 16), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The rows of ``docs`` whose text holds no item, with all columns."""
+    found = materialize(_found(docs, benchmark, least).select("doc", "th").distinct(), "found")
+    doc, th = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), F.xxhash64(docs["text"])
+    return docs.join(maybe_broadcast(found, found.count(), 64), (doc == found["doc"]) & (th == found["th"]), "left_anti")

@@ -37,17 +37,17 @@ not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and chars_removed <= 0
 
 
 def _decontamination() -> str:
-    """All windows of an item's size that share a shingle with it, by exact similarity alone."""
+    """All windows of an item's size that hold a shingle of an item of that size, by exact similarity alone."""
     split = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), {_SPACE}), lambda x: x <> '')"
     return f"""with d as (select doc_id, {split} as w from documents), b as (select item_id, {split} as w from benchmark),
 ds as (select doc_id, len(w) as nw, p, array_to_string(w[p + 1:p + 5], ' ') as s from (select doc_id, w, unnest(range(0, len(w) - 4)) as p from d where len(w) >= 5)),
 bs as (select item_id, len(w) as n, q, array_to_string(w[q + 1:q + 5], ' ') as s from (select item_id, w, unnest(range(0, len(w) - 4)) as q from b where len(w) >= 5)),
-hits as (select ds.* from ds where s in (select s from bs)),
-win as (select distinct doc_id, least(n, nw) as n, greatest(0, least(p - q, nw - least(n, nw))) as start from hits join bs using (s)),
-cnt as (select win.doc_id, win.start, win.n, hits.s, count(*) as c from win join hits on hits.doc_id = win.doc_id and hits.p between win.start and win.start + win.n - 5 group by 1, 2, 3, 4),
-its as (select item_id, s, count(*) as c from bs group by 1, 2), size as (select item_id, count(*) as m from bs group by 1),
-sim as (select cnt.doc_id, its.item_id, cnt.start, cnt.n, sum(least(cnt.c, its.c)) as inter from cnt join its using (s) group by 1, 2, 3, 4),
-j as (select doc_id, item_id, start, n, inter / (n - 4 + m - inter) as similarity from sim join size using (item_id))
+hits as (select ds.* from ds where s in (select s from bs)), near as (select distinct doc_id, nw, p, bs.n as m, least(bs.n, nw) as n from hits join bs using (s)),
+win as (select distinct doc_id, m, n, unnest(range(greatest(0, p - n + 5), least(p, nw - n) + 1)) as start from near),
+cnt as (select win.doc_id, win.m, win.start, win.n, hits.s, count(*) as c from win join hits on hits.doc_id = win.doc_id and hits.p between win.start and win.start + win.n - 5 group by 1, 2, 3, 4, 5),
+its as (select item_id, n as m, s, count(*) as c from bs group by 1, 2, 3), size as (select item_id, count(*) as k from bs group by 1),
+sim as (select cnt.doc_id, its.item_id, cnt.start, cnt.n, sum(least(cnt.c, its.c)) as inter from cnt join its using (m, s) group by 1, 2, 3, 4),
+j as (select doc_id, item_id, start, n, inter / (n - 4 + k - inter) as similarity from sim join size using (item_id))
 select doc_id, item_id, start::BIGINT as start_word, n::BIGINT as n_words, round(similarity, 9) as similarity from j where similarity >= 0.8e0 - 1e-9
 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1"""
 

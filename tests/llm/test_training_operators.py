@@ -105,6 +105,34 @@ def test_decontamination_tries_starts_that_no_anchor_sets(spark, n, ends, added)
     assert list(want) == [(1, 7)] and got == pytest.approx(want)
 
 
+def test_decontamination_finds_items_in_another_order(spark):
+    """B + A of an item A + B, with and without words around; equal ids with different texts; null ids; repeated shingles."""
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    around = [f"x{k}" for k in range(300)]
+    loop = ["to", "and", "fro"] * 25
+    rows = [(1, b + a), (2, around + b + a + around), (3, around), (4, around + a + b), (5, loop + around), (5, around[:9]), (None, a + b)]
+    items = [(7, " ".join(a + b)), (8, " ".join(loop[:60])), (9, " ".join((a + b)[:3]))]
+    texts = [(k if k is not None else -5, " ".join(w), "", "", 0) for k, w in rows]
+    want = leaks([t for t in texts if t[0] != 5], items) | leaks([texts[4]], items)
+    docs = spark.createDataFrame([(k, " ".join(w), "own") for k, w in rows], "doc_id long, text string, regions string")
+    found = decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"] if r["doc_id"] is not None else -5, r["item_id"]): r["similarity"] for r in found}
+    assert {(1, 7), (2, 7), (4, 7), (5, 8), (-5, 7)} <= set(want) and got == pytest.approx(want)
+    left = decontaminate.clean(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert left.columns == docs.columns and [(r["doc_id"], r["regions"]) for r in left.orderBy("doc_id").collect()] == [(3, "own"), (5, "own")]
+
+
+@pytest.mark.parametrize("width", [16, 32])
+def test_rolling_fingerprints_equal_those_made_at_once(spark, width):
+    rng = random.Random(4)
+    rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(rng.randint(3, 90))],) for _ in range(30)]
+    made = spark.createDataFrame(rows, "hs array<bigint>").withColumn("sums", decontaminate.running_sums(F.col("hs"), width))
+    n = F.ceil(F.size("hs") / 2).cast("int")
+    both = made.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("hs") - n))).select(decontaminate.window_simhash(F.col("sums"), F.col("at"), n, width).alias("a"), decontaminate.simhash(F.slice("hs", F.col("at") + 1, n)).alias("b")).collect()
+    assert len(both) > 300 and all(r["a"] == r["b"] for r in both)
+    assert decontaminate.field_width(16_000) == 16 and decontaminate.field_width(17_000) == 32
+
+
 def test_multi_index_holds_every_fingerprint_within_the_radius(spark):
     rng = random.Random(9)
     pairs = []
