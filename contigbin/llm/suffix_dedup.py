@@ -1,36 +1,38 @@
-"""Suffix-array dedup: repeated byte strings of LENGTH or more, by a logarithmic index family.
-
-Every byte covered by a LENGTH-byte string that also starts earlier (in a smaller
-doc_id, or before in the same document) is removed. The result is exact up to
-collisions of 128-bit fingerprints.
-
-1. Sampling. Suffixes are grouped into runs: neighbouring starts whose first LENGTH
-   bytes have the same leftmost least GRAM-byte gram. Equal strings have equal
-   least grams at equal offsets, so only runs that share a gram can repeat each
-   other, and one run of each (gram, content) stands for its equals. What a task
-   sees settles most: equal runs collapse there, and a gram sends one row on.
-2. Runs whose gram has one content everywhere are settled: all but the first go.
-3. The others' suffixes enter the index. A batch gets a sorted suffix array (of
-   the fingerprints of the first LENGTH bytes, the order a merge needs), is
-   merge-scanned against the levels for equal prefixes, where the later of two
-   starts is removed, and becomes a level; levels of equal size merge. Runs are
-   dealt to tasks by gram, with their bytes. Of grams with more than HOT runs the
-   suffixes are dealt one by one, by prefix, after each task has kept its first of
+"""Suffix-array dedup: repeated byte strings of ``length`` or more, by a logarithmic index family.
+
+Every byte covered by a ``length``-byte string that also starts earlier (in a smaller
+doc_id, or before in the same document) is removed. Equality is that of bytes.
+
+1. Sifting. Neighbouring starts whose first ``length`` bytes have the same leftmost
+   least GRAM-byte gram (by hash) are a run. Equal strings have equal least grams at
+   equal offsets, so suffixes of a gram that one run alone has repeat nothing and
+   are left out. All others go on; no match is decided here.
+2. Index. Suffixes are dealt by their run's gram, with their bytes. A batch gets a
+   suffix array (its suffixes sorted by their first ``length`` bytes), is
+   scanned against the levels for matches of that length, where the later of two
+   starts is removed, and becomes a level; levels of about equal size merge. A level
+   holds each prefix once, with its first start. Suffixes of a gram with more than
+   HOT runs are dealt one by one, by prefix, after each task has kept its own first of
    each, so a line that many documents share is spread over all tasks.
-4. Spans are united by document and cut from the text.
-
-What goes through a shuffle in steps 1 and 3 is packed: byte planes of whole
-columns, compressed, a row a task, bucket and flush.
-
-Null text counts as empty. Rows that repeat a doc_id with the same text are one
-document and get equal results; with different texts they are documents ordered by
-16 bits of a hash of the text. A null doc_id comes before all others. Other columns
-are ignored (``cut`` keeps them).
+3. Spans are united by document and cut from the text.
+
+How many buckets there are follows from the counted bytes (BUCKET_BYTES of input for
+step 1, INDEX_BYTES of suffixes for step 2), so what a task holds does not grow with
+the input. Levels live in the task of their bucket; a lost one is built again from
+its shuffled input. What goes through a shuffle in steps 1 and 2 is packed: byte
+planes of whole columns, compressed, a row a task, bucket and flush.
+
+Null and short texts lose nothing. Very long texts are read in chunks of CHUNK bytes
+that overlap. Rows that repeat a doc_id with the same text are one document and get
+equal results; with different texts they are documents of their own, ordered by a
+hash of the text. A null doc_id comes before all others. Other columns are ignored
+(``cut`` keeps them).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -44,24 +46,34 @@ LENGTH = 100
 GRAM = 24
 CHUNK = 1 << 18
 FLUSH = 1 << 19
+BATCH = 1 << 16
 HOT = 8_192
+BUCKET_BYTES = 64 << 20
+INDEX_BYTES = 64 << 20
 QUERY, NOTICE, INDEX, REMOVED = range(4)
+NULL_ID = -(1 << 63)
+
+_BASE = 0x9E3779B97F4A7C15
+_LONGEST = 4096
+_CODES, _UP, _DOWN = byte_codes(80), powers(_BASE, CHUNK + _LONGEST), powers(pow(_BASE, -1, 1 << 64), CHUNK + _LONGEST)
+_START = 16  # bits of a run's count below its start
+
 
-_BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_TABLES = [(byte_codes(80 + k), powers(b, CHUNK + 4096), powers(pow(b, -1, 1 << 64), CHUNK + 4096)) for k, b in enumerate(_BASES)]
-_START = 7  # bits of a run's count below its start
-_TEXT = 46  # bits below those of the text's hash
+def _checked(length: int) -> int:
+    if not GRAM <= length <= _LONGEST:
+        raise ValueError(f"length must be from {GRAM} to {_LONGEST}, not {length}")
+    return length
 
 
-def _sums(data: np.ndarray, which: int) -> np.ndarray:
-    codes, up, _ = _TABLES[which]
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes[data] * up[: len(data)])])
+def _count(pos: np.ndarray) -> np.ndarray:
+    return pos & ((1 << _START) - 1)
 
 
-def _prints(sums: np.ndarray, length: int, which: int) -> np.ndarray:
-    """Fingerprints of all strings of ``length`` bytes."""
-    n = len(sums) - length
-    return mix((sums[length:] - sums[:n]) * _TABLES[which][2][:n]) if n > 0 else sums[:0]
+def _prints(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all strings of ``size`` bytes."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CODES[data] * _UP[: len(data)])])
+    n = len(sums) - size
+    return mix((sums[size:] - sums[:n]) * _DOWN[:n]) if n > 0 else sums[:0]
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -89,11 +101,10 @@ def _chunks(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """text (row), start, count, gram, content of each run of suffixes."""
+    """text (row), start, count, gram of each run of suffixes."""
     out = []
     for at, part, valid, first in _chunks(data, offsets, length):
-        sums = _sums(part, 0)
-        g = _prints(sums, gram, 0)
+        g = _prints(part, gram)
         least = _least(g, length - gram + 1)[: len(valid)]
         new = first | ~valid
         new[0] = True
@@ -102,29 +113,34 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
         if not len(starts):
             continue
         count = np.diff(np.append(np.flatnonzero(new), len(valid)))[valid[new]]
-        end = starts + count + length - 1
-        content = mix((sums[end] - sums[starts]) * _TABLES[0][2][starts] + count.astype(np.uint64))
         text = np.searchsorted(offsets, at + starts, side="right") - 1
-        out.append((text, at + starts - offsets[text], count, least[starts], content))
+        out.append((text, at + starts - offsets[text], count, least[starts]))
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
 
 
-def _united(doc: np.ndarray, pos: np.ndarray, n: np.ndarray):
-    """Spans (pos without count, n bytes) united where they touch."""
-    pos = pos >> _START << _START
-    order = np.lexsort((pos, doc))
-    doc, pos, end = doc[order], pos[order] >> _START, (pos[order] >> _START) + n[order]
-    # pos holds the text's bits above the start, so spans of different texts stay apart
+def _united(doc: np.ndarray, th: np.ndarray, start: np.ndarray, n: np.ndarray):
+    """Spans of n bytes from ``start``, united where they touch."""
+    order = np.lexsort((start, th, doc))
+    doc, th, start, end = doc[order], th[order], start[order], start[order] + n[order]
     if not len(doc):
-        return doc, pos, end
-    new, reach = np.ones(len(doc), bool), end.copy()
-    edges = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        np.maximum.accumulate(end[a:b], out=reach[a:b])
-    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] > reach[:-1])
+        return doc, th, start, end
+    other = _heads(doc, th)
+    edges = np.append(np.flatnonzero(other), len(doc))
+    # reach only rises within a text: lift each text above the one before by more than any end
+    lift = (np.cumsum(other) - 1).astype(np.float64)
+    reach = end.copy()
+    if len(edges) > 2 and lift[-1] * (float(end.max()) + 1) < 1 << 62:
+        step = int(end.max()) + 1
+        shift = (np.cumsum(other) - 1) * step
+        reach = np.maximum.accumulate(end + shift) - shift
+    else:
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            np.maximum.accumulate(end[a:b], out=reach[a:b])
+    new = other.copy()
+    new[1:] |= start[1:] > reach[:-1]
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(doc)) - 1
-    return doc[at], pos[at] << _START, reach[last] - pos[at]
+    return doc[at], th[at], start[at], reach[last] - start[at]
 
 
 def pack(*columns: np.ndarray, tail: bytes = b"") -> bytes:
@@ -162,8 +178,8 @@ def _bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes.view(np.uint64) >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
 
 
-def _by_doc(doc: np.ndarray, n: int) -> np.ndarray:
-    return _bucket(mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), n)
+def _by_doc(doc: np.ndarray, th: np.ndarray, n: int) -> np.ndarray:
+    return _bucket(mix((doc ^ th).view(np.uint64) * np.uint64(_BASE)), n)
 
 
 def _heads(*keys: np.ndarray) -> np.ndarray:
@@ -175,28 +191,11 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _settle(doc: np.ndarray, pos: np.ndarray, gram: np.ndarray, content: np.ndarray, length: int, buckets: int):
-    """What runs of one flush tell of each other."""
-    order = np.lexsort((pos, doc, content, gram))
-    doc, pos, gram, content = doc[order], pos[order], gram[order], content[order] >> np.uint64(16)
-    new_gram, new = _heads(gram), _heads(gram, content)
-    head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    gone = (doc != doc[head]) | (pos != pos[head])
-    if gone.any():
-        d, p, n = _united(doc[gone], pos[gone], (pos[gone] & ((1 << _START) - 1)) + length - 1)
-        yield from _deal(REMOVED, _by_doc(d, buckets), d, p, n)
-    at = np.flatnonzero(new_gram)
-    several = np.add.reduceat(new.astype(np.int64), at) > 1
-    single = np.sort(order[at[~several]])  # in the order of the texts, which packs best
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    single = back[single]
-    yield from _deal(QUERY, _bucket(gram[single], buckets), gram[single], content[single], doc[single], pos[single])
-    if several.any():
-        many = new & np.repeat(several, np.diff(np.append(at, len(doc))))
-        yield from _deal(INDEX, _by_doc(doc[many], buckets), doc[many], pos[many], gram[many])
-        heads = at[several]
-        yield from _deal(NOTICE, _bucket(gram[heads], buckets), gram[heads])
+def _several(gram: np.ndarray, *runs_: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by gram and run, are of a gram that more than one run has."""
+    at = np.flatnonzero(_heads(gram))
+    many = np.add.reduceat(_heads(gram, *runs_).astype(np.int64), at) > 1
+    return np.repeat(many, np.diff(np.append(at, len(gram))))
 
 
 def _gather(pieces: list, settle):
@@ -205,34 +204,44 @@ def _gather(pieces: list, settle):
 
 
 def sample(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Step 1: packed rows from doc_id, text, th."""
+    """Step 1: packed rows from doc_id, th, text. What shares a gram within a flush is known to go on; the rest is asked for."""
+
+    def settle(doc, th, pos, gram):
+        order = np.lexsort((pos, th, doc, gram))
+        doc, th, pos, gram = doc[order], th[order], pos[order], gram[order]
+        many = _several(gram, doc, th, pos)
+        alone = np.flatnonzero(~many)[np.argsort(order[~many])]  # in the order of the texts, which packs best
+        yield from _deal(QUERY, _bucket(gram[alone], buckets), gram[alone], doc[alone], th[alone], pos[alone])
+        if many.any():
+            doc, th, pos, gram = doc[many], th[many], pos[many], gram[many]
+            yield from _deal(INDEX, _by_doc(doc, th, buckets), doc, th, pos, gram)
+            told = gram[_heads(gram)]
+            yield from _deal(NOTICE, _bucket(told, buckets), told)
 
     def run(batches):
         held, n = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
-                found = runs(*utf8(part.column(1)), length)
+                found = runs(*utf8(part.column(2)), length)
                 if found is None:
                     continue
-                text, start, count, gram, content = found
-                doc, th = part.column(0).to_numpy()[text], part.column(2).to_numpy()[text]
-                held.append((doc, (th << _TEXT) | (start << _START) | count, gram, content))
+                text, start, count, gram = found
+                held.append((part.column(0).to_numpy()[text], part.column(1).to_numpy()[text], (start << _START) | count, gram))
                 n += len(text)
                 if n >= FLUSH:
-                    yield from _gather(held, lambda *x: _settle(*x, length, buckets))
+                    yield from _gather(held, settle)
                     held, n = [], 0
-        yield from _gather(held, lambda *x: _settle(*x, length, buckets))
+        yield from _gather(held, settle)
 
     return docs.mapInArrow(run, PACKED)
 
 
-def resolve(sampled: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Step 2: kind (INDEX or REMOVED), doc_id, pos, n (bytes removed), gram (of INDEX)."""
+def sifted(sampled: DataFrame, buckets: int) -> DataFrame:
+    """Step 1: doc_id, th, pos, gram of the runs whose gram another run has too."""
 
-    def out(kind, doc, pos, n, gram):
+    def out(doc, th, pos, gram):
         for at in range(0, len(doc), 1 << 17):
-            k = slice(at, at + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc[k]), kind, np.int8)), pa.array(doc[k]), pa.array(pos[k]), pa.array(n[k]), pa.array(gram[k])], names=["kind", "doc_id", "pos", "n", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)]) for c in (doc, th, pos, gram)], names=["doc_id", "th", "pos", "gram"])
 
     def run(batches):
         asked, told = [], []
@@ -243,209 +252,235 @@ def resolve(sampled: DataFrame, length: int, buckets: int) -> DataFrame:
                 elif kind == NOTICE:
                     told.append(unpack(payload, 1)[0][0])
                 else:
-                    doc, pos, x = unpack(payload, 3)[0]
-                    yield from out(kind, doc, pos, x if kind == REMOVED else x * 0, x if kind == INDEX else x * 0)
+                    yield from out(*unpack(payload, 4)[0])
         if asked:
-            gram, content, doc, pos = (np.concatenate(c) for c in zip(*asked, strict=True))
-            order = np.lexsort((pos, doc, content, gram))
-            gram, content, doc, pos = gram[order], content[order], doc[order], pos[order]
-            new_gram, new = _heads(gram), _heads(gram, content)
-            at = np.flatnonzero(new_gram)
-            several = np.add.reduceat(new.astype(np.int64), at) > 1
+            gram, doc, th, pos = (np.concatenate(c) for c in zip(*asked, strict=True))
+            asked.clear()
+            order = np.lexsort((pos, th, doc, gram))
+            gram, doc, th, pos = gram[order], doc[order], th[order], pos[order]
+            many = _several(gram, doc, th, pos)
             if told:
-                several |= np.isin(gram[at], np.concatenate(told))
-            several = np.repeat(several, np.diff(np.append(at, len(gram))))
-            head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            gone = (doc != doc[head]) | (pos != pos[head])
-            kept = new & several
-            yield from out(INDEX, doc[kept], pos[kept], pos[kept] * 0, gram[kept])
-            if gone.any():
-                d, p, n = _united(doc[gone], pos[gone], (pos[gone] & ((1 << _START) - 1)) + length - 1)
-                yield from out(REMOVED, d, p, n, n * 0)
+                many |= np.isin(gram, np.concatenate(told))
+            yield from out(doc[many], th[many], pos[many], gram[many])
 
-    return sampled.repartition(buckets, "bucket").mapInArrow(run, "kind byte, doc_id long, pos long, n long, gram long")
+    return sampled.repartitionById(buckets, "bucket").mapInArrow(run, "doc_id long, th long, pos long, gram long")
+
+
+def _before(doc, th, start, of, at) -> np.ndarray:
+    """Whether suffixes start before those at ``at`` of the columns ``of``."""
+    d, t, s = (c[at] for c in of)
+    return (doc < d) | (doc == d) & ((th < t) | (th == t) & (start < s))
 
 
 class SuffixLevels:
-    """Sorted suffix arrays of geometrically growing size; every prefix is held once, with its first start."""
+    """Suffix arrays of geometrically growing size, in the order of bytes; every prefix is held once, with its first start."""
 
     def __init__(self):
         self.levels: list[list[np.ndarray]] = []
 
-    def add(self, key: np.ndarray, check: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index a batch of suffixes; doc, pos of those now known to repeat an earlier one."""
-        order = np.lexsort((pos, doc, check, key))
-        batch = [x[order] for x in (key, check, doc, pos)]
-        new = np.append(True, (batch[0][1:] != batch[0][:-1]) | (batch[1][1:] != batch[1][:-1]))
+    def add(self, prefix: np.ndarray, doc: np.ndarray, th: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+        """Index a batch of suffixes (``prefix``: their first bytes, of one length); doc, th, start of those now known to repeat an earlier one."""
+        order = np.lexsort((start, th, doc))
+        order = order[np.argsort(prefix[order], kind="stable")]
+        batch = [x[order] for x in (prefix, doc, th, start)]
+        new = _heads(batch[0])
         head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        gone = ~new & ((batch[2] != batch[2][head]) | (batch[3] != batch[3][head]))
-        removed = [(batch[2][gone], batch[3][gone])]
+        gone = ~new & ~np.logical_and.reduce([c == c[head] for c in batch[1:]])
+        removed = [[c[gone] for c in batch[1:]]]
         batch = [x[new] for x in batch]
         for level in self.levels:
             at = np.minimum(np.searchsorted(level[0], batch[0]), len(level[0]) - 1)
-            same = (level[0][at] == batch[0]) & (level[1][at] == batch[1])
+            same = level[0][at] == batch[0]
             if same.any():
-                at, (_, _, d, p) = at[same], [x[same] for x in batch]
-                before = (d < level[2][at]) | ((d == level[2][at]) & (p < level[3][at]))
-                after = (d > level[2][at]) | ((d == level[2][at]) & (p > level[3][at]))
-                removed += [(d[after], p[after]), (level[2][at[before]], level[3][at[before]])]
-                level[2][at[before]], level[3][at[before]] = d[before], p[before]
+                at, mine = at[same], [x[same] for x in batch[1:]]
+                first = _before(*mine, level[1:], at)
+                again = ~first & ~np.logical_and.reduce([x == c[at] for x, c in zip(mine, level[1:], strict=True)])
+                removed += [[x[again] for x in mine], [c[at[first]] for c in level[1:]]]
+                for c, x in zip(level[1:], mine, strict=True):
+                    c[at[first]] = x[first]
                 batch = [x[~same] for x in batch]
         if len(batch[0]):
             self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            merged = [np.concatenate(x) for x in zip(self.levels.pop(-2), self.levels.pop(), strict=True)]
-            order = np.lexsort((merged[1], merged[0]))
-            self.levels.append([x[order] for x in merged])
-        return tuple(np.concatenate(x) for x in zip(*removed, strict=True))
+            a, b = self.levels.pop(-2), self.levels.pop()
+            order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")  # two sorted runs: a merge
+            self.levels.append([np.concatenate(x)[order] for x in zip(a, b, strict=True)])
+        return [np.concatenate(x) for x in zip(*removed, strict=True)]
 
 
-def _windows(doc: np.ndarray, pos: np.ndarray, data: np.ndarray, length: int):
-    """doc, pos, key, check of the suffixes of runs whose bytes stand one after the other in ``data``."""
-    edges = np.append(0, np.cumsum((pos & ((1 << _START) - 1)) + length - 1))
+def _suffixes(doc: np.ndarray, th: np.ndarray, pos: np.ndarray, data: np.ndarray, length: int):
+    """prefix, doc, th, start of the suffixes of runs whose bytes stand one after the other in ``data``, BATCH at most at a time."""
+    edges = np.append(0, np.cumsum(_count(pos) + length - 1))
     for c, chunk, valid, _ in _chunks(data, edges, length):
         here = np.flatnonzero(valid)
-        key, check = (_prints(_sums(chunk, k), length, k)[here] for k in (0, 1))
-        r = np.searchsorted(edges, c + here, side="right") - 1
-        yield doc[r], (pos[r] >> _START << _START) + ((c + here - edges[r]) << _START), key, check
+        views = np.lib.stride_tricks.sliding_window_view(chunk, length)
+        for k in range(0, len(here), BATCH):
+            some = here[k : k + BATCH]
+            r = np.searchsorted(edges, c + some, side="right") - 1
+            yield views[some].view(f"S{length}").ravel(), doc[r], th[r], (pos[r] >> _START) + (c + some - edges[r])
 
 
-def suffixes(texts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Step 3, from doc_id, text, th, at (pos of runs), gram (0: one with many runs): packed rows."""
+def dealt_suffixes(texts: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Step 2, from doc_id, th, text, runs (array of pos, gram; gram 0: one with many runs): packed rows."""
 
-    def hot(doc, pos, key, check):
-        levels = SuffixLevels()
-        d, p = levels.add(key, check, doc, pos)
+    def spread(doc, th, pos, data):
+        levels, held = SuffixLevels(), []
+        for found in _suffixes(doc, th, pos, data, length):
+            held.append(levels.add(*found))
+        d, t, s = (np.concatenate(c) for c in zip(*held, strict=True))
         if len(d):
-            d, p, n = _united(d, p, np.full(len(d), length, np.int64))
-            yield from _deal(REMOVED, _by_doc(d, buckets), d, p, n)
-        for key, check, doc, pos in levels.levels:
-            yield from _deal(QUERY, _bucket(key, buckets), key, check, doc, pos)
+            d, t, s, n = _united(d, t, s, np.full(len(d), length, np.int64))
+            yield from _deal(REMOVED, _by_doc(d, t, buckets), d, t, s, n)
+        for prefix, d, t, s in levels.levels:
+            data = prefix.view(np.uint8).reshape(-1, length)
+            # by the bytes of the whole prefix
+            yield from _deal(QUERY, _bucket(_rows_hash(data), buckets), d, t, s, sizes=np.full(len(d), length, np.int64), data=data.ravel())
 
-    def cold(doc, pos, gram, data):
-        sizes = (pos & ((1 << _START) - 1)) + length - 1
-        yield from _deal(INDEX, _bucket(gram, buckets), doc, pos, sizes=sizes, data=data)
+    def whole(doc, th, pos, gram, data):
+        yield from _deal(INDEX, _bucket(gram, buckets), doc, th, pos, sizes=_count(pos) + length - 1, data=data)
 
     def run(batches):
-        spread, n_spread, held, n_held = [], 0, [], 0
+        many, n_many, held, n_held = [], 0, [], 0
         for batch in batches:
             for part in slices(batch, "text"):
-                data, offsets = utf8(part.column(1))
-                th, docs, lists = part.column(2).to_numpy(), part.column(0).to_numpy(), part.column(3)
-                at, gram, row = lists.flatten().to_numpy(), part.column(4).flatten().to_numpy(), np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                own = (at >> _TEXT) == th[row]
-                at, gram, row = at[own], gram[own], row[own]
-                start, size = (at & ((1 << _TEXT) - 1)) >> _START, (at & ((1 << _START) - 1)) + length - 1
-                for many in (True, False):
-                    k = (gram == 0) == many
+                data, offsets = utf8(part.column(2))
+                lists = part.column(3)
+                of, row = lists.flatten(), np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                at, gram = of.field(0).to_numpy(), of.field(1).to_numpy()
+                docs, ths = part.column(0).to_numpy(), part.column(1).to_numpy()
+                start, size = at >> _START, _count(at) + length - 1
+                for is_hot in (True, False):
+                    k = (gram == 0) == is_hot
+                    if not k.any():
+                        continue
                     edges = np.append(0, np.cumsum(size[k]))
                     pieces = data[np.arange(edges[-1]) + np.repeat(offsets[row[k]] + start[k] - edges[:-1], size[k])]
-                    if many:
-                        for found in _windows(docs[row[k]], at[k], pieces, length):
-                            spread.append(found)
-                            n_spread += len(found[0])
+                    if is_hot:
+                        many.append((docs[row[k]], ths[row[k]], at[k], pieces))
+                        n_many += len(pieces)
                     else:
-                        held.append((docs[row[k]], at[k], gram[k], pieces))
+                        held.append((docs[row[k]], ths[row[k]], at[k], gram[k], pieces))
                         n_held += len(pieces)
-                if n_spread >= FLUSH:
-                    yield from _gather(spread, hot)
-                    spread, n_spread = [], 0
-                if n_held >= 4 * FLUSH:
-                    yield from _gather(held, cold)
+                if n_many >= FLUSH:
+                    yield from _gather(many, spread)
+                    many, n_many = [], 0
+                if n_held >= 8 * FLUSH:
+                    yield from _gather(held, whole)
                     held, n_held = [], 0
-        yield from _gather(spread, hot)
-        yield from _gather(held, cold)
+        yield from _gather(many, spread)
+        yield from _gather(held, whole)
 
     return texts.mapInArrow(run, PACKED)
 
 
+def _rows_hash(data: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes."""
+    out = np.zeros(len(data), np.uint64)
+    for at in range(0, len(data), 1 << 14):
+        part = data[at : at + (1 << 14)]
+        out[at : at + (1 << 14)] = (_CODES[part] * _UP[: part.shape[1]]).sum(1, dtype=np.uint64)
+    return mix(out)
+
+
 def index(rows: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Step 3: doc_id, pos, n of what is removed."""
+    """Step 2: doc_id, th, pos (start), n of what is removed."""
 
-    def out(d, p, n):
-        d, p, n = _united(d, p, n)
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(p), pa.array(n)], names=["doc_id", "pos", "n"])
+    def out(d, t, s):
+        d, t, s, n = _united(d, t, s, np.full(len(d), length, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(s), pa.array(n)], names=["doc_id", "th", "pos", "n"])
 
     def run(batches):
-        levels, gone, n = SuffixLevels(), [], 0
+        levels, gone, n, held, n_held = SuffixLevels(), [], 0, [], 0
+
+        def extend(prefix, doc, th, start):
+            gone.append(levels.add(prefix, doc, th, start))
+            return len(gone[-1][0])
+
         for batch in batches:
             for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if kind == REMOVED:
-                    gone.append(tuple(unpack(payload, 3)[0]))
-                elif kind == QUERY:
-                    key, check, doc, pos = unpack(payload, 4)[0]
-                    d, p = levels.add(key.view(np.uint64), check.view(np.uint64), doc, pos)
-                    gone.append((d, p, np.full(len(d), length, np.int64)))
+                    doc, th, pos, size = unpack(payload, 4)[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(pos), pa.array(size)], names=["doc_id", "th", "pos", "n"])
+                    continue
+                if kind == QUERY:
+                    (doc, th, start), data = unpack(payload, 3)
+                    held.append((data.view(f"S{length}"), doc, th, start))
+                    n_held += len(doc)
                 else:
-                    (doc, pos), data = unpack(payload, 2)
-                    for doc, pos, key, check in _windows(doc, pos, data, length):
-                        d, p = levels.add(key, check, doc, pos)
-                        gone.append((d, p, np.full(len(d), length, np.int64)))
-                n += len(gone[-1][0]) if gone else 0
+                    (doc, th, pos), data = unpack(payload, 3)
+                    for found in _suffixes(doc, th, pos, data, length):
+                        held.append(found)
+                        n_held += len(found[1])
+                        if n_held >= BATCH:
+                            n += extend(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                            held, n_held = [], 0
+                if n_held >= BATCH:
+                    n += extend(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held, n_held = [], 0
                 if n > FLUSH:
                     yield out(*(np.concatenate(c) for c in zip(*gone, strict=True)))
-                    gone, n = [], 0
+                    gone.clear()
+                    n = 0
+        if held:
+            extend(*(np.concatenate(c) for c in zip(*held, strict=True)))
         if gone:
             yield out(*(np.concatenate(c) for c in zip(*gone, strict=True)))
 
-    return rows.repartition(buckets, "bucket").mapInArrow(run, "doc_id long, pos long, n long")
+    return rows.repartitionById(buckets, "bucket").mapInArrow(run, "doc_id long, th long, pos long, n long")
 
 
-NULL_ID = -(1 << 63)
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, text, th; dealt by doc_id) and, by doc_id, the list of what is removed (pos, n)."""
-    texts = bounded_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").bitwiseAND(0xFFFF).alias("th"))
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(resolve(sample(texts, length, buckets), length, buckets), "runs")
-    dealt = texts.repartition("doc_id")
-    runs_ = found.filter(F.col("kind") == INDEX)
-    hot = materialize(runs_.groupBy("gram").agg(F.count("*").alias("hot")).filter(F.col("hot") > HOT), "hot")
-    wanted = runs_.join(maybe_broadcast(hot, hot.count(), 16), "gram", "left").withColumn("gram", F.when(F.col("hot").isNull(), F.col("gram")).otherwise(0))
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list("pos").alias("at"), F.collect_list("gram").alias("gram"))
-    indexed = index(suffixes(dealt.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "th", "at", "gram"), length, buckets), length, buckets)
-    removed = found.filter(F.col("kind") == REMOVED).select("doc_id", "pos", "n").union(indexed)
-    return dealt, removed.groupBy("doc_id").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n"))
-
-
-def _cut(text: bytes, th: int, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, int]:
+    """The documents (doc_id, th, text; dealt by the first two) and, by these, the list of what is removed (pos, n)."""
+    _checked(length)
+    texts = _texts(bounded_batches(docs))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(least, math.ceil(n_bytes / BUCKET_BYTES))
+    found = materialize(sifted(sample(texts, length, buckets), buckets), "runs")
+    n_suffixes = found.agg(F.sum(F.col("pos").bitwiseAND((1 << _START) - 1))).first()[0] or 0
+    buckets = max(least, math.ceil(n_suffixes * (length + 24) / INDEX_BYTES))
+    hot = materialize(found.groupBy("gram").agg(F.count("*").alias("hot")).filter(F.col("hot") > HOT).select("gram", F.lit(True).alias("hot")), "hot")
+    marked = found.join(maybe_broadcast(hot, hot.count(), 64), "gram", "left").withColumn("gram", F.when(F.col("hot"), F.lit(0)).otherwise(F.col("gram")))
+    wanted = marked.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "gram")).alias("runs"))
+    dealt = texts.repartition("doc_id", "th")
+    joined = dealt.join(wanted.hint("shuffle_hash"), ["doc_id", "th"]).select("doc_id", "th", "text", "runs")
+    removed = index(dealt_suffixes(joined, length, buckets), length, buckets)
+    return dealt, removed.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
+
+
+def _cut(text: bytes, gone: pa.Scalar) -> tuple[np.ndarray, int]:
     """Which bytes of a text go, and in how many spans."""
-    own = (at >> _TEXT) == th
-    start = (at[own] & ((1 << _TEXT) - 1)) >> _START
+    if not gone.is_valid:
+        return np.zeros(len(text), bool), 0
+    start, n = (gone.values.field(k).to_numpy() for k in (0, 1))
     change = np.zeros(len(text) + 1, np.int64)
     np.add.at(change, np.minimum(start, len(text)), 1)
-    np.add.at(change, np.minimum(start + n[own], len(text)), -1)
-    gone = np.cumsum(change[:-1]) > 0
-    return gone, int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())
-
-
-def _apply(batches, make, names):
-    for batch in batches:
-        rows = []
-        for text, th, at, n in zip(*(batch.column(k) for k in range(1, 5)), strict=True):
-            text = (text.as_py() or "").encode()
-            if at.is_valid:
-                gone, n_spans = _cut(text, th.as_py(), at.values.to_numpy(), n.values.to_numpy())
-            else:
-                gone, n_spans = np.zeros(len(text), bool), 0
-            rows.append(make(text, gone, n_spans))
-        columns = [pa.array(c) for c in zip(*rows, strict=True)]
-        if columns:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
+    np.add.at(change, np.minimum(start + n, len(text)), -1)
+    out = np.cumsum(change[:-1]) > 0
+    return out, int((out[1:] & ~out[:-1]).sum() + out[:1].sum())
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row a document."""
     dealt, removed = spans(docs, length)
 
-    def make(text, gone, n_spans):
-        left = np.frombuffer(text, np.uint8)[~gone].tobytes() if n_spans else text
-        return len(text), len(text) - len(left), n_spans, hashlib.sha256(left).hexdigest()
-
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    joined = dealt.join(removed.hint("shuffle_hash"), "doc_id", "left")
-    done = joined.select("doc_id", "text", "th", "at", "n").mapInArrow(lambda b: _apply(b, make, names), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for text, gone in zip(batch.column(1), batch.column(2), strict=True):
+                text = (text.as_py() or "").encode()
+                out, n_spans = _cut(text, gone)
+                left = np.frombuffer(text, np.uint8)[~out].tobytes() if n_spans else text
+                rows.append((len(text), len(text) - len(left), n_spans, hashlib.sha256(left).hexdigest()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in zip(*rows, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    joined = dealt.join(removed.hint("shuffle_hash"), ["doc_id", "th"], "left").select("doc_id", "text", "gone")
+    done = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
@@ -453,26 +488,26 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes cut from text; a character that loses a byte goes whole. All columns stay."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     named = docs.select("doc_id", "text", F.struct(*rest).alias("_rest") if rest else F.lit(None).alias("_rest"))
-    texts = named.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").bitwiseAND(0xFFFF).alias("th"), F.col("doc_id").alias("_id"), "_rest")
+    texts = named.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("th"), "doc_id", "_rest", "text")
     _, removed = spans(docs, length)
-    joined = texts.join(removed.hint("shuffle_hash"), "doc_id", "left").select("_id", "_rest", "text", "th", "at", "n")
-    schema = joined.select("_id", "_rest", "text").schema
+    joined = texts.join(removed.withColumnRenamed("doc_id", "doc").hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", "_rest", "text", "gone")
+    schema = joined.select("doc_id", "_rest", "text").schema
 
     def run(batches):
         for batch in batches:
             new = []
-            for text, th, at, n in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
+            for text, gone in zip(batch.column(2), batch.column(3), strict=True):
                 text = text.as_py()
-                if text is not None and at.is_valid:
+                if text is not None and gone.is_valid:
                     data = text.encode()
-                    gone, _ = _cut(data, th.as_py(), at.values.to_numpy(), n.values.to_numpy())
+                    out, _ = _cut(data, gone)
                     data = np.frombuffer(data, np.uint8)
                     char = np.cumsum((data & 0xC0) != 0x80) - 1
                     hit = np.zeros(char[-1] + 1 if len(char) else 0, bool)
-                    hit[char[gone]] = True
+                    hit[char[out]] = True
                     text = data[~hit[char]].tobytes().decode()
                 new.append(text)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(new, batch.schema.field(2).type)], names=["_id", "_rest", "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(new, batch.schema.field(2).type)], names=["doc_id", "_rest", "text"])
 
     done = joined.mapInArrow(run, schema)
-    return done.select(*(F.col("_id").alias(c) if c == "doc_id" else F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns))
+    return done.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns))

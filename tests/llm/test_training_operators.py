@@ -252,11 +252,13 @@ def test_kth_greatest_refines(spark):
         assert resampling.kth_greatest(rows, "key", k) == values[k - 1]
 
 
-@pytest.mark.parametrize("hot", [8_192, 2])
-def test_suffix_dedup_equals_brute_force(docs, empty, monkeypatch, hot):
+@pytest.mark.parametrize("hot,length", [(8_192, 100), (2, 100), (8_192, 151), (2, 200), (8_192, 24)])
+def test_suffix_dedup_equals_brute_force(docs, empty, monkeypatch, hot, length):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    want = repeats(ROWS)
-    assert {d: tuple(r)[1:] for d, r in by_id(suffix_dedup.dedup(docs)).items()} == {d: x[:4] for d, x in want.items()}
+    want = repeats(ROWS, length)
+    assert {d: tuple(r)[1:] for d, r in by_id(suffix_dedup.dedup(docs, length)).items()} == {d: x[:4] for d, x in want.items()}
+    if length != 100:
+        return
     cut = by_id(suffix_dedup.cut(docs))
     assert {d: r["kept"] for d, r in cut.items()} == {d: "own kept" for d in want}
     for doc, text, *_ in ROWS:
@@ -268,23 +270,39 @@ def test_suffix_dedup_equals_brute_force(docs, empty, monkeypatch, hot):
 def test_suffix_dedup_of_rows_that_repeat(spark):
     rng = random.Random(1)
     text = "".join(rng.choice("abcdef") for _ in range(300))
-    rows = [(1, text), (1, text), (2, text[50:250]), (None, text[100:290]), (3, text[:99])]
+    rows = [(1, text), (1, text), (2, text[50:250]), (None, text[100:290]), (3, text[:99]), (4, None), (4, None)]
     got = [(r["doc_id"], r["n_removed"]) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert sorted(got, key=str) == sorted([(1, 190), (1, 190), (2, 200), (None, 0), (3, 0)], key=str)
+    assert sorted(got, key=str) == sorted([(1, 190), (1, 190), (2, 200), (None, 0), (3, 0), (4, 0), (4, 0)], key=str)
 
 
-def test_levels_keep_the_first_of_each():
+def test_suffix_dedup_keeps_texts_of_one_id_apart(spark):
+    """Thousands of texts under one doc_id and under none: each loses the passage that another has before it."""
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdef") for _ in range(150))
+    rows = [(k % 2 or None, "".join(rng.choice("ghij") for _ in range(40 + k % 7)) + passage) for k in range(400)]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_removed"] for r in got)[:1] == [0] and sum(r["n_removed"] == 0 for r in got) == 1 and all(not r["n_removed"] or 150 <= r["n_removed"] <= 165 for r in got)
+
+
+@pytest.mark.parametrize("length", [23, 5_000])
+def test_suffix_dedup_refuses_lengths_it_cannot_count(empty, length):
+    with pytest.raises(ValueError, match="length"):
+        suffix_dedup.dedup(empty, length)
+
+
+def test_levels_are_in_byte_order_and_keep_the_first_of_each():
     rng, levels, seen, gone = np.random.default_rng(3), suffix_dedup.SuffixLevels(), {}, set()
     for _ in range(40):
         n = int(rng.integers(1, 200))
-        key, pos = rng.integers(0, 900, n).astype(np.uint64), rng.integers(0, 1 << 40, n)
-        d, p = levels.add(key, key, pos % 97, pos)
-        for k, x in zip(key.tolist(), pos.tolist(), strict=True):
-            seen.setdefault(k, set()).add((x % 97, x))
-        gone |= set(zip(d.tolist(), p.tolist(), strict=True))
+        prefix = np.array([b"%06d" % k + bytes(2) + b"x" for k in rng.integers(0, 900, n)], "S9")
+        start = rng.integers(0, 1 << 40, n)
+        d, t, s = levels.add(prefix, start % 97, start % 5, start)
+        for k, x in zip(prefix.tolist(), start.tolist(), strict=True):
+            seen.setdefault(k, set()).add((x % 97, x % 5, x))
+        gone |= set(zip(d.tolist(), t.tolist(), s.tolist(), strict=True))
     assert gone == {x for xs in seen.values() for x in xs if x != min(xs)}
     sizes = [len(x[0]) for x in levels.levels]
-    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False)) and all((x[0][1:] > x[0][:-1]).all() for x in levels.levels)
 
 
 @pytest.mark.parametrize("size,small,block", [(4, 64, 2048), (5, 64, 2048), (4, 2, 4), (5, 1, 3)])
