@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, the warehouse, or a temporary folder if all runs in one process."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not root:
         master = spark.sparkContext.master
@@ -32,14 +32,14 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors.
+def materialize(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write ``df`` as Parquet (in folders by the columns ``by``) to the shared folder and read it again: cuts lineage, survives lost executors.
 
     The files go when the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/contigbin-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     _own_dirs.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -87,7 +87,10 @@ BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``; from now on its session sends Python batches of BATCH_BYTES at most (a longer row goes alone)."""
+    """``df``; from now on its session sends Python batches of BATCH_BYTES at most (a longer row goes alone).
+
+    The plan reads the setting when it runs, after this returns, so it is not set back.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
@@ -165,8 +168,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     word = np.cumsum(first) - 1
-    place = np.arange(len(data)) - starts[np.maximum(word, 0)]
-    codes = _CODES[data] * _POW[place & 0xFFFF]
+    place = np.maximum(np.arange(len(data)) - starts[np.maximum(word, 0)], 0)
+    place[~inside] = 0  # white space counts for nothing
+    most = int(place.max())
+    codes = _CODES[data] * (_POW if most < len(_POW) else powers(_BASE, most + 1))[place]
     sums = np.add.reduceat(codes, starts)
     return mix(sums), np.searchsorted(starts, offsets)
 

@@ -11,15 +11,16 @@
    A list of over SMALL members first proposes its two central members with each
    other member; after these are confirmed and linked, only pairs in different
    components are compared (skip merging), on the full sets at once, so that members
-   with no link make no rows. Lists of over BLOCK members are dealt out as pairs of
-   blocks. No list is cut.
+   with no link make no rows. Lists of over BLOCK members, or over BLOCK_BYTES of
+   full sets, are dealt out as pairs of blocks within these bounds. No list is cut.
 4. Pairs are confirmed on the full sets; components are those of the confirmed links.
 
 Words are runs of anything but ASCII white space, A-Z in lower case. A text of
 fewer words than a shingle has its whole word sequence as one; one without words
-(or null) has none and is linked with nothing. Rows that repeat a doc_id with one
-text are one document, with several texts one that is linked where any of them is; a
-null doc_id stands alone, kept. Other columns are ignored.
+(or null) has none and is linked with nothing. Very long texts are read whole. Rows
+that repeat a doc_id with one text are one document (``keep_one`` keeps one of them), with
+several texts one that is linked where any of them is; a null doc_id stands alone, kept.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +38,11 @@ MIN_POSTED = 34
 MIN_MATCHES = 126
 RARITY_BITS = 18
 SMALL, BLOCK, HUBS = 64, 2048, 2
+BLOCK_BYTES = 16 << 20
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, fp_a, fp_b, posted, compared: one row a document (null signature: no shingle)."""
+    """doc_id, th (hash of the text), n_shingles, fp_a, fp_b, posted, compared: one row a document (null signature: no shingle)."""
 
     def run(batches):
         for batch in batches:
@@ -53,9 +55,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     else:
                         rows.append((0, 0, 0, None, None))
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()] * 2, strict=True))], names=["doc_id", "n_shingles", "fp_a", "fp_b", "posted", "compared"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.binary()] * 2, strict=True))], names=["doc_id", "th", "n_shingles", "fp_a", "fp_b", "posted", "compared"])
 
-    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, fp_a long, fp_b long, posted binary, compared binary")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, n_shingles long, fp_a long, fp_b long, posted binary, compared binary")
 
 
 def _token_table(column) -> np.ndarray:
@@ -65,7 +67,7 @@ def _token_table(column) -> np.ndarray:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """token, rep: each class under its rarest coordinate-value pairs."""
+    """token, rep, size: each class under its rarest coordinate-value pairs."""
     mask = np.uint64((1 << RARITY_BITS) - 1)
 
     def tally(batches):
@@ -89,9 +91,9 @@ def postings(classes: DataFrame) -> DataFrame:
             if batch.num_rows:
                 tokens = _token_table(batch.column(0))
                 order = np.argsort((rarity[(tokens & mask).astype(np.int64)] << np.uint64(32)) | (tokens >> np.uint64(32)), axis=1, kind="stable")[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(tokens, order, 1).ravel().view(np.int64)), pa.array(np.repeat(batch.column(1).to_numpy(), n))], names=["token", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(tokens, order, 1).ravel().view(np.int64)), *(pa.array(np.repeat(batch.column(k).to_numpy(), n)) for k in (1, 2))], names=["token", "rep", "size"])
 
-    return classes.select("posted", "rep").mapInArrow(post, "token long, rep long")
+    return classes.select("posted", "rep", "size").mapInArrow(post, "token long, rep long, size long")
 
 
 def _lists(batches):
@@ -210,6 +212,10 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
+    return _labelled(docs, size, percent).drop("th")
+
+
+def _labelled(docs: DataFrame, size: int, percent: int) -> DataFrame:
     base = materialize(signatures(docs, size), "signatures")
     found = base.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("fp_a", "fp_b")
     # all of a class have the same set, so any member's signature is the class's
@@ -217,13 +223,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     reps = classes.select("fp_a", "fp_b", "rep")
 
     posted = postings(classes)
-    counts = posted.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("members")).filter("n > 1")
+    counts = posted.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("members"), F.sum(8 * F.col("size")).alias("bytes")).filter("n > 1")
     # lists with the same members give the same pairs: one of them stays
-    counts = counts.groupBy("n", "members").agg(F.min("token").alias("token")).select("token", "n")
-    lists = materialize(posted.join(counts, "token"), "lists")
+    counts = counts.groupBy("n", "members").agg(F.min("token").alias("token"), F.max("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.when(F.col("n") > SMALL, F.col("bytes") / BLOCK_BYTES).otherwise(1))).cast("int")
+    lists = materialize(posted.select("token", "rep").join(counts.select("token", "n", blocks.alias("blocks")), "token"), "lists")
 
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    lists = lists.withColumn("block", F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("rep"), blocks)).otherwise(0).cast("int"))
+    blocks = F.col("blocks")
+    lists = lists.withColumn("block", F.when(blocks > 1, F.pmod(F.xxhash64("rep"), blocks)).otherwise(0).cast("int"))
     spread = lists.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.select("token", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "n", "rep", "block")
     full = spread.join(classes.select("rep", "size", "compared"), "rep")
@@ -242,13 +249,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         more = materialize(candidates(left.select(*carried, "label", "hot", "set"), percent, later=True), "links")
         labels = materialize(components(links.select("a", "b").union(more.select("a", "b"))), "labels")
 
-    named = base.select("doc_id", "n_shingles", "fp_a", "fp_b").join(reps, ["fp_a", "fp_b"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = base.select("doc_id", "th", "n_shingles", "fp_a", "fp_b").join(reps, ["fp_a", "fp_b"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return named.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of ``docs``, one of each group of near duplicates, with all columns."""
-    gone = materialize(near_duplicates(docs, size, percent).filter("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(maybe_broadcast(gone, gone.count(), 16), "doc_id", "left_anti").select(docs.columns)
+    """The documents of ``docs``, one of each group of near duplicates, with all columns; of rows of one doc_id and text, one."""
+    named = materialize(_labelled(docs, size, percent).filter("doc_id IS NOT NULL").groupBy("doc_id", "th").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1"), "named")
+    gone, again = named.filter("NOT kept").select("doc_id", "th"), named.filter("kept").select("doc_id", "th")
+    n = named.agg(F.count_if("kept"), F.count_if(~F.col("kept"))).first()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+    left = whole.join(maybe_broadcast(gone, n[1], 64), ["doc_id", "th"], "left_anti")
+    if n[0]:  # rows that repeat: the least as JSON stays
+        again = maybe_broadcast(again, n[0], 64)
+        first = left.join(again, ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+        left = left.join(again, ["doc_id", "th"], "left_anti").select("row").union(first)
+    return left.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -18,7 +18,7 @@ select doc_id, n_bytes, case when d = 0 then '' else lpad(bin(node), d::INT, '0'
 def _quality() -> str:
     marks = "".join(quality.END)
     closing = quality.CLOSING.replace("'", "''")
-    phrases = " or ".join(f"contains(lower(line), '{p}')" for p in quality.BOILERPLATE)
+    phrases = f"(len(lw) <= 12 and regexp_matches(lower(line), '{quality.PHRASE}'))"
     return f"""with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), {_WORDS}) as w from documents),
 g as (select doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] as s from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)),
 rep as (select doc_id, count(distinct p)::BIGINT as n from (select doc_id, i + unnest([0, 1, 2]) as p from (select doc_id, i, count(*) over (partition by doc_id, s) as c from g) where c > 1) group by 1),

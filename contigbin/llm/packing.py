@@ -9,10 +9,12 @@ them. So the plan is made for counts by length: equal pieces are placed in one
 step, and the plan has a size that does not depend on the input. It is made on
 the driver from one count per length; then each piece finds its place by its rank
 among the pieces of its length, on the executors. Ranks are dealt by (length,
-salt), so that no task has to hold all pieces of one length.
+salt), so that no task has to hold all pieces of one length. A full window fills a
+sequence by itself: those are numbered in the order in which they were written, behind
+all others, without being moved.
 
-Null text counts as empty (the end id alone). Rows that repeat a doc_id are
-documents of their own. Other columns are ignored.
+Null text counts as empty (the end id alone). Very long texts are encoded whole. Rows
+that repeat a doc_id, or have none, are documents of their own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, columns, materialize
+from .common import bounded_batches, columns, materialize, maybe_broadcast
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -123,8 +125,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, mode
 def pack(docs: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, **how) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row a piece."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, capacity, salts=salts, **how), "pieces")
-    dealt = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    cut = materialize(pieces(docs, capacity, salts=salts, **how).withColumn("whole", F.col("length") == capacity), "pieces", "whole")
+    rest = cut.filter("NOT whole").drop("whole")
+    dealt = rest.groupBy("length", "salt").agg(F.count("*").alias("n"))
     # at most capacity x salts rows, whatever the input
     by = columns(dealt)
     counts = np.zeros((capacity + 1, salts), np.int64)
@@ -132,6 +135,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, **how) -
     starts = counts.cumsum(1) - counts
     made = plan({length: n for length, n in enumerate(counts.sum(1).tolist()) if n}, capacity)
     shared = spark.sparkContext.broadcast((starts, made))
+    opened = int((made[:, 2] // made[:, 3])[made[:, 6] == 0].sum())
 
     def place(batches):
         starts, made = shared.value
@@ -155,5 +159,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, **how) -
             offset = step[:, 6] + inside % step[:, 3] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    dealt = cut.repartition("length", "salt").sortWithinPartitions("length", "salt", "doc_id", "start", "ids_crc32")
-    return dealt.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = rest.repartition("length", "salt").sortWithinPartitions("length", "salt", "doc_id", "start", "ids_crc32")
+    placed = dealt.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # a file of full windows holds nothing else, so a row's number in its file and the files before it give its number
+    full = cut.filter("whole").select(*placed.columns[:5], F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    files = full.groupBy("file").agg(F.count("*").alias("n"))
+    files = materialize(files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n") + opened).alias("first")), "files")  # one row a file
+    numbered = full.join(maybe_broadcast(files, files.count(), 512), "file").select(*placed.columns[:5], (F.col("first") + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.union(numbered)

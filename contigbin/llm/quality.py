@@ -5,17 +5,18 @@ that loses too much of its text, or that fails a rule on the whole text, is
 rejected. A line fails if it
 
 * has no word (blank lines only leave, they count as no loss),
-* reads as navigation: at least ``nav_separators`` separators (| > » · •) between
-  words, or short (``nav_words`` words at most), without an end mark, and without a
+* reads as navigation: at least ``nav_separators`` separators (| > » · •) anywhere,
+  or short (``nav_words`` words at most), without an end mark, and without a
   word of lower-case letters alone,
-* holds a boilerplate phrase (BOILERPLATE, compared in lower case),
+* has ``phrase_words`` words at most and holds a boilerplate phrase (BOILERPLATE,
+  compared in lower case, with no letter or digit of ASCII on either side),
 * has a share of symbols (# * $ % & | < >) by characters above ``max_symbols``,
 * equals an earlier line of the text (of ``min_dup_words`` words at least),
 * lacks an end mark (END) and has fewer than ``min_words`` words.
 
 Whole-text counts are exact: words are runs of anything but ASCII white space.
-Null text counts as empty: no words, hence base_failed. Rows that repeat a doc_id
-are judged each by itself. Texts are read whole; no row is shuffled.
+Null text counts as empty: no words, hence base_failed. Rows that repeat a doc_id,
+or have none, are judged each by itself. Texts, very long ones too, are read whole; no row is shuffled.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
 _symbols = re.compile(r"[#*$%&|<>]").findall
 _separators = re.compile(r"[|>»·•]").findall
-_boilerplate = re.compile("|".join(map(re.escape, BOILERPLATE))).search
+PHRASE = "(^|[^a-z0-9])(" + "|".join(BOILERPLATE) + ")($|[^a-z0-9])"
+_boilerplate = re.compile(PHRASE).search
 
 
 def repeated_words(words: list[str], size: int = 3) -> int:
@@ -61,7 +63,7 @@ def repeated_words(words: list[str], size: int = 3) -> int:
     return covered
 
 
-def line_fails(line: str, words: list[str], seen: set[str], nav_separators: int, nav_words: int, max_symbols: float, min_dup_words: int, min_words: int) -> bool:
+def line_fails(line: str, words: list[str], seen: set[str], nav_separators: int, nav_words: int, max_symbols: float, min_dup_words: int, min_words: int, phrase_words: int) -> bool:
     if len(_separators(line)) >= nav_separators:
         return True
     if len(_symbols(line)) > max_symbols * len(line):
@@ -71,12 +73,12 @@ def line_fails(line: str, words: list[str], seen: set[str], nav_separators: int,
     ended = words[-1].rstrip(CLOSING)[-1:] in END and words[-1].rstrip(CLOSING) != ""
     if not ended and (len(words) < min_words or len(words) <= nav_words and not any(w.islower() for w in words)):
         return True
-    return _boilerplate(line.lower()) is not None
+    return len(words) <= phrase_words and _boilerplate(line.lower()) is not None
 
 
 def judge(text: str, max_loss: float = 0.5, **rules) -> tuple[tuple, str]:
     """The result columns for one text, and the text without the lines that fail."""
-    rules = {"nav_separators": 2, "nav_words": 8, "max_symbols": 0.1, "min_dup_words": 3, "min_words": 3} | rules
+    rules = {"nav_separators": 2, "nav_words": 8, "max_symbols": 0.1, "min_dup_words": 3, "min_words": 3, "phrase_words": 12} | rules
     words = _words(text)
     kept, seen, n_dup, n_lines, removed, lost = [], set(), 0, 0, 0, 0
     for line in text.split("\n"):

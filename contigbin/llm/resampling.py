@@ -3,8 +3,9 @@
 Target texts (labelled rows of the wanted value) and all raw texts each give a
 generative model: the smoothed shares of hashed word unigrams and bigrams in
 BUCKETS buckets, counted over all documents. A text's log importance weight is the
-mean over its n-grams of log(target / raw), times LENGTH (so that long and short
-texts are on one scale). Gumbel noise from a hash of doc_id and ``seed`` is added,
+sum over its n-grams of log(target / raw): the ratio of the two models' likelihoods of
+the whole text. (``per_grams`` = n, off by default, takes n times the mean instead,
+which puts long and short texts on one scale.) Gumbel noise from a hash of doc_id and ``seed`` is added,
 and the rows of the ``share`` greatest keys are kept: sampling without replacement in
 proportion to the weights.
 
@@ -12,8 +13,9 @@ The k-th greatest key is found by counting keys in ever finer buckets, a fixed
 number of counts a round; nothing is sorted and no row is sent to the driver but
 the last few thousand keys. Ties at the threshold are kept together.
 
-A text without words has weight 0. Null text counts as empty. Without target rows
-all weights are 0. Rows that repeat a doc_id draw the same noise. Other columns
+A text without words has log weight 0. Null text counts as empty; very long texts are
+read whole. Without target rows all log weights are 0. Rows that repeat a doc_id (or
+have none) are rows of their own that draw the same noise. Other columns
 are ignored.
 """
 
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, columns, materialize, maybe_broadcast, shingle_hashes, slices, utf8, word_hashes
 
 BUCKETS = 10_000
-LENGTH = 100.0
 SHARE = 0.8
 REFINE = 4_096
 
@@ -68,7 +69,7 @@ def models(docs: DataFrame, labels: DataFrame, label: str, value: int) -> np.nda
     return ratio if sums["target"].sum() else np.zeros(BUCKETS)
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+def weigh(docs: DataFrame, ratio: np.ndarray, per_grams: float | None = None) -> DataFrame:
     """doc_id, n_grams, log_weight."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
@@ -76,7 +77,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
         ratio = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [(len(g), LENGTH * float(ratio[g].mean()) if len(g) else 0.0) for g in _ngrams(part.column(1))]
+                sums = [(len(g), float(ratio[g].sum())) for g in _ngrams(part.column(1))]
+                rows = [(n, x if per_grams is None else per_grams * x / max(n, 1)) for n, x in sums]
                 n, w = zip(*rows, strict=True) if rows else ((), ())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(w, pa.float64())], names=["doc_id", "n_grams", "log_weight"])
 
@@ -102,9 +104,9 @@ def kth_greatest(rows: DataFrame, column: str, k: int) -> float | None:
         rows = rows.filter(bucket == b)
 
 
-def resample(docs: DataFrame, labels: DataFrame, label: str = "quality", value: int = 1, share: float = SHARE, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, label: str = "quality", value: int = 1, share: float = SHARE, seed: int = 7, per_grams: float | None = None) -> DataFrame:
     """doc_id, n_grams, log_weight, key, kept: one row a document."""
-    weighed = weigh(docs, models(docs, labels, label, value))
+    weighed = weigh(docs, models(docs, labels, label, value), per_grams)
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) + 0.5) / float(1 << 53)
     keyed = materialize(weighed.withColumn("key", F.col("log_weight") - F.ln(-F.ln(uniform))), "weights")
     least = kth_greatest(keyed, "key", round(share * keyed.count()))

@@ -10,7 +10,8 @@ grows with depth; it is joined by broadcast while its counted size allows.
 
 DataFrame expressions only. A row larger than the limit has a shard of its own
 (oversize). Null keys and null sizes count as empty and 0. Rows that repeat are rows
-of their own. All columns stay, but those named as the result's own (shard,
+of their own. Very long texts count by their size alone. All columns stay, whatever
+their names (they travel as one struct), but those named as the result's own (shard,
 shard_depth, shard_bytes, shard_rows, oversize) are replaced.
 """
 
@@ -48,9 +49,9 @@ def _leaves(rows: DataFrame, bits: int, known: int, limit: int) -> DataFrame:
 
 def shard(rows: DataFrame, key: Column, size: Column, limit: int = LIMIT, spare_bits: int = 4) -> DataFrame:
     """``rows`` with shard (its prefix bits), shard_depth, shard_bytes, shard_rows, oversize."""
-    rows = rows.drop(*RESULT)
-    columns = rows.columns
-    left = rows.withColumns({"_base": F.lit(0).cast("long"), "_lead": F.lit(""), "_hash": hash_bits(key.cast("string")), "_bytes": F.coalesce(size.cast("long"), F.lit(0))})
+    columns = [c for c in rows.columns if c not in RESULT]
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.lit(None)
+    left = rows.select(whole.alias("row"), F.lit(0).cast("long").alias("_base"), F.lit("").alias("_lead"), hash_bits(key.cast("string")).alias("_hash"), F.coalesce(size.cast("long"), F.lit(0)).alias("_bytes"))
     total = left.agg(F.sum("_bytes")).first()[0] or 0
     bits, known, tied, done = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + spare_bits), 0, False, []
     while True:
@@ -58,7 +59,7 @@ def shard(rows: DataFrame, key: Column, size: Column, limit: int = LIMIT, spare_
         leaves = _leaves(left, bits, known, limit)
         joined = left.join(maybe_broadcast(leaves, leaves.count(), 48), ["_base", "_prefix"])
         node = F.expr(f"shiftright(_prefix, cast({bits} - _depth as int))")
-        done.append(joined.filter("_depth IS NOT NULL").select(*columns, F.concat("_lead", _text(node, F.col("_depth"))).alias("shard"), (F.length("_lead") + F.col("_depth")).cast("long").alias("shard_depth"), F.col("_size").alias("shard_bytes"), F.col("_n").alias("shard_rows"), (F.col("_size") > limit).alias("oversize")))
+        done.append(joined.filter("_depth IS NOT NULL").select(*(F.col("row")[c].alias(c) for c in columns), F.concat("_lead", _text(node, F.col("_depth"))).alias("shard"), (F.length("_lead") + F.col("_depth")).cast("long").alias("shard_depth"), F.col("_size").alias("shard_bytes"), F.col("_n").alias("shard_rows"), (F.col("_size") > limit).alias("oversize")))
         if not leaves.filter("_depth IS NULL").take(1):
             break
         left = joined.filter("_depth IS NULL").drop("_depth", "_size", "_n")

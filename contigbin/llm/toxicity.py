@@ -8,15 +8,17 @@ training texts that hold it; the FEATURES whose r is most standard errors away f
 scaled by r and brought to unit length. Only labelled rows whose crc32(doc_id as
 text) mod ``folds`` is not ``fold`` take part in training.
 
-The model is fitted on at most FIT_ROWS labelled rows (those of least hash of
-doc_id; all rows up to that bound). Their texts are found by a broadcast of their
+The model is fitted on at most FIT_ROWS labelled documents (those of least hash of
+doc_id; all up to that bound). Their texts are found by a broadcast of their
 ids, whose size that bound proves. Everything sent to the driver is bounded by it
-and by the number of features. Scoring reads every whole text.
+and by FEATURES: two bytes a feature that a document holds, so 8 KB a document at most.
+Scoring reads every whole text, very long ones too.
 
 Null and empty texts hold no feature: the bias alone makes their score. With no
 training row of either class every score is 0.5. Labels other than 0 and 1 are
-left out; a doc_id that several rows or labels repeat counts once each. The columns
-used are doc_id, text and the label; others are ignored.
+left out, and so are doc_ids with both. Of rows that repeat a labelled doc_id one
+counts in training, that of the least text; all are scored, as are rows without a
+doc_id. The columns used are doc_id, text and the label; others are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, columns, mix, powers, slices, utf8
+from .common import bounded_batches, columns, materialize, mix, powers, slices, utf8
 
 BITS = 20
 SIZES = (4, 5, 6, 7)
@@ -75,13 +77,16 @@ def held_out(doc_id, folds: int = 5, fold: int = 0):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, fit_rows: int) -> DataFrame:
-    """y, text of at most ``fit_rows`` labelled rows."""
+    """y, text of at most ``fit_rows`` labelled documents, one row each."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(fit_rows).collect()
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("doc_id", "y")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).collect()
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("y", T.IntegerType())])
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(spark.createDataFrame(chosen, schema)), "doc_id").select("y", "text")
+    found = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(spark.createDataFrame(chosen, schema)), "doc_id")
+    # one row a document; written once, as it is read twice
+    return materialize(found.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("y", "text"), "training")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, fold: int = 0, bits: int = BITS, fit_rows: int = FIT_ROWS, z_min: float = Z_MIN) -> dict:
@@ -111,15 +116,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     q, p = counts[:, :-1] + 0.5
     r = select(np.log(p / (counts[1, -1] + 1)) - np.log(q / (counts[0, -1] + 1)), p, q, z_min)
     ratio = context.broadcast(r.astype(np.float32))
+    used = np.flatnonzero(r)  # FEATURES at most, but for ties
+    width = np.uint16 if len(used) <= 1 << 16 else np.int32
 
     def vectors(batches):
         kept = ratio.value != 0
+        place = np.cumsum(kept) - 1
         for batch in batches:
-            rows = [np.unique(g[kept[g]]).astype(np.int32).tobytes() for g in (grams(x, bits) for x in _texts(batch))]
+            rows = [np.unique(place[g[kept[g]]]).astype(width).tobytes() for g in (grams(x, bits) for x in _texts(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["y", "f"])
 
     got = sorted(train.mapInArrow(vectors, "y int, f binary").collect())
-    return none | {"ratio": r.astype(np.float32)} | regress([np.frombuffer(x["f"], np.int32) for x in got], np.array([x["y"] for x in got], np.float64), r)
+    return none | {"ratio": r.astype(np.float32)} | regress([used[np.frombuffer(x["f"], width)] for x in got], np.array([x["y"] for x in got], np.float64), r)
 
 
 def select(r: np.ndarray, p: np.ndarray, q: np.ndarray, z_min: float) -> np.ndarray:

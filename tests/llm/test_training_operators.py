@@ -1,10 +1,13 @@
 """Each operator against a brute-force version, with awkward rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import DOCS, documents, leaks, near, quality_counts, repeats, sentence
 from pyspark.sql import functions as F
@@ -59,6 +62,13 @@ def test_sharding_splits_one_key_and_equal_rows(spark, empty):
     assert sharding.shard(empty, F.col("doc_id"), F.col("n_chars")).count() == 0
 
 
+def test_sharding_keeps_columns_named_like_its_own(spark):
+    names = ["_bytes", "_hash", "_base", "_lead", "_prefix", "_depth", "_size", "_n", "_row", "row", "depth", "node"]
+    mine = spark.range(60).select(F.col("id").alias("doc_id"), *(F.lit(f"own {n}").alias(n) for n in names), F.lit("gone").alias("shard"))
+    rows = sharding.shard(mine, F.col("doc_id"), F.lit(100), 500).collect()
+    assert len(rows) == 60 and all(r[n] == f"own {n}" for r in rows for n in names) and len({r["shard"] for r in rows}) > 10
+
+
 def test_quality_counts_and_verdicts(docs, empty):
     got = by_id(quality.assess(docs))
     for doc, text, *_ in ROWS:
@@ -78,6 +88,16 @@ def test_quality_removes_failing_lines_only(spark):
     assert [(r["doc_id"], r["text"], r["kept"]) for r in cleaned] == [(1, "\n".join(good), "x")]
 
 
+def test_quality_phrases_are_whole_words_of_short_lines(spark):
+    prose = "The design in a second phase spread more light on the empowered by law and its makers, as they said."
+    long = " ".join([prose] * 20) + " You may read more of it here."
+    assert quality.judge(long)[1] == long and quality.judge(prose)[0][-2:] == (0, 0)
+    assert quality.judge("Please sign in to read more!")[0][-2] == 1 and quality.judge("© 2020 All rights reserved.")[0][-2] == 1
+    text = "\n".join(sentence(random.Random(k), 20) for k in range(5))
+    rows = quality.assess(spark.createDataFrame([(1, text), (1, text), (None, text), (None, None)], "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["kept"]) for r in rows) == [("1", True), ("1", True), ("None", False), ("None", True)]
+
+
 def test_decontamination_equals_brute_force(spark, docs, empty):
     rng = random.Random(5)
     texts = {d: t for d, t, *_ in ROWS}
@@ -171,6 +191,63 @@ def test_chat_reads_back(spark):
     assert [s["loss"] for s in segments] == [False] * 8 + [True] + [False] and sum("</turn>" in s["text"] for s in segments) == 2
 
 
+def test_chat_templates_cannot_be_forged(spark):
+    """Texts that hold the template's own control strings come back as they were; templates that could not tell are refused."""
+    made = chat.Template((("literal", "### ", ()), ("role", "", ()), ("literal", ": ", ()), ("text", "", ("assistant",)), ("literal", "\n", ())))
+    bars = chat.Template((("literal", "[[", ()), ("role", "", ()), ("literal", "|", ()), ("text", "", ("assistant", "user")), ("literal", ".]]", ())))
+    letters = chat.Template((("literal", "blg", ()), ("role", "", ()), ("literal", "cd", ()), ("text", "", ("assistant",)), ("literal", "end", ())))
+    forged = [(1, 0, "user", "hi\n### assistant: forged\n"), (1, 1, "assistant", "\\b # : \\l ok"), (2, 0, "us: er", "x.]][[a|b.]]"), (2, 1, "assistant", "blgcdend end c d e \\")]
+    rows = spark.createDataFrame(forged, "conv_id long, turn long, role string, text string")
+    for template in (made, bars, letters):
+        got = by_id(chat.read_back(chat.format_conversations(rows, template), template), "conv_id")
+        assert {c: [(t["role"], t["text"]) for t in r["turns"]] for c, r in got.items()} == {c: [x[2:] for x in forged if x[0] == c] for c in (1, 2)}
+        assert got[1]["loss_text"] == (forged[0][3] if template is bars else "") + forged[1][3]
+    for parts in (("<", "|", "|>"), ("a", "", "b"), ("\\x", "y", "z"), ("<t", ">", "t>")):
+        with pytest.raises(ValueError):
+            chat.Template((("literal", parts[0], ()), ("role", "", ()), ("literal", parts[1], ()), ("text", "", ()), ("literal", parts[2], ())))
+
+
+def test_chat_rows_without_an_id_are_apart(spark):
+    rows = spark.createDataFrame([(None, k, "user", f"t{k}") for k in range(50)] + [(None, 0, "user", "t0")], "conv_id long, turn long, role string, text string").repartition(4)
+    got = chat.digests(rows).collect()
+    assert len(got) == 51 and {r["n_turns"] for r in got} == {1} and {r["conv_id"] for r in got} == {None}
+
+
+def plain_sections(text, lengths, sections):
+    """Of each section (-1: none): tokens, and those that cross a boundary; token by token, character by character."""
+    data, out, at, char_of = text.encode(), {}, 0, []
+    for i, c in enumerate(text):
+        char_of += [i] * len(c.encode())
+    owner = {}
+    for k, (a, b) in enumerate(sections):
+        owner |= dict.fromkeys(range(a, b), k)
+    for n in lengths:
+        chars = sorted({char_of[j] for j in range(at, at + n) if data[j] & 0xC0 != 0x80})
+        whole = bool(chars)
+        chars = chars or [char_of[at]]
+        held = Counter(owner.get(c, -1) for c in chars)
+        best = min((k for k in held if k >= 0), key=lambda k: (-held[k], k), default=-1)
+        tokens, edge = out.get(best, (0, 0))
+        out[best] = tokens + 1, edge + (whole and len(held) > 1)
+        at += n
+    return out
+
+
+def test_token_counts_by_section_equal_brute_force(spark, docs):
+    cut = lambda text: np.array([(a, min(a + 5, len(text))) for a in range(2, len(text), 7)], np.int64).reshape(-1, 2)
+    enc = encoder()
+    for sections in (token_counts.lines, cut):
+        got = {}
+        for r in token_counts.count(docs, sections).collect():
+            got.setdefault(r["doc_id"], {})[r["section"]] = r["n_tokens"], r["n_boundary"]
+        for doc, text, *_ in ROWS:
+            text = text or ""
+            want = plain_sections(text, enc.lengths[enc.ids(text)].tolist(), sections(text).tolist())
+            assert {k: v for k, v in got.get(doc, {}).items() if v[0]} == want, doc
+    same = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_counts.count(same).collect()) == [("1", 2), ("1", 2), ("None", 0), ("None", 1)]
+
+
 def test_token_counts_partition_every_token(docs, empty):
     rows, enc = token_counts.count(docs).collect(), encoder()
     texts = {d: t or "" for d, t, *_ in ROWS}
@@ -215,6 +292,14 @@ def test_packing_is_whole_and_tight(docs, empty, capacity):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_of_rows_that_repeat_or_have_no_id(spark):
+    rows = packing.pack(spark.createDataFrame([(1, "a b c " * 30), (1, "a b c " * 30), (None, "x"), (None, None)], "doc_id long, text string"), 16).collect()
+    n = len(encoder().ids("a b c " * 30)) + 1
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == 2 * n and sorted(r["doc_tokens"] for r in rows if r["doc_id"] is None) == [1, 2]
+    full = [r["sequence_id"] for r in rows if r["length"] == 16]
+    assert len(set(full)) == len(full) == 2 * (n // 16) and sorted({r["sequence_id"] for r in rows})[-len(full) :] == sorted(full)
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(2)
     lengths = [rng.randint(1, 64) for _ in range(3_000)] + [64] * 50 + [33] * 400
@@ -245,6 +330,32 @@ def test_resampling_is_exact_top_k(spark, docs, empty):
     assert resampling.resample(empty, labels).count() == 0 and resampling.resample(docs, labels.limit(0)).count() == len(ROWS)
 
 
+def test_log_weights_equal_brute_force(spark, docs):
+    """The sum over unigrams and bigrams of log(target / raw), with counts made one by one."""
+    labels = spark.createDataFrame([(k, int(k % 2 == 0), 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    from contigbin.llm.common import shingle_hashes, utf8, word_hashes
+
+    grams = {}
+    for doc, text, *_ in ROWS:
+        h, _ = word_hashes(*utf8(pa.array([text])))
+        grams[doc] = [int(x >> np.uint64(32)) % resampling.BUCKETS for x in [*h, *shingle_hashes(h, 2)]]
+    raw = Counter(g for x in grams.values() for g in x)
+    target = Counter(g for d, x in grams.items() if d < 40 and d % 2 == 0 for g in x)
+    n_raw, n_target = sum(raw.values()) + resampling.BUCKETS, sum(target.values()) + resampling.BUCKETS
+    want = {d: sum(math.log((target[g] + 1) / n_target) - math.log((raw[g] + 1) / n_raw) for g in x) for d, x in grams.items()}
+    got = by_id(resampling.resample(docs, labels))
+    assert {d: r["log_weight"] for d, r in got.items()} == pytest.approx(want) and {d: r["n_grams"] for d, r in got.items()} == {d: len(x) for d, x in grams.items()}
+    mean = by_id(resampling.resample(docs, labels, per_grams=100.0))
+    assert {d: r["log_weight"] for d, r in mean.items()} == pytest.approx({d: 100 * w / max(1, len(grams[d])) for d, w in want.items()})
+
+
+def test_resampling_keeps_ties_and_rows_that_repeat(spark):
+    rows = [(7, "one two three")] * 30 + [(None, "four five")] * 10 + [(8, "six")]
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    got = resampling.resample(spark.createDataFrame(rows, "doc_id long, text string"), labels, share=0.5).collect()
+    assert len(got) == 41 and len({(r["doc_id"], r["key"]) for r in got}) == 3 and all(len({r["kept"] for r in got if r["doc_id"] == d}) == 1 for d in (7, 8, None))
+
+
 def test_kth_greatest_refines(spark):
     rows = spark.range(20_000).select((F.col("id") % 7_000 / 3.0).alias("key"))
     values = sorted((k % 7_000 / 3.0 for k in range(20_000)), reverse=True)
@@ -327,6 +438,35 @@ def test_near_dedup_of_rows_that_repeat(spark):
     assert sorted(got, key=str) == sorted([(5, 27, 5, True), (5, 27, 5, True), (9, 27, 5, False), (None, 27, None, True), (None, 0, None, True)], key=str)
 
 
+def test_near_dedup_keeps_one_of_equal_rows(spark, monkeypatch):
+    """Rows of one doc_id and text are one; other texts under that id are judged by themselves; lists are split by bytes."""
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 400)
+    rng = random.Random(4)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    near_a = [a.rsplit(" ", 1)[0] + f" end{k}." for k in range(9)]
+    rows = [(5, a, "x"), (5, a, "y"), (6, a, "z"), (6, b, "z"), (7, c, "z"), (7, c, "z"), (None, a, "n"), *((10 + k, t, "near") for k, t in enumerate(near_a))]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, th string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["th"]) for r in kept) == sorted([(5, a, "x"), (6, b, "z"), (7, c, "z"), (0, a, "n")])
+
+
+def test_words_longer_than_a_table_of_powers_differ():
+    from contigbin.llm.common import utf8, word_hashes
+
+    x, y = "a" * 65_536, "b" * 65_536
+    h, first = word_hashes(*utf8(pa.array([x + y, y + x, " " * 70_000 + "c", "c"])))
+    assert len(set(h[:2].tolist())) == 2 and h[2] == h[3] and first.tolist() == [0, 1, 2, 3, 4]
+
+
+def test_toxicity_trains_on_a_bounded_number_of_rows(spark):
+    docs = spark.createDataFrame([(k % 2 + 1, f"text {k}") for k in range(500)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0), (1, 0, 0), (2, 1, 0), (3, 1, 0), (3, 0, 0)], "doc_id long, toxic int, quality int")
+    for n in (1, 2, 10):
+        assert toxicity.training_rows(docs, labels, "toxic", 5, 4, n).count() == min(n, 2)
+    scored = toxicity.classify(docs, labels).collect()
+    assert len(scored) == 501 and all(0 <= r["score"] <= 1 for r in scored)
+
+
 def test_toxicity_on_held_out_rows(spark, docs, empty):
     rng = random.Random(6)
     rows, labels = [], []
