@@ -7,7 +7,8 @@ doc_id, or before in the same document) is removed. Equality is that of bytes.
    least GRAM-byte gram (by hash) are a run. Equal strings have equal least grams at
    equal offsets, so suffixes of a gram that one run alone has repeat nothing and
    are left out. All others go on; no match is decided here.
-2. Index. Suffixes are dealt by their run's gram, with their bytes. A batch gets a
+2. Index. Suffixes are dealt by their run's gram, with their bytes. Of runs of equal
+   bytes in a task the first one's suffixes are indexed, the others are removed whole. A batch gets a
    suffix array (its suffixes sorted by their first ``length`` bytes), is
    scanned against the levels for matches of that length, where the later of two
    starts is removed, and becomes a level; levels of about equal size merge. A level
@@ -320,16 +321,31 @@ def _suffixes(doc: np.ndarray, th: np.ndarray, pos: np.ndarray, data: np.ndarray
             yield views[some].view(f"S{length}").ravel(), doc[r], th[r], (pos[r] >> _START) + (c + some - edges[r])
 
 
+def _first_of_equal(doc: np.ndarray, th: np.ndarray, pos: np.ndarray, data: np.ndarray, length: int):
+    """The first of each group of runs of equal bytes (doc, th, pos, data), and the spans of the others (doc, th, start, n)."""
+    sizes = _count(pos) + length - 1
+    edges = np.append(0, np.cumsum(sizes))
+    raw, ends, seen = data.tobytes(), edges.tolist(), {}
+    head = np.empty(len(doc), np.int64)
+    for k in np.lexsort((pos, th, doc)).tolist():
+        head[k] = seen.setdefault(raw[ends[k] : ends[k + 1]], k)
+    first = head == np.arange(len(doc))
+    gone = (doc != doc[head]) | (th != th[head]) | (pos != pos[head])
+    kept = data[np.repeat(first, sizes)]
+    return (doc[first], th[first], pos[first], kept), (doc[gone], th[gone], pos[gone] >> _START, sizes[gone])
+
+
 def dealt_suffixes(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     """Step 2, from doc_id, th, text, runs (array of pos, gram; gram 0: one with many runs): packed rows."""
 
     def spread(doc, th, pos, data):
-        levels, held = SuffixLevels(), []
-        for found in _suffixes(doc, th, pos, data, length):
-            held.append(levels.add(*found))
-        d, t, s = (np.concatenate(c) for c in zip(*held, strict=True))
+        levels = SuffixLevels()
+        distinct, again = _first_of_equal(doc, th, pos, data, length)
+        held = [again]
+        for found in _suffixes(*distinct, length):
+            held.append(_of_length(levels.add(*found), length))
+        d, t, s, n = _united(*(np.concatenate(c) for c in zip(*held, strict=True)))
         if len(d):
-            d, t, s, n = _united(d, t, s, np.full(len(d), length, np.int64))
             yield from _deal(REMOVED, _by_doc(d, t, buckets), d, t, s, n)
         for prefix, d, t, s in levels.levels:
             data = prefix.view(np.uint8).reshape(-1, length)
@@ -373,6 +389,11 @@ def dealt_suffixes(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, PACKED)
 
 
+def _of_length(found: list[np.ndarray], length: int) -> tuple:
+    """Spans of ``length`` bytes."""
+    return *found, np.full(len(found[0]), length, np.int64)
+
+
 def _rows_hash(data: np.ndarray) -> np.ndarray:
     """A hash of each row of bytes."""
     out = np.zeros(len(data), np.uint64)
@@ -385,46 +406,37 @@ def _rows_hash(data: np.ndarray) -> np.ndarray:
 def index(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     """Step 2: doc_id, th, pos (start), n of what is removed."""
 
-    def out(d, t, s):
-        d, t, s, n = _united(d, t, s, np.full(len(d), length, np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(s), pa.array(n)], names=["doc_id", "th", "pos", "n"])
+    def out(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "th", "pos", "n"])
 
     def run(batches):
-        levels, gone, n, held, n_held = SuffixLevels(), [], 0, [], 0
-
-        def extend(prefix, doc, th, start):
-            gone.append(levels.add(prefix, doc, th, start))
-            return len(gone[-1][0])
-
+        levels, runs_, held, n = SuffixLevels(), [], [], 0
         for batch in batches:
             for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if kind == REMOVED:
-                    doc, th, pos, size = unpack(payload, 4)[0]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(pos), pa.array(size)], names=["doc_id", "th", "pos", "n"])
-                    continue
-                if kind == QUERY:
+                    yield out(*unpack(payload, 4)[0])
+                elif kind == INDEX:
+                    (doc, th, pos), data = unpack(payload, 3)
+                    runs_.append((doc, th, pos, data))
+                else:
                     (doc, th, start), data = unpack(payload, 3)
                     held.append((data.view(f"S{length}"), doc, th, start))
-                    n_held += len(doc)
-                else:
-                    (doc, th, pos), data = unpack(payload, 3)
-                    for found in _suffixes(doc, th, pos, data, length):
-                        held.append(found)
-                        n_held += len(found[1])
-                        if n_held >= BATCH:
-                            n += extend(*(np.concatenate(c) for c in zip(*held, strict=True)))
-                            held, n_held = [], 0
-                if n_held >= BATCH:
-                    n += extend(*(np.concatenate(c) for c in zip(*held, strict=True)))
-                    held, n_held = [], 0
-                if n > FLUSH:
-                    yield out(*(np.concatenate(c) for c in zip(*gone, strict=True)))
-                    gone.clear()
-                    n = 0
-        if held:
-            extend(*(np.concatenate(c) for c in zip(*held, strict=True)))
-        if gone:
-            yield out(*(np.concatenate(c) for c in zip(*gone, strict=True)))
+                    n += len(doc)
+                    if n >= BATCH:
+                        yield from _gather(held, lambda *x: scan(levels, *x))
+                        held, n = [], 0
+        yield from _gather(held, lambda *x: scan(levels, *x))
+        if runs_:
+            distinct, again = _first_of_equal(*(np.concatenate(c) for c in zip(*runs_, strict=True)), length)
+            runs_.clear()
+            yield out(*_united(*again))
+            for found in _suffixes(*distinct, length):
+                yield from scan(levels, *found)
+
+    def scan(levels, *batch):
+        gone = levels.add(*batch)
+        if len(gone[0]):
+            yield out(*_united(*_of_length(gone, length)))
 
     return rows.repartitionById(buckets, "bucket").mapInArrow(run, "doc_id long, th long, pos long, n long")
 
@@ -444,7 +456,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     n_suffixes = found.agg(F.sum(F.col("pos").bitwiseAND((1 << _START) - 1))).first()[0] or 0
     buckets = max(least, math.ceil(n_suffixes * (length + 24) / INDEX_BYTES))
     hot = materialize(found.groupBy("gram").agg(F.count("*").alias("hot")).filter(F.col("hot") > HOT).select("gram", F.lit(True).alias("hot")), "hot")
-    marked = found.join(maybe_broadcast(hot, hot.count(), 64), "gram", "left").withColumn("gram", F.when(F.col("hot"), F.lit(0)).otherwise(F.col("gram")))
+    marked = found.join(maybe_broadcast(hot, hot.count(), 16), "gram", "left").withColumn("gram", F.when(F.col("hot"), F.lit(0)).otherwise(F.col("gram")))
     wanted = marked.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "gram")).alias("runs"))
     dealt = texts.repartition("doc_id", "th")
     joined = dealt.join(wanted.hint("shuffle_hash"), ["doc_id", "th"]).select("doc_id", "th", "text", "runs")
