@@ -68,7 +68,9 @@ def _clean() -> None:
 
 
 #: A key table of at most so many bytes may be broadcast; larger ones are joined by shuffle.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 64 << 20
+#: What a row of a broadcast table takes besides its fields (measured: about 130 bytes for four longs).
+ROW_BYTES = 100
 
 
 def columns(df: DataFrame) -> dict[str, np.ndarray]:
@@ -78,8 +80,8 @@ def columns(df: DataFrame) -> dict[str, np.ndarray]:
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size is within BROADCAST_BYTES."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+    """``df`` with a broadcast hint if its counted size is within BROADCAST_BYTES. ``row_bytes``: of a row's fields."""
+    return F.broadcast(df) if rows * (row_bytes + ROW_BYTES) <= BROADCAST_BYTES else df
 
 
 #: Arrow batches that go to Python hold about so many bytes, whatever the length of their rows.

@@ -167,7 +167,7 @@ def shared(texts: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
     else:
         rows = split.select("doc", "th", F.size("w").alias("nw"), F.posexplode(shingles(F.col("w"), F.lit(0), F.size("w"), sizes[0])).alias("p", "h")).withColumn("k", F.lit(sizes[0]))
     n = anchors.agg(F.count("*"), F.sum(F.size("sizes"))).first()
-    return rows.join(maybe_broadcast(anchors, n[0] or 0, 80 + 4 * ((n[1] or 0) // max(1, n[0] or 0))), ["k", "h"]).select("doc", "th", "nw", "k", "p", "sizes")
+    return rows.join(maybe_broadcast(anchors, n[0] or 0, 40 + 4 * ((n[1] or 0) // max(1, n[0] or 0))), ["k", "h"]).select("doc", "th", "nw", "k", "p", "sizes")
 
 
 def regions(hits: DataFrame) -> DataFrame:
@@ -207,10 +207,10 @@ def windows(texts: DataFrame, spots: DataFrame, sizes: list[int], width: int) ->
 def near_items(found: DataFrame, items: DataFrame) -> DataFrame:
     """doc, th, k, start, n, item, hamming: windows and items of one size within RADIUS bits, each pair once."""
     block, value = F.col("block"), F.col("value")
-    index = materialize(item_index(items.select("item", "m", "fp")).select(slot(F.col("m"), block, value).alias("slot"), "block", "item", "fp"), "index")
+    index = materialize(item_index(items.select("item", "m", "fp")).select(slot(F.col("m"), block, value).alias("slot"), "item", "fp"), "index")
     probes = found.select("*", F.posexplode(F.array(*block_values(F.col("wfp")))).alias("b", "value")).withColumn("slot", slot(F.col("m"), F.col("b"), value))
-    met = probes.join(maybe_broadcast(index, index.count(), 64), "slot").withColumn("apart", F.col("fp").bitwiseXOR(F.col("wfp")))
-    met = met.withColumn("hamming", F.bit_count("apart")).filter((F.col("hamming") <= RADIUS) & (first_block(F.col("apart")) == block))
+    met = probes.join(maybe_broadcast(index, index.count(), 24), "slot").withColumn("apart", F.col("fp").bitwiseXOR(F.col("wfp")))
+    met = met.withColumn("hamming", F.bit_count("apart")).filter((F.col("hamming") <= RADIUS) & (first_block(F.col("apart")) == F.col("b")))
     return met.select("doc", "th", "k", "start", "n", "item", "hamming")
 
 
@@ -218,7 +218,7 @@ def verified(texts: DataFrame, near: DataFrame, items: DataFrame, sizes: list[in
     """doc, th, item_id, start, n, hamming, similarity of the candidates that are similar enough."""
     grouped = materialize(near.groupBy("doc", "th").agg(F.collect_list(F.struct("k", "start", "n", "item", "hamming")).alias("near")), "candidates")
     n = grouped.agg(F.count("*"), F.sum(F.size("near"))).first()
-    read = texts.join(maybe_broadcast(grouped, 1, 64 * (n[0] or 0) + 48 * (n[1] or 0)), ["doc", "th"]).select("doc", "th", words(F.col("text")).alias("w"), "near")
+    read = texts.join(maybe_broadcast(grouped, n[0], 40 + 48 * (n[1] or 0) // max(1, n[0])), ["doc", "th"]).select("doc", "th", words(F.col("text")).alias("w"), "near")
 
     def cut(c: Column) -> Column:
         ws = F.coalesce(*(F.when(c["k"] == k, shingles(F.col("w"), c["start"], c["n"], k)) for k in sizes))
@@ -226,7 +226,7 @@ def verified(texts: DataFrame, near: DataFrame, items: DataFrame, sizes: list[in
 
     pairs = read.select("doc", "th", F.explode(F.transform("near", cut)).alias("c")).select("doc", "th", "c.*")
     n = items.agg(F.count("*"), F.sum(F.size("hs"))).first()
-    full = pairs.join(maybe_broadcast(items.select("item", "item_id", "hs"), 1, 96 * (n[0] or 0) + 8 * (n[1] or 0)), "item")
+    full = pairs.join(maybe_broadcast(items.select("item", "item_id", "hs"), n[0], 40 + 8 * (n[1] or 0) // max(1, n[0])), "item")
     return full.withColumn("similarity", similarity(F.col("ws"), F.col("hs"))).filter(F.col("similarity") >= least - 1e-9).select("doc", "th", "item_id", "start", "n", "hamming", "similarity")
 
 
@@ -242,7 +242,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
     n = spots.agg(F.count("*"), F.sum(F.aggregate("regions", F.lit(0), lambda s, r: s + 32 + 16 * F.size(r["at"])))).first()
     if not n[0]:
         return none
-    near = near_items(windows(texts, maybe_broadcast(spots, 1, 64 * n[0] + n[1]), sizes, width), items)
+    near = near_items(windows(texts, maybe_broadcast(spots, n[0], 40 + n[1] // n[0]), sizes, width), items)
     return verified(texts, near, items, sizes, least)
 
 
@@ -257,4 +257,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> D
     """The rows of ``docs`` whose text holds no item, with all columns."""
     found = materialize(_found(docs, benchmark, least).select("doc", "th").distinct(), "found")
     doc, th = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), F.xxhash64(docs["text"])
-    return docs.join(maybe_broadcast(found, found.count(), 64), (doc == found["doc"]) & (th == found["th"]), "left_anti")
+    return docs.join(maybe_broadcast(found, found.count(), 16), (doc == found["doc"]) & (th == found["th"]), "left_anti")

@@ -261,9 +261,9 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     gone, again = named.filter("NOT kept").select("doc_id", "th"), named.filter("kept").select("doc_id", "th")
     n = named.agg(F.count_if("kept"), F.count_if(~F.col("kept"))).first()
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
-    left = whole.join(maybe_broadcast(gone, n[1], 64), ["doc_id", "th"], "left_anti")
+    left = whole.join(maybe_broadcast(gone, n[1], 16), ["doc_id", "th"], "left_anti")
     if n[0]:  # rows that repeat: the least as JSON stays
-        again = maybe_broadcast(again, n[0], 64)
+        again = maybe_broadcast(again, n[0], 16)
         first = left.join(again, ["doc_id", "th"]).groupBy("doc_id", "th").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
         left = left.join(again, ["doc_id", "th"], "left_anti").select("row").union(first)
     return left.select(*(F.col("row")[c].alias(c) for c in docs.columns))
