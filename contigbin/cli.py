@@ -33,7 +33,7 @@ def main(args: list[str] | None = None) -> int:
     from .plans.binning import run as bin_contigs
 
     spark = SparkSession.builder.appName("contigbin").getOrCreate()
-    bins = bin_contigs(spark, given.fasta, given.coverage, given.gfa, given.output, given.paths, BinningConfig(min_contig_length=given.min_length), not given.no_model)
+    bins = bin_contigs(spark, given.fasta, given.coverage, given.gfa, given.output, given.paths, BinningConfig(least_length=given.min_length), not given.no_model)
     print(f"{bins.count()} contigs in {bins.select('bin').distinct().count()} bins")
     return 0
 

@@ -11,20 +11,64 @@ from pyspark.sql import functions as F
 from ..functions.vectors import log_density, logit_of_cosine, upper_tail
 
 
+#: Values up to this number (8 MB) are brought to the driver as one array; of more, buckets are counted first.
+LOCAL = 1_000_000
+
+
+def order_statistics(rows: DataFrame, column: str, ranks: list[int], local: int = LOCAL, buckets: int = 1 << 14) -> dict[int, float]:
+    """rank (from 0) -> value, exactly; ``column`` has no null. Only buckets that hold a rank are looked into."""
+    low, high, n = rows.agg(F.min(column), F.max(column), F.count(column)).first()
+    if low == high:
+        return dict.fromkeys(ranks, low)
+    if n <= local:
+        x = np.sort(rows.select(column).toArrow()[column].to_numpy())
+        return {r: float(x[r]) for r in ranks}
+    bucket = F.least(F.floor((F.col(column) - low) / (high - low) * buckets), F.lit(buckets - 1))
+    counts = rows.groupBy(bucket.alias("b")).count().toPandas().sort_values("b")  # ``buckets`` rows at most
+    b, ends = counts["b"].to_numpy(), counts["count"].to_numpy().cumsum()
+    held: dict[int, list[int]] = {}
+    for r in ranks:
+        held.setdefault(int(np.searchsorted(ends, r, side="right")), []).append(r)
+    before = lambda k: int(ends[k - 1]) if k else 0
+    out, few, wide = {}, [k for k in held if ends[k] - before(k) <= local], [k for k in held if ends[k] - before(k) > local]
+    while few:  # as many buckets at once as fit
+        some, size = [], 0
+        while few and (not some or size + int(ends[few[-1]]) - before(few[-1]) <= local):
+            some.append(few.pop())
+            size += int(ends[some[-1]]) - before(some[-1])
+        x = np.sort(rows.filter(bucket.isin([int(b[k]) for k in some])).select(column).toArrow()[column].to_numpy())
+        at = 0
+        for k in sorted(some):
+            out |= {r: float(x[at + r - before(k)]) for r in held[k]}
+            at += int(ends[k]) - before(k)
+    for k in wide:
+        inside = order_statistics(rows.filter(bucket == int(b[k])), column, [r - before(k) for r in held[k]], local, buckets)
+        out |= {r + before(k): v for r, v in inside.items()}
+    return out
+
+
+def quantiles(rows: DataFrame, column: str, levels: list[float], local: int = LOCAL) -> list[float]:
+    """Exact quantiles, linear between neighbouring values. No task or driver holds more than ``local`` values."""
+    rows = rows.select(column).filter(F.col(column).isNotNull())
+    at = [q * (rows.count() - 1) for q in levels]
+    values = order_statistics(rows, column, sorted({f(x) for x in at for f in (math.floor, math.ceil)}), local)
+    return [values[math.floor(x)] + (values[math.ceil(x)] - values[math.floor(x)]) * (x - math.floor(x)) for x in at]
+
+
 def robust_null(scores: DataFrame, column: str = "score") -> DataFrame:
     """One row: centre (median), scale (1.4826 * MAD + 1e-9), n. Of no scores: 0, 1e-9, 0 (AGG-5)."""
-    centre = scores.agg(F.percentile(column, F.lit(0.5)).alias("centre"), F.count(column).alias("n"))
-    spread = scores.join(F.broadcast(centre)).agg(F.percentile(F.abs(F.col(column) - F.col("centre")), F.lit(0.5)).alias("mad"))
-    return centre.join(F.broadcast(spread)).select(F.coalesce("centre", F.lit(0.0)).alias("centre"), (1.4826 * F.coalesce("mad", F.lit(0.0)) + 1e-9).alias("scale"), "n")
+    n = scores.agg(F.count(column)).first()[0]
+    centre = quantiles(scores, column, [0.5])[0] if n else 0.0
+    mad = quantiles(scores.select(F.abs(F.col(column) - centre).alias("d")), "d", [0.5])[0] if n else 0.0
+    return scores.sparkSession.createDataFrame([(centre, 1.4826 * mad + 1e-9, n)], "centre double, scale double, n long")
 
 
 def upper_tail_prior(scores: DataFrame, levels: int = 100, column: str = "score") -> DataFrame:
     """One row, prior: greatest excess of upper-tail mass over the null at ``levels`` quantiles from 0.5 to 1 - 1e-5, in [1e-9, 0.5] (AGG-6)."""
     q = [0.5 + (0.5 - 1e-5) * i / (levels - 1) for i in range(levels)]
-    cuts = scores.agg(F.percentile(column, F.array(*map(F.lit, q))).alias("t"))
-    at = cuts.select(F.posexplode("t").alias("i", "t")).join(F.broadcast(robust_null(scores, column)))
-    level = F.lit(0.5) + F.lit(0.5 - 1e-5) * F.col("i") / F.lit(float(levels - 1))
-    excess = (1 - level) - upper_tail((F.col("t") - F.col("centre")) / F.col("scale"))
+    null = robust_null(scores, column).first()
+    at = scores.sparkSession.createDataFrame(list(zip(q, quantiles(scores, column, q), strict=True)) if null["n"] else [], "level double, t double")
+    excess = (1 - F.col("level")) - upper_tail((F.col("t") - null["centre"]) / null["scale"])
     return at.agg(F.max(excess).alias("excess")).select(F.least(F.greatest(F.coalesce("excess", F.lit(1e-9)), F.lit(1e-9)), F.lit(0.5)).alias("prior"))
 
 
@@ -41,17 +85,19 @@ def em_step(scores: DataFrame, fit: dict, column: str = "score") -> DataFrame:
     return moved.select("mass", "mean", F.sqrt(F.greatest(variance, F.lit(1e-6))).alias("scale"))
 
 
-#: Scores up to this number (8 MB) are fitted as one array; more by an aggregate a round.
-LOCAL = 1_000_000
-
-
 def fit_mixture(scores: DataFrame, prior: float, column: str = "score", rounds: int = 200, local: int = LOCAL) -> dict:
-    """EM with a fixed null; stops when the mass is under 10 or the step under 1e-9."""
+    """EM with a fixed null, on one array or (over ``local`` scores) by an aggregate a round; stops when the mass is under 10 or the step under 1e-9."""
     null = robust_null(scores, column).first()
-    fit = {"null_mean": null["centre"], "null_scale": null["scale"], "alt_mean": null["centre"] + 2 * null["scale"], "alt_scale": null["scale"], "prior": min(max(prior, 1e-9), 0.5)}
-    values = scores.select(column).toArrow()[column].to_numpy() if null["n"] <= local else None
-    for _ in range(rounds if null["n"] else 0):
-        mass, mean, scale = _em_array(values, fit) if values is not None else em_step(scores, fit, column).first()
+    if null["n"] <= local:
+        values = scores.select(column).toArrow()[column].to_numpy()
+        return _fitted(null["centre"], null["scale"], prior, null["n"] and rounds, lambda fit: _em_array(values, fit))
+    return _fitted(null["centre"], null["scale"], prior, rounds, lambda fit: em_step(scores, fit, column).first())
+
+
+def _fitted(centre: float, spread: float, prior: float, rounds: int, step) -> dict:
+    fit = {"null_mean": centre, "null_scale": spread, "alt_mean": centre + 2 * spread, "alt_scale": spread, "prior": min(max(prior, 1e-9), 0.5)}
+    for _ in range(rounds):
+        mass, mean, scale = step(fit)
         if not mass or mass < 10:
             break
         moved = abs(mean - fit["alt_mean"]) + abs(scale - fit["alt_scale"])
@@ -75,6 +121,34 @@ def _em_array(x: np.ndarray, fit: dict) -> tuple[float, float, float]:
     return mass, mean, math.sqrt(max(float(r @ (x - mean) ** 2) / mass, 1e-6))
 
 
+def robust_array(x: np.ndarray) -> tuple[float, float]:
+    """``robust_null`` of an array."""
+    if not len(x):
+        return 0.0, 1e-9
+    centre = float(np.median(x))
+    return centre, 1.4826 * float(np.median(np.abs(x - centre))) + 1e-9
+
+
+def prior_array(x: np.ndarray, levels: int = 2_000) -> float:
+    """``upper_tail_prior`` of an array."""
+    q = np.linspace(0.5, 1 - 1e-5, levels)
+    centre, scale = robust_array(x)
+    z = (np.quantile(x, q) - centre) / scale if len(x) else np.zeros(levels)
+    tail = np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z])
+    return float(np.clip(((1 - q) - tail).max(), 1e-9, 0.5))
+
+
+def fit_array(x: np.ndarray, prior: float, rounds: int = 200) -> dict:
+    """``fit_mixture`` of an array."""
+    return _fitted(*robust_array(x), prior, len(x) and rounds, lambda fit: _em_array(x, fit))
+
+
+def odds_array(score: np.ndarray, fit: dict) -> np.ndarray:
+    """``log_odds`` of an array of logits of cosines."""
+    log_density_of = lambda k: -0.5 * ((score - fit[f"{k}_mean"]) / fit[f"{k}_scale"]) ** 2 - math.log(fit[f"{k}_scale"])
+    return math.log(fit["prior"]) - math.log1p(-fit["prior"]) + log_density_of("alt") - log_density_of("null")
+
+
 def informative(fit: dict) -> bool:
     return all(np.isfinite(fit[k]) for k in ("null_mean", "null_scale", "alt_mean", "alt_scale")) and fit["null_scale"] >= 1e-3
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import canonical, canonical_kmers, kmers
+from ..functions.dna import canonical_kmers
 
 
 def retained(contigs: DataFrame, least: int, order: str = "contig") -> DataFrame:
@@ -20,7 +25,8 @@ def retained(contigs: DataFrame, least: int, order: str = "contig") -> DataFrame
 
 def dense_index(df: DataFrame, order: str, name: str) -> DataFrame:
     """Rank - 1 over the whole table, by range-partitioned sort and partition offsets."""
-    placed = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    # written once: what follows reads it twice, and partitions must not change between
+    placed = df.checkpoint().repartitionByRange(order).withColumn("_p", F.spark_partition_id()).checkpoint()
     local = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
     before = local.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = before.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
@@ -28,10 +34,37 @@ def dense_index(df: DataFrame, order: str, name: str) -> DataFrame:
 
 
 def kmer_counts(contigs: DataFrame, k: int = 4) -> DataFrame:
-    """contig, kmer, cnt of canonical k-mers; windows with other letters than A, C, G, T are skipped (AGG-1)."""
-    words = contigs.select("contig", F.explode(kmers(F.col("sequence"), k)).alias("kmer")).filter(F.col("kmer").rlike(f"^[ACGT]{{{k}}}$"))
-    counts = words.groupBy("contig", "kmer").agg(F.count("*").alias("n"))  # 4**k words a contig at most go on
-    return counts.groupBy("contig", canonical(F.col("kmer")).alias("kmer")).agg(F.sum("n").alias("cnt"))
+    """contig, kmer, cnt of canonical k-mers; windows with other letters than A, C, G, T are skipped (AGG-1).
+
+    A contig is one row, so its windows are counted where it is: no row a window, no shuffle.
+    """
+    words = ["".join(w) for w in itertools.product("ACGT", repeat=k)]
+    turned = str.maketrans("ACGT", "TGCA")
+    least = np.array([min(i, words.index(w[::-1].translate(turned))) for i, w in enumerate(words)])
+    names = pa.array(words)
+
+    def run(batches):
+        code = np.full(256, 255, np.uint8)
+        code[list(b"ACGT")] = range(4)
+        for batch in batches:
+            contig, column = batch.column(0), batch.column(1).cast(pa.large_binary()).fill_null(b"")
+            for at in range(0, batch.num_rows, 64):
+                part = column.slice(at, 64)
+                size = pc.binary_length(part).to_numpy()
+                x = code[np.frombuffer(b"".join(part.to_pylist()), np.uint8)]
+                n = max(0, len(x) - k + 1)
+                row = np.repeat(np.arange(len(size)), size)
+                ok, window = np.ones(n, bool), np.zeros(n, np.int64)
+                for j in range(k):
+                    ok &= (x[j : j + n] < 4) & (row[j : j + n] == row[:n])
+                    window = window * 4 + x[j : j + n]
+                key = row[:n][ok] * len(words) + least[window[ok]]
+                count = np.bincount(key, minlength=len(size) * len(words))
+                used = np.flatnonzero(count)
+                if len(used):
+                    yield pa.RecordBatch.from_arrays([contig.take(pa.array(at + used // len(words))), names.take(pa.array(used % len(words))), pa.array(count[used])], names=["contig", "kmer", "cnt"])
+
+    return contigs.select("contig", "sequence").mapInArrow(run, f"contig {contigs.schema['contig'].dataType.simpleString()}, kmer string, cnt long")
 
 
 def kmer_frequencies(counts: DataFrame) -> DataFrame:

@@ -26,11 +26,14 @@ def consecutive(steps: DataFrame) -> DataFrame:
 
 
 def project_links(links: DataFrame, members: DataFrame) -> DataFrame:
-    """src, dst, n_links of contigs whose segments a link joins (JN-6, AGG-13). ``links``: a, b; ``members``: segment, contig."""
+    """src, dst, n_links (and max_overlap) of contigs whose segments a link joins (JN-6, AGG-13).
+
+    ``links``: a, b (and overlap); ``members``: segment, contig. A segment on very many contigs is split by AQE's skew join.
+    """
     left = members.select(F.col("segment").alias("a"), F.col("contig").alias("x"))
     right = members.select(F.col("segment").alias("b"), F.col("contig").alias("y"))
     pairs = links.join(left, "a").join(right, "b").filter("x <> y")
-    return pairs.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.count("*").alias("n_links"))
+    return pairs.groupBy(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).agg(F.count("*").alias("n_links"), *([F.max("overlap").alias("max_overlap")] if "overlap" in links.columns else []))
 
 
 def shared_segments(members: DataFrame) -> DataFrame:
@@ -44,6 +47,36 @@ def without_shared(projected: DataFrame, shared: DataFrame) -> DataFrame:
     return projected.join(shared.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
+def with_shared(projected: DataFrame, shared: DataFrame) -> DataFrame:
+    """Projected links and pairs that share a segment, with all counts; 0 where there is none (JN-7, AGG-13)."""
+    return projected.join(shared, ["src", "dst"], "full").na.fill(0)
+
+
+def linked(edges: DataFrame) -> DataFrame:
+    """src < dst, each once, of a stored graph's edges that have a link or a shared segment (SRC-25, PRJ-7).
+
+    Read are gfa_link_count and shared_segment_count; without them the lowest two bits of edge_type; without both every edge stays.
+    """
+    have = set(edges.columns)
+    if {"gfa_link_count", "shared_segment_count"} <= have:
+        edges = edges.filter("gfa_link_count > 0 OR shared_segment_count > 0")
+    elif "edge_type" in have:
+        edges = edges.filter("edge_type & 3 <> 0")
+    return canonical_edges(edges)
+
+
+def degree_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: touched nodes, greatest degree, edges, mean degree over all ``nodes`` (id) (AGG-15)."""
+    degree = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+    sums = degree.agg(F.count("*").alias("touched"), F.max("d").alias("greatest"), F.sum("d").alias("s"))
+    return sums.crossJoin(F.broadcast(nodes.agg(F.count("*").alias("n")))).select("touched", "greatest", F.expr("s div 2").alias("edges"), F.round(F.col("s") / F.col("n"), 6).alias("mean_degree"))
+
+
+def segment_ids(segments: DataFrame, links: DataFrame, steps: DataFrame) -> DataFrame:
+    """segment: every id that a segment record, a link's end or a walk names (SET-7)."""
+    return segments.select("segment").union(links.select("a")).union(links.select("b")).union(steps.select("segment")).distinct()
+
+
 def both_strands(links: DataFrame) -> DataFrame:
     """Each oriented link (a, ao, b, bo) and its reverse complement, marked (ML-17)."""
     turn = lambda c: F.translate(c, "+-", "-+")

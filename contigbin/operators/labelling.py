@@ -76,17 +76,22 @@ def identity_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     return found.groupBy("l", "r").agg(F.min("strand").alias("strand"))
 
 
-# Accession and segment tokens at the end of a reference name.
-ACCESSION = r"_[A-Z]{1,2}(_?[0-9]{5,8})(\.[0-9]+)?$"
-SEGMENT = r"(?i)^(.+)_(RNA[0-9]+[A-Za-z]*|DNA-?[A-Za-z0-9]+|segment[_-]?\w+|S[0-9]|M[0-9]|L[0-9]|clone_[0-9]+)$"
+# What a token of a reference name (its parts between _) may be, whole; segments in any case.
+ACCESSION_TOKEN = r"[A-Z]{1,2}_?\d{5,8}(\.\d+)?"
+SEGMENT_TOKENS = (r"RNA\d+[A-Za-z]*", r"DNA-?[A-Za-z0-9]+", r"segment[_-]?\w+", r"S\d", r"M\d", r"L\d", r"clone_\d+")
 
 
-def agent_name(name: Column, accessions: int = 4) -> Column:
-    """The agent of a reference name: without accessions at its end, then without one segment (PRJ-18); the molecule is the whole name."""
-    rest = name
-    for _ in range(accessions):
-        rest = F.regexp_replace(rest, ACCESSION, "")
-    return F.coalesce(F.nullif(F.regexp_replace(rest, SEGMENT, "$1"), F.lit("")), name)
+def agent_name(name: Column) -> Column:
+    """The agent of a reference name: its tokens up to the last that is no accession, less a segment token there (PRJ-18).
+
+    The molecule is the whole name, as is the agent of a name of which nothing is left.
+    """
+    tokens = F.split(name, "_")
+    own = F.filter(F.transform(tokens, lambda t, i: F.when(~t.rlike(f"^{ACCESSION_TOKEN}$"), i + 1)), lambda i: i.isNotNull())
+    last = F.coalesce(F.array_max(own), F.lit(0))
+    segment = F.get(tokens, last - 1).rlike(f"(?i)^({'|'.join(SEGMENT_TOKENS)})$")
+    kept = F.slice(tokens, F.lit(1), last - F.when((last > 1) & segment, 1).otherwise(0))
+    return F.coalesce(F.nullif(F.array_join(kept, "_"), F.lit("")), name)
 
 
 def gene_architecture(genes: DataFrame, lengths: DataFrame) -> DataFrame:

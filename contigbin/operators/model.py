@@ -1,23 +1,28 @@
-"""Masked graph autoencoder in numpy (ML-8..12, AGG-42): an optional embedding of the attribute view.
+"""Masked graph autoencoder (ML-6, ML-8..12, AGG-42): an optional embedding of the attribute view.
 
 Encoder: (1 - g) * x P + g * layer2(layer1(x)), at unit length, with a learned gate g;
 a layer is gelu(batchnorm(x W + A x V + b)). Decoder: two dense layers. Training masks
 part of the training nodes and reconstructs them by cosine; it is checked on held-out
-nodes and keeps the best state. It needs all rows at once, so it runs in one task and
-refuses tables of over MAX_NODES rows; above that, use the attributes as embedding.
+nodes, where the graph is rebuilt from attributes and embedding (``rebuilt``), and
+keeps the best state. Training needs its rows at once, so it runs in one task on
+FIT_NODES rows at most (all, or those of least hash, with the links among them). The
+encoder is then applied to all rows as joins and Arrow batches, whatever their number.
 GELU is its tanh form. Gradients are written out by hand below.
 """
 
 from __future__ import annotations
 
+import io
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_NODES = 50_000
+from . import evidence, graph
+
+FIT_NODES = 50_000
 
 
 def gelu(x):
@@ -139,57 +144,172 @@ def spreader(n: int, src: np.ndarray, dst: np.ndarray):
     return lambda x: np.add.reduceat(x[b] * weight[:, None], starts, axis=0)
 
 
-def train(x: np.ndarray, src: np.ndarray, dst: np.ndarray, config, regraph=None) -> tuple[np.ndarray, dict]:
-    """Unit embedding of every row and the run's statistics. ``regraph``: embedding -> (src, dst), at every check."""
-    n = len(x)
+def _mutual(u: np.ndarray, k: int) -> np.ndarray:
+    """(i < j) rows that are among each other's k most similar."""
+    n, k, codes = len(u), min(k, len(u) - 1), []
+    for at in range(0, n, 512):
+        c = u[at : at + 512] @ u.T
+        c[np.arange(len(c)), at + np.arange(len(c))] = -np.inf
+        near = np.argpartition(-c, k - 1, axis=1)[:, :k]
+        codes.append((at + np.arange(len(c)))[:, None] * n + near)
+    codes = np.concatenate(codes).ravel()
+    i, j = codes // n, codes % n
+    both = np.intersect1d(codes[i < j], (j * n + i)[i > j])
+    return np.stack([both // n, both % n], 1)
+
+
+def _logits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    p = np.clip(((x * y).sum(1) + 1) / 2, 1e-4, 1 - 1e-4)
+    return np.log(p) - np.log1p(-p)
+
+
+def rebuilt(attributes: np.ndarray, coverage: np.ndarray, embedding: np.ndarray, supported: np.ndarray, config) -> np.ndarray:
+    """The training graph (i < j) of a check (ML-6): mutual neighbours in attributes with the weighted embedding, or in coverage,
+    whose evidence over the informative views is positive (ML-2), of limited degree (ML-5), and the supported assembly links."""
+    n = len(attributes)
+    views = [unit_rows(np.concatenate([attributes, config.training.embedding_weight * embedding], 1))[0], coverage]
+    pairs = np.unique(np.concatenate([_mutual(u, config.search.neighbours) for u in views]), axis=0)
+    rng = np.random.default_rng(config.seed)
+    i, j = rng.integers(0, n, (2, min(config.evidence.null_draws, max(1_000, 200 * n))))
+    nulls = [_logits(u[i[i != j]], u[j[i != j]]) for u in views]
+    prior = evidence.prior_array(nulls[1] if evidence.robust_array(nulls[1])[1] >= 1e-3 else nulls[0])
+    odds = []
+    for u, null in zip(views, nulls, strict=True):
+        fit = evidence.fit_array(null, prior)
+        e = evidence.odds_array(_logits(u[pairs[:, 0]], u[pairs[:, 1]]), fit)
+        if evidence.informative(fit) and len(e) and e.max() > 0:
+            odds.append(e)
+    pairs = pairs[sum(odds) > 0] if odds else pairs[:0]
+    ceiling = graph.degree_ceiling(n)
+    if n > config.search.exact_rows and len(pairs) > n * ceiling // 2:
+        strength = sum((u[pairs[:, 0]] * u[pairs[:, 1]]).sum(1) for u in views)
+        ends, link = pairs.T.ravel(), np.tile(np.arange(len(pairs)), 2)
+        order = np.lexsort((link, -strength[link], ends))
+        rank = np.arange(len(ends)) - np.searchsorted(ends[order], ends[order])
+        pairs = pairs[np.bincount(link[order][rank < ceiling], minlength=len(pairs)) == 2]
+    return np.unique(np.concatenate([pairs, supported]), axis=0)
+
+
+def train(x: np.ndarray, edges: np.ndarray, config, regraph=None) -> tuple[Autoencoder, np.ndarray, dict]:
+    """The model, the graph (i < j) of its best state, and the run's statistics. ``regraph``: embedding -> edges, at every check."""
+    n, how = len(x), config.training
     if n < 2:
         raise ValueError("training requires at least two nodes")
     rng = np.random.default_rng(config.seed)
-    model = Autoencoder(x.shape[1], config.hidden_dimension, config.latent_dimension, config.initial_graph_weight, config.seed)
-    spread = spreader(n, src, dst)
-    held = rng.choice(n, min(n - 1, max(1, round(n * config.validation_fraction))), replace=False)
+    model = Autoencoder(x.shape[1], how.hidden, how.latent, how.graph_gate, config.seed)
+    spread = spreader(n, *edges.T)
+    held = rng.choice(n, min(n - 1, max(1, round(n * how.held_out))), replace=False)
     pool = np.setdiff1d(np.arange(n), held)
     m, v = ({k: np.zeros_like(w) for k, w in model.w.items()} for _ in range(2))
-    best, stale, stats = (math.inf, None), 0, {"stop": "maximum_epochs"}
-    for epoch in range(1, config.maximum_epochs + 1):
-        masked = rng.choice(pool, min(len(pool), max(1, round(len(pool) * config.mask_fraction))), replace=False)
+    least, most = how.epochs
+    best, stale, stats = (math.inf, None), 0, {"stop": "all epochs"}
+    for epoch in range(1, most + 1):
+        masked = rng.choice(pool, min(len(pool), max(1, round(len(pool) * how.masked))), replace=False)
         _, grads = model.step(x, spread, masked)
         for k, g in grads.items():
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-            model.w[k] = model.w[k] * (1 - config.learning_rate * config.weight_decay) - config.learning_rate * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.999**epoch)) + 1e-8)
-        if epoch % config.graph_update_interval:
+            model.w[k] = model.w[k] * (1 - how.rate * how.decay) - how.rate * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.999**epoch)) + 1e-8)
+        if epoch % how.check_every:
             continue
         loss, _ = masked_cosine_loss(model.reconstruct(x, spread, held), x, held)
         z = model.encode(x, spread)[0]
         rank = effective_rank(z)
-        if regraph is not None:
-            spread = spreader(n, *regraph(z))
+        new = edges if regraph is None else regraph(z)
+        old, codes = (set(map(tuple, e.tolist())) for e in (edges, new))
+        jaccard = len(old & codes) / max(len(old | codes), 1)
         if loss < best[0] - 1e-4:
-            best, stale = (loss, ({k: w.copy() for k, w in model.w.items()}, {k: w.copy() for k, w in model.running.items()}, spread, epoch)), 0
+            best, stale = (loss, ({k: w.copy() for k, w in model.w.items()}, {k: w.copy() for k, w in model.running.items()}, new, epoch)), 0
         else:
             stale += 1
-        stats |= {"epochs": epoch, "effective_rank": rank}
-        if epoch >= config.minimum_epochs and stale >= config.validation_patience and rank >= config.minimum_effective_rank:
-            stats["stop"] = "plateau"
+        edges, spread = new, spreader(n, *new.T)
+        stats |= {"epochs": epoch, "effective_rank": rank, "edge_jaccard": jaccard}
+        if epoch >= least and stale >= how.patience and rank >= how.least_rank:
+            stats["stop"] = "loss and graph settled" if jaccard >= how.settled_graph else "loss settled"
             break
     if best[1] is not None:
-        model.w, model.running, spread, stats["selected_epoch"] = best[1]
-    stats |= {"held_out_loss": best[0], "identity_gate": model.gates()[0], "graph_gate": model.gates()[1]}
-    return model.encode(x, spread)[0], stats
+        model.w, model.running, edges, stats["selected_epoch"] = best[1]
+    degree = np.bincount(edges.ravel(), minlength=n)
+    stats |= {"held_out_loss": best[0], "identity_gate": model.gates()[0], "graph_gate": model.gates()[1], "edges": len(edges), "mean_degree": float(degree.mean()), "linked_nodes": int((degree > 0).sum())}
+    return model, edges, stats
+
+
+def _packed(model: Autoencoder) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **{f"w_{k}": w for k, w in model.w.items()}, **{f"r_{k}": w for k, w in model.running.items()})
+    return out.getvalue()
+
+
+def _unpacked(data: bytes) -> Autoencoder:
+    model, kept = Autoencoder.__new__(Autoencoder), np.load(io.BytesIO(data))
+    model.w, model.running = ({k[2:]: kept[k] for k in kept.files if k[0] == side} for side in "wr")
+    return model
+
+
+def _neighbour_sums(adjacency: DataFrame, values: DataFrame) -> DataFrame:
+    """id, ax: A x of rows id, x (arrays)."""
+    met = adjacency.join(values.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.collect_list(F.struct("weight", "x")).alias("near"))
+
+    def add(total: Column, p: Column) -> Column:
+        return F.zip_with(total, p["x"], lambda t, v: t + p["weight"] * v)
+
+    zero = F.transform(F.col("near")[0]["x"], lambda v: F.lit(0.0))
+    return met.select("id", F.aggregate("near", zero, add).alias("ax"))
+
+
+def encode_all(rows: DataFrame, edges: DataFrame, weights: bytes) -> DataFrame:
+    """id, z of every row of ``rows`` (id, u) on the graph ``edges`` (src, dst): each layer is a join and a pass of Arrow batches."""
+    adjacency = graph.normalized_adjacency(rows, edges).checkpoint()
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def layer(k: int):
+        def run(frames):
+            model = _unpacked(shared.value)
+            for pdf in frames:
+                if len(pdf):
+                    x, ax = (np.stack(pdf[c].to_list()) for c in ("x", "ax"))
+                    y, _ = model._layer(k, x, ax, train=False)
+                    if k == 2:
+                        keep, g = model.gates()
+                        y = unit_rows(keep * (np.stack(pdf["u"].to_list()) @ model.w["P"]) + g * y)[0]
+                    yield pd.DataFrame({"id": pdf["id"], "x": list(y)})
+
+        return run
+
+    start = rows.select("id", F.col("u").alias("x"))
+    hidden = start.join(_neighbour_sums(adjacency, start), "id").mapInPandas(layer(1), "id long, x array<double>").checkpoint()
+    both = hidden.join(_neighbour_sums(adjacency, hidden), "id").join(rows.select("id", "u"), "id")
+    return both.mapInPandas(layer(2), "id long, x array<double>").withColumnRenamed("x", "z")
+
 
+def embed(rows: DataFrame, edges: DataFrame, config, supported: DataFrame | None = None, fit_nodes: int = FIT_NODES) -> tuple[DataFrame, dict]:
+    """id, z of every row of ``rows``, and the statistics of the training.
 
-def embed(rows: DataFrame, edges: DataFrame, config) -> DataFrame:
-    """id, z of every row of ``rows`` (id, u), trained on the graph ``edges`` (src, dst), in one task."""
+    ``rows``: id, u (attributes), b (coverage; the graph is rebuilt at every check if it is there); ``edges``: the seed
+    graph (src, dst); ``supported``: links that every graph has. Of over ``fit_nodes`` rows the model is trained on
+    those of least hash, and the seed graph stays the graph of the encoder.
+    """
     n = rows.count()
-    if n > MAX_NODES:
-        raise ValueError(f"{n} nodes; the model takes {MAX_NODES} at most")
+    columns = ["id", "u", "b"] if "b" in rows.columns else ["id", "u"]
+    some = rows.select(columns) if n <= fit_nodes else rows.select(columns).orderBy(F.xxhash64("id"), "id").limit(fit_nodes)
+    always = edges.limit(0) if supported is None else supported
+    links = edges.select("src", "dst", F.lit(False).alias("always")).union(always.select("src", "dst", F.lit(True)))
 
     def run(key, members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         members = members.sort_values("id")
-        ids = members["id"].to_numpy()
-        links = links.sort_values(["src", "dst"])
-        z, _ = train(np.stack(members["u"].to_list()), np.searchsorted(ids, links["src"]), np.searchsorted(ids, links["dst"]), config)
-        return pd.DataFrame({"id": ids, "z": list(z)})
+        ids, x = members["id"].to_numpy(), np.stack(members["u"].to_list())
+        links = links[links["src"].isin(ids) & links["dst"].isin(ids)]
+        pairs = np.stack([np.searchsorted(ids, links[c]) for c in ("src", "dst")], 1).astype(np.int64).reshape(-1, 2)
+        pairs.sort(axis=1)
+        kept = np.unique(pairs[links["always"].to_numpy(bool)], axis=0)
+        regraph = None
+        if "b" in members:
+            b = np.stack(members["b"].to_list())
+            regraph = lambda z: rebuilt(x, b, z, kept, config)
+        model, found, stats = train(x, np.unique(pairs, axis=0), config, regraph)
+        return pd.DataFrame({"weights": [_packed(model)], "src": [ids[found[:, 0]].tolist()], "dst": [ids[found[:, 1]].tolist()], "stats": [{k: str(v) for k, v in stats.items()}]})
 
     one = F.lit(0).alias("g")
-    return rows.select("id", "u", one).groupBy("g").cogroup(edges.select("src", "dst", one).groupBy("g")).applyInPandas(run, "id long, z array<double>")
+    trained = some.withColumn("g", one).groupBy("g").cogroup(links.withColumn("g", one).groupBy("g")).applyInPandas(run, "weights binary, src array<long>, dst array<long>, stats map<string,string>").checkpoint()
+    weights, stats = trained.select("weights", "stats").first()
+    final = edges if n > fit_nodes else trained.select(F.explode(F.arrays_zip("src", "dst")).alias("e")).select("e.src", "e.dst")
+    return encode_all(rows, final, bytes(weights)), dict(stats) | {"fitted_nodes": str(min(n, fit_nodes))}

@@ -20,6 +20,7 @@ from ..functions.vectors import dot
 from . import completeness, evidence, features, graph, metrics, neighbours
 
 LIMIT = 50_000
+PRIME = (1 << 31) - 1
 
 
 def _neighbours(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray):
@@ -144,8 +145,8 @@ def cpm_partition(nodes: DataFrame, edges: DataFrame, gamma: float, limit: int =
 
 def density_scale(n: int, mean_degree: float, coverage_active: bool, coverage_share: float, config) -> float:
     """Factor of the resolution (FN-21); every branch times 1.05."""
-    if n <= config.exact_knn_limit:
-        s = config.small_graph_resolution_scale
+    if n <= config.search.exact_rows:
+        s = config.evidence.resolution
     elif coverage_active:
         s = min(max(mean_degree / 8.0, 1.0), 1.75)
     else:
@@ -170,16 +171,16 @@ def unknown_k(views: DataFrame, pairs: DataFrame, nulls: dict[str, DataFrame], c
     null = {k: evidence.robust_null(s).first()["scale"] for k, s in nulls.items()}
     prior = evidence.upper_tail_prior(nulls["b" if null["b"] >= 1e-3 else "a"], 2_000 if n > 10 else 100).first()[0]
     share = views.agg(F.avg((dot(F.col("b"), F.col("b")) > 1e-16).cast("int"))).first()[0] or 0.0
-    for k in range(config.prior_refinement_rounds if stats["candidate_edges"] else 0):
+    for k in range(config.evidence.rounds if stats["candidate_edges"] else 0):
         fits = {x: evidence.fit_mixture(nulls[x], prior) for x in ("a", "b")}
         odds = scored.withColumns({f"e_{x}": evidence.log_odds(F.col(x), fits[x]) for x in ("a", "b")})
         top = odds.agg(F.max("e_a").alias("a"), F.max("e_b").alias("b")).first()
         active = [x for x in ("a", "b") if evidence.informative(fits[x]) and top[x] > 0] or ["a"]
         weight = sum((F.col(f"e_{x}") for x in active), F.lit(0.0))
         if len(active) == 2:
-            weight = weight - config.view_disagreement_penalty * F.abs(F.col("e_a") - F.col("e_b"))
+            weight = weight - config.evidence.disagreement * F.abs(F.col("e_a") - F.col("e_b"))
         cosine = lambda s: 2.0 / (1.0 + F.exp(-s)) - 1.0  # noqa: E731  (scores are clipped log-odds)
-        middle = [nulls[x].agg(F.percentile(evidence.log_odds(cosine(F.col("score")), fits[x]), F.lit(0.5))).first()[0] for x in active]
+        middle = [evidence.quantiles(nulls[x].select(evidence.log_odds(cosine(F.col("score")), fits[x]).alias("e")), "e", [0.5])[0] for x in active]
         omitted = min(-1e-6, sum(middle))
         kept = odds.select("src", "dst", (weight - omitted).alias("weight")).filter("weight > 0 AND NOT isnan(weight)").checkpoint()
         m = kept.count()
@@ -192,7 +193,7 @@ def unknown_k(views: DataFrame, pairs: DataFrame, nulls: dict[str, DataFrame], c
         label = cpm_partition(label, kept, max(-omitted * scale, 1e-6)).withColumnRenamed("bin", "label").checkpoint()
         stats |= {"rounds": k + 1, "mean_degree": degree, "density_scale": scale, "omitted_evidence": omitted, "active": "+".join(active), "pair_prior": prior}
         implied = metrics.pair_prior(label.withColumnRenamed("label", "bin")).first()[0]
-        if abs(math.log(implied) - math.log(prior)) < config.prior_tolerance:
+        if abs(math.log(implied) - math.log(prior)) < config.evidence.settled:
             break
         prior = math.sqrt(prior * implied)
     state = label.select(F.col("id").alias("contig"), "label")
@@ -202,15 +203,22 @@ def unknown_k(views: DataFrame, pairs: DataFrame, nulls: dict[str, DataFrame], c
 
 
 def null_scores(rows: DataFrame, samples: int, seed: int) -> DataFrame:
-    """score of random pairs of different rows, with replacement (JN-11): min(samples, max(1000, 200 n)) draws. ``rows``: id, u."""
+    """i, j, score of random pairs of different rows (by rank of id), with replacement (JN-11): min(samples, max(1000, 200 n)) draws. ``rows``: id, u.
+
+    A draw is a fixed function of its number and the seed: residues modulo a prime, squared between two factors.
+    """
     from ..functions.vectors import logit_of_cosine
 
     placed = features.dense_index(rows.select("id", "u"), "id", "at").select("at", "u")
     n = placed.count()
     if n < 2:
-        return rows.limit(0).select(F.lit(0.0).alias("score"))
+        return rows.limit(0).select(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0.0).alias("score"))
     draws = rows.sparkSession.range(min(samples, max(1_000, 200 * n)))
-    pick = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(n))
+
+    def pick(k: int):
+        x = (2 * F.col("id") + (k + 1 + 1_000_003 * seed)) % PRIME * 48_271 % PRIME
+        return x * x % PRIME * 69_621 % PRIME % n
+
     drawn = draws.select(pick(0).alias("i"), pick(1).alias("j")).filter("i <> j")
     a, b = (placed.select(F.col("at").alias(k), F.col("u").alias(f"u{k}")) for k in ("i", "j"))
-    return drawn.join(a, "i").join(b, "j").select(logit_of_cosine(dot(F.col("ui"), F.col("uj"))).alias("score"))
+    return drawn.join(a, "i").join(b, "j").select("i", "j", logit_of_cosine(dot(F.col("ui"), F.col("uj"))).alias("score"))

@@ -40,7 +40,7 @@ def run(spark: SparkSession, fasta_path: str, coverage_path: str, gfa_path: str,
     config, began = config or BinningConfig(), time.time()
     records = fasta.checked(fasta.read_fasta(spark, fasta_path))
     lengths = records.select("contig", "position", F.length("sequence").cast("long").alias("length"))
-    kept = features.retained(lengths, config.min_contig_length, "position").select("contig", F.col("node_index").alias("id"), "length").checkpoint()
+    kept = features.retained(lengths, config.least_length, "position").select("contig", F.col("node_index").alias("id"), "length").checkpoint()
     n = kept.count()
     if n < 2:
         raise ValueError("at least two contigs must pass the length filter")
@@ -55,7 +55,7 @@ def run(spark: SparkSession, fasta_path: str, coverage_path: str, gfa_path: str,
     assembly = neighbours.canonical_edges(named.join(index.select(F.col("contig").alias("src"), F.col("id").alias("i")), "src").join(index.select(F.col("contig").alias("dst"), F.col("id").alias("j")), "dst").select(F.col("i").alias("src"), F.col("j").alias("dst"))).checkpoint()
 
     a, b = (views.select("id", F.col(k).alias("u")) for k in ("a", "b"))
-    nulls = {k: partition.null_scores(x, config.null_pair_samples, config.seed).checkpoint() for k, x in (("a", a), ("b", b))}
+    nulls = {k: partition.null_scores(x, config.evidence.null_draws, config.seed).checkpoint() for k, x in (("a", a), ("b", b))}
     valid = evidence.robust_null(nulls["b"]).first()["scale"] >= 1e-3
     prior = evidence.upper_tail_prior(nulls["b" if valid else "a"], 2_000).first()[0]
     fits = {k: evidence.fit_mixture(nulls[k], prior) for k in ("a", "b")}
@@ -64,22 +64,24 @@ def run(spark: SparkSession, fasta_path: str, coverage_path: str, gfa_path: str,
     supported = evidence.positive_edges(dots, fits, need_evidence=False).select("src", "dst").checkpoint()
 
     def knn(rows, k):
-        return neighbours.reciprocal_knn(rows, min(k, n - 1), config.exact_knn_limit).select("src", "dst")
+        return neighbours.reciprocal_knn(rows, min(k, n - 1), config.search.exact_rows).select("src", "dst")
 
     def statistical(u, k):
         pairs = knn(u, k).union(knn(b, k)).distinct().checkpoint()
-        return graph.limit_degree(u.select("id", F.col("u").alias("a")).join(b.select("id", F.col("u").alias("b")), "id"), pairs, config.exact_knn_limit)
+        return graph.limit_degree(u.select("id", F.col("u").alias("a")).join(b.select("id", F.col("u").alias("b")), "id"), pairs, config.search.exact_rows)
 
-    seeds = statistical(a, config.initial_graph_neighbors).union(supported).distinct()
-    embedding = a if not learn or n > model.MAX_NODES else model.embed(a, seeds, config).select("id", F.col("z").alias("u"))
-    embedding = embedding.checkpoint()
-    candidates = statistical(embedding, config.sparse_neighbors).union(supported).distinct()
-    null_a = partition.null_scores(embedding, config.null_pair_samples, config.seed).checkpoint()
+    seeds = statistical(a, config.search.seed_neighbours).union(supported).distinct()
+    embedding, training = a, {}
+    if learn:
+        embedding, training = model.embed(a.join(b.select("id", F.col("u").alias("b")), "id"), seeds, config, supported)
+        embedding = embedding.select("id", F.col("z").alias("u")).checkpoint()
+    candidates = statistical(embedding, config.search.neighbours).union(supported).distinct()
+    null_a = partition.null_scores(embedding, config.evidence.null_draws, config.seed).checkpoint()
 
     locked = None
-    if config.isolate_complete_contigs:
-        repeats = completeness.terminal_repeats(own, config.terminal_repeat_seed)
-        gated = completeness.gate(repeats, config.terminal_repeat_minimum, config.terminal_repeat_max_fraction)
+    if config.repeats.alone:
+        repeats = completeness.terminal_repeats(own, config.repeats.seed)
+        gated = completeness.gate(repeats, config.repeats.least, config.repeats.share)
         locked = gated.join(index, "contig").select(F.col("id").alias("contig"), "locked").checkpoint()
     joined = embedding.select("id", F.col("u").alias("a")).join(b.select("id", F.col("u").alias("b")), "id")
     found, stats = partition.unknown_k(joined, candidates, {"a": null_a, "b": nulls["b"]}, config, locked)
@@ -88,6 +90,7 @@ def run(spark: SparkSession, fasta_path: str, coverage_path: str, gfa_path: str,
     tables.write_assignments(bins, f"{output}/assignments.tsv")
     fasta.write_bins(own, bins.select("contig", F.format_string("bin_%06d", "bin").alias("bin")), f"{output}/bins")
     sizes = metrics.size_stats(bins).first().asDict()
-    told = {"parameters": config.to_dict(), "contigs": n, "assembly": {"candidates": assembly.count(), "supported": supported.count()}, "clustering": stats, "result": sizes, "locked": locked.filter("locked").count() if locked is not None else 0, "seconds": round(time.time() - began, 3)}
+    shut = locked.filter("locked").count() if locked is not None else 0
+    told = {"parameters": config.told(), "contigs": n, "assembly": {"candidates": assembly.count(), "supported": supported.count()}, "training": training, "clustering": stats, "result": sizes, "locked": shut, "locked_fraction": shut / n, "seconds": round(time.time() - began, 3)}
     spark.createDataFrame([(json.dumps(told, sort_keys=True, default=float),)], "value string").coalesce(1).write.mode("overwrite").text(f"{output}/run.json")
     return bins

@@ -29,9 +29,9 @@ def query(sql: str | None):
     return add
 
 
-@query(f"with {_KMERS} select contig, kmer, cnt from counts where contig in (select contig from seq where length(sequence) >= 200)")
+@query(f"with {_KMERS} select contig, kmer, cnt from counts")
 def kmer_canonical_counts(spark, d):
-    return features.kmer_counts(seq(spark, d).filter(F.length("sequence") >= 200))
+    return features.kmer_counts(seq(spark, d))
 
 
 @query(f"with {_KMERS} select contig, kmer, round(cnt / sum(cnt) over (partition by contig), 6) as freq from counts")

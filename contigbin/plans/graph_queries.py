@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
@@ -17,21 +18,20 @@ def canonical_edges(spark, d):
     return neighbours.canonical_edges(graph.consecutive(walk(spark, d)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-# links come from the first orders placed, the segments' contigs are all others
-_LINKS = f"""{_NEXT}, o as (select o_orderkey as contig, o_orderdate < timestamp '1995-02-01' as early from orders),
-links as (select distinct a, b from nxt join o using (contig) where early and b is not null and a <> b), members as (select distinct segment, contig from walk join o using (contig) where not early)"""
-_PROJ = f"{_LINKS}, proj as (select least(x.contig, y.contig) as src, greatest(x.contig, y.contig) as dst, count(*)::BIGINT as n_links from links l join members x on x.segment = l.a join members y on y.segment = l.b where x.contig <> y.contig group by 1, 2)"
+# segments are orders: a link joins a customer's next one, contigs are the suppliers on an order; all rows of both tables
+_LINKS = """nxt as (select o_orderkey as a, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as b, o_totalprice as price from orders),
+links as (select a, b, floor(price / 1000)::BIGINT as overlap from nxt where b is not null), members as (select distinct l_orderkey as segment, l_suppkey as contig from lineitem)"""
+_PROJ = f"{_LINKS}, proj as (select least(x.contig, y.contig) as src, greatest(x.contig, y.contig) as dst, count(*)::BIGINT as n_links, max(overlap)::BIGINT as max_overlap from links l join members x on x.segment = l.a join members y on y.segment = l.b where x.contig <> y.contig group by 1, 2)"
 _SHARED = f"{_PROJ}, shared as (select x.contig as src, y.contig as dst, count(*)::BIGINT as shared from members x join members y on x.segment = y.segment and x.contig < y.contig group by 1, 2)"
 
 
 def _parts(spark, d):
-    w = walk(spark, d)
-    early = table(spark, d, "orders").select(F.col("o_orderkey").alias("contig"), (F.col("o_orderdate") < F.lit("1995-02-01").cast("timestamp")).alias("early"))
-    links = graph.consecutive(w).join(early, "contig").filter("early AND a <> b").select("a", "b").distinct()
-    return links, w.join(early, "contig").filter("NOT early").select("segment", "contig").distinct()
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    links = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), after.alias("b"), F.floor(F.col("o_totalprice") / 1000).alias("overlap")).filter("b IS NOT NULL")
+    return links, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("segment"), F.col("l_suppkey").alias("contig")).distinct()
 
 
-@_query(f"with {_PROJ} select src, dst, n_links from proj")
+@_query(f"with {_PROJ} select src, dst, n_links, max_overlap from proj")
 def gfa_link_projection(spark, d):
     return graph.project_links(*_parts(spark, d))
 
@@ -41,12 +41,28 @@ def shared_segment_pairs(spark, d):
     return graph.shared_segments(_parts(spark, d)[1])
 
 
-@_query(f"with {_SHARED} select src, dst, n_links from proj p where not exists (select 1 from shared s where s.src = p.src and s.dst = p.dst)")
+@_query(f"with {_SHARED} select src, dst, n_links, max_overlap from proj p where not exists (select 1 from shared s where s.src = p.src and s.dst = p.dst)")
 def path_projection_excl_shared(spark, d):
     links, members = _parts(spark, d)
     return graph.without_shared(graph.project_links(links, members), graph.shared_segments(members))
 
 
+@_query(f"with {_SHARED} select src, dst, coalesce(n_links, 0)::BIGINT as n_links, coalesce(max_overlap, 0)::BIGINT as max_overlap, coalesce(shared, 0)::BIGINT as shared from proj full join shared using (src, dst)")
+def path_projection_with_shared(spark, d):
+    links, members = _parts(spark, d)
+    return graph.with_shared(graph.project_links(links, members), graph.shared_segments(members))
+
+
+@_query(f"""with {_SHARED}, kept as (select src, dst from (select src, dst, coalesce(n_links, 0) as n_links, coalesce(shared, 0) as shared from proj full join shared using (src, dst)) where n_links > 1 or shared > 1),
+ends as (select unnest([src, dst]) as node from kept), deg as (select node, count(*) as d from ends group by 1), n as (select count(distinct l_suppkey) as n from lineitem)
+select count(*)::BIGINT as touched, max(d)::BIGINT as greatest, sum(d)::BIGINT // 2 as edges, round(sum(d) / any_value(n), 6) as mean_degree from deg, n""")
+def graph_degrees(spark, d):
+    links, members = _parts(spark, d)
+    named = graph.with_shared(graph.project_links(links, members), graph.shared_segments(members))
+    kept = graph.linked(named.withColumns({"gfa_link_count": F.col("n_links") - 1, "shared_segment_count": F.col("shared") - 1}))
+    return graph.degree_stats(members.select(F.col("contig").alias("id")).distinct(), kept)
+
+
 @_query(f"""with {WALK}, p as (select contig, segment, orientation, row_number() over (partition by contig order by n1, segment, n3) - 1 as pos, count(*) over (partition by contig) as path_length from walk)
 select contig, segment, orientation, pos::BIGINT as pos, path_length::BIGINT as path_length, round(pos / greatest(path_length - 1, 1), 6) as rel from p""")
 def walk_positions(spark, d):
@@ -66,8 +82,6 @@ _ORIENTED = f"{WALK}, lk as (select segment as a, orientation as ao, lead(segmen
 select a, ao, b, bo, reversed, count(*)::BIGINT as n from x group by all""")
 def reverse_complement_links(spark, d):
     by = F.lead(F.struct("segment", "orientation"))
-    from pyspark.sql import Window
-
     w = walk(spark, d).withColumn("next", by.over(Window.partitionBy("contig").orderBy("step"))).filter("next IS NOT NULL")
     links = w.select(F.col("segment").alias("a"), F.col("orientation").alias("ao"), F.col("next.segment").alias("b"), F.col("next.orientation").alias("bo"))
     return graph.both_strands(links).groupBy("a", "ao", "b", "bo", "reversed").agg(F.count("*").alias("n"))

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import ERFC, ERFC_P, logit_of_cosine
-from ..operators import evidence, graph, metrics, neighbours
+from ..operators import evidence, graph, metrics, neighbours, partition
 from .common import knn_sql, r6, vec, vec_sql
 from .feature_queries import query as _query
 
 _KNN = f"with recursive {vec_sql()}, {knn_sql()}"
 _LOGIT = "ln(least(greatest((cosine + 1) * 0.5e0, 1e-4), 1 - 1e-4)) - ln(1 - least(greatest((cosine + 1) * 0.5e0, 1e-4), 1 - 1e-4))"
-_SCORES = f"with {vec_sql()}, p as (select a.id as i, b.id as j, round(list_dot_product(a.u, b.u), 9) as cosine from vec a join vec b on a.id < b.id), s as (select {_LOGIT} as score from p)"
+_PICK = "((2 * r + {k}) % 2147483647 * 48271 % 2147483647)"
+_PICK = f"({_PICK} * {_PICK} % 2147483647 * 69621 % 2147483647 % n)"
+_SCORES = f"""with {vec_sql()}, placed as (select (row_number() over (order by id) - 1)::BIGINT as at, u from vec), m_ as (select count(*)::BIGINT as n from vec),
+drawn as (select {_PICK.format(k=1)} as i, {_PICK.format(k=2)} as j from range(600000) t(r), m_ where r < least(600000, greatest(1000, 200 * n))),
+p as (select i, j, list_dot_product(a.u, b.u) as cosine from drawn join placed a on a.at = i join placed b on b.at = j where i <> j), s as (select i, j, {_LOGIT} as score from p)"""
 _NULL = f"{_SCORES}, c as (select median(score) as centre, count(*) as n from s), m as (select 1.4826e0 * median(abs(score - centre)) + 1e-9 as scale from s, c)"
 
 
@@ -49,8 +53,13 @@ def cosine_logit(spark, d):
 
 
 def _scores(spark, d):
-    """Read several times by what follows, so checkpointed."""
-    return neighbours.all_scores(vec(spark, d)).select(logit_of_cosine(F.col("cosine")).alias("score")).checkpoint()
+    """The null of random pairs. Read several times by what follows, so checkpointed."""
+    return partition.null_scores(vec(spark, d), 600_000, 0).checkpoint()
+
+
+@_query(f"{_SCORES} select i, j, round(score, 6) + 0.0 as score from s")
+def null_pair_scores(spark, d):
+    return partition.null_scores(vec(spark, d), 600_000, 0).select("i", "j", r6(F.col("score")).alias("score"))
 
 
 @_query(f"{_NULL} select round(centre, 6) + 0.0 as centre, round(scale, 6) as scale, n::BIGINT as n from c, m")
@@ -173,8 +182,6 @@ round(2 * (any_value(hb.h) / any_value(t.n)) * (any_value(ht.h) / any_value(t.n)
 
 @_query(None)
 def cpm_partition(spark, d):
-    from ..operators import partition
-
     v = vec(spark, d)
     edges = neighbours.reciprocal_knn(v, 8).withColumn("weight", logit_of_cosine(F.col("cosine")) + 1.0)
     return partition.cpm_partition(v, edges, 0.25)
@@ -183,14 +190,13 @@ def cpm_partition(spark, d):
 @_query(None)
 def unknown_k_binning(spark, d):
     from ..config import BinningConfig
-    from ..operators import partition
 
     config = BinningConfig()
     a, b = (vec(spark, d, at, 32) for at in (1, 33))
-    pairs = neighbours.reciprocal_knn(a, config.sparse_neighbors).select("src", "dst").union(neighbours.reciprocal_knn(b, config.sparse_neighbors).select("src", "dst")).distinct().checkpoint()
+    pairs = neighbours.reciprocal_knn(a, config.search.neighbours).select("src", "dst").union(neighbours.reciprocal_knn(b, config.search.neighbours).select("src", "dst")).distinct().checkpoint()
     views = a.select("id", F.col("u").alias("a")).join(b.select("id", F.col("u").alias("b")), "id")
-    pairs = graph.limit_degree(views, pairs, config.exact_knn_limit)
-    nulls = {k: partition.null_scores(x, config.null_pair_samples, config.seed).checkpoint() for k, x in (("a", a), ("b", b))}
+    pairs = graph.limit_degree(views, pairs, config.search.exact_rows)
+    nulls = {k: partition.null_scores(x, config.evidence.null_draws, config.seed).checkpoint() for k, x in (("a", a), ("b", b))}
     return partition.unknown_k(views, pairs, nulls, config)[0]
 
 
@@ -199,6 +205,7 @@ def masked_autoencoder(spark, d):
     from ..config import BinningConfig
     from ..operators import model
 
-    v = vec(spark, d)
-    z = model.embed(v, neighbours.reciprocal_knn(v, 8), BinningConfig())
+    a, b = (vec(spark, d, at, 32).select("id", "u").checkpoint() for at in (1, 33))
+    seeds = neighbours.reciprocal_knn(a, 8).select("src", "dst").union(neighbours.reciprocal_knn(b, 8).select("src", "dst")).distinct()
+    z, _ = model.embed(a.join(b.select("id", F.col("u").alias("b")), "id"), seeds, BinningConfig())
     return z.select("id", F.posexplode("z").alias("dim", "value")).select("id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))

@@ -13,15 +13,23 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value", F.split("value", "\t", -1).alias("f"))
 
 
+def _after(fields: str, n: int) -> Column:
+    """The fields behind the first n."""
+    return F.slice(fields, F.lit(n + 1), F.greatest(F.size(fields) - n, F.lit(0)))
+
+
 def tags(fields: Column) -> Column:
-    """Optional fields TAG:TYPE:VALUE as a map; numbers stay text and are cast where they are read (SRC-10)."""
+    """Optional fields TAG:TYPE:VALUE as a map; of a tag that repeats the last counts. Numbers stay text and are cast where they are read (SRC-10)."""
     good = F.filter(fields, lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:[A-Za-z]:"))
-    return F.map_from_entries(F.array_distinct(F.transform(good, lambda x: F.struct(F.substr(x, F.lit(1), F.lit(2)), F.substr(x, F.lit(6))))))
+    pairs = F.transform(good, lambda x: F.struct(F.substr(x, F.lit(1), F.lit(2)).alias("k"), F.substr(x, F.lit(6)).alias("v")))
+    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
+    last = F.transform(names, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"])
+    return F.map_from_arrays(names, last)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     """segment, length (of the sequence, or LN), depth (DP), kmer_count (KC), tags (SRC-9)."""
-    s = _lines(spark, path).filter("f[0] = 'S' AND size(f) >= 3").select(F.col("f")[1].alias("segment"), F.col("f")[2].alias("sequence"), tags(F.slice("f", 4, 1_000)).alias("tags"))
+    s = _lines(spark, path).filter("f[0] = 'S' AND size(f) >= 3").select(F.col("f")[1].alias("segment"), F.col("f")[2].alias("sequence"), tags(_after("f", 3)).alias("tags"))
     number = lambda k, t: F.expr(f"try_cast(tags['{k}'] as {t})")
     return s.select("segment", F.when(F.col("sequence") != "*", F.length("sequence").cast("long")).otherwise(F.coalesce(number("LN", "bigint"), F.lit(0))).alias("length"), number("DP", "double").alias("depth"), number("KC", "bigint").alias("kmer_count"), "tags")
 
@@ -34,7 +42,7 @@ def read_links(spark: SparkSession, path: str, strict: bool = False) -> DataFram
         if bad:
             raise ValueError(f"invalid L record: {bad[0][0]}")
     f = F.col("f")
-    return lines.filter("size(f) >= 6").select(f[1].alias("a"), f[2].alias("ao"), f[3].alias("b"), f[4].alias("bo"), f[5].alias("cigar"), labelling.cigar_length(f[5]).alias("overlap"), tags(F.slice(f, 7, 1_000)).alias("tags"))
+    return lines.filter("size(f) >= 6").select(f[1].alias("a"), f[2].alias("ao"), f[3].alias("b"), f[4].alias("bo"), f[5].alias("cigar"), labelling.cigar_length(f[5]).alias("overlap"), tags(_after("f", 6)).alias("tags"))
 
 
 def _steps(path: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import decimal
 import os
+from collections import Counter
 
 import duckdb
 
@@ -23,9 +24,10 @@ def differs(spark, query, sql):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = query(spark, DATA)
     columns = sorted(df.columns)
-    got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
+    got = Counter(tuple(plain(r[c]) for c in columns) for r in df.collect())
     result = con.execute(sql)
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
-    want = sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall())
-    return [r for r in got if r not in want][:3], [r for r in want if r not in got][:3], len(got) - len(want)
+    at = [names.index(c) for c in columns]
+    want = Counter(tuple(plain(r[k]) for k in at) for r in result.fetchall())
+    return list((got - want).elements())[:3], list((want - got).elements())[:3], got.total() - want.total()

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from contigbin.config import BinningConfig
+from contigbin.config import BinningConfig, Search, Training
 from contigbin.functions import dna, vectors
 from contigbin.operators import completeness, evidence, features, graph, labelling, metrics, model, neighbours, partition, simulate
 from contigbin.plans import binning
@@ -35,18 +35,11 @@ def test_reverse_complement(spark):
 
 
 def repeats_by_hand(s, k):
-    n = len(s)
-    direct = inverted = 0
-    if n >= 4 * k:
-        at = s.rfind(s[:k])
-        if at > 0 and n - at <= n // 2 and s[: n - at] == s[at:]:
-            direct = n - at
-        r = turned(s)
-        common = 0
-        while common < n // 2 and s[common] == r[common]:
-            common += 1
-        inverted = common if common >= k else 0
-    return direct, inverted
+    """Every length is tried: the shortest suffix that begins like the sequence, and the longest start that it has in common with its other strand."""
+    lengths = range(k, len(s)) if len(s) >= 4 * k else ()
+    begins = [m for m in lengths if s[-m:].startswith(s[:k])][:1]
+    common = [m for m in lengths if 2 * m <= len(s) and turned(s).startswith(s[:m])]
+    return max((m for m in begins if 2 * m <= len(s) and s.startswith(s[-m:])), default=0), max(common, default=0)
 
 
 def test_terminal_repeats(spark):
@@ -151,7 +144,7 @@ def test_unknown_k_query_takes_the_configured_neighbours(spark, tmp_path, monkey
         u = part / np.linalg.norm(part, axis=1, keepdims=True)
         c = np.round(u @ u.T, 9)
         np.fill_diagonal(c, -9)
-        near = {(i, j) for i, row in enumerate(np.argsort(-c, axis=1, kind="stable")[:, : BinningConfig().sparse_neighbors].tolist()) for j in row}
+        near = {(i, j) for i, row in enumerate(np.argsort(-c, axis=1, kind="stable")[:, : BinningConfig().search.neighbours].tolist()) for j in row}
         want |= {(i, j) for i, j in near if i < j and (j, i) in near}
     assert {(r["src"], r["dst"]) for r in seen[0].collect()} == want
 
@@ -242,9 +235,11 @@ def test_autoencoder_gradients():
 
 
 def test_config():
-    with pytest.raises(ValueError, match="maximum_epochs"):
-        BinningConfig(minimum_epochs=10, maximum_epochs=5)
-    assert BinningConfig().initial_graph_weight == pytest.approx(1 / 11)
+    with pytest.raises(ValueError, match="epochs.*masked"):
+        BinningConfig(training=Training(epochs=(10, 5), masked=1.0))
+    with pytest.raises(ValueError, match="neighbours"):
+        BinningConfig(search=Search(neighbours=0))
+    assert BinningConfig().training.graph_gate == pytest.approx(1 / 11) and BinningConfig().told()["training"]["settled_graph"] == 0.9
 
 
 def write(path, text):
@@ -336,7 +331,7 @@ def test_tables(spark, inputs, tmp_path):
 
 
 def test_binning_end_to_end(spark, inputs, tmp_path):
-    config = BinningConfig(minimum_epochs=5, maximum_epochs=10, graph_update_interval=5, sparse_neighbors=2, initial_graph_neighbors=2, hidden_dimension=8, latent_dimension=4)
+    config = BinningConfig(search=Search(neighbours=2, seed_neighbours=2), training=Training(epochs=(5, 10), check_every=5, hidden=8, latent=4))
     bins = binning.run(spark, inputs["fasta"], inputs["coverage"], inputs["gfa"], str(tmp_path / "out"), config=config)
     rows = bins.collect()
     assert len(rows) == 6 and {r["length"] for r in rows} == {2500}
@@ -389,3 +384,46 @@ def test_reports(spark):
     assert [r[0] for r in labelling.dead_samples(frame(spark, [("s", 1.0), ("s", 1.0), ("t", 1.0), ("t", 2.0)], "sample string, depth double")).collect()] == ["s"]
     pairs = labelling.reachable_pairs(frame(spark, [("a", 1), ("b", 1), ("c", 1)], "contig string, label long"), frame(spark, [("a", 0), ("b", 0), ("c", 2)], "id string, component long"))
     assert tuple(pairs.first()) == (3, 1)
+
+
+def test_quantiles_are_exact_beyond_what_is_brought_to_the_driver(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=4_000), np.full(3_000, 0.25), rng.normal(size=2_000) * 1e-3])
+    rows = spark.createDataFrame(pd.DataFrame({"x": x})).union(spark.createDataFrame([(None,)], "x double"))
+    levels = [0.0, 0.1, 0.5, 0.77, 0.999, 1.0]
+    for local in (50, 700, 100_000):
+        assert evidence.quantiles(rows, "x", levels, local) == pytest.approx(np.quantile(x, levels).tolist(), abs=1e-12)
+
+
+def test_encoder_of_all_rows_equals_that_of_one_task(spark):
+    """The distributed layers give what the model gives in memory; training on a part still embeds every row."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(3, 6))
+    x = model.unit_rows(centres[np.arange(45) % 3] + 0.2 * rng.normal(size=(45, 6)))[0]
+    edges = np.array([(i, i + 3) for i in range(42)])
+    config = BinningConfig(search=Search(neighbours=5), training=Training(epochs=(10, 20), check_every=5, hidden=8, latent=4))
+    net, _, stats = model.train(x, edges, config)
+    rows = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "id long, u array<double>")
+    links = frame(spark, edges.tolist(), "src long, dst long")
+    got = {r["id"]: r["z"] for r in model.encode_all(rows, links, model._packed(net)).collect()}
+    assert np.allclose([got[k] for k in range(45)], net.encode(x, model.spreader(45, *edges.T))[0])
+    both = rows.withColumn("b", F.col("u"))
+    for most in (50_000, 20):
+        z, told = model.embed(both, links, config, supported=links.limit(2), fit_nodes=most)
+        out = {r["id"]: r["z"] for r in z.collect()}
+        assert len(out) == 45 and np.allclose(np.linalg.norm([out[k] for k in range(45)], axis=1), 1) and told["fitted_nodes"] == str(min(45, most))
+
+
+def test_training_graph_is_rebuilt_from_evidence():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 12))
+    group = np.arange(120) % 6
+    a, b = (model.unit_rows(centres[group] + 0.15 * rng.normal(size=(120, 12)))[0] for _ in range(2))
+    config = BinningConfig(search=Search(neighbours=10))
+    pairs = model.rebuilt(a, b, rng.normal(size=(120, 4)) * 0.1, np.array([[0, 1]]), config)
+    inside = group[pairs[:, 0]] == group[pairs[:, 1]]
+    assert [0, 1] in pairs.tolist() and (pairs[:, 0] < pairs[:, 1]).all() and inside.sum() > 300 and (~inside).sum() == 1
+    near = {tuple(p) for p in model._mutual(a, 3).tolist()}
+    c = a @ a.T - 9 * np.eye(120)
+    top = [set(np.argsort(-r)[:3].tolist()) for r in c]
+    assert near == {(i, j) for i in range(120) for j in top[i] if i < j and i in top[j]}
