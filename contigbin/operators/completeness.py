@@ -21,6 +21,12 @@ def gate(repeats: DataFrame, least: int = 20, share: float = 0.20) -> DataFrame:
     return repeats.withColumn("locked", (r >= least) & (r <= share * F.col("length")))
 
 
+def locked_share(gated: DataFrame) -> DataFrame:
+    """One row: locked contigs and their share of all (AGG-41)."""
+    n = F.count_if("locked")
+    return gated.agg(n.alias("locked"), F.round(n / F.greatest(F.count("*"), F.lit(1)), 6).alias("fraction"))
+
+
 def isolate(labelled: DataFrame) -> DataFrame:
     """contig, bin: locked contigs get labels of their own, then all labels become dense from 0 in their order (ML-15).
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
+from ..functions.text import alphanumeric
 
 
 def interval_union(spans: DataFrame, *by: str) -> DataFrame:
@@ -68,6 +69,15 @@ def average_ranks(values: DataFrame, by: str, value: str) -> DataFrame:
     return values.join(ranks, [by, value])
 
 
+def rank_correlation_summary(values: DataFrame, key: str, by: str, value: str) -> DataFrame:
+    """One row: median, least and greatest rank correlation of pairs of ``by`` (AGG-33)."""
+    r = average_ranks(values, by, value).select(key, by, "rank_avg")
+    a, b = (r.select(key, F.col(by).alias(s), F.col("rank_avg").alias(f"r{s}")) for s in ("a", "b"))
+    rho = a.join(b, key).filter("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"))
+    clean = lambda c: F.round(c, 6) + F.lit(0.0)
+    return rho.agg(clean(F.median("rho")).alias("median"), clean(F.min("rho")).alias("least"), clean(F.max("rho")).alias("greatest"))
+
+
 def identity_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """l, r, strand of equal sequences on either strand, forward first (JN-12); joined on hashes. Rows: id, sequence."""
     a = left.select(F.col("id").alias("l"), F.sha2("sequence", 256).alias("h"), F.sha2(reverse_complement(F.col("sequence")), 256).alias("b"))
@@ -108,12 +118,43 @@ def gene_architecture(genes: DataFrame, lengths: DataFrame) -> DataFrame:
 
 def protein_clusters(members: DataFrame) -> DataFrame:
     """contig, cluster, n_proteins, cluster_size, cluster_contigs (AGG-30). ``members``: protein, contig, cluster (null: a cluster of its own)."""
-    named = members.withColumn("cluster", F.coalesce("cluster", "protein"))
+    named = members.withColumn("cluster", F.coalesce("cluster", F.col("protein").cast("string")))
     each = named.groupBy("contig", "cluster").agg(F.count("*").alias("n_proteins"))
     sizes = each.groupBy("cluster").agg(F.sum("n_proteins").alias("cluster_size"), F.count("*").alias("cluster_contigs"))
     return each.join(sizes, "cluster").select("contig", "cluster", "n_proteins", "cluster_size", "cluster_contigs")
 
 
+def closest_candidate(candidates: DataFrame, share: float = 0.01, least: int = 30, gc: float = 1.0) -> DataFrame:
+    """term, id of the best of each term's candidates (SRT-7). Rows: term, id, name, length, gc, want_length, want_gc.
+
+    Those whose length or G + C percentage is too far from what is wanted are out; a name that holds the term goes first,
+    then the nearest length, then the least id. Fixed values: the tolerances.
+    """
+    off = F.abs(F.col("length") - F.col("want_length"))
+    near = candidates.filter((off <= F.greatest(F.lit(least), share * F.col("want_length"))) & (F.abs(F.col("gc") - F.col("want_gc")) <= gc))
+    best = F.min(F.struct((~F.contains(alphanumeric(F.col("name")), alphanumeric(F.col("term")))).alias("other"), off.alias("off"), "id"))
+    return near.groupBy("term").agg(best.alias("b")).select("term", F.col("b.id").alias("id"))
+
+
+def rivals(spans: DataFrame, groups: DataFrame, lengths: DataFrame, share: float = 0.25) -> DataFrame:
+    """query, best, rival, extra: the first target of another group, by matches, whose spans cover ``share`` of the query outside the best's (JN-14).
+
+    ``spans``: query, target, start, end, matches; ``groups``: target, truth; ``lengths``: query, length.
+    """
+    scored = spans.groupBy("query", "target").agg(F.sum("matches").alias("matches")).join(groups, "target")
+    by = Window.partitionBy("query").orderBy(F.desc("matches"), "target")
+    ranked = scored.withColumns({"rank": F.row_number().over(by), "best": F.first("target").over(by), "own": F.first("truth").over(by)})
+    others = ranked.filter("truth <> own").select("query", "target", "best", "rank")
+    # the cover of best and other together, less that of the best alone
+    alone = interval_union(spans, "query", "target").select("query", F.col("target").alias("best"), F.col("covered").alias("b"))
+    pairs = others.withColumn("of", F.explode(F.array("target", "best")))
+    both = pairs.join(spans.select("query", F.col("target").alias("of"), "start", "end"), ["query", "of"]).withColumnRenamed("target", "rival")
+    together = interval_union(both, "query", "rival", "best", "rank").join(alone, ["query", "best"]).join(lengths, "query")
+    far = together.withColumn("extra", F.col("covered") - F.col("b")).filter(F.col("extra") >= share * F.col("length"))
+    first = far.groupBy("query", "best").agg(F.min(F.struct("rank", "rival", "extra")).alias("r"))
+    return first.select("query", "best", F.col("r.rival").alias("rival"), F.col("r.extra").alias("extra"))
+
+
 def dead_samples(coverage: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """sample whose depths are all alike (AGG-34)."""
     return coverage.groupBy("sample").agg((F.max("depth") - F.min("depth")).alias("d")).filter(F.col("d") <= tolerance).select("sample")

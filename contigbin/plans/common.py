@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share: that of checkpoints, or else the warehouse."""
+    context = spark.sparkContext
+    root = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/contigbin-{label}-{uuid.uuid4().hex}"
+
+
 def r6(c):
     """Rounded to 6 digits, without a negative zero."""
     return F.round(c, 6) + F.lit(0.0)

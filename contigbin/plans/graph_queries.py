@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
 from ..operators import completeness, features, graph, labelling, neighbours
+from ..sources import fasta
 from .common import SEQ, WALK, r6, seq, table, walk
 from .feature_queries import query as _query
 
@@ -133,9 +134,8 @@ def sequence_identity_join(spark, d):
 select bin, count(*)::BIGINT as n_contigs, md5(string_agg(sequence, repeat('N', 1500) order by contig)) as digest, (sum(length(sequence)) + 1500 * (count(*) - 1))::BIGINT as length from b group by 1""")
 def bin_linking(spark, d):
     s = seq(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("contig"), F.concat_ws("/", "source", "lang").alias("name")), "contig")
-    bins = s.withColumn("bin", F.regexp_replace("name", "[^A-Za-z0-9._-]", "_")).groupBy("bin").agg(F.count("*").alias("n_contigs"), F.array_sort(F.collect_list(F.struct("contig", "sequence"))).alias("s"))
-    linked = F.array_join(F.transform("s", lambda x: x["sequence"]), "N" * 1500)
-    return bins.select("bin", "n_contigs", F.md5(linked.cast("binary")).alias("digest"), F.length(linked).cast("long").alias("length"))
+    linked, _ = fasta.link_bins(s, s.select("contig", F.col("name").alias("bin")))
+    return linked.select("bin", "n_contigs", F.md5(F.col("sequence").cast("binary")).alias("digest"), F.length("sequence").cast("long").alias("length"))
 
 
 _CIGAR = "(o_orderkey % 90 + 10) || 'M' || (o_orderkey % 7) || 'I' || (o_orderkey % 13) || '=' || (o_orderkey % 5) || 'D' || (o_orderkey % 11) || 'X'"

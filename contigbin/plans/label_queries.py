@@ -113,9 +113,7 @@ def joinable_fraction(spark, d):
 select contig, cluster, n::BIGINT as n_proteins, (sum(n) over (partition by cluster))::BIGINT as cluster_size, (count(*) over (partition by cluster))::BIGINT as cluster_contigs from m""")
 def protein_cluster_rollup(spark, d):
     brand = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("cluster"))
-    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("contig"), "l_partkey").join(brand, "l_partkey").groupBy("contig", "cluster").agg(F.count("*").alias("n_proteins"))
-    sizes = m.groupBy("cluster").agg(F.sum("n_proteins").alias("cluster_size"), F.count("*").alias("cluster_contigs"))
-    return m.join(sizes, "cluster").select("contig", "cluster", "n_proteins", "cluster_size", "cluster_contigs")
+    return labelling.protein_clusters(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("contig"), "l_partkey").join(brand, "l_partkey").withColumnRenamed("l_partkey", "protein"))
 
 
 @_query("""with o as (select conv_id as contig, turn, role, length(text) as len, lag(role) over (partition by conv_id order by turn) as before from conversations),

@@ -96,6 +96,16 @@ def fasta_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter("value LIKE '>%'").select(F.regexp_extract("value", r"^>(\S*)", 1).alias("contig"))
 
 
+def subset(records: DataFrame, names: DataFrame) -> DataFrame:
+    """Records whose contig is in ``names``, in the order of their positions within range-partitioned files (JN-19)."""
+    return records.join(names.select("contig").distinct(), "contig", "left_semi").repartitionByRange("position").sortWithinPartitions("position")
+
+
+def longer(records: DataFrame, least: int = 1_000) -> DataFrame:
+    """Records of at least ``least`` letters (PRJ-5)."""
+    return records.filter(F.length("sequence") >= least)
+
+
 def record(contig: Column, sequence: Column, width: int = 80) -> Column:
     return F.concat(F.lit(">"), contig, F.lit("\n"), wrapped(sequence, width))
 

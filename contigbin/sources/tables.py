@@ -149,6 +149,17 @@ def export_cohort(records: DataFrame, truth: DataFrame, coverage: DataFrame, pat
     return cohort.count()
 
 
+def unaliased(rows: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
+    """``rows`` with names in place of the aliases in ``column`` (JN-20). ``aliases``: contig, alias; rows of no known alias go."""
+    names = aliases.select(F.col("alias").alias("_alias"), F.col("contig").alias("_contig"))
+    return rows.join(names, rows[column] == names["_alias"]).withColumn(column, F.col("_contig")).drop("_alias", "_contig")
+
+
+def report(rows: DataFrame, by: str) -> DataFrame:
+    """Rows by falling ``by`` as a number; those without one last (SRT-3)."""
+    return rows.orderBy(F.expr(f"try_cast({by} as double)").desc_nulls_last(), *(c for c in rows.columns if c != by))
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], replace: bool) -> DataFrame:
     """Rows of both; of equal keys the incoming (``replace``) or the existing (SNK-7). Raises if the columns differ."""
     if existing.columns != incoming.columns:
