@@ -46,11 +46,11 @@ from .common import bounded_batches, byte_codes, materialize, maybe_broadcast, m
 LENGTH = 100
 GRAM = 24
 CHUNK = 1 << 18
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 BATCH = 1 << 16
 HOT = 8_192
-BUCKET_BYTES = 64 << 20
-INDEX_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
+INDEX_BYTES = 48 << 20
 QUERY, NOTICE, INDEX, REMOVED = range(4)
 NULL_ID = -(1 << 63)
 
