@@ -3,8 +3,9 @@
 The objective is the weight inside communities less gamma * n * (n - 1) / 2 of each.
 With weights and gamma above 0 an optimum never joins what no path joins, so each
 connected component is solved by itself: small ones whole in a task (local moving,
-refinement, aggregation, after Traag, Waltman and van Eck 2019), ones of over LIMIT
-nodes by rounds of moves as joins over all tasks.
+refinement, aggregation, after Traag, Waltman and van Eck 2019). Ones of over LIMIT
+nodes are first contracted: rounds of moves as joins over all tasks, then each connected
+part of a community becomes a node with its size, until a task can hold the contracted component and solves it.
 """
 
 from __future__ import annotations
@@ -70,11 +71,11 @@ def _move(label: np.ndarray, sizes: np.ndarray, adjacency, gamma: float, within:
     return moved
 
 
-def cpm_labels(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, gamma: float, initial: np.ndarray | None = None, rounds: int = 3) -> np.ndarray:
-    """Communities of nodes 0..n - 1, dense from 0."""
+def cpm_labels(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, gamma: float, initial: np.ndarray | None = None, rounds: int = 3, weights: np.ndarray | None = None) -> np.ndarray:
+    """Communities of nodes 0..n - 1, dense from 0. ``weights``: how many nodes each stands for (1)."""
     label = np.arange(n) if initial is None else np.unique(initial, return_inverse=True)[1].copy()
     for _ in range(rounds):
-        before, groups, sizes = label.copy(), np.arange(n), np.ones(n)
+        before, groups, sizes = label.copy(), np.arange(n), np.ones(n) if weights is None else weights.astype(float)
         s, d, x, part = src, dst, w, label.copy()
         while True:
             adjacency = _neighbours(len(sizes), s, d, x)
@@ -99,47 +100,92 @@ def cpm_labels(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, gamma: f
     return np.unique(label, return_inverse=True)[1]
 
 
-def _moves(nodes: DataFrame, edges: DataFrame, gamma: float, rounds: int = 20) -> DataFrame:
-    """id, label of large components: in each round half of the nodes (by hash) take their best community."""
+def _moves(nodes: DataFrame, edges: DataFrame, gamma: float, rounds: int = 8) -> DataFrame:
+    """id, size, label after rounds in which half of the nodes (by hash) take their best community, until two rounds move nothing. ``nodes``: id, size, label.
+
+    A node's choices are its neighbours' communities, its own, and its id as a label of its own if no community has it.
+    """
     both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")).checkpoint()
-    label = nodes.select("id", F.col("id").alias("label")).checkpoint()
+    label, still = nodes.select("id", "size", "label").checkpoint(), 0
     for k in range(rounds):
-        sizes = label.groupBy("label").agg(F.count("*").alias("n"))
-        into = both.join(label.select(F.col("id").alias("dst"), F.col("label").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("weight").alias("w"))
-        scored = into.join(sizes.select(F.col("label").alias("to"), "n"), "to").join(label, "id")
-        gain = F.col("w") - gamma * (F.col("n") - (F.col("to") == F.col("label")).cast("int"))
-        best = scored.groupBy("id").agg(F.max(F.struct(gain.alias("gain"), (F.col("to") == F.col("label")).alias("stay"), F.col("to"))).alias("best"))
+        sizes = label.groupBy(F.col("label").alias("to")).agg(F.sum("size").alias("n"))
+        near = both.join(label.select(F.col("id").alias("dst"), F.col("label").alias("to")), "dst").select(F.col("src").alias("id"), "to", "weight")
+        choices = near.union(label.select("id", "label", F.lit(0.0))).union(label.select("id", "id", F.lit(0.0))).groupBy("id", "to").agg(F.sum("weight").alias("w"))
+        scored = choices.join(label, "id").join(sizes, "to", "left")
+        own = F.col("to") == F.col("label")
+        others = F.coalesce("n", F.lit(0.0)) - F.when(own, F.col("size")).otherwise(0.0)
+        gain = F.round(F.col("w") - gamma * F.col("size") * others, 9)
+        best = scored.groupBy("id").agg(F.first("size").alias("size"), F.first("label").alias("label"), F.max(F.struct(gain.alias("gain"), own.alias("stay"), F.col("to"))).alias("best"))
         turn = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0
-        new = label.join(best, "id", "left").select("id", F.when(turn & (F.col("best.gain") > 0), F.col("best.to")).when(turn & (F.col("best.gain") < 0), F.col("id")).otherwise(F.col("label")).alias("new"), "label").checkpoint()
-        label = new.select("id", F.col("new").alias("label"))
-        if k % 2 and not new.filter("new <> label").limit(1).count():
+        new = best.select("id", "size", "label", F.when(turn, F.col("best.to")).otherwise(F.col("label")).alias("new")).checkpoint()
+        still = 0 if new.filter("new <> label").limit(1).count() else still + 1
+        label = new.select("id", "size", F.col("new").alias("label"))
+        if still == 2:
             break
     return label
 
 
-def cpm_partition(nodes: DataFrame, edges: DataFrame, gamma: float, limit: int = LIMIT) -> DataFrame:
-    """id, bin of every node. ``edges``: src, dst, weight above 0; ``nodes``: id, and a label to start from, if any."""
-    edges = edges.filter("weight > 0 AND src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
-    start = nodes.select("id", (F.col("label") if "label" in nodes.columns else F.col("id")).alias("label"))
-    placed = start.join(graph.connected_components(nodes, edges), "id").checkpoint()
-    sizes = placed.groupBy("component").agg(F.count("*").alias("n")).checkpoint()
-    parts = edges.join(placed.select(F.col("id").alias("src"), F.col("component").alias("part")), "src").join(sizes.select(F.col("component").alias("part"), F.col("n").alias("m")), "part")
+def _whole(nodes: DataFrame, edges: DataFrame, gamma: float) -> DataFrame:
+    """id, bin: each component in a task. ``nodes``: id, size, label, component; ``edges``: src, dst, weight, component."""
 
     def solve(key, members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         members = members.sort_values("id")
         ids = members["id"].to_numpy()
-        labels = cpm_labels(len(ids), np.searchsorted(ids, links["src"]), np.searchsorted(ids, links["dst"]), links["weight"].to_numpy(), gamma, members["label"].to_numpy())
+        s, d = (np.searchsorted(ids, links[e]) for e in ("src", "dst"))
+        labels = cpm_labels(len(ids), s, d, links["weight"].to_numpy(), gamma, members["label"].to_numpy(), weights=members["size"].to_numpy())
         least = np.zeros(labels.max() + 1, np.int64)
         least[labels[::-1]] = ids[::-1]
         return pd.DataFrame({"id": ids, "bin": least[labels]})
 
-    small = placed.join(sizes.filter((F.col("n") > 1) & (F.col("n") <= limit)), "component")
-    solved = small.groupBy("component").cogroup(parts.filter(F.col("m") <= limit).groupBy("part")).applyInPandas(solve, "id long, bin long")
+    nodes, edges = nodes.select("component", "id", "size", "label"), edges.select(F.col("component").alias("part"), "src", "dst", "weight")
+    return nodes.groupBy("component").cogroup(edges.groupBy("part")).applyInPandas(solve, "id long, bin long")
+
+
+def _contracted(nodes: DataFrame, edges: DataFrame, gamma: float, limit: int) -> DataFrame:
+    """id, bin of components of any size. Columns as in ``_whole``; labels do not cross components."""
+    moved = _moves(nodes, edges, gamma)
+    ends = [moved.select(F.col("id").alias(e), F.col("label").alias(f"{e}_label")) for e in ("src", "dst")]
+    inner = edges.join(ends[0], "src").join(ends[1], "dst").filter("src_label = dst_label").select("src", "dst")
+    # the connected parts of a community are contracted apart: the solver may join them again, moves cannot part them
+    into = graph.connected_components(moved.select("id"), inner).select("id", F.col("component").alias("to")).checkpoint()
+    groups = nodes.select("id", "size", "component").join(into, "id").groupBy("component", F.col("to").alias("id")).agg(F.sum("size").alias("size")).withColumn("label", F.col("id")).checkpoint()
+    ends = [into.select(F.col("id").alias(e), F.col("to").alias(f"{e}_to")) for e in ("src", "dst")]
+    crossing = edges.join(ends[0], "src").join(ends[1], "dst").filter("src_to <> dst_to")
+    links = crossing.groupBy("component", F.least("src_to", "dst_to").alias("src"), F.greatest("src_to", "dst_to").alias("dst")).agg(F.sum("weight").alias("weight")).checkpoint()
+    sizes = groups.groupBy("component").agg(F.count("*").alias("m"))
+    fit, rest = (sizes.filter(c).select("component") for c in (F.col("m") <= limit, F.col("m") > limit))
+    found = _whole(groups.join(fit, "component", "left_semi"), links.join(fit, "component", "left_semi"), gamma)
+    if rest.limit(1).count():
+        left, far = groups.join(rest, "component", "left_semi"), links.join(rest, "component", "left_semi")
+        before = nodes.join(rest, "component", "left_semi").count()
+        # communities that no move has joined stay as they are: nothing is left to contract
+        found = found.union(_contracted(left, far, gamma, limit) if left.count() < before else left.select("id", F.col("id").alias("bin")))
+    return into.join(found.withColumnRenamed("id", "to"), "to").select("id", "bin")
+
+
+def cpm_partition(nodes: DataFrame, edges: DataFrame, gamma: float, limit: int = LIMIT, passes: int = 2) -> DataFrame:
+    """id, bin of every node. ``edges``: src, dst, weight above 0; ``nodes``: id, and a label to start from, if any.
+
+    Components of over ``limit`` nodes are contracted and solved ``passes`` times, each pass starting its moves of
+    single nodes from the bins of the one before.
+    """
+    edges = edges.filter("weight > 0 AND src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight"))
+    start = nodes.select("id", (F.col("label") if "label" in nodes.columns else F.col("id")).alias("label"), F.lit(1.0).alias("size"))
+    placed = start.join(graph.connected_components(nodes, edges), "id").checkpoint()
+    sizes = placed.groupBy("component").agg(F.count("*").alias("n")).checkpoint()
+    parts = edges.join(placed.select(F.col("id").alias("src"), "component"), "src").join(sizes, "component")
+    whole = sizes.filter((F.col("n") > 1) & (F.col("n") <= limit)).select("component")
     alone = placed.join(sizes.filter("n = 1"), "component").select("id", F.col("id").alias("bin"))
-    out = solved.union(alone)
+    out = _whole(placed.join(whole, "component"), parts.filter(F.col("n") <= limit), gamma).union(alone)
     if sizes.filter(F.col("n") > limit).limit(1).count():
-        big = placed.join(sizes.filter(F.col("n") > limit), "component").select("id")
-        out = out.union(_moves(big, parts.filter(F.col("m") > limit), gamma))
+        big = placed.join(sizes.filter(F.col("n") > limit).select("component"), "component")
+        far = parts.filter(F.col("n") > limit).select("component", "src", "dst", "weight").checkpoint()
+        for _ in range(passes):
+            least = big.groupBy("component", "label").agg(F.min("id").alias("least"))  # labels to start from may cross components
+            big = big.join(least, ["component", "label"]).select("id", "size", "component", F.col("least").alias("label")).checkpoint()
+            found = _contracted(big, far, gamma, limit).checkpoint()
+            big = big.drop("label").join(found.withColumnRenamed("bin", "label"), "id")
+        out = out.union(found)
     return out
 
 

@@ -206,8 +206,15 @@ def test_partition_finds_planted_groups(spark):
     assert len(got) == 62 and got[60] == 60 and got[61] == 61
     again = np.unique([got[k] for k in range(60)], return_inverse=True)[1]
     assert quality_of(again, edges, 0.25) == pytest.approx(quality_of(labels, edges, 0.25))
-    spread = {r["id"]: r["bin"] for r in partition.cpm_partition(spark.range(60), rows, 0.25, limit=10).collect()}
-    assert quality_of(np.unique([spread[k] for k in range(60)], return_inverse=True)[1], edges, 0.25) > 0.8 * quality_of(planted, edges, 0.25)
+
+
+def test_partition_of_contracted_components(spark):
+    """Components over the limit, the contracted one too, from labels that cross components: the cliques."""
+    cliques = [(a, b, 1.0) for a in range(24) for b in range(a + 1, 24) if a // 4 == b // 4]
+    bridges = [(3, 4, 0.1), (7, 8, 0.1), (15, 16, 0.1), (19, 20, 0.1)]
+    nodes = spark.range(25).withColumn("label", F.col("id") % 2)
+    got = {r["id"]: r["bin"] for r in partition.cpm_partition(nodes, frame(spark, cliques + bridges, "src long, dst long, weight double"), 0.25, limit=2, passes=1).collect()}
+    assert got == {k: k // 4 * 4 for k in range(25)}
 
 
 def test_autoencoder_gradients():
