@@ -50,7 +50,8 @@ def order_statistics(rows: DataFrame, column: str, ranks: list[int], local: int
 def quantiles(rows: DataFrame, column: str, levels: list[float], local: int = LOCAL) -> list[float]:
     """Exact quantiles, linear between neighbouring values. No task or driver holds more than ``local`` values."""
     rows = rows.select(column).filter(F.col(column).isNotNull())
-    at = [q * (rows.count() - 1) for q in levels]
+    last = rows.count() - 1
+    at = [q * last for q in levels]
     values = order_statistics(rows, column, sorted({f(x) for x in at for f in (math.floor, math.ceil)}), local)
     return [values[math.floor(x)] + (values[math.ceil(x)] - values[math.floor(x)]) * (x - math.floor(x)) for x in at]
 
