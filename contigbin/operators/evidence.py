@@ -64,10 +64,13 @@ def robust_null(scores: DataFrame, column: str = "score") -> DataFrame:
     return scores.sparkSession.createDataFrame([(centre, 1.4826 * mad + 1e-9, n)], "centre double, scale double, n long")
 
 
-def upper_tail_prior(scores: DataFrame, levels: int = 100, column: str = "score") -> DataFrame:
-    """One row, prior: greatest excess of upper-tail mass over the null at ``levels`` quantiles from 0.5 to 1 - 1e-5, in [1e-9, 0.5] (AGG-6)."""
+def upper_tail_prior(scores: DataFrame, levels: int = 100, column: str = "score", null=None) -> DataFrame:
+    """One row, prior: greatest excess of upper-tail mass over the null at ``levels`` quantiles from 0.5 to 1 - 1e-5, in [1e-9, 0.5] (AGG-6).
+
+    ``null``: as in ``fit_mixture``.
+    """
     q = [0.5 + (0.5 - 1e-5) * i / (levels - 1) for i in range(levels)]
-    null = robust_null(scores, column).first()
+    null = null or robust_null(scores, column).first()
     at = scores.sparkSession.createDataFrame(list(zip(q, quantiles(scores, column, q), strict=True)) if null["n"] else [], "level double, t double")
     excess = (1 - F.col("level")) - upper_tail((F.col("t") - null["centre"]) / null["scale"])
     return at.agg(F.max(excess).alias("excess")).select(F.least(F.greatest(F.coalesce("excess", F.lit(1e-9)), F.lit(1e-9)), F.lit(0.5)).alias("prior"))
@@ -86,9 +89,12 @@ def em_step(scores: DataFrame, fit: dict, column: str = "score") -> DataFrame:
     return moved.select("mass", "mean", F.sqrt(F.greatest(variance, F.lit(1e-6))).alias("scale"))
 
 
-def fit_mixture(scores: DataFrame, prior: float, column: str = "score", rounds: int = 200, local: int = LOCAL) -> dict:
-    """EM with a fixed null, on one array or (over ``local`` scores) by an aggregate a round; stops when the mass is under 10 or the step under 1e-9."""
-    null = robust_null(scores, column).first()
+def fit_mixture(scores: DataFrame, prior: float, column: str = "score", rounds: int = 200, local: int = LOCAL, null=None) -> dict:
+    """EM with a fixed null, on one array or (over ``local`` scores) by an aggregate a round; stops when the mass is under 10 or the step under 1e-9.
+
+    ``null``: the row of ``robust_null`` of the scores, if it is known.
+    """
+    null = null or robust_null(scores, column).first()
     if null["n"] <= local:
         values = scores.select(column).toArrow()[column].to_numpy()
         return _fitted(null["centre"], null["scale"], prior, null["n"] and rounds, lambda fit: _em_array(values, fit))

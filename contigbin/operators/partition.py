@@ -214,11 +214,12 @@ def unknown_k(views: DataFrame, pairs: DataFrame, nulls: dict[str, DataFrame], c
     u, v = (views.select(F.col("id").alias(e), F.col("a").alias(f"a_{e}"), F.col("b").alias(f"b_{e}")) for e in ("src", "dst"))
     scored = pairs.select("src", "dst").join(u, "src").join(v, "dst").select("src", "dst", dot(F.col("a_src"), F.col("a_dst")).alias("a"), dot(F.col("b_src"), F.col("b_dst")).alias("b")).checkpoint()
     label, stats = nodes.withColumn("label", F.col("id")), {"rounds": 0, "candidate_edges": scored.count(), "mean_degree": 0.0, "density_scale": 1.0, "active": ""}
-    null = {k: evidence.robust_null(s).first()["scale"] for k, s in nulls.items()}
-    prior = evidence.upper_tail_prior(nulls["b" if null["b"] >= 1e-3 else "a"], 2_000 if n > 10 else 100).first()[0]
+    null = {k: evidence.robust_null(s).first() for k, s in nulls.items()}
+    tail = "b" if null["b"]["scale"] >= 1e-3 else "a"
+    prior = evidence.upper_tail_prior(nulls[tail], 2_000 if n > 10 else 100, null=null[tail]).first()[0]
     share = views.agg(F.avg((dot(F.col("b"), F.col("b")) > 1e-16).cast("int"))).first()[0] or 0.0
     for k in range(config.evidence.rounds if stats["candidate_edges"] else 0):
-        fits = {x: evidence.fit_mixture(nulls[x], prior) for x in ("a", "b")}
+        fits = {x: evidence.fit_mixture(nulls[x], prior, null=null[x]) for x in ("a", "b")}
         odds = scored.withColumns({f"e_{x}": evidence.log_odds(F.col(x), fits[x]) for x in ("a", "b")})
         top = odds.agg(F.max("e_a").alias("a"), F.max("e_b").alias("b")).first()
         active = [x for x in ("a", "b") if evidence.informative(fits[x]) and top[x] > 0] or ["a"]

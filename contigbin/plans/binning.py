@@ -56,9 +56,10 @@ def run(spark: SparkSession, fasta_path: str, coverage_path: str, gfa_path: str,
 
     a, b = (views.select("id", F.col(k).alias("u")) for k in ("a", "b"))
     nulls = {k: partition.null_scores(x, config.evidence.null_draws, config.seed).checkpoint() for k, x in (("a", a), ("b", b))}
-    valid = evidence.robust_null(nulls["b"]).first()["scale"] >= 1e-3
-    prior = evidence.upper_tail_prior(nulls["b" if valid else "a"], 2_000).first()[0]
-    fits = {k: evidence.fit_mixture(nulls[k], prior) for k in ("a", "b")}
+    null = {k: evidence.robust_null(s).first() for k, s in nulls.items()}
+    tail = "b" if null["b"]["scale"] >= 1e-3 else "a"
+    prior = evidence.upper_tail_prior(nulls[tail], 2_000, null=null[tail]).first()[0]
+    fits = {k: evidence.fit_mixture(nulls[k], prior, null=null[k]) for k in ("a", "b")}
     left, right = (views.select(F.col("id").alias(e), F.col("a").alias(f"a_{e}"), F.col("b").alias(f"b_{e}")) for e in ("src", "dst"))
     dots = assembly.join(left, "src").join(right, "dst").select("src", "dst", *(F.aggregate(F.zip_with(f"{k}_src", f"{k}_dst", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias(k) for k in ("a", "b")))
     supported = evidence.positive_edges(dots, fits, need_evidence=False).select("src", "dst").checkpoint()
