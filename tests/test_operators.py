@@ -402,6 +402,15 @@ def test_quantiles_are_exact_beyond_what_is_brought_to_the_driver(spark):
         assert evidence.quantiles(rows, "x", levels, local) == pytest.approx(np.quantile(x, levels).tolist(), abs=1e-12)
 
 
+def test_quantile_levels_share_one_count(spark, monkeypatch):
+    rows = spark.range(1_001).select(F.col("id").cast("double").alias("x"))
+    real, calls = type(rows).count, []
+    monkeypatch.setattr(type(rows), "count", lambda df: (calls.append(1), real(df))[1])
+    levels = np.linspace(0, 1, 200).tolist()
+    assert evidence.quantiles(rows, "x", levels) == pytest.approx([1_000 * q for q in levels])
+    assert len(calls) == 1
+
+
 def test_encoder_of_all_rows_equals_that_of_one_task(spark):
     """The distributed layers give what the model gives in memory; training on a part still embeds every row."""
     rng = np.random.default_rng(2)
