@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import quality, sharding, target_resampling, vector_codes
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _SPACE = r"'[\x20\x09-\x0D]+'"
@@ -89,6 +89,46 @@ reach(id, other) as (select doc_id, doc_id from d union select r.id, u.b from re
 select d.doc_id, coalesce(n.n, 0)::BIGINT as n_shingles, component_id, d.doc_id = component_id as kept from d join c on c.id = d.doc_id left join n on n.doc_id = d.doc_id"""
 
 
+def _codes() -> str:
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    squares = "list_sum(list_transform(list_zip(p.x, e.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+    def assigned(r: int) -> str:
+        return f"a{r} as (select vec_id, label, p, x, m % {entries} as k, m // {entries} as d from (select p.vec_id, p.label, p.p, p.x, min({squares}::BIGINT * {entries} + e.k) as m from p join e{r} e using (p) group by all))"
+
+    def moved(r: int) -> str:
+        return f"""u{r} as (select p, k, j, sum(x[j])::BIGINT as s, count(*)::BIGINT as n from (select p, k, x, unnest(range(1, len(x) + 1)) as j from a{r}) group by all),
+e{r + 1} as (select e.p, e.k, coalesce(u.c, e.c) as c from e{r} e left join (select p, k, list((s - ((s % n) + n) % n) // n order by j) as c from u{r} group by 1, 2) u on u.p = e.p and u.k = e.k)"""
+
+    return f"""with v as (select vec_id, label, list_transform(embedding, lambda y: floor({vector_codes.SCALE} * y::DOUBLE)::BIGINT) as v, len(embedding) // {parts} as w from embeddings
+where embedding is not null and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0),
+p as (select vec_id, label, p, v[p * w + 1:p * w + w] as x from (select *, unnest(range(0, {parts})) as p from v)),
+e0 as (select p, row_number() over (partition by p order by vec_id) - 1 as k, x as c from p where vec_id in (select vec_id from v order by vec_id limit {entries})),
+{", ".join(f"{assigned(r)}, {moved(r)}" for r in range(vector_codes.ROUNDS))}, {assigned(vector_codes.ROUNDS)},
+h as (select sha256(string_agg(x::VARCHAR, ',' order by p, k, j)) as codebooks_sha256 from (select p, k, unnest(c) as x, unnest(range(0, len(c))) as j from e{vector_codes.ROUNDS})),
+r as (select vec_id, label, string_agg(printf('%02x', k), '' order by p) as code, sum(d)::BIGINT as error from a{vector_codes.ROUNDS} group by 1, 2)
+select vec_id, code, error, (sum(error) over (partition by label))::BIGINT as label_error, codebooks_sha256 from r, h"""
+
+
+def _target() -> str:
+    r, word = target_resampling, r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    shift = "case when {0} & 1 = 1 then xor({0} >> 1, 3988292384) else {0} >> 1 end"
+    steps = ", ".join(f"t{k + 1} as (select i, {shift.format('c')} as c from t{k})" for k in range(8))
+    return f"""with t0 as (select i, i as c from (select unnest(range(0, 256))::BIGINT as i)), {steps}, tab as (select list(c order by i) as tab from t8),
+d as (select doc_id, regexp_extract_all({lower}, {word}) as w from documents), b as (select regexp_extract_all({lower}, {word}) as w from benchmark),
+x as (select f, sum(s)::BIGINT as s, sum(t)::BIGINT as t from (select unnest(w) as f, 1 as s, 0 as t from d union all select unnest(w), 0, 1 from b) group by 1),
+y as (select f, s, t, list_transform(range(0, strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 2 * i::INT + 1, 2))::BIGINT) as bytes from x),
+g as (select f, s, t, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, o: xor(c >> 8, tab[(xor(c, o) & 255) + 1])), 4294967295) % {r.BUCKETS} as bucket from y, tab),
+n as (select bucket, sum(s)::BIGINT as s, sum(t)::BIGINT as t from g group by 1), a as (select sum(s)::BIGINT as s, sum(t)::BIGINT as t from n),
+gain as (select bucket, floor(1000 * ln(((n.t + 1)::DOUBLE * (a.s + {r.BUCKETS})::DOUBLE) / ((n.s + 1)::DOUBLE * (a.t + {r.BUCKETS})::DOUBLE)))::BIGINT as gain from n, a),
+o as (select doc_id, count(*)::BIGINT as n, sum(gain)::BIGINT as z from (select doc_id, unnest(w) as f from d) join g using (f) join gain using (bucket) group by 1),
+q as (select doc_id, coalesce(n, 0)::BIGINT as n_features, coalesce((z - ((z % n) + n) % n) // n, 0)::BIGINT as weight, len(w) as words, ('0x' || substr(sha256('{r.SEED}:' || doc_id), 1, 8))::BIGINT as h from d left join o using (doc_id)),
+z as (select *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))))::BIGINT as score from q), k as (select ({r.SHARE} * count(*)) // 100 as k from z where words >= {r.LEAST_WORDS}),
+ranked as (select doc_id, row_number() over (order by score desc, doc_id) as rank from z where words >= {r.LEAST_WORDS})
+select z.doc_id, n_features, weight, score, case when rank <= k then rank end::BIGINT as rank from z left join ranked using (doc_id), k"""
+
+
 ORACLES = {
     "op1_sharding": _sharding(),
     "op2_quality_rules": _quality(),
@@ -96,4 +136,6 @@ ORACLES = {
     "op4_chat_format": _chat(),
     "op8_suffix_dedup": _suffixes(),
     "op9_near_dedup": _near(),
+    "op11_vector_codes": _codes(),
+    "op12_target_resampling": _target(),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, near_dedup, packing, quality, resampling, sharding, suffix_dedup, token_counts, toxicity
+from . import chat, decontaminate, near_dedup, packing, quality, resampling, sharding, suffix_dedup, target_resampling, token_counts, toxicity, vector_codes
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -56,10 +56,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_quality_rules, op3_decontamination, op4_chat_format, op5_token_counts, op6_packing, op7_resampling, op8_suffix_dedup, op9_near_dedup,
-        op10_toxicity,
+        op10_toxicity, op11_vector_codes, op12_target_resampling,
     )
 } | {"pipeline": corpus_pipeline.run}
