@@ -3,15 +3,16 @@
 Words are runs of ASCII letters (A-Z lower-cased), digits and characters beyond ASCII. The
 features of a text are its runs of 1 to ``n`` words, joined by a space, repeats counted.
 
-1. Texts are cut into parts of PART bytes (a longer text is a part alone). A part holds
-   its distinct words once, and its texts as numbers into them.
-2. The dictionary maps each distinct word of all parts to an id; a part's words are
-   joined with it, so a word crosses the network once a part, however often it occurs.
-3. Features are tuples of ids. A part's distinct tuples leave it with their counts.
+1. Texts are gathered into parts of about PART bytes (a longer text is a part alone). A part holds its
+   distinct words with their counts once, its distinct longer runs as places of words, and its
+   texts as numbers of these.
+2. The dictionary gives each distinct word of all parts an id, with its counts: a word crosses the
+   network once a part, however often it occurs. A single word is the tuple of its id alone.
+3. Longer runs become tuples of ids by a join with the dictionary; distinct tuples leave a part with their counts.
 4. Each distinct tuple of the whole corpus is spelled out and hashed once: its bucket is
    the CRC-32 of its bytes modulo BUCKETS. Counts are joined to it and summed by bucket.
 5. A bucket's gain is floor(1000 * log ratio of its smoothed shares in target and raw). The
-   buckets are joined back to the parts' tuples; a text's weight is the floored mean of its gains.
+   buckets are joined back to the parts; a text's weight is the floored mean of its gains.
 6. The score adds Gumbel noise from the SHA-256 of seed and id. Of the N texts of
    LEAST_WORDS words or more, floor(share * N / 100) of greatest score are drawn, ties to the
    lesser id. Scores are integers of a bounded range, so counts by score (at most some ten thousand
@@ -30,6 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ from pyspark.sql import types as T
 from .common import _LOWER, bounded_batches, columns, discard, materialize, maybe_broadcast, slices, utf8
 
 N, BUCKETS, SEED, SHARE, LEAST_WORDS = 1, 10_000, 2024, 10, 20
-PART = 2 << 20
+PART = 16 << 20
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[0x30:0x3A] = _INSIDE[0x61:0x7B] = _INSIDE[0x80:] = True
@@ -61,135 +63,143 @@ def word_array(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, np.diff(np.searchsorted(starts, offsets))
 
 
-def _row(*values: pa.Array) -> list[pa.Array]:
-    """Each array as a list column of one row."""
-    return [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
-
-
-def parts_of(texts: DataFrame) -> DataFrame:
-    """part, target, ids, n_words, at, words from rows (id, text, target): a part's texts as places in its distinct words."""
+def runs(at: np.ndarray, n_words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, list[list[int]], np.ndarray]:
+    """Of texts as word numbers: all features text by text, how many each text has, the distinct runs of 2 words or more, and their counts.
+
+    Feature k below the number of words is word k alone, beyond that a longer run.
+    """
+    done = int(at.max(initial=-1)) + 1
+    text = np.repeat(np.arange(len(n_words)), n_words)
+    left = np.repeat(np.cumsum(n_words), n_words) - np.arange(len(at))
+    start, codes, found, of, longer, counts = np.arange(len(at)), at.astype(np.int64), [at.astype(np.int64)], [text], [], [np.zeros(0, np.int64)]
+    for k in range(2, n + 1):
+        inside = left[start] >= k
+        start = start[inside]
+        pair = codes[inside] * (int(at.max(initial=0)) + 1) + at[start + k - 1]
+        _, first, codes, many = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+        found.append(codes + done + len(longer))
+        longer += at[start[first][:, None] + np.arange(k)].tolist()
+        of.append(text[start])
+        counts.append(many)
+    of = np.concatenate(of)
+    return np.concatenate(found)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(n_words)), longer, np.concatenate(counts)
+
+
+def parts_of(texts: DataFrame, n: int) -> DataFrame:
+    """From rows (id, text, target): part, target; ids, n_words, n_features, at (the features of its texts, packed); words, counts; longer, longer_counts."""
     id_type = texts.schema["id"].dataType
 
+    def part_row(part: int, target: bool, pieces: list[tuple[pa.Array, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+        n_words = np.concatenate([x[2] for x in pieces])
+        coded = pa.chunked_array([x[1] for x in pieces]).combine_chunks().dictionary_encode()
+        at, words = coded.indices.to_numpy(), coded.dictionary
+        counts = np.bincount(at, minlength=len(words))
+        order = np.argsort(-counts, kind="stable")  # frequent words have small numbers, which pack well
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        features, n_features, longer, longer_counts = runs(place[at], n_words, n)
+        lists = [pa.concat_arrays([x[0] for x in pieces]), pa.array(n_words.astype(np.int32)), pa.array(n_features.astype(np.int32))]
+        spelled = [words.take(pa.array(order)).cast(pa.string()), pa.array(counts[order]), pa.array(longer, pa.list_(pa.int32())), pa.array(longer_counts.astype(np.int64))]
+        one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+        packed = pa.array([pa.compress(features.astype(np.int32).tobytes(), "zstd", asbytes=True)], pa.binary())
+        columns = [pa.array([part], pa.int64()), pa.array([target]), *map(one, lists), packed, *map(one, spelled)]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "target", "ids", "n_words", "n_features", "at", "words", "counts", "longer", "longer_counts"])
+
     def run(batches):
-        part = (TaskContext.get().partitionId() << 32) - 1
+        part, held, size = TaskContext.get().partitionId() << 32, {False: [], True: []}, {False: 0, True: 0}
         for batch in batches:
-            for mine in slices(batch, "text", PART):
+            for mine in slices(batch, "text"):
                 for target in (False, True):
-                    piece = mine.filter(mine.column("target")) if target else mine.filter(pa.compute.invert(mine.column("target")))
-                    if not piece.num_rows:
-                        continue
-                    part += 1
-                    words, n = word_array(piece.column("text"))
-                    coded = words.dictionary_encode()
-                    lists = _row(piece.column("id"), pa.array(n, pa.int32()), coded.indices.cast(pa.int32()), coded.dictionary.cast(pa.string()))
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([target]), *lists], names=["part", "target", "ids", "n_words", "at", "words"])
+                    piece = mine.filter(mine.column("target") if target else pc.invert(mine.column("target")))
+                    if piece.num_rows:
+                        held[target].append((piece.column("id"), *word_array(piece.column("text"))))
+                        size[target] += pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0
+                    if size[target] >= PART:
+                        yield part_row(part, target, held[target])
+                        part, held[target], size[target] = part + 1, [], 0
+        for target, pieces in held.items():
+            if pieces:
+                yield part_row(part, target, pieces)
+                part += 1
 
     of = lambda name, kind: T.StructField(name, T.ArrayType(kind))
-    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("target", T.BooleanType()), of("ids", id_type), of("n_words", T.IntegerType()), of("at", T.IntegerType()), of("words", T.StringType())])
-    return bounded_batches(texts).mapInArrow(run, schema)
+    own = [T.StructField("part", T.LongType()), T.StructField("target", T.BooleanType()), of("ids", id_type), of("n_words", T.IntegerType()), of("n_features", T.IntegerType()), T.StructField("at", T.BinaryType())]
+    spelled = [of("words", T.StringType()), of("counts", T.LongType()), of("longer", T.ArrayType(T.IntegerType())), of("longer_counts", T.LongType())]
+    return bounded_batches(texts).mapInArrow(run, T.StructType(own + spelled))
 
 
-def listed(pairs: DataFrame, value: str) -> DataFrame:
-    """part, values: of rows (part, pos, value) each part's values in order."""
-    return pairs.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value]).alias("values"))
+def by_side(name: str) -> list[Column]:
+    """Sums of a count over raw and over target texts."""
+    return [F.sum(F.when(F.col("target") == side, F.col(name)).otherwise(0)).alias(to) for side, to in ((False, "raw"), (True, "wanted"))]
 
 
-def tuples_of(parts: DataFrame, n: int) -> DataFrame:
-    """part, target, ids, n_words, n_features, at, tuples, counts from rows of parts with ``values``, the dictionary ids of their words."""
-    fields = {f.name: f for f in parts.schema.fields}
+def bucket(text: Column, buckets: int) -> Column:
+    return (F.crc32(F.encode(text, "UTF-8")) % buckets).cast("int")
 
-    def runs(at: np.ndarray, left: np.ndarray):
-        """For each length the first words of all runs and a number for each distinct run. ``left``: words from here to the text's end."""
-        codes, start = at.astype(np.int64), np.arange(len(at))
-        wide = int(at.max(initial=0)) + 1
-        for k in range(1, n + 1):
-            if k > 1:
-                inside = left[start] >= k
-                start = start[inside]
-                codes = np.unique(codes[inside] * wide + at[start + k - 1], return_inverse=True)[1].astype(np.int64)
-            yield k, start, codes
 
-    def run(batches):
-        for batch in batches:
-            for row in (batch.slice(k, 1) for k in range(batch.num_rows)):
-                get = lambda name: row.column(name).flatten().to_numpy()  # noqa: B023, E731
-                at, n_words, ids = get("at"), get("n_words"), get("values").astype(np.int64) if len(get("at")) else np.zeros(0, np.int64)
-                text = np.repeat(np.arange(len(n_words)), n_words)
-                left = np.repeat(np.cumsum(n_words), n_words) - np.arange(len(at))
-                found, firsts, counts, lengths, of_text, done = [], [], [], [], [], 0
-                for k, start, codes in runs(at, left):
-                    own, first, inverse, many = np.unique(codes, return_index=True, return_inverse=True, return_counts=True)
-                    found.append(inverse + done)
-                    of_text.append(text[start])
-                    firsts.append(start[first])
-                    counts.append(many)
-                    lengths.append(np.full(len(own), k))
-                    done += len(own)
-                order = np.argsort(np.concatenate(of_text), kind="stable")
-                places = np.concatenate(found)[order].astype(np.int32)
-                n_features = np.bincount(np.concatenate(of_text), minlength=len(n_words)).astype(np.int32)
-                firsts, lengths = np.concatenate(firsts), np.concatenate(lengths)
-                ends = np.cumsum(lengths)
-                word = np.repeat(firsts, lengths) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-                spelled = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids[at[word]] if len(word) else ids))
-                lists = _row(pa.array(n_features), pa.array(places), spelled, pa.array(np.concatenate(counts).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([row.column(x) for x in ("part", "target", "ids", "n_words")] + lists, names=["part", "target", "ids", "n_words", "n_features", "at", "tuples", "counts"])
+def occurrences(parts: DataFrame) -> DataFrame:
+    """part, target, pos, word, n: each part's distinct words."""
+    return parts.select("part", "target", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "x")).select("part", "target", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
 
-    of = lambda name, kind: T.StructField(name, T.ArrayType(kind))
-    schema = T.StructType([*(fields[x] for x in ("part", "target", "ids", "n_words")), of("n_features", T.IntegerType()), of("at", T.IntegerType()), of("tuples", T.ArrayType(T.LongType())), of("counts", T.LongType())])
-    return bounded_batches(parts).mapInArrow(run, schema)
+
+def dictionary_of(parts: DataFrame, buckets: int) -> DataFrame:
+    """word, id, bucket, raw, wanted: each distinct word once."""
+    words = occurrences(parts).groupBy("word").agg(*by_side("n"))
+    return words.select("word", F.monotonically_increasing_id().alias("id"), bucket(F.col("word"), buckets).alias("bucket"), "raw", "wanted")
 
 
-def encoded(texts: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """The parts with their distinct tuples, and the dictionary (word, id), both written."""
-    parts = materialize(parts_of(texts), "parts")
-    dictionary = materialize(parts.select(F.explode("words").alias("word")).distinct().select("word", F.monotonically_increasing_id().alias("id")), "dictionary")
-    ids = listed(parts.select("part", F.posexplode("words").alias("pos", "word")).join(dictionary, "word"), "id")
-    tuples = materialize(tuples_of(parts.drop("words").join(ids, "part", "left"), n), "tuples")
-    discard(parts)
-    return tuples, dictionary
+def tuples_of(parts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """part, target, pos, tuple, n: each part's distinct longer runs as tuples of ids."""
+    coded = occurrences(parts).join(dictionary.select("word", "id"), "word")
+    ids = coded.groupBy("part").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("own"))
+    tuples = F.transform(F.arrays_zip("longer", "longer_counts"), lambda x: F.struct(F.transform(x["longer"], lambda w: F.get("own", w)).alias("tuple"), x["longer_counts"].alias("n")))
+    return parts.select("part", "target", "longer", "longer_counts").join(ids, "part").select("part", "target", F.posexplode(tuples).alias("pos", "x")).select("part", "target", "pos", "x.tuple", "x.n")
 
 
 def hashed(tuples: DataFrame, dictionary: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """tuple, bucket, raw, target: each distinct tuple once, with its counts."""
-    counted = tuples.select("target", F.inline(F.arrays_zip(F.col("tuples").alias("tuple"), F.col("counts").alias("n"))))
-    sums = counted.groupBy("tuple").agg(*(F.sum(F.when(F.col("target") == side, F.col("n")).otherwise(0)).alias(name) for side, name in ((False, "raw"), (True, "target"))))
-    words = sums.select("tuple", "raw", F.col("target").alias("wanted"), F.posexplode("tuple").alias("pos", "id")).join(dictionary, "id")
-    spelled = words.groupBy("tuple").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("text"), F.first("raw").alias("raw"), F.first("wanted").alias("target"))
-    return spelled.select("tuple", (F.crc32(F.encode("text", "UTF-8")) % buckets).cast("int").alias("bucket"), "raw", "target")
+    """tuple, bucket, raw, wanted: each distinct tuple once, with its counts."""
+    sums = tuples.groupBy("tuple").agg(*by_side("n"))
+    words = sums.select("tuple", "raw", "wanted", F.posexplode("tuple").alias("pos", "id")).join(dictionary.select("id", "word"), "id")
+    spelled = words.groupBy("tuple", "raw", "wanted").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("text"))
+    return spelled.select("tuple", bucket(F.col("text"), buckets).alias("bucket"), "raw", "wanted")
+
+
+def listed(pairs: DataFrame, name: str) -> DataFrame:
+    """Of rows (part, pos, bucket): each part's buckets behind their places, as numbers pos * 2**32 + bucket in any order."""
+    return pairs.groupBy("part").agg(F.collect_list(F.shiftleft(F.col("pos").cast("long"), 32) + F.col("bucket")).alias(name))
 
 
-def gains(table: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Gain of each bucket."""
-    sums = columns(table.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))  # ``buckets`` rows at most
+def gains(hashes: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Gain of each bucket, from rows (bucket, raw, wanted)."""
+    sums = columns(hashes.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("wanted").alias("wanted")))  # ``buckets`` rows at most
     raw, target = [0] * buckets, [0] * buckets
-    for b, s, t in zip(sums["bucket"].tolist(), sums["raw"].tolist(), sums["target"].tolist(), strict=True):
+    for b, s, t in zip(sums["bucket"].tolist(), sums["raw"].tolist(), sums["wanted"].tolist(), strict=True):
         raw[b], target[b] = s, t
     all_raw, all_target = sum(raw) + buckets, sum(target) + buckets
     return np.array([math.floor(1000 * math.log(float(t + 1) * all_raw / (float(s + 1) * all_target))) for s, t in zip(raw, target, strict=True)], np.int64)
 
 
-def weights(tuples: DataFrame, table: DataFrame, gain: np.ndarray) -> DataFrame:
-    """id, n_words, n_features, weight of the raw texts."""
-    shared = tuples.sparkSession.sparkContext.broadcast(gain)
-    raw = tuples.filter(~F.col("target"))
-    id_type = raw.schema["ids"].dataType.elementType
-    found = listed(raw.select("part", F.posexplode("tuples").alias("pos", "tuple")).join(table.select("tuple", "bucket"), "tuple"), "bucket")
+def weights(parts: DataFrame, lists: list[DataFrame], gain: np.ndarray) -> DataFrame:
+    """id, n_words, n_features, weight of the raw texts. ``lists``: the buckets of words and of longer runs."""
+    shared = parts.sparkSession.sparkContext.broadcast(gain)
+    given = bounded_batches(parts).filter(~F.col("target")).select("part", "ids", "n_words", "n_features", "at")
+    names = [f"buckets{k}" for k in range(len(lists))]
+    for name, own in zip(names, lists, strict=True):
+        given = given.join(own.withColumnRenamed(own.columns[1], name), "part", "left")
 
     def run(batches):
         for batch in batches:
             for row in (batch.slice(k, 1) for k in range(batch.num_rows)):
                 n = row.column("n_features").flatten().to_numpy().astype(np.int64)
-                total = np.zeros(1, np.int64)
-                if n.any():
-                    values = shared.value[row.column("values").flatten().to_numpy()][row.column("at").flatten().to_numpy()]
-                    total = np.append(0, np.cumsum(values))
+                numbers = np.concatenate([np.sort(row.column(x).flatten().to_numpy().astype(np.int64)) for x in names])
+                size = 4 * int(n.sum())
+                at = np.frombuffer(pa.decompress(row.column("at")[0].as_buffer(), size, "zstd") if size else b"", np.int32)
+                total = np.append(0, np.cumsum(shared.value[numbers & 0xFFFFFFFF][at]))
                 ends = np.cumsum(n)
                 weight = (total[ends] - total[ends - n]) // np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([row.column("ids").flatten(), row.column("n_words").flatten().cast(pa.int64()), pa.array(n), pa.array(weight)], names=["id", "n_words", "n_features", "weight"])
 
-    given = bounded_batches(raw).select("part", "ids", "n_words", "n_features", "at").join(found, "part", "left")
-    long = T.LongType()
+    long, id_type = T.LongType(), parts.schema["ids"].dataType.elementType
     return given.mapInArrow(run, T.StructType([T.StructField("id", id_type), T.StructField("n_words", long), T.StructField("n_features", long), T.StructField("weight", long)]))
 
 
@@ -224,10 +234,16 @@ def resample(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text
     key, own = F.col(f"`{id_column}`"), F.col(f"`{text}`")
     raw = docs.select(key.alias("id"), own.alias("text"), F.lit(False).alias("target"))
     wanted = target.select(F.lit(None).cast(raw.schema["id"].dataType).alias("id"), own.alias("text"), F.lit(True).alias("target"))
-    tuples, dictionary = encoded(raw.unionByName(wanted), n)
-    table = materialize(hashed(tuples, dictionary, buckets), "hashed")
-    weighed = weights(tuples, table, gains(table, buckets))
+    parts = materialize(parts_of(raw.unionByName(wanted), n), "parts")
+    dictionary = materialize(dictionary_of(parts, buckets), "dictionary")
+    hashes, lists, done = dictionary.select("bucket", "raw", "wanted"), [listed(occurrences(parts.filter(~F.col("target"))).join(dictionary.select("word", "bucket"), "word"), "words")], [parts, dictionary]
+    if n > 1:
+        tuples = materialize(tuples_of(parts, dictionary), "tuples")
+        longer = materialize(hashed(tuples, dictionary, buckets), "hashed")
+        hashes, done = hashes.unionByName(longer.drop("tuple")), [*done, tuples, longer]
+        lists.append(listed(tuples.filter(~F.col("target")).join(longer.select("tuple", "bucket"), "tuple"), "runs"))
+    weighed = weights(parts, lists, gains(hashes, buckets))
     scored = materialize(weighed.withColumn("score", F.col("weight") + noise(F.col("id"), seed)), "scores")
-    for done in (tuples, dictionary, table):
-        discard(done)
+    for written in done:
+        discard(written)
     return drawn(scored, share, least_words)
