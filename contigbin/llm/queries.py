@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, near_dedup, packing, quality, resampling, sharding, suffix_dedup, target_resampling, token_counts, toxicity, vector_codes
+from . import chat, decontaminate, html_extraction, near_dedup, packing, quality, resampling, sharding, suffix_dedup, target_resampling, token_counts, toxicity, vector_codes
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -66,10 +66,14 @@ def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_quality_rules, op3_decontamination, op4_chat_format, op5_token_counts, op6_packing, op7_resampling, op8_suffix_dedup, op9_near_dedup,
-        op10_toxicity, op11_vector_codes, op12_target_resampling,
+        op10_toxicity, op11_vector_codes, op12_target_resampling, op13_html_extraction,
     )
 } | {"pipeline": corpus_pipeline.run}
