@@ -6,9 +6,12 @@
    no shingle of any item of its size has similarity 0 to each of them, so those are
    passed over; every other window gets a fingerprint. Such windows are found in
    chunks of CHUNK starts, around the shingles that a text has in common with items.
-2. Each window and item has a 64-bit SimHash of its shingles, weighted by how often
-   they occur. A window's bit sums are the difference of two running sums over its
-   chunk (counters of ``field_width`` bits, packed into longs). The fingerprint is cut into
+2. Each window and item has a 64-bit SimHash of its features: a shingle's first occurrence
+   in it, its second, and so on are features of their own, so that a repeated shingle
+   weighs no more than others at once and the similarity of step 3 is the plain Jaccard
+   similarity of features. A window's bit sums are the difference of two running sums over its
+   chunk (counters of ``field_width`` bits, packed into longs); shingles that the chunk
+   repeats stand outside these sums and are numbered and added window by window. The fingerprint is cut into
    BLOCKS blocks; the index holds every item under all values within FLIPS bits of
    each block. Two fingerprints within RADIUS = BLOCKS * (FLIPS + 1) - 1 bits agree to
    FLIPS bits in one block at least, so none within the radius is missed. At similarity
@@ -52,6 +55,31 @@ def shingles(w: Column, start: Column, n: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(start, start + n - k), lambda i: shingle_at(w, i, k))).otherwise(F.array().cast("array<bigint>"))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value made once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def repeated(hashes: Column) -> Column:
+    """The distinct hashes that occur more than once."""
+    return F.array_distinct(let(F.sort_array(hashes), lambda s: F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1)))))
+
+
+def feature(h: Column, occurrence: Column) -> Column:
+    return F.when(occurrence == 1, h).otherwise(F.xxhash64(h, occurrence))
+
+
+def features(hashes: Column) -> Column:
+    """One feature for each place: the hash, or that of hash and number if it occurred before."""
+
+    def numbered(again: Column) -> Column:
+        so_far = lambda h, i: F.size(F.filter(F.slice(hashes, 1, i + 1), lambda x: x == h))
+        each = F.transform(hashes, lambda h, i: F.when(F.array_contains(again, h), feature(h, so_far(h, i))).otherwise(h))
+        return F.when(F.size(again) == 0, hashes).otherwise(each)
+
+    return let(repeated(hashes), numbered)
+
+
 def simhash(hashes: Column) -> Column:
     """Bit b is set if most of the (repeated) hashes have it."""
     half = F.size(hashes) / 2
@@ -84,14 +112,28 @@ def running_sums(hashes: Column, width: int) -> Column:
     return F.aggregate(hashes, F.array(none), add)
 
 
-def window_simhash(sums: Column, at: Column, n: Column, width: int) -> Column:
-    """The SimHash of hashes at .. at + n - 1, from the running sums."""
+def counters(hashes: Column, width: int) -> Column:
+    """The sums of ``running_sums`` over all of ``hashes``."""
+    one, none = F.lit(_fields(1, width)), F.array_repeat(F.lit(0).cast("bigint"), width)
+    return F.aggregate(hashes, none, lambda sums, h: F.transform(sums, lambda x, j: x + F.call_function("shiftrightunsigned", h, j).bitwiseAND(one)))
+
+
+def numbered_within(repeats: Column, at: Column, n: Column) -> Column:
+    """Features of the repeated shingles (p, h) at places at .. at + n - 1, numbered from there."""
+    inside = F.filter(repeats, lambda e: (e["p"] >= at) & (e["p"] < at + n))
+    so_far = lambda own, e, i: F.size(F.filter(F.slice(own, 1, i + 1), lambda x: x["h"] == e["h"]))
+    return let(inside, lambda own: F.transform(own, lambda e, i: feature(e["h"], so_far(own, e, i))))
+
+
+def window_simhash(sums: Column, at: Column, n: Column, width: int, more: Column | None = None) -> Column:
+    """The SimHash of hashes at .. at + n - 1, from the running sums, and ``more``, sums that are added to them."""
     top = width - 2
     pad = (F.lit((1 << top) - 1).cast("bigint") - F.floor(n / 2)) * F.lit(_fields(1, width))
     before, after = F.get(sums, at), F.get(sums, at + n)
 
     def lane(acc: Column, j: Column) -> Column:
-        most = (F.get(after, j) - F.get(before, j) + pad).bitwiseAND(F.lit(_fields(1 << top, width)))
+        found = F.get(after, j) - F.get(before, j) + (pad if more is None else pad + F.get(more, j))
+        most = found.bitwiseAND(F.lit(_fields(1 << top, width)))
         return acc.bitwiseOR(F.call_function("shiftleft", F.shiftrightunsigned(most, top), j))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(width - 1)), F.lit(0).cast("bigint"), lane)
@@ -149,7 +191,7 @@ def _items(benchmark: DataFrame) -> tuple[DataFrame, list[int], int]:
     found = own.groupBy("k").agg(F.max("m").alias("m")).collect()  # SHINGLE rows at most
     sizes = sorted(r["k"] for r in found) or [SHINGLE]
     hashes = F.coalesce(*(F.when(F.col("k") == k, shingles(F.col("w"), F.lit(0), F.col("m"), k)) for k in sizes))
-    items = own.select(F.monotonically_increasing_id().alias("item"), "item_id", "m", "k", hashes.alias("hs")).withColumn("fp", simhash(F.col("hs")))
+    items = own.select(F.monotonically_increasing_id().alias("item"), "item_id", "m", "k", hashes.alias("hs")).withColumn("fp", let(features(F.col("hs")), simhash))
     return materialize(items, "items"), sizes if found else [], max((r["m"] for r in found), default=0)
 
 
@@ -190,17 +232,22 @@ def windows(texts: DataFrame, spots: DataFrame, sizes: list[int], width: int) ->
         hs = F.coalesce(*(F.when(r["k"] == k, shingles(F.col("w"), r["base"], n, k)) for k in sizes))
         return F.struct(r["k"].alias("k"), r["base"].alias("base"), r["at"].alias("at"), hs.alias("hs"))
 
-    parts = read.select("doc", "th", F.explode(F.transform("regions", hashed)).alias("r")).select("doc", "th", "r.*")
+    parts = read.select("doc", "th", F.explode(F.transform("regions", hashed)).alias("r")).select("doc", "th", "r.*").withColumn("again", repeated(F.col("hs")))
+    once = F.when(F.size("again") == 0, F.col("hs")).otherwise(F.transform("hs", lambda h: F.when(F.array_contains("again", h), F.lit(0).cast("bigint")).otherwise(h)))
+    placed = F.transform("hs", lambda h, p: F.struct(p.alias("p"), h.alias("h")))
+    repeats = F.when(F.size("again") > 0, F.filter(placed, lambda e: F.array_contains("again", e["h"])))
 
-    def prints(sums: Column) -> Column:
+    def prints(x: Column) -> Column:
         def one(start: Column, a: Column) -> Column:
-            fp = window_simhash(sums, start - F.col("base"), a["n"] - F.col("k") + 1, width)
+            at, n = start - F.col("base"), a["n"] - F.col("k") + 1
+            plain = window_simhash(x["sums"], at, n, width)
+            fp = F.when(x["repeats"].isNull(), plain).otherwise(let(counters(numbered_within(x["repeats"], at, n), width), lambda more: window_simhash(x["sums"], at, n, width, more)))
             return F.struct(start.alias("start"), a["m"].alias("m"), a["n"].alias("n"), fp.alias("wfp"))
 
         return F.flatten(F.transform("at", lambda a: F.transform(F.sequence(a["lo"], a["hi"]), lambda start: one(start, a))))
 
     # as an array of one, the sums are made once a chunk and not once a window
-    made = F.flatten(F.transform(F.array(running_sums(F.col("hs"), width)), prints))
+    made = F.flatten(F.transform(F.array(F.struct(running_sums(once, width).alias("sums"), repeats.alias("repeats"))), prints))
     return parts.select("doc", "th", "k", F.explode(made).alias("x")).select("doc", "th", "k", "x.*")
 
 

@@ -125,6 +125,37 @@ def test_decontamination_tries_starts_that_no_anchor_sets(spark, n, ends, added)
     assert list(want) == [(1, 7)] and got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("n,heavy", [(180, 20), (100, 12), (150, 16), (70, 8)])
+def test_decontamination_finds_items_with_repeated_shingles(spark, n, heavy):
+    """Blanks, dot leaders and repeated tokens: one shingle many times, which must not decide the fingerprint."""
+    rng = random.Random(n)
+    rows, items = [], []
+    for k in range(20):
+        own = [f"i{k}w{j}" for j in range(n)]
+        rows.append((k, " ".join([f"x{rng.random()}" for _ in range(30)] + own + ["."] * heavy + [f"y{rng.random()}" for _ in range(9)])))
+        items.append((k, " ".join(own + ["_"] * heavy)))
+        rows.append((100 + k, " ".join(own[:-3] + [f"z{j}" for j in range(3)] + ["_"] * heavy)))
+    want = leaks([(*r, "", "", 0) for r in rows], items)
+    assert len(want) >= 20
+    found = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in found} == pytest.approx(want)
+
+
+def test_decontamination_fingerprints_number_repeated_shingles(spark):
+    """The rolling fingerprint of every window equals that of its features made from scratch."""
+    rng = random.Random(8)
+    hashes = [rng.choice([rng.getrandbits(62), 5, 7, 9 << 40]) for _ in range(60)]
+    n, row = 20, spark.createDataFrame([(hashes,)], "hs array<long>")
+    again = row.withColumn("again", decontaminate.repeated(F.col("hs")))
+    once = F.transform("hs", lambda h: F.when(F.array_contains("again", h), F.lit(0).cast("bigint")).otherwise(h))
+    repeats = F.filter(F.transform("hs", lambda h, p: F.struct(p.alias("p"), h.alias("h"))), lambda e: F.array_contains("again", e["h"]))
+    prepared = again.select("hs", decontaminate.running_sums(once, 16).alias("sums"), repeats.alias("repeats"))
+    rolled = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda at: decontaminate.window_simhash(F.col("sums"), at, F.lit(n), 16, decontaminate.counters(decontaminate.numbered_within(F.col("repeats"), at, F.lit(n)), 16)))
+    fresh = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda at: decontaminate.simhash(decontaminate.features(F.slice("hs", at + 1, n))))
+    got = prepared.select(rolled.alias("a"), fresh.alias("b")).first()
+    assert got["a"] == got["b"] and len(set(got["a"])) > 10
+
+
 def test_decontamination_finds_items_in_another_order(spark):
     """B + A of an item A + B, with and without words around; equal ids with different texts; null ids; repeated shingles."""
     a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
