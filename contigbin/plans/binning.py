@@ -39,7 +39,7 @@ def run(spark: SparkSession, fasta_path: str, coverage_path: str, gfa_path: str,
     """Bins contigs and writes assignments, per-bin FASTA and run.json under ``output``; returns contig, bin, length."""
     config, began = config or BinningConfig(), time.time()
     records = fasta.checked(fasta.read_fasta(spark, fasta_path))
-    lengths = records.select("contig", "position", F.length("sequence").cast("long").alias("length"))
+    lengths = records.select("contig", F.struct("file", "position").alias("position"), F.length("sequence").cast("long").alias("length"))
     kept = features.retained(lengths, config.least_length, "position").select("contig", F.col("node_index").alias("id"), "length").checkpoint()
     n = kept.count()
     if n < 2:

@@ -67,10 +67,12 @@ def knn_sql(name: str = "knn", rows: str = "vec", k: int = 8) -> str:
 
 def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contig, step, segment, orientation: orders as walks over parts."""
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("contig"), key.alias("step"), F.col("l_partkey").alias("segment"), F.when(F.col("l_linestatus") == "O", "+").otherwise("-").alias("orientation"))
+    orientation = F.when(F.col("l_linestatus") == "O", "+").otherwise("-")
+    key = F.struct("l_linenumber", "l_partkey", "l_suppkey", orientation.alias("orientation"))  # lines that agree so far may differ in orientation
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("contig"), key.alias("step"), F.col("l_partkey").alias("segment"), orientation.alias("orientation"))
 
 
+#: ``walk`` as SQL; steps are ordered by n1, segment, n3, orientation.
 WALK = "walk as (select l_orderkey as contig, l_linenumber as n1, l_partkey as segment, l_suppkey as n3, case when l_linestatus = 'O' then '+' else '-' end as orientation from lineitem)"
 
 

@@ -11,7 +11,7 @@ from ..sources import fasta
 from .common import SEQ, WALK, r6, seq, table, walk
 from .feature_queries import query as _query
 
-_NEXT = f"{WALK}, nxt as (select contig, segment as a, lead(segment) over (partition by contig order by n1, segment, n3) as b from walk)"
+_NEXT = f"{WALK}, nxt as (select contig, segment as a, lead(segment) over (partition by contig order by n1, segment, n3, orientation) as b from walk)"
 
 
 @_query(f"with {_NEXT} select distinct least(a, b) as src, greatest(a, b) as dst from nxt where b is not null and a <> b")
@@ -64,7 +64,7 @@ def graph_degrees(spark, d):
     return graph.degree_stats(members.select(F.col("contig").alias("id")).distinct(), kept)
 
 
-@_query(f"""with {WALK}, p as (select contig, segment, orientation, row_number() over (partition by contig order by n1, segment, n3) - 1 as pos, count(*) over (partition by contig) as path_length from walk)
+@_query(f"""with {WALK}, p as (select contig, segment, orientation, row_number() over (partition by contig order by n1, segment, n3, orientation) - 1 as pos, count(*) over (partition by contig) as path_length from walk)
 select contig, segment, orientation, pos::BIGINT as pos, path_length::BIGINT as path_length, round(pos / greatest(path_length - 1, 1), 6) as rel from p""")
 def walk_positions(spark, d):
     return graph.walk_positions(walk(spark, d)).select("contig", "segment", "orientation", "pos", "path_length", r6(F.col("rel")).alias("rel"))
@@ -76,7 +76,7 @@ def oriented_segment_states(spark, d):
     return p.select(F.col("p_partkey").alias("segment"), F.explode(F.array(F.lit("+"), F.lit("-"))).alias("orientation"), r6(F.log1p("p_size")).alias("log_size"), F.round("p_retailprice", 4).alias("price"))
 
 
-_ORIENTED = f"{WALK}, lk as (select segment as a, orientation as ao, lead(segment) over w as b, lead(orientation) over w as bo from walk window w as (partition by contig order by n1, segment, n3))"
+_ORIENTED = f"{WALK}, lk as (select segment as a, orientation as ao, lead(segment) over w as b, lead(orientation) over w as bo from walk window w as (partition by contig order by n1, segment, n3, orientation))"
 
 
 @_query(f"""with {_ORIENTED}, x as (select a, ao, b, bo, 0 as reversed from lk where b is not null union all select b, translate(bo, '+-', '-+'), a, translate(ao, '+-', '-+'), 1 from lk where b is not null)

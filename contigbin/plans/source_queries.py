@@ -50,11 +50,12 @@ def fasta_subset(spark, d):
     return r.select("contig", F.length("sequence").cast("long").alias("length"))
 
 
-@_query(f"with {SEQ} select round(avg(length(sequence)), 6) as mean_length from seq where sequence <> '' and contig % 50 = 0")
+@_query(f"with {SEQ} select round(avg(n), 6) as mean_length from (select length(sequence) as n from seq where sequence <> '' order by contig limit 20000)")
 def fastq_read_length(spark, d):
-    """SNK-12, SRC-17; a fiftieth of the documents stands for the first 20,000 reads that the operator samples."""
-    reads = fasta.fastq(_records(spark, d).filter("cast(substr(contig, 2) as bigint) % 50 = 0"))
-    return spark.createDataFrame([(round(fasta.read_length(spark, _written(reads, "fastq")), 6),)], "mean_length double")
+    """SNK-12, SRC-17: of all reads, the probe takes the first 20,000."""
+    path = scratch(spark, "fastq")
+    fasta.fastq(_records(spark, d).withColumn("k", F.substr("contig", F.lit(2)).cast("long")).repartitionByRange("k").sortWithinPartitions("k")).write.text(path)
+    return spark.createDataFrame([(round(fasta.read_length(spark, path), 6),)], "mean_length double")
 
 
 @_query(f"with {COV}, g as (select c.contig, s.sample from (select distinct contig from cov) c, (select distinct sample from cov) s) select g.contig::VARCHAR as contig, g.sample, round(coalesce(depth, 0), 4) as depth from g left join cov using (contig, sample)")
@@ -81,7 +82,7 @@ def gfa_segments_round_trip(spark, d):
     return gfa.read_segments(spark, _gfa(spark, d)).select("segment", "length")
 
 
-@_query(f"""with {WALK}, lk as (select segment as a, orientation as ao, lead(segment) over w as b, lead(orientation) over w as bo from walk window w as (partition by contig order by n1, segment, n3))
+@_query(f"""with {WALK}, lk as (select segment as a, orientation as ao, lead(segment) over w as b, lead(orientation) over w as bo from walk window w as (partition by contig order by n1, segment, n3, orientation))
 select a::VARCHAR as a, ao, b::VARCHAR as b, bo, count(*)::BIGINT as n, 0::BIGINT as overlap from lk where b is not null group by 1, 2, 3, 4""")
 def gfa_links_round_trip(spark, d):
     """SRC-8, SRC-9, AGG-14."""
@@ -100,7 +101,7 @@ def gfa_tags(spark, d):
     return gfa.read_segments(spark, path).select("segment", "length", "depth", "kmer_count", F.col("tags")["xx"].alias("tag"))
 
 
-_STEPS = f"with {WALK}, p as (select contig, segment, orientation, row_number() over (partition by contig order by n1, segment, n3) - 1 as pos from walk)"
+_STEPS = f"with {WALK}, p as (select contig, segment, orientation, row_number() over (partition by contig order by n1, segment, n3, orientation) - 1 as pos from walk)"
 
 
 def _walk_text(spark, d):
@@ -146,7 +147,7 @@ def fastg_links(spark, d):
     return gfa.read_fastg(p.select(head.alias("description")))
 
 
-@_query(f"""with {WALK}, lk as (select segment as a, lead(segment) over (partition by contig order by n1, segment, n3) as b from walk)
+@_query(f"""with {WALK}, lk as (select segment as a, lead(segment) over (partition by contig order by n1, segment, n3, orientation) as b from walk)
 select p_partkey::VARCHAR as segment from part union select a::VARCHAR from lk where b is not null union select b::VARCHAR from lk where b is not null union select 's' || l_suppkey from lineitem""")
 def segment_id_set(spark, d):
     """SET-7."""

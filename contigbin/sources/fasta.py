@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.dna import wrapped
+from . import splits
 
 SCHEMA = "path string, position long, contig string, description string, sequence string"
 
@@ -61,22 +62,24 @@ class _Reader(DataSourceReader):
                 yield partition.path, position, head.split(None, 1)[0] if head else "", head, "".join(parts)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """position, contig (first token of the header), description, sequence, from any store Spark reads.
+def read_fasta(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """file, position (rises within a file), contig (first token of the header), description, sequence, from any store Spark reads (SRC-1, SRC-3).
 
     Records are split at a line that starts with '>', so a '>' inside a header does no
-    harm. Text before the first record stands in a row with a null contig.
+    harm; a file is read in as many byte ranges as it has, and nothing is shuffled. Text before the first record stands in
+    a row with a null contig. Byte order marks are dropped. ``encoding``: see ``splits.scan``.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("position"), "value")
-    text = F.regexp_replace("value", "\r", "")
-    starts = text.startswith(">")
+    raw = splits.scan(spark, path, sep="\n>", encoding=encoding)
+    first = (F.col("split") == 0) & (F.col("at") == 0)
+    text = F.regexp_replace(F.when(first, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")), "\r", "")
     # only a file's first record keeps its mark: the separator has taken the others'
-    first = F.min("position").over(Window.partitionBy("path")) == F.col("position")
+    starts = text.startswith(">")
     body = F.when(starts & first, F.substr(text, F.lit(2))).otherwise(text)
     loose = first & ~starts
     head = F.substring_index(body, "\n", 1)
     rest = F.regexp_replace(F.substr(body, F.length(head) + 2), r"\s", "")
-    rows = raw.select("path", "position", F.when(~loose, F.regexp_extract(head, r"^(\S*)", 1)).alias("contig"), F.when(~loose, head).alias("description"), F.when(loose, F.regexp_replace(text, r"\s", "")).otherwise(rest).alias("sequence"))
+    position = F.col("split") + F.col("at")  # a record takes more than a byte, so this rises within a file
+    rows = raw.select("file", position.alias("position"), F.when(~loose, F.regexp_extract(head, r"^(\S*)", 1)).alias("contig"), F.when(~loose, head).alias("description"), F.when(loose, F.regexp_replace(text, r"\s", "")).otherwise(rest).alias("sequence"))
     return rows.filter("contig IS NOT NULL OR sequence <> ''")
 
 
@@ -88,7 +91,7 @@ def checked(records: DataFrame) -> DataFrame:
     twice = records.groupBy("contig").count().filter("count > 1").limit(3).collect()
     if twice:
         raise ValueError(f"contigs repeat: {[r[0] for r in twice]}")
-    return records.select("position", "contig", F.upper("sequence").alias("sequence"))
+    return records.select("file", "position", "contig", F.upper("sequence").alias("sequence"))
 
 
 def fasta_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -97,8 +100,8 @@ def fasta_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def subset(records: DataFrame, names: DataFrame) -> DataFrame:
-    """Records whose contig is in ``names``, in the order of their positions within range-partitioned files (JN-19)."""
-    return records.join(names.select("contig").distinct(), "contig", "left_semi").repartitionByRange("position").sortWithinPartitions("position")
+    """Records whose contig is in ``names``, in the order of files and positions, in range-partitioned files (JN-19)."""
+    return records.join(names.select("contig").distinct(), "contig", "left_semi").repartitionByRange("file", "position").sortWithinPartitions("file", "position")
 
 
 def longer(records: DataFrame, least: int = 1_000) -> DataFrame:
@@ -137,6 +140,7 @@ def fastq(records: DataFrame, quality: str = "I") -> DataFrame:
 
 
 def read_length(spark: SparkSession, path: str, reads: int = 20_000) -> float:
-    """Mean length of the first reads of a FASTQ file (SRC-17)."""
-    lines = spark.read.text(path).limit(4 * reads).select(F.monotonically_increasing_id().alias("i"), "value")
-    return lines.filter("i % 4 = 1").agg(F.avg(F.length("value"))).first()[0] or 0.0
+    """Mean length of the first reads of a FASTQ file, or of the first files of a folder (SRC-17). A file may be cut anywhere: lines are numbered over its ranges."""
+    lines = splits.numbered(splits.scan(spark, path)).filter("number % 4 = 1").select("file", "number", F.length("value").alias("n"))
+    first = lines.orderBy("file", "number").limit(reads)
+    return first.agg(F.avg("n")).first()[0] or 0.0

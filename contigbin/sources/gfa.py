@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, labelling, neighbours
+from . import splits
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -61,15 +62,15 @@ def read_contig_paths(spark: SparkSession, path: str, contigs: DataFrame) -> Dat
     """contig, pos, segment, orientation of a contigs.paths file (SRC-11, SRC-12).
 
     A header names a contig, or its reverse with a ' at the end; the lines below are its
-    walk. Walks of reverse and of unknown contigs are skipped. The last header above a
-    line is found by a window over the file: one file is one task.
+    walk. Walks of reverse and of unknown contigs are skipped. A file may be cut anywhere: the last
+    header above a line is carried over byte ranges (``splits.filled``).
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value")).filter("value <> ''")
-    header = ~F.col("value").rlike(r"^[^,;]*[+-][,;]?$|[+-],")
-    head = F.last(F.when(header, F.col("value")), ignorenulls=True).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    walks = lines.withColumns({"contig": head, "header": header}).filter("NOT header").join(contigs.select("contig"), "contig")
-    steps = walks.select("contig", "line", F.posexplode(_steps(F.col("value"))).alias("at", "s"))
-    pos = F.row_number().over(Window.partitionBy("contig").orderBy("line", "at")) - 1
+    text = F.trim("value")
+    header = (text != "") & ~text.rlike(r"^[^,;]*[+-][,;]?$|[+-],")
+    lines = splits.filled(splits.scan(spark, path, F.when(header, text)))
+    walks = lines.filter("mark IS NULL AND trim(value) <> ''").withColumnRenamed("above", "contig").join(contigs.select("contig"), "contig")
+    steps = walks.select("contig", "file", (F.col("split") + F.col("at")).alias("line"), F.posexplode(_steps(F.trim("value"))).alias("at", "s"))
+    pos = F.row_number().over(Window.partitionBy("contig").orderBy("file", "line", "at")) - 1
     return steps.select("contig", pos.cast("long").alias("pos"), "s.*")
 
 
