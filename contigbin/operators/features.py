@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import canonical_kmers
+from .ranks import attach
 
 
 def retained(contigs: DataFrame, least: int, order: str = "contig") -> DataFrame:
@@ -81,7 +82,7 @@ def dense_kmers(contigs: DataFrame, counts: DataFrame, k: int = 4) -> DataFrame:
 def zscore(long: DataFrame, column: str, value: str, epsilon: float = 1e-5) -> DataFrame:
     """value := (x - mean) / (population deviation + epsilon) by ``column`` of a long table."""
     stats = long.groupBy(column).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    return long.join(stats, column).withColumn(value, (F.col(value) - F.col("_m")) / (F.col("_s") + epsilon)).drop("_m", "_s")
+    return attach(long, stats, column).withColumn(value, (F.col(value) - F.col("_m")) / (F.col("_s") + epsilon)).drop("_m", "_s")
 
 
 def clr(dense: DataFrame) -> DataFrame:
@@ -93,8 +94,19 @@ def clr(dense: DataFrame) -> DataFrame:
 
 def cpm(coverage: DataFrame) -> DataFrame:
     """contig, sample, depth scaled to a million a sample (AGG-4)."""
-    total = F.sum("depth").over(Window.partitionBy("sample"))
-    return coverage.withColumn("depth", F.col("depth") * (1e6 / F.greatest(total, F.lit(1e-9))))
+    totals = coverage.groupBy("sample").agg(F.sum("depth").alias("_total"))
+    return attach(coverage, totals, "sample").withColumn("depth", F.col("depth") * (1e6 / F.greatest(F.col("_total"), F.lit(1e-9)))).drop("_total")
+
+
+def normalised(abundance: DataFrame, lengths: DataFrame) -> DataFrame:
+    """contig, sample, share, depth, present: share of the sample; share over length with a mean of 1 over what is present; how many are (AGG-39).
+
+    ``lengths``: contig, length.
+    """
+    totals = abundance.groupBy("sample").agg(F.sum("depth").alias("_total"))
+    raw = attach(abundance, totals, "sample").join(lengths, "contig").withColumn("share", F.col("depth") / F.col("_total")).withColumn("raw", F.col("share") / F.col("length"))
+    means = raw.groupBy("sample").agg(F.avg(F.when(F.col("raw") > 0, F.col("raw"))).alias("_mean"), F.count_if(F.col("share") > 0).alias("present"))
+    return attach(raw, means, "sample").select("contig", "sample", "share", (F.col("raw") / F.col("_mean")).alias("depth"), "present")
 
 
 def log_profile(scaled: DataFrame) -> DataFrame:

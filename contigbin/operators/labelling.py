@@ -7,14 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
 from ..functions.text import alphanumeric
-
-
-def interval_union(spans: DataFrame, *by: str) -> DataFrame:
-    """by.., covered: length of the union of half-open spans (start, end); touching spans merge (AGG-8)."""
-    w = Window.partitionBy(*by).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    gained = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(reach, F.col("start"))))
-    return spans.select(*by, gained.alias("g")).groupBy(*by).agg(F.sum("g").cast("long").alias("covered"))
+from .pileup import interval_union
+from .ranks import totals_before
 
 
 def identities(hits: DataFrame) -> DataFrame:
@@ -50,30 +44,29 @@ def cigar_length(cigar: Column) -> Column:
 
 
 def n50(lengths: DataFrame, by: str) -> DataFrame:
-    """by, n50: the first length, in descending order, at which half of the total is reached (AGG-32).
-
-    Works on counts by length, so a group's task holds its distinct lengths only.
-    """
-    counts = lengths.groupBy(by, "length").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(by)
-    total = F.sum(F.col("length") * F.col("n"))
-    run = counts.withColumns({"reached": total.over(w.orderBy(F.desc("length"))), "total": total.over(w)})
-    return run.filter(F.col("reached") >= F.col("total") / 2).groupBy(by).agg(F.max("length").cast("long").alias("n50"))
+    """by, n50: the first length, in descending order, at which half of the total is reached (AGG-32). Null lengths don't count."""
+    counts = lengths.filter("length IS NOT NULL").groupBy(by, "length").agg(F.sum("length").alias("n"))
+    run = totals_before(counts, by, "length", "n")
+    return run.filter((F.col("total") - F.col("before")) * 2 >= F.col("total")).groupBy(by).agg(F.max("length").cast("long").alias("n50"))
 
 
 def average_ranks(values: DataFrame, by: str, value: str) -> DataFrame:
     """Adds rank_avg: rank within ``by``, ties averaged (WIN-6). Ranks come from counts by value."""
     counts = values.groupBy(by, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(by).orderBy(value))
-    ranks = counts.select(by, value, (upto - (F.col("_n") - 1) / 2).alias("rank_avg"))
+    ranks = totals_before(counts, by, value, "_n").select(by, value, (F.col("before") + (F.col("_n") + 1) / 2).alias("rank_avg"))
     return values.join(ranks, [by, value])
 
 
-def rank_correlation_summary(values: DataFrame, key: str, by: str, value: str) -> DataFrame:
-    """One row: median, least and greatest rank correlation of pairs of ``by`` (AGG-33)."""
+def rank_correlations(values: DataFrame, key: str, by: str, value: str) -> DataFrame:
+    """a, b, rho: rank correlation of each pair of ``by`` over the keys that both have (AGG-33)."""
     r = average_ranks(values, by, value).select(key, by, "rank_avg")
     a, b = (r.select(key, F.col(by).alias(s), F.col("rank_avg").alias(f"r{s}")) for s in ("a", "b"))
-    rho = a.join(b, key).filter("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"))
+    return a.join(b, key).filter("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"))
+
+
+def rank_correlation_summary(values: DataFrame, key: str, by: str, value: str) -> DataFrame:
+    """One row: median, least and greatest rank correlation of pairs of ``by`` (AGG-33)."""
+    rho = rank_correlations(values, key, by, value)
     clean = lambda c: F.round(c, 6) + F.lit(0.0)
     return rho.agg(clean(F.median("rho")).alias("median"), clean(F.min("rho")).alias("least"), clean(F.max("rho")).alias("greatest"))
 

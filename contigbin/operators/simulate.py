@@ -47,10 +47,3 @@ def depths(abundance: DataFrame, lengths: DataFrame) -> DataFrame:
         raise ValueError(f"strains without a length: {[r[0] for r in missing]}")
     raw = abundance.join(lengths, "strain").withColumn("d", F.col("share") / F.col("length"))
     return raw.select("strain", "sample", (F.col("d") / F.avg(F.when(F.col("d") > 0, F.col("d"))).over(Window.partitionBy("sample"))).alias("depth"))
-
-
-def mean_depth(blocks: DataFrame, lengths: DataFrame, least_quality: int = 0) -> DataFrame:
-    """contig, sample, depth from aligned blocks (AGG-12, PRJ-6): contig, sample, start, end, flag, quality."""
-    usable = blocks.filter((F.col("flag").bitwiseAND(0xF04) == 0) & (F.col("quality") >= least_quality))
-    sums = usable.groupBy("contig", "sample").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))
-    return sums.join(lengths, "contig").select("contig", "sample", (F.col("bases") / F.greatest("length", F.lit(1))).alias("depth"))

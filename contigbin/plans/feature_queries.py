@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import gc_percent
@@ -95,6 +94,6 @@ def gc_percent_by_contig(spark, d):
 x as (select s.contig, sample, share, share / length as raw from s join len using (contig))
 select contig, sample, round(share, 9) as share, round(raw / avg(case when raw > 0 then raw end) over (partition by sample), 6) as depth, (count_if(share > 0) over (partition by sample))::BIGINT as present from x""")
 def abundance_normalise(spark, d):
-    by = Window.partitionBy("sample")
-    s = cov(spark, d).withColumn("share", F.col("depth") / F.sum("depth").over(by)).withColumn("raw", F.col("share") / (1000 + F.col("contig") % 97))
-    return s.select("contig", "sample", F.round("share", 9).alias("share"), r6(F.col("raw") / F.avg(F.when(F.col("raw") > 0, F.col("raw"))).over(by)).alias("depth"), F.count_if(F.col("share") > 0).over(by).alias("present"))
+    c = cov(spark, d)
+    lengths = c.select("contig").distinct().withColumn("length", 1000 + F.col("contig") % 97)
+    return features.normalised(c, lengths).select("contig", "sample", F.round("share", 9).alias("share"), r6(F.col("depth")).alias("depth"), "present")

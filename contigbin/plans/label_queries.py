@@ -94,9 +94,7 @@ def n50_histogram(spark, d):
 @_query(f"""with {COV}, r as (select contig, sample, rank() over (partition by sample order by depth) + (count(*) over (partition by sample, depth) - 1) / 2.0e0 as r from cov)
 select a.sample as a, b.sample as b, round(corr(a.r, b.r), 6) + 0.0 as rho from r a join r b on a.contig = b.contig and a.sample < b.sample group by 1, 2""")
 def spearman_samples(spark, d):
-    r = labelling.average_ranks(cov(spark, d), "sample", "depth").select("contig", "sample", "rank_avg")
-    a, b = (r.select("contig", F.col("sample").alias(s), F.col("rank_avg").alias(f"r{s}")) for s in ("a", "b"))
-    return a.join(b, "contig").filter("a < b").groupBy("a", "b").agg(r6(F.corr("ra", "rb")).alias("rho"))
+    return labelling.rank_correlations(cov(spark, d), "contig", "sample", "depth").withColumn("rho", r6(F.col("rho")))
 
 
 @_query("""with l as (select distinct doc_id, md5(unnest(string_split(text, chr(10)))) as line from documents), n as (select line from l group by 1 having count(*) > 1)

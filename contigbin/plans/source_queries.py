@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alphanumeric, run_name, version_in
-from ..operators import completeness, graph, labelling, simulate
+from ..operators import completeness, graph, labelling, pileup, simulate
 from ..sources import dataset, fasta, gfa, tables
 from .common import COV, SEQ, WALK, cov, r6, scratch, seq, table, walk
 from .feature_queries import query as _query
@@ -278,15 +278,35 @@ def dataset_round_trip(spark, d):
     return named.select(F.concat(F.lit("c"), F.col("contig").cast("long").cast("string")).alias("contig"), "node_index", "length", "windows", "samples")
 
 
-@_query("""with b as (select l_suppkey as contig, l_returnflag as sample, l_quantity as n from lineitem where l_linenumber <> 4 and l_partkey % 60 >= 10)
-select contig, sample, round(sum(n) / (1000 + contig % 7), 6) as depth from b group by 1, 2""")
-def aligned_depth(spark, d):
-    """AGG-12, PRJ-6, SRC-16: unmapped and secondary blocks, and those of low quality, do not count."""
+_BLOCKS = """b as (select l_suppkey as contig, l_returnflag as sample, date_diff('day', date '1992-01-01', l_shipdate::DATE)::BIGINT as s, l_quantity::BIGINT as n from lineitem where l_linenumber <> 4 and l_partkey % 60 >= 10),
+len as (select distinct l_suppkey as contig, 2400 + l_suppkey % 97 as length from lineitem)"""
+
+
+def _blocks(spark, d):
+    """Aligned blocks, of which every fourth line's are secondary, and lengths that cut some of them off."""
     l = table(spark, d, "lineitem")
     flag = F.when(F.col("l_linenumber") == 4, 0x100).otherwise(16)
-    blocks = l.select(F.col("l_suppkey").alias("contig"), F.col("l_returnflag").alias("sample"), F.lit(0.0).alias("start"), F.col("l_quantity").alias("end"), flag.alias("flag"), (F.col("l_partkey") % 60).alias("quality"))
-    lengths = l.select(F.col("l_suppkey").alias("contig")).distinct().withColumn("length", 1000 + F.col("contig") % 7)
-    return simulate.mean_depth(blocks, lengths, 10).withColumn("depth", r6(F.col("depth")))
+    day = F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("long")
+    blocks = l.select(F.col("l_suppkey").alias("contig"), F.col("l_returnflag").alias("sample"), day.alias("start"), (day + F.col("l_quantity").cast("long")).alias("end"), flag.alias("flag"), (F.col("l_partkey") % 60).alias("quality"))
+    return blocks, l.select(F.col("l_suppkey").alias("contig")).distinct().withColumn("length", 2400 + F.col("contig") % 97)
+
+
+@_query(f"""with {_BLOCKS}, base as (select contig, sample, p, count(*) as depth from (select contig, sample, length, unnest(range(s, s + n)) as p from b join len using (contig)) where p < length group by 1, 2, 3),
+sums as (select contig, sample, sum(depth) as bases, count(*) as covered, max(depth) as deepest from base group by 1, 2),
+every as (select distinct b.contig, sample from b join len using (contig))
+select contig, sample, length::BIGINT as length, round(coalesce(bases, 0) / length, 6) as depth, round(1 - coalesce(covered, 0) / length, 6) as zero_share, coalesce(deepest, 0)::BIGINT as deepest from every left join sums using (contig, sample) join len using (contig)""")
+def aligned_depth(spark, d):
+    """AGG-12, PRJ-6, SRC-16: depth by base; unmapped and secondary blocks, and those of low quality, do not count."""
+    s = pileup.depth_summary(*_blocks(spark, d), 10)
+    return s.select("contig", "sample", F.col("length").cast("long").alias("length"), r6(F.col("depth")).alias("depth"), r6(F.col("zero_share")).alias("zero_share"), "deepest")
+
+
+@_query(f"""with {_BLOCKS}, base as (select contig, sample, p, count(*) as depth from (select contig, sample, unnest(range(s, s + n)) as p from b) group by 1, 2, 3)
+select contig, sample, depth::BIGINT as depth, count(*)::BIGINT as positions from base group by 1, 2, 3""")
+def depth_histogram(spark, d):
+    """SRC-16: how many positions of each contig and sample have each depth, from runs over tiles."""
+    runs = pileup.depth_runs(pileup.usable(_blocks(spark, d)[0], 10), "contig", "sample", tile=256)
+    return runs.filter("depth > 0 AND end > start").groupBy("contig", "sample", "depth").agg(F.sum(F.col("end") - F.col("start")).alias("positions"))
 
 
 @_query("select event_type as sample from events group by 1 having max(value - value) - min(value - value) <= 1e-9 and event_type < 'f' union all select 'flat' as sample")
