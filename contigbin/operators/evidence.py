@@ -128,34 +128,6 @@ def _em_array(x: np.ndarray, fit: dict) -> tuple[float, float, float]:
     return mass, mean, math.sqrt(max(float(r @ (x - mean) ** 2) / mass, 1e-6))
 
 
-def robust_array(x: np.ndarray) -> tuple[float, float]:
-    """``robust_null`` of an array."""
-    if not len(x):
-        return 0.0, 1e-9
-    centre = float(np.median(x))
-    return centre, 1.4826 * float(np.median(np.abs(x - centre))) + 1e-9
-
-
-def prior_array(x: np.ndarray, levels: int = 2_000) -> float:
-    """``upper_tail_prior`` of an array."""
-    q = np.linspace(0.5, 1 - 1e-5, levels)
-    centre, scale = robust_array(x)
-    z = (np.quantile(x, q) - centre) / scale if len(x) else np.zeros(levels)
-    tail = np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z])
-    return float(np.clip(((1 - q) - tail).max(), 1e-9, 0.5))
-
-
-def fit_array(x: np.ndarray, prior: float, rounds: int = 200) -> dict:
-    """``fit_mixture`` of an array."""
-    return _fitted(*robust_array(x), prior, len(x) and rounds, lambda fit: _em_array(x, fit))
-
-
-def odds_array(score: np.ndarray, fit: dict) -> np.ndarray:
-    """``log_odds`` of an array of logits of cosines."""
-    log_density_of = lambda k: -0.5 * ((score - fit[f"{k}_mean"]) / fit[f"{k}_scale"]) ** 2 - math.log(fit[f"{k}_scale"])
-    return math.log(fit["prior"]) - math.log1p(-fit["prior"]) + log_density_of("alt") - log_density_of("null")
-
-
 def informative(fit: dict) -> bool:
     return all(np.isfinite(fit[k]) for k in ("null_mean", "null_scale", "alt_mean", "alt_scale")) and fit["null_scale"] >= 1e-3
 

@@ -3,10 +3,9 @@
 Encoder: (1 - g) * x P + g * layer2(layer1(x)), at unit length, with a learned gate g;
 a layer is gelu(batchnorm(x W + A x V + b)). Decoder: two dense layers. Training masks
 part of the training nodes and reconstructs them by cosine; it is checked on held-out
-nodes, where the graph is rebuilt from attributes and embedding (``rebuilt``), and
-keeps the best state. Training needs its rows at once, so it runs in one task on
-FIT_NODES rows at most (all, or those of least hash, with the links among them). The
-encoder is then applied to all rows as joins and Arrow batches, whatever their number.
+nodes, where the graph is rebuilt from attributes and embedding, and
+keeps the best state. ``operators.training`` runs it over executors; ``train`` is the plain
+form on arrays that tests hold it against. The encoder is applied to all rows as joins and Arrow batches.
 GELU is its tanh form. Gradients are written out by hand below.
 """
 
@@ -20,9 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import evidence, graph
-
-FIT_NODES = 50_000
+from . import graph
 
 
 def gelu(x):
@@ -104,13 +101,13 @@ class Autoencoder:
         z, n = unit_rows(keep * own + g * y)
         return z, (x, own, y, n, z, c1, c2)
 
-    def step(self, x, spread, masked) -> tuple[float, dict]:
-        """Loss and gradients with the rows ``masked`` replaced by the mask token."""
-        seen = x.copy()
+    def step(self, x, spread, masked, scored=None) -> tuple[float, dict]:
+        """Loss over the rows ``scored`` (all masked ones) and gradients, with the rows ``masked`` replaced by the mask token."""
+        back, seen = getattr(spread, "back", spread), x.copy()  # the whole adjacency is its own transpose
         seen[masked] = self.w["mask"]
         z, (seen, own, y, n, z, c1, c2) = self.encode(seen, spread, train=True)
         h, slope = gelu(z @ self.w["D1"] + self.w["c1"])
-        loss, d = masked_cosine_loss(h @ self.w["D2"] + self.w["c2"], x, masked)
+        loss, d = masked_cosine_loss(h @ self.w["D2"] + self.w["c2"], x, masked if scored is None else scored)
         g = {"D2": h.T @ d, "c2": d.sum(0)}
         d = (d @ self.w["D2"].T) * slope
         g["D1"], g["c1"] = z.T @ d, d.sum(0)
@@ -120,9 +117,9 @@ class Autoencoder:
         g["gate"] = np.array(((y - own) * d).sum() * gate * keep)
         g["P"] = seen.T @ (keep * d)
         dz = self._layer_back(2, gate * d, c2, g)
-        dh = dz @ self.w["W2"].T + spread(dz @ self.w["V2"].T)  # the adjacency is symmetric
+        dh = dz @ self.w["W2"].T + back(dz @ self.w["V2"].T)
         dz = self._layer_back(1, dh, c1, g)
-        dx = dz @ self.w["W1"].T + spread(dz @ self.w["V1"].T) + (keep * d) @ self.w["P"].T
+        dx = dz @ self.w["W1"].T + back(dz @ self.w["V1"].T) + (keep * d) @ self.w["P"].T
         g["mask"] = dx[masked].sum(0)
         return loss, g
 
@@ -144,52 +141,6 @@ def spreader(n: int, src: np.ndarray, dst: np.ndarray):
     return lambda x: np.add.reduceat(x[b] * weight[:, None], starts, axis=0)
 
 
-def _mutual(u: np.ndarray, k: int) -> np.ndarray:
-    """(i < j) rows that are among each other's k most similar."""
-    n, k, codes = len(u), min(k, len(u) - 1), []
-    for at in range(0, n, 512):
-        c = u[at : at + 512] @ u.T
-        c[np.arange(len(c)), at + np.arange(len(c))] = -np.inf
-        near = np.argpartition(-c, k - 1, axis=1)[:, :k]
-        codes.append((at + np.arange(len(c)))[:, None] * n + near)
-    codes = np.concatenate(codes).ravel()
-    i, j = codes // n, codes % n
-    both = np.intersect1d(codes[i < j], (j * n + i)[i > j])
-    return np.stack([both // n, both % n], 1)
-
-
-def _logits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    p = np.clip(((x * y).sum(1) + 1) / 2, 1e-4, 1 - 1e-4)
-    return np.log(p) - np.log1p(-p)
-
-
-def rebuilt(attributes: np.ndarray, coverage: np.ndarray, embedding: np.ndarray, supported: np.ndarray, config) -> np.ndarray:
-    """The training graph (i < j) of a check (ML-6): mutual neighbours in attributes with the weighted embedding, or in coverage,
-    whose evidence over the informative views is positive (ML-2), of limited degree (ML-5), and the supported assembly links."""
-    n = len(attributes)
-    views = [unit_rows(np.concatenate([attributes, config.training.embedding_weight * embedding], 1))[0], coverage]
-    pairs = np.unique(np.concatenate([_mutual(u, config.search.neighbours) for u in views]), axis=0)
-    rng = np.random.default_rng(config.seed)
-    i, j = rng.integers(0, n, (2, min(config.evidence.null_draws, max(1_000, 200 * n))))
-    nulls = [_logits(u[i[i != j]], u[j[i != j]]) for u in views]
-    prior = evidence.prior_array(nulls[1] if evidence.robust_array(nulls[1])[1] >= 1e-3 else nulls[0])
-    odds = []
-    for u, null in zip(views, nulls, strict=True):
-        fit = evidence.fit_array(null, prior)
-        e = evidence.odds_array(_logits(u[pairs[:, 0]], u[pairs[:, 1]]), fit)
-        if evidence.informative(fit) and len(e) and e.max() > 0:
-            odds.append(e)
-    pairs = pairs[sum(odds) > 0] if odds else pairs[:0]
-    ceiling = graph.degree_ceiling(n)
-    if n > config.search.exact_rows and len(pairs) > n * ceiling // 2:
-        strength = sum((u[pairs[:, 0]] * u[pairs[:, 1]]).sum(1) for u in views)
-        ends, link = pairs.T.ravel(), np.tile(np.arange(len(pairs)), 2)
-        order = np.lexsort((link, -strength[link], ends))
-        rank = np.arange(len(ends)) - np.searchsorted(ends[order], ends[order])
-        pairs = pairs[np.bincount(link[order][rank < ceiling], minlength=len(pairs)) == 2]
-    return np.unique(np.concatenate([pairs, supported]), axis=0)
-
-
 def train(x: np.ndarray, edges: np.ndarray, config, regraph=None) -> tuple[Autoencoder, np.ndarray, dict]:
     """The model, the graph (i < j) of its best state, and the run's statistics. ``regraph``: embedding -> edges, at every check."""
     n, how = len(x), config.training
@@ -279,37 +230,3 @@ def encode_all(rows: DataFrame, edges: DataFrame, weights: bytes) -> DataFrame:
     hidden = start.join(_neighbour_sums(adjacency, start), "id").mapInPandas(layer(1), "id long, x array<double>").checkpoint()
     both = hidden.join(_neighbour_sums(adjacency, hidden), "id").join(rows.select("id", "u"), "id")
     return both.mapInPandas(layer(2), "id long, x array<double>").withColumnRenamed("x", "z")
-
-
-def embed(rows: DataFrame, edges: DataFrame, config, supported: DataFrame | None = None, fit_nodes: int = FIT_NODES) -> tuple[DataFrame, dict]:
-    """id, z of every row of ``rows``, and the statistics of the training.
-
-    ``rows``: id, u (attributes), b (coverage; the graph is rebuilt at every check if it is there); ``edges``: the seed
-    graph (src, dst); ``supported``: links that every graph has. Of over ``fit_nodes`` rows the model is trained on
-    those of least hash, and the seed graph stays the graph of the encoder.
-    """
-    n = rows.count()
-    columns = ["id", "u", "b"] if "b" in rows.columns else ["id", "u"]
-    some = rows.select(columns) if n <= fit_nodes else rows.select(columns).orderBy(F.xxhash64("id"), "id").limit(fit_nodes)
-    always = edges.limit(0) if supported is None else supported
-    links = edges.select("src", "dst", F.lit(False).alias("always")).union(always.select("src", "dst", F.lit(True)))
-
-    def run(key, members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        members = members.sort_values("id")
-        ids, x = members["id"].to_numpy(), np.stack(members["u"].to_list())
-        links = links[links["src"].isin(ids) & links["dst"].isin(ids)]
-        pairs = np.stack([np.searchsorted(ids, links[c]) for c in ("src", "dst")], 1).astype(np.int64).reshape(-1, 2)
-        pairs.sort(axis=1)
-        kept = np.unique(pairs[links["always"].to_numpy(bool)], axis=0)
-        regraph = None
-        if "b" in members:
-            b = np.stack(members["b"].to_list())
-            regraph = lambda z: rebuilt(x, b, z, kept, config)
-        model, found, stats = train(x, np.unique(pairs, axis=0), config, regraph)
-        return pd.DataFrame({"weights": [_packed(model)], "src": [ids[found[:, 0]].tolist()], "dst": [ids[found[:, 1]].tolist()], "stats": [{k: str(v) for k, v in stats.items()}]})
-
-    one = F.lit(0).alias("g")
-    trained = some.withColumn("g", one).groupBy("g").cogroup(links.withColumn("g", one).groupBy("g")).applyInPandas(run, "weights binary, src array<long>, dst array<long>, stats map<string,string>").checkpoint()
-    weights, stats = trained.select("weights", "stats").first()
-    final = edges if n > fit_nodes else trained.select(F.explode(F.arrays_zip("src", "dst")).alias("e")).select("e.src", "e.dst")
-    return encode_all(rows, final, bytes(weights)), dict(stats) | {"fitted_nodes": str(min(n, fit_nodes))}

@@ -3,7 +3,7 @@
 Exact search multiplies blocks of rows: each task takes a block of queries and a
 block of the table and keeps the best k of each query, so what is shuffled grows
 with rows times blocks, never with pairs. ``reciprocal_knn`` can be given a limit
-above which the table is first dealt into buckets, and blocks are made inside them.
+above which rows are only sought in the nearest buckets (``operators.buckets``).
 """
 
 from __future__ import annotations
@@ -19,6 +19,28 @@ BLOCK = 2048
 DIGITS = 9
 
 
+def best_of(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
+    """i, j, cosine: of each query (side 0) of a block the k most similar rows of side 1, itself aside; ties by id."""
+    ask, have = (pdf[pdf["side"] == s].sort_values("id") for s in (0, 1))
+    if not len(ask) or not len(have):
+        return pd.DataFrame({"i": [], "j": [], "cosine": []}).astype({"i": "int64", "j": "int64", "cosine": "float64"})
+    ids = have["id"].to_numpy()
+    table, out = np.stack(have["u"].to_list()), []
+    for at in range(0, len(ask), 256):
+        part = ask.iloc[at : at + 256]
+        c = np.round(np.stack(part["u"].to_list()) @ table.T, DIGITS)
+        c[part["id"].to_numpy()[:, None] == ids[None]] = -np.inf
+        least = np.partition(c, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+        row, col = np.nonzero(c >= least[:, None])  # k of each row, or more where the last ones tie
+        order = np.lexsort((col, -c[row, col], row))
+        row, col = row[order], col[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[first], col[first]
+        out.append(pd.DataFrame({"i": part["id"].to_numpy()[row], "j": ids[col], "cosine": c[row, col]}))
+    found = pd.concat(out)
+    return found[np.isfinite(found["cosine"])]
+
+
 def top_k(rows: DataFrame, k: int, bucket: str | None = None, block: int = BLOCK) -> DataFrame:
     """i, j, cosine, rank of each row's k most similar others; ties by id.
 
@@ -32,27 +54,7 @@ def top_k(rows: DataFrame, k: int, bucket: str | None = None, block: int = BLOCK
     other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     both = rows.withColumn("q", F.col("block")).withColumn("t", other).withColumn("side", F.lit(0)).union(rows.withColumn("q", other).withColumn("t", F.col("block")).withColumn("side", F.lit(1)).select("id", "u", "bucket", "block", "q", "t", "side"))
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, have = (pdf[pdf["side"] == s].sort_values("id") for s in (0, 1))
-        if not len(ask) or not len(have):
-            return pd.DataFrame({"i": [], "j": [], "cosine": []}).astype({"i": "int64", "j": "int64", "cosine": "float64"})
-        ids = have["id"].to_numpy()
-        table, out = np.stack(have["u"].to_list()), []
-        for at in range(0, len(ask), 256):
-            part = ask.iloc[at : at + 256]
-            c = np.round(np.stack(part["u"].to_list()) @ table.T, DIGITS)
-            c[part["id"].to_numpy()[:, None] == ids[None]] = -np.inf
-            least = np.partition(c, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
-            row, col = np.nonzero(c >= least[:, None])  # k of each row, or more where the last ones tie
-            order = np.lexsort((col, -c[row, col], row))
-            row, col = row[order], col[order]
-            first = np.arange(len(row)) - np.searchsorted(row, row) < k
-            row, col = row[first], col[first]
-            out.append(pd.DataFrame({"i": part["id"].to_numpy()[row], "j": ids[col], "cosine": c[row, col]}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["cosine"])]
-
-    found = both.groupBy("bucket", "q", "t").applyInPandas(best, "i long, j long, cosine double")
+    found = both.groupBy("bucket", "q", "t").applyInPandas(lambda pdf: best_of(pdf, k), "i long, j long, cosine double")
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("cosine"), "j"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
@@ -63,40 +65,15 @@ def reciprocal(neighbours: DataFrame) -> DataFrame:
     return neighbours.filter("i < j").join(back, ["i", "j"]).select(F.col("i").alias("src"), F.col("j").alias("dst"), "cosine")
 
 
-def reciprocal_knn(rows: DataFrame, k: int, exact_limit: int | None = None, seeds: tuple = (0, 1)) -> DataFrame:
-    """src, dst, cosine of reciprocal neighbours, exact at every size (JN-9); above ``exact_limit`` rows, if given, inside k-means buckets of two seeds (JN-10)."""
-    if exact_limit is None or (n := rows.count()) <= exact_limit:
+def reciprocal_knn(rows: DataFrame, k: int, exact_limit: int | None = None) -> DataFrame:
+    """src, dst, cosine of reciprocal neighbours, exact at every size (JN-9); above ``exact_limit`` rows, if given, by buckets with as many probes as a recall of 0.9 takes (JN-10)."""
+    if exact_limit is None or rows.count() <= exact_limit:
         return reciprocal(top_k(rows, k))
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    vectors = rows.withColumn("features", array_to_vector("u"))
-    anchors = min(512, max(32, math.ceil(math.sqrt(n))))
-    out = None
-    for seed in seeds:
-        model = KMeans(k=anchors, seed=seed, maxIter=20, predictionCol="bucket").fit(vectors)
-        pairs = reciprocal(top_k(model.transform(vectors).select("id", "u", "bucket"), k, "bucket"))
-        out = pairs if out is None else out.union(pairs)
-    return out.dropDuplicates(["src", "dst"])
-
-
-def all_scores(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """src < dst, cosine of all pairs: the deterministic null of small tables. Blocks of rows, as in ``top_k``."""
-    n = max(1, math.ceil(rows.count() / block))
-    rows = rows.select("id", "u").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = rows.select("id", "u", "block", F.least("block", "o").alias("q"), F.greatest("block", "o").alias("t"))
-
-    def cross(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        same = pdf["q"].iloc[0] == pdf["t"].iloc[0]
-        ids, b, u = pdf["id"].to_numpy(), pdf["block"].to_numpy(), np.stack(pdf["u"].to_list())
-        out = []
-        for at in range(0, len(ids), 256):
-            i, j = np.nonzero((ids[at : at + 256, None] < ids[None]) & (same | (b[at : at + 256, None] != b[None])))
-            out.append(pd.DataFrame({"src": ids[at + i], "dst": ids[j], "cosine": np.round((u[at : at + 256] @ u.T)[i, j], DIGITS)}))
-        return pd.concat(out)
-
-    return dealt.groupBy("q", "t").applyInPandas(cross, "src long, dst long, cosine double")
+    from . import buckets
+
+    index = buckets.fit(rows)
+    probes, _ = buckets.tuned(rows, index, k)
+    return reciprocal(buckets.search(rows, index, k, probes).checkpoint())
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import BinningConfig
 from ..functions.vectors import unit
-from ..operators import completeness, evidence, features, graph, metrics, model, neighbours, partition
+from ..operators import completeness, evidence, features, graph, metrics, neighbours, partition, training
 from ..sources import fasta, gfa, tables
 
 
@@ -72,9 +72,9 @@ def run(spark: SparkSession, fasta_path: str, coverage_path: str, gfa_path: str,
         return graph.limit_degree(u.select("id", F.col("u").alias("a")).join(b.select("id", F.col("u").alias("b")), "id"), pairs, config.search.exact_rows)
 
     seeds = statistical(a, config.search.seed_neighbours).union(supported).distinct()
-    embedding, training = a, {}
+    embedding, learned = a, {}
     if learn:
-        embedding, training = model.embed(a.join(b.select("id", F.col("u").alias("b")), "id"), seeds, config, supported)
+        embedding, learned = training.embed(a.join(b.select("id", F.col("u").alias("b")), "id"), seeds, config, supported)
         embedding = embedding.select("id", F.col("z").alias("u")).checkpoint()
     candidates = statistical(embedding, config.search.neighbours).union(supported).distinct()
     null_a = partition.null_scores(embedding, config.evidence.null_draws, config.seed).checkpoint()
@@ -92,6 +92,6 @@ def run(spark: SparkSession, fasta_path: str, coverage_path: str, gfa_path: str,
     fasta.write_bins(own, bins.select("contig", F.format_string("bin_%06d", "bin").alias("bin")), f"{output}/bins")
     sizes = metrics.size_stats(bins).first().asDict()
     shut = locked.filter("locked").count() if locked is not None else 0
-    told = {"parameters": config.told(), "contigs": n, "assembly": {"candidates": assembly.count(), "supported": supported.count()}, "training": training, "clustering": stats, "result": sizes, "locked": shut, "locked_fraction": shut / n, "seconds": round(time.time() - began, 3)}
+    told = {"parameters": config.told(), "contigs": n, "assembly": {"candidates": assembly.count(), "supported": supported.count()}, "training": learned, "clustering": stats, "result": sizes, "locked": shut, "locked_fraction": shut / n, "seconds": round(time.time() - began, 3)}
     spark.createDataFrame([(json.dumps(told, sort_keys=True, default=float),)], "value string").coalesce(1).write.mode("overwrite").text(f"{output}/run.json")
     return bins

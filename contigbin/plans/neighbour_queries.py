@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import ERFC, ERFC_P, logit_of_cosine
-from ..operators import evidence, graph, metrics, neighbours, partition
+from ..operators import buckets, evidence, graph, metrics, neighbours, partition
 from .common import knn_sql, r6, vec, vec_sql
 from .feature_queries import query as _query
 
@@ -47,6 +47,18 @@ def knn_bucketed(spark, d):
     return neighbours.reciprocal(neighbours.top_k(vec(spark, d), 8, "label")).select("src", "dst", r6(F.col("cosine")).alias("cosine"))
 
 
+@_query("with q as (select count(*) as n from embeddings where vec_id % 100 = 0), a as (select least(8, count(*) - 1) as k from embeddings) select n::BIGINT as queries, (n * k)::BIGINT as wanted, true as reached from q, a")
+def bucketed_recall(spark, d):
+    """JN-10: neighbours by buckets, of the rows whose id is divisible by 100 against all rows: whether 0.9 of them are found."""
+    rows = vec(spark, d).checkpoint()
+    queries = rows.filter("id % 100 = 0")
+    index = buckets.fit(rows)
+    probes, _ = buckets.tuned(rows, index, 8, queries=queries)
+    truth, found = buckets.exact(rows, queries, 8), buckets.search(rows, index, 8, probes, queries)
+    sums = truth.select("i", "j").join(found.select("i", "j", F.lit(1).alias("hit")), ["i", "j"], "left").agg(F.count("*").alias("wanted"), F.count("hit").alias("hit"))
+    return sums.select(F.lit(queries.count()).cast("long").alias("queries"), "wanted", (F.col("hit") >= 0.9 * F.col("wanted")).alias("reached"))
+
+
 @_query(f"{_KNN} select src, dst, round({_LOGIT}, 6) + 0.0 as score from knn")
 def cosine_logit(spark, d):
     return neighbours.reciprocal_knn(vec(spark, d), 8).select("src", "dst", r6(logit_of_cosine(F.col("cosine"))).alias("score"))
@@ -203,9 +215,9 @@ def unknown_k_binning(spark, d):
 @_query(None)
 def masked_autoencoder(spark, d):
     from ..config import BinningConfig
-    from ..operators import model
+    from ..operators import training
 
     a, b = (vec(spark, d, at, 32).select("id", "u").checkpoint() for at in (1, 33))
     seeds = neighbours.reciprocal_knn(a, 8).select("src", "dst").union(neighbours.reciprocal_knn(b, 8).select("src", "dst")).distinct()
-    z, _ = model.embed(a.join(b.select("id", F.col("u").alias("b")), "id"), seeds, BinningConfig())
+    z, _ = training.embed(a.join(b.select("id", F.col("u").alias("b")), "id"), seeds, BinningConfig())
     return z.select("id", F.posexplode("z").alias("dim", "value")).select("id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))

@@ -83,10 +83,10 @@ def test_neighbours_do_not_depend_on_blocks(spark):
     want = {(i, j) for i in range(90) for j in np.argsort(-c[i], kind="stable")[:4].tolist()}
     for block in (2048, 20):
         assert {(r["i"], r["j"]) for r in neighbours.top_k(rows, 4, block=block).collect()} == want
-        assert neighbours.all_scores(rows, block=block).count() == 90 * 89 // 2
     pairs = {(r["src"], r["dst"]) for r in neighbours.reciprocal_knn(rows, 4).collect()}
     assert pairs == {(i, j) for i, j in want if i < j and (j, i) in want}
-    assert all(a < b for a, b in {(r["src"], r["dst"]) for r in neighbours.reciprocal_knn(rows, 3, exact_limit=10, seeds=(0,)).collect()})
+    near = {(r["src"], r["dst"]) for r in neighbours.reciprocal_knn(rows, 4, exact_limit=10).collect()}
+    assert all(a < b for a, b in near) and len(near & pairs) >= 0.8 * len(pairs)
 
 
 def test_reciprocal_neighbours_are_exact_above_4000_rows(spark):
@@ -412,7 +412,7 @@ def test_quantile_levels_share_one_count(spark, monkeypatch):
 
 
 def test_encoder_of_all_rows_equals_that_of_one_task(spark):
-    """The distributed layers give what the model gives in memory; training on a part still embeds every row."""
+    """The distributed layers give what the model gives in memory."""
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(3, 6))
     x = model.unit_rows(centres[np.arange(45) % 3] + 0.2 * rng.normal(size=(45, 6)))[0]
@@ -423,23 +423,3 @@ def test_encoder_of_all_rows_equals_that_of_one_task(spark):
     links = frame(spark, edges.tolist(), "src long, dst long")
     got = {r["id"]: r["z"] for r in model.encode_all(rows, links, model._packed(net)).collect()}
     assert np.allclose([got[k] for k in range(45)], net.encode(x, model.spreader(45, *edges.T))[0])
-    both = rows.withColumn("b", F.col("u"))
-    for most in (50_000, 20):
-        z, told = model.embed(both, links, config, supported=links.limit(2), fit_nodes=most)
-        out = {r["id"]: r["z"] for r in z.collect()}
-        assert len(out) == 45 and np.allclose(np.linalg.norm([out[k] for k in range(45)], axis=1), 1) and told["fitted_nodes"] == str(min(45, most))
-
-
-def test_training_graph_is_rebuilt_from_evidence():
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(6, 12))
-    group = np.arange(120) % 6
-    a, b = (model.unit_rows(centres[group] + 0.15 * rng.normal(size=(120, 12)))[0] for _ in range(2))
-    config = BinningConfig(search=Search(neighbours=10))
-    pairs = model.rebuilt(a, b, rng.normal(size=(120, 4)) * 0.1, np.array([[0, 1]]), config)
-    inside = group[pairs[:, 0]] == group[pairs[:, 1]]
-    assert [0, 1] in pairs.tolist() and (pairs[:, 0] < pairs[:, 1]).all() and inside.sum() > 300 and (~inside).sum() == 1
-    near = {tuple(p) for p in model._mutual(a, 3).tolist()}
-    c = a @ a.T - 9 * np.eye(120)
-    top = [set(np.argsort(-r)[:3].tolist()) for r in c]
-    assert near == {(i, j) for i in range(120) for j in top[i] if i < j and i in top[j]}
