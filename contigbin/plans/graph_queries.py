@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
-from ..operators import completeness, features, graph, labelling, neighbours
+from ..operators import assembly, completeness, features, graph, labelling, neighbours
 from ..sources import fasta
 from .common import SEQ, WALK, r6, seq, table, walk
 from .feature_queries import query as _query
@@ -72,8 +72,46 @@ def walk_positions(spark, d):
 
 @_query("select p_partkey as segment, o as orientation, round(ln(1 + p_size), 6) as log_size, round(p_retailprice, 4) as price from part cross join (values ('+'), ('-')) t(o)")
 def oriented_segment_states(spark, d):
-    p = table(spark, d, "part")
-    return p.select(F.col("p_partkey").alias("segment"), F.explode(F.array(F.lit("+"), F.lit("-"))).alias("orientation"), r6(F.log1p("p_size")).alias("log_size"), F.round("p_retailprice", 4).alias("price"))
+    """ML-17: the states of every segment."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("segment"), r6(F.log1p("p_size")).alias("log_size"), F.round("p_retailprice", 4).alias("price"))
+    return assembly.states(p)
+
+
+# links of chains of eleven parts and, for some, of their ends; every eleventh chain's closing link turns the strand
+_CHAIN = """lk as (select p_partkey as a, case when p_size % 2 = 0 then '+' else '-' end as ao, p_partkey + 1 as b, case when p_size % 3 = 0 then '+' else '-' end as bo, p_size as overlap from part where p_partkey % 11 > 0 and p_partkey < (select max(p_partkey) from part)
+union all select p_partkey, '+', p_partkey - 9, case when p_size % 5 = 0 then '+' else '-' end, 7 from part where p_partkey % 11 = 10)"""
+
+
+def _chain(spark, d):
+    p, k, s = table(spark, d, "part"), F.col("p_partkey"), F.col("p_size")
+    last = p.agg(F.max("p_partkey")).first()[0] or 0
+    side = lambda n: F.when(s % n == 0, "+").otherwise("-")
+    first = p.filter((k % 11 > 0) & (k < last)).select(k.alias("a"), side(2).alias("ao"), (k + 1).alias("b"), side(3).alias("bo"), s.alias("overlap"))
+    return p.select(k.alias("segment")), first.union(p.filter(k % 11 == 10).select(k, F.lit("+"), k - 9, side(5), F.lit(7)))
+
+
+@_query(f"""with {_CHAIN}, e as (select a, ao, b, bo, max(overlap) as overlap, count(*) as n from lk group by 1, 2, 3, 4)
+select a, ao, b, bo, overlap::BIGINT as overlap, n::BIGINT as n, 0 as reversed from e union all select b, translate(bo, '+-', '-+'), a, translate(ao, '+-', '-+'), overlap, n, 1 from e""")
+def assembly_links(spark, d):
+    """ML-17: links on both strands with their attributes."""
+    segments, raw = _chain(spark, d)
+    return assembly.links(raw, segments).withColumn("overlap", F.col("overlap").cast("long"))
+
+
+@_query(f"""with {WALK}, p as (select contig, segment, orientation, row_number() over w - 1 as pos, count(*) over (partition by contig) as path_length, lead(segment) over w as next_segment, lead(orientation) over w as next_orientation from walk window w as (partition by contig order by n1, segment, n3, orientation))
+select contig, pos::BIGINT as pos, path_length::BIGINT as path_length, round(pos / greatest(path_length - 1, 1), 6) as rel, segment, orientation, next_segment, next_orientation from p""")
+def assembly_traversals(spark, d):
+    """ML-17, WIN-8: the states that walks visit."""
+    return assembly.traversals(walk(spark, d)).withColumn("rel", r6(F.col("rel")))
+
+
+@_query(f"""with recursive {_CHAIN}, st as (select 2 * a + (ao = '-')::INT as x, 2 * b + (bo = '-')::INT as y from lk union all select 2 * a + (ao = '+')::INT, 2 * b + (bo = '+')::INT from lk), u as (select x, y from st union select y, x from st),
+n as (select 2 * p_partkey + o as id from part, (values (0), (1)) t(o)), reach(id, other) as (select id, id from n union select r.id, u.y from reach r join u on u.x = r.other), c as (select id, min(other) as label from reach group by 1),
+s as (select id // 2 as segment, max(case when id % 2 = 0 then label end) as ahead, max(case when id % 2 = 1 then label end) as back from c group by 1)
+select segment::BIGINT as segment, (least(ahead, back) // 2)::BIGINT as component, case when ahead < back then '+' when ahead > back then '-' end as strand, ahead = back as twisted from s""")
+def assembly_components(spark, d):
+    """ML-17: strand-aware components."""
+    return assembly.components(*_chain(spark, d))
 
 
 _ORIENTED = f"{WALK}, lk as (select segment as a, orientation as ao, lead(segment) over w as b, lead(orientation) over w as bo from walk window w as (partition by contig order by n1, segment, n3, orientation))"

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, labelling
-from .common import COV, cov, r6, table
+from ..sources import keyed
+from .common import COV, cov, r6, scratch, table
 from .feature_queries import query as _query
 
 _SPANS = "spans as (select l_suppkey as target, l_partkey as query, date_diff('day', date '1992-01-01', l_shipdate::DATE)::BIGINT as s, (date_diff('day', date '1992-01-01', l_shipdate::DATE) + l_quantity)::BIGINT as e from lineitem)"
@@ -134,13 +135,13 @@ def md5_dedupe(spark, d):
 new as (select o_orderkey as k, 'U' as status, round(o_totalprice, 2) as price from orders where o_orderpriority = '1-URGENT')
 select k, status, price from new union all select k, status, price from old where k not in (select k from new)""")
 def keyed_upsert(spark, d):
-    from ..sources.tables import upsert
-
+    """SNK-7: two changes of a keyed table, each a version of its own."""
     o = table(spark, d, "orders")
     rows = o.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.round("o_totalprice", 2).alias("price"), "o_orderdate", "o_orderpriority")
-    old = rows.filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")).select("k", "status", "price")
-    new = rows.filter("o_orderpriority = '1-URGENT'").select("k", F.lit("U").alias("status"), "price")
-    return upsert(old, new, ["k"], replace=True)
+    path = scratch(spark, "keyed")
+    keyed.upsert(rows.filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")).select("k", "status", "price"), path, ["k"], replace=True)
+    keyed.upsert(rows.filter("o_orderpriority = '1-URGENT'").select("k", F.lit("U").alias("status"), "price"), path, ["k"], replace=True)
+    return keyed.read(spark, path)
 
 
 @_query("select c_name as contig, 'bin' || c_nationkey as bin from customer")

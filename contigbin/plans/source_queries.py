@@ -201,11 +201,14 @@ def assignments_round_trip(spark, d):
     return tables.read_assignments(spark.read.text(path), rows)
 
 
-@_query("select 'c' || doc_id as contig, source || '.x' as bin from documents")
+@_query(f"with {SEQ} select 'c' || contig as contig, source || '.x' as bin from seq join documents on doc_id = contig where sequence <> ''")
 def assignments_from_folder(spark, d):
-    """SRC-23."""
-    docs = table(spark, d, "documents").select(F.concat(F.lit("c"), "doc_id").alias("contig"), F.concat(F.lit("s3://b/bins/"), "source", F.lit(".x.fna.gz")).alias("path"))
-    return tables.assignments_from_records(docs, docs)
+    """SNK-2, SRC-23: bins written as one FASTA file each, and their folder read as assignments."""
+    path = scratch(spark, "bin-files")
+    bins = table(spark, d, "documents").select(F.concat(F.lit("c"), "doc_id").alias("contig"), F.concat("source", F.lit(".x")).alias("bin"))
+    records = _records(spark, d)
+    fasta.write_bins(records, bins.join(records.select("contig"), "contig", "left_semi"), path)
+    return tables.assignments_from_folder(spark, path, bins)
 
 
 @_query("select distinct split_part(url, '?', 1) || page_id as contig from pages")

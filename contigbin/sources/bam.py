@@ -13,6 +13,8 @@ import zlib
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .store import open_store
+
 SCHEMA = "file string, name string, contig string, start long, end long, flag int, quality int"
 MAGIC = b"\x1f\x8b\x08\x04"
 RANGE = 32 << 20
@@ -28,19 +30,11 @@ class _Range(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path)
-
-
 def _files(path: str) -> list[tuple[str, int]]:
     """The .bam files of a path or folder, with their sizes."""
     from pyarrow import fs
 
-    store, own = _open(path)
+    store, own = open_store(path)
     info = store.get_file_info(own)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
@@ -212,7 +206,7 @@ class _Reader(DataSourceReader):
         return [_Range(path, at, min(n, at + size)) for path, n in _files(self.options["path"]) for at in range(0, n, size)]
 
     def read(self, partition):
-        store, path = _open(self.options["path"])
+        store, path = open_store(self.options["path"])
         with store.open_input_file(partition.path) as file:
             blocks = Blocks(file, file.size())
             contigs, at = header(whole := Stream(blocks, 0))

@@ -19,6 +19,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def path_of(spark: SparkSession, path: str) -> str:
+    """The whole path in its store, without store and a slash at the end."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toUri().getPath()
+
+
 def write_dataset(contigs: DataFrame, coverage: DataFrame, edges: DataFrame, path: str, least: int = 2_000, config: dict | None = None) -> None:
     """``contigs``: contig, sequence; ``coverage``: contig, sample, depth; ``edges``: src, dst (contig names). Short contigs go, with what refers to them."""
     sized = contigs.withColumn("length", F.length("sequence").cast("long"))

@@ -8,6 +8,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.dna import wrapped
 from . import splits
+from .store import GroupFileSource
 
 SCHEMA = "path string, position long, contig string, description string, sequence string"
 
@@ -118,12 +119,22 @@ def write_fasta(records: DataFrame, path: str, width: int = 80) -> None:
 
 
 def write_bins(records: DataFrame, bins: DataFrame, path: str, width: int = 80) -> None:
-    """One folder of FASTA a bin (SNK-2); raises if a binned contig has no record. Rows of a bin may be in several files."""
+    """``path`` as a folder of one FASTA file a bin, contigs in their order (SNK-2); earlier files there go when all new ones are written.
+
+    Raises if a binned contig has no record, or two bins would share a file name (what is no letter, digit, '.', '_' or '-' becomes '_').
+    """
     missing = bins.join(records, "contig", "left_anti").select("contig").limit(3).collect()
     if missing:
         raise ValueError(f"contigs without a sequence: {[r[0] for r in missing]}")
-    rows = bins.join(records.select("contig", "sequence"), "contig").select("bin", record(F.col("contig"), F.col("sequence"), width).alias("value"))
-    rows.repartition("bin").write.mode("overwrite").partitionBy("bin").text(path)
+    safe = F.regexp_replace(F.col("bin").cast("string"), "[^A-Za-z0-9._-]", "_").alias("name")
+    twice = bins.select("bin", safe).distinct().groupBy("name").count().filter("count > 1").limit(3).collect()
+    if twice:
+        raise ValueError(f"bins of one file name: {[r[0] for r in twice]}")
+    order = [c for c in ("file", "position") if c in records.columns] or ["contig"]
+    rows = bins.select("contig", safe).join(records.select(*dict.fromkeys(["contig", *order, "sequence"])), "contig")
+    dealt = rows.repartition("name").sortWithinPartitions("name", *order).select("name", record(F.col("contig"), F.col("sequence"), width).alias("value"))
+    records.sparkSession.dataSource.register(GroupFileSource)
+    dealt.write.format("group_files").option("path", path).mode("append").save()
 
 
 def link_bins(records: DataFrame, bins: DataFrame, gap: int = 1500) -> tuple[DataFrame, DataFrame]:

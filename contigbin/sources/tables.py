@@ -96,10 +96,16 @@ def read_bins(spark: SparkSession, path: str) -> DataFrame:
     return body.filter(F.size("f") > max(contig, bin_)).select(F.trim(F.col("f")[contig]).alias("contig"), F.trim(F.col("f")[bin_]).alias("bin"))
 
 
-def assignments_from_records(records: DataFrame, contigs: DataFrame) -> DataFrame:
-    """contig, bin from a folder of FASTA, one file a bin (SRC-23): rows path, contig. The bin is the file's name. Raises if a contig is in two."""
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.(fa|fna|fasta)(\.gz)?$", "")
-    found = records.select("contig", name.alias("bin")).join(contigs.select("contig").distinct(), "contig", "left_semi").distinct()
+def assignments_from_folder(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
+    """contig, bin from a folder of FASTA files, one a bin, at any depth (SRC-23): the bin is the file's path in the folder, without its ending. Raises if a contig is in two bins."""
+    from .dataset import path_of
+
+    lines = spark.read.option("recursiveFileLookup", True).text(path).filter("value LIKE '>%'")
+    own = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^[A-Za-z0-9]+:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    inside = F.substr(own, F.lit(len(path_of(spark, path)) + 2))
+    ending = r"(?i)\.(fa|fna|fasta)(\.gz)?$"
+    ids = lines.select(F.regexp_extract("value", r"^>(\S*)", 1).alias("contig"), inside.alias("file")).filter(F.col("file").rlike(ending))
+    found = ids.select("contig", F.regexp_replace("file", ending, "").alias("bin")).join(contigs.select("contig").distinct(), "contig", "left_semi").distinct()
     several = F.count("*").over(Window.partitionBy("contig")) > 1
     return found.withColumn("bin", F.when(several, F.raise_error(F.concat("contig", F.lit(" occurs in two bins")))).otherwise(F.col("bin")))
 
