@@ -119,15 +119,16 @@ def assess(docs: DataFrame, **how) -> DataFrame:
 
 
 def clean(docs: DataFrame, **how) -> DataFrame:
-    """The documents kept, with all their columns; text without the lines that fail."""
-    at = docs.columns.index("text")
+    """The documents kept, with all their columns (whatever their names); text without the lines that fail."""
+    rest = F.struct(F.lit(None).cast("int").alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"))
+    nested = docs.select(rest.alias("rest"), "text")
 
     def run(batches):
         for batch in batches:
-            judged = [judge(text or "", **how) for text in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
-            columns[at] = pa.array([text for _, text in judged], batch.schema.field(at).type)
+            judged = [judge(text or "", **how) for text in batch.column(1).to_pylist()]
+            texts = pa.array([text for _, text in judged], batch.schema.field(1).type)
             kept = pa.array([row[NAMES.index("kept")] for row, _ in judged], pa.bool_())
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(kept)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts], schema=batch.schema).filter(kept)
 
-    return bounded_batches(docs).mapInArrow(run, docs.schema)
+    done = bounded_batches(nested).mapInArrow(run, nested.schema)
+    return done.select(*(F.col("text") if c == "text" else F.col("rest")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))

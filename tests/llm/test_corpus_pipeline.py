@@ -47,9 +47,21 @@ def _upto(spark, sf_dir, n):
 
 
 def test_stages_keep_columns_and_take_empty_tables(spark, sf_dir):
-    docs = spark.createDataFrame([], DOCS).withColumns({"kept": F.lit(1), "n": F.lit("x"), "_rest": F.lit(2)})
+    docs = spark.createDataFrame([], DOCS).withColumns({"kept": F.lit(1), "n": F.lit("x"), "_rest": F.lit(2), "a.b": F.lit(3), "c0": F.lit(4)})
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         assert out.count() == 0
         if name != "packing":
             assert out.columns == docs.columns
+
+
+def test_stages_take_dotted_columns_and_null_ids(spark, sf_dir, tmp_path):
+    """Columns named like paths stay with their rows; documents without an id are documents of their own."""
+    rows = [*documents(8)[:20], (None, documents(8)[5][1], "en", "x", 1), (None, documents(9)[6][1], None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3).withColumns({"a.b": F.concat(F.lit("own "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))), "rest": F.lit(1)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, sf_dir), name)
+        assert docs.columns == [*(c.split()[0] for c in DOCS.split(", ")), "a.b", "rest"]
+    got = docs.collect()
+    assert got and all(r["a.b"] == f"own {'none' if r['doc_id'] is None else r['doc_id']}" and r["rest"] == 1 for r in got)
+    assert sum(r["doc_id"] is None for r in got) == 1  # the other one holds a benchmark item
