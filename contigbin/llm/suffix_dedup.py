@@ -19,8 +19,8 @@ doc_id, or before in the same document) is removed. Equality is that of bytes.
 
 How many buckets there are follows from the counted bytes (BUCKET_BYTES of input for
 step 1, INDEX_BYTES of suffixes for step 2), so what a task holds does not grow with
-the input. Levels live in the task of their bucket; a lost one is built again from
-its shuffled input. What goes through a shuffle in steps 1 and 2 is packed: byte
+the input. Levels of a run live in the task of their bucket; a lost one is built again from
+its shuffled input. ``suffix_family`` keeps levels between batches. What goes through a shuffle in steps 1 and 2 is packed: byte
 planes of whole columns, compressed, a row a task, bucket and flush.
 
 Null and short texts lose nothing. Very long texts are read in chunks of CHUNK bytes
@@ -453,15 +453,21 @@ def spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(least, math.ceil(n_bytes / BUCKET_BYTES))
     found = materialize(sifted(sample(texts, length, buckets), buckets), "runs")
+    dealt = texts.repartition("doc_id", "th")
+    return dealt, settled(dealt, found, length)
+
+
+def settled(dealt: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """doc_id, th, gone (list of pos, n): step 2 over the runs ``found`` (doc_id, th, pos, gram) of the texts ``dealt`` (by doc_id, th)."""
+    least = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_suffixes = found.agg(F.sum(F.col("pos").bitwiseAND((1 << _START) - 1))).first()[0] or 0
     buckets = max(least, math.ceil(n_suffixes * (length + 24) / INDEX_BYTES))
     hot = materialize(found.groupBy("gram").agg(F.count("*").alias("hot")).filter(F.col("hot") > HOT).select("gram", F.lit(True).alias("hot")), "hot")
     marked = found.join(maybe_broadcast(hot, hot.count(), 16), "gram", "left").withColumn("gram", F.when(F.col("hot"), F.lit(0)).otherwise(F.col("gram")))
     wanted = marked.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "gram")).alias("runs"))
-    dealt = texts.repartition("doc_id", "th")
     joined = dealt.join(wanted.hint("shuffle_hash"), ["doc_id", "th"]).select("doc_id", "th", "text", "runs")
     removed = index(dealt_suffixes(joined, length, buckets), length, buckets)
-    return dealt, removed.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
+    return removed.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
 
 
 def _cut(text: bytes, gone: pa.Scalar) -> tuple[np.ndarray, int]:
@@ -478,7 +484,11 @@ def _cut(text: bytes, gone: pa.Scalar) -> tuple[np.ndarray, int]:
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row a document."""
-    dealt, removed = spans(docs, length)
+    return reported(*spans(docs, length))
+
+
+def reported(dealt: DataFrame, removed: DataFrame) -> DataFrame:
+    """The result of ``dedup`` from texts (doc_id, th, text) and what goes from them (doc_id, th, gone)."""
 
     def run(batches):
         for batch in batches:
@@ -499,7 +509,8 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes cut from text; a character that loses a byte goes whole. All columns stay."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    named = docs.select("doc_id", "text", F.struct(*rest).alias("_rest") if rest else F.lit(None).alias("_rest"))
+    own = F.struct(F.lit(None).cast("int").alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)))
+    named = docs.select("doc_id", "text", own.alias("_rest"))
     texts = named.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("th"), "doc_id", "_rest", "text")
     _, removed = spans(docs, length)
     joined = texts.join(removed.withColumnRenamed("doc_id", "doc").hint("shuffle_hash"), ["doc", "th"], "left").select("doc_id", "_rest", "text", "gone")
@@ -522,4 +533,4 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(new, batch.schema.field(2).type)], names=["doc_id", "_rest", "text"])
 
     done = joined.mapInArrow(run, schema)
-    return done.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c].alias(c) for c in docs.columns))
+    return done.select(*(F.col(c) if c in ("doc_id", "text") else F.col("_rest")[f"c{rest.index(c)}"].alias(c) for c in docs.columns))
