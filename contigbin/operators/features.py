@@ -92,6 +92,29 @@ def clr(dense: DataFrame) -> DataFrame:
     return zscore(centred.select("contig", "kmer", "z"), "kmer", "z")
 
 
+#: A coverage table has so many samples at most.
+SAMPLES = 100_000
+
+
+def left_fill(contigs: DataFrame, coverage: DataFrame) -> DataFrame:
+    """contig, sample, depth of every contig (``contigs``: contig) in every sample of ``coverage``, 0 where it has none (JN-2).
+
+    The samples, of which there are SAMPLES at most, become an array that every contig unfolds. Raises beyond that.
+    """
+    found = coverage.select("sample").distinct().limit(SAMPLES + 1).collect()
+    if len(found) > SAMPLES:
+        raise ValueError(f"more than {SAMPLES} samples")
+    samples = F.lit(sorted((r[0] for r in found if r[0] is not None))) if found else F.array().cast("array<string>")
+    grid = contigs.select("contig", F.explode(samples).alias("sample"))
+    return grid.join(coverage, ["contig", "sample"], "left").select("contig", "sample", F.coalesce("depth", F.lit(0.0)).alias("depth"))
+
+
+def wide(coverage: DataFrame, samples: list[str]) -> DataFrame:
+    """contig and a column for each sample, 0 where there is no depth; of a pair that repeats the greatest counts."""
+    rows = coverage.groupBy("contig").pivot("sample", samples).agg(F.max("depth"))
+    return rows.select("contig", *(F.coalesce(F.col(f"`{s}`"), F.lit(0.0)).alias(s) for s in samples))
+
+
 def cpm(coverage: DataFrame) -> DataFrame:
     """contig, sample, depth scaled to a million a sample (AGG-4)."""
     totals = coverage.groupBy("sample").agg(F.sum("depth").alias("_total"))

@@ -58,10 +58,10 @@ def average_ranks(values: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def rank_correlations(values: DataFrame, key: str, by: str, value: str) -> DataFrame:
-    """a, b, rho: rank correlation of each pair of ``by`` over the keys that both have (AGG-33)."""
+    """a, b, rho: rank correlation of each pair of ``by`` over the keys that both have (AGG-33); null where the ranks of one are all alike."""
     r = average_ranks(values, by, value).select(key, by, "rank_avg")
     a, b = (r.select(key, F.col(by).alias(s), F.col("rank_avg").alias(f"r{s}")) for s in ("a", "b"))
-    return a.join(b, key).filter("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("rho"))
+    return a.join(b, key).filter("a < b").groupBy("a", "b").agg(F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("rho"))
 
 
 def rank_correlation_summary(values: DataFrame, key: str, by: str, value: str) -> DataFrame:

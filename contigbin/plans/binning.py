@@ -19,10 +19,7 @@ def feature_views(contigs: DataFrame, coverage: DataFrame) -> DataFrame:
 
     ``contigs``: contig, sequence; ``coverage``: contig, sample, depth (absent: 0).
     """
-    ids = contigs.select("contig")
-    samples = coverage.select("sample").distinct()
-    full = ids.join(F.broadcast(samples)).join(coverage, ["contig", "sample"], "left").select("contig", "sample", F.coalesce("depth", F.lit(0.0)).alias("depth"))
-    scaled = features.cpm(full)
+    scaled = features.cpm(features.left_fill(contigs, coverage))
     composition = features.clr(features.dense_kmers(contigs, features.kmer_counts(contigs))).select("contig", F.col("kmer").alias("feature"), F.col("z").alias("value"))
     both = composition.union(features.abundance_view(scaled))
 

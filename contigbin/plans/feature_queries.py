@@ -62,8 +62,8 @@ _SAMPLES = ["click", "error", "purchase", "signup", "view"]
 
 @query(f"with {COV} select contig, " + ", ".join(f"round(coalesce(max(case when sample = '{s}' then depth end), 0), 4) as {s}" for s in _SAMPLES) + " from cov group by 1")
 def coverage_pivot(spark, d):
-    wide = cov(spark, d).groupBy("contig").pivot("sample", _SAMPLES).agg(F.max("depth"))
-    return wide.select("contig", *(F.round(F.coalesce(s, F.lit(0.0)), 4).alias(s) for s in _SAMPLES))
+    wide = features.wide(cov(spark, d), _SAMPLES)
+    return wide.select("contig", *(F.round(s, 4).alias(s) for s in _SAMPLES))
 
 
 @query(f"with {_CPM} select contig, sample, round(ln(1 + depth), 6) as log_depth from cpm")
@@ -80,9 +80,7 @@ def coverage_abundance_view(spark, d):
 
 @query(f"with {SEQ}, {COV}, samples as (select distinct sample from cov) select s.contig, m.sample, round(coalesce(c.depth, 0), 4) as depth from seq s cross join samples m left join cov c on c.contig = s.contig and c.sample = m.sample")
 def coverage_left_fill(spark, d):
-    c = cov(spark, d)
-    samples = F.array(*map(F.lit, _SAMPLES))
-    return seq(spark, d).select("contig", F.explode(samples).alias("sample")).join(c, ["contig", "sample"], "left").select("contig", "sample", F.round(F.coalesce("depth", F.lit(0.0)), 4).alias("depth"))
+    return features.left_fill(seq(spark, d), cov(spark, d)).withColumn("depth", F.round("depth", 4))
 
 
 @query(f"with {SEQ} select contig, round(case when length(sequence) > 0 then 100.0e0 * length(regexp_replace(sequence, '[^GC]', '', 'g')) / length(sequence) else 0 end, 6) as gc from seq")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics
+from ..operators import acceptance, metrics
 from .common import PART, part_labels, r6, table
 from .feature_queries import query as _query
 
@@ -81,7 +80,16 @@ def multi_label_stats(spark, d):
 @_query("with c as (select c_custkey as contig, c_nationkey as bin, count(*) over (partition by c_nationkey) as n from customer) select contig, bin from c where n <= 60")
 def bin_cap(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("contig"), F.col("c_nationkey").alias("bin"))
-    return c.withColumn("n", F.count("*").over(Window.partitionBy("bin"))).filter("n <= 60").select("contig", "bin")
+    return acceptance.capped(c, 60)
+
+
+@_query(f"""with {PART} select count(*)::BIGINT as contigs, count(bin)::BIGINT as assigned_contigs, sum(length)::BIGINT as bases, coalesce(sum(case when bin is not null then length end), 0)::BIGINT as assigned_bases,
+round(count(bin) / count(*), 6) as contig_share, round(coalesce(sum(case when bin is not null then length end), 0) / sum(length), 6) as base_share from part_labels""")
+def assigned_share(spark, d):
+    """AGG-26."""
+    p = part_labels(spark, d)
+    s = acceptance.assigned_share(p.select("contig", "length"), p.select("contig", "bin"))
+    return s.withColumns({c: r6(F.col(c)) for c in ("contig_share", "base_share")})
 
 
 _TIER = "case when p_size > 45 then 'Complete' when p_size > 35 then 'High-quality' when p_size > 20 then 'Medium-quality' when p_size > 5 then 'Low-quality' else 'Not-determined' end"
