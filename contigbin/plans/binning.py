@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 
 from ..config import BinningConfig
 from ..functions.vectors import unit
-from ..operators import completeness, evidence, features, graph, metrics, neighbours, partition, training
-from ..sources import fasta, gfa, tables
+from ..operators import acceptance, completeness, evidence, features, graph, metrics, neighbours, partition, training
+from ..sources import dataset, fasta, gfa, tables
 
 
-def feature_views(contigs: DataFrame, coverage: DataFrame) -> DataFrame:
+def feature_views(contigs: DataFrame, coverage: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """contig, a (composition and abundance, clipped to 8), b (log profile): unit rows (E5, E6).
 
-    ``contigs``: contig, sequence; ``coverage``: contig, sample, depth (absent: 0).
+    ``contigs``: contig, and sequence unless k-mer ``counts`` (contig, kmer, cnt) are given; ``coverage``: contig, sample, depth (absent: 0).
     """
+    counts = features.kmer_counts(contigs) if counts is None else counts
     scaled = features.cpm(features.left_fill(contigs, coverage))
-    composition = features.clr(features.dense_kmers(contigs, features.kmer_counts(contigs))).select("contig", F.col("kmer").alias("feature"), F.col("z").alias("value"))
+    composition = features.clr(features.dense_kmers(contigs, counts)).select("contig", F.col("kmer").alias("feature"), F.col("z").alias("value"))
     both = composition.union(features.abundance_view(scaled))
 
     def row(df, key, name):
@@ -48,8 +49,36 @@ def run(spark: SparkSession, fasta_path: str, coverage_path: str, gfa_path: str,
     if paths:
         steps = steps.unionByName(gfa.read_contig_paths(spark, paths, kept))
     named = gfa.contig_edges(gfa.read_links(spark, gfa_path, strict=True), kept, steps)
-    index = kept.select("contig", "id")
-    assembly = neighbours.canonical_edges(named.join(index.select(F.col("contig").alias("src"), F.col("id").alias("i")), "src").join(index.select(F.col("contig").alias("dst"), F.col("id").alias("j")), "dst").select(F.col("i").alias("src"), F.col("j").alias("dst"))).checkpoint()
+    return _binned(spark, kept, views, named, own, output, config, learn, began)
+
+
+def run_prepared(spark: SparkSession, path: str, output: str, fasta_path: str | None = None, coverage_path: str | None = None, config: BinningConfig | None = None, learn: bool = True) -> DataFrame:
+    """``run`` on a prepared dataset (``sources.dataset``): bins its contigs from stored k-mer counts, coverage and edges (OPS-1, JN-3).
+
+    Sequences are needed for terminal repeats and per-bin FASTA alone: without ``fasta_path`` no contig is kept alone and no FASTA is written.
+    """
+    config, began = config or BinningConfig(), time.time()
+    parts = dataset.read_dataset(spark, path, coverage_path)
+    kept = features.retained(parts["contigs"].select("contig", "length", F.col("node_index").alias("at")), config.least_length, "at").select("contig", F.col("node_index").alias("id"), "length").checkpoint()
+    if kept.count() < 2:
+        raise ValueError("at least two contigs must pass the length filter")
+    names = kept.select("contig")
+    counts, coverage = (parts[t].join(names, "contig", "left_semi") for t in ("kmers", "coverage"))
+    views = feature_views(names, coverage, counts).join(kept.select("contig", "id"), "contig").select("id", "contig", "a", "b").checkpoint()
+    own = None
+    if fasta_path:
+        own = fasta.checked(fasta.read_fasta(spark, fasta_path)).join(names, "contig", "left_semi")
+        missing = names.join(own, "contig", "left_anti").limit(3).collect()
+        if missing:
+            raise ValueError(f"contigs without a sequence: {[r[0] for r in missing]}")
+    return _binned(spark, kept, views, graph.linked(parts["edges"]), own, output, config, learn, began)
+
+
+def _binned(spark: SparkSession, kept: DataFrame, views: DataFrame, named: DataFrame, own: DataFrame | None, output: str, config: BinningConfig, learn: bool, began: float) -> DataFrame:
+    """Bins from views. ``kept``: contig, id, length; ``views``: id, contig, a, b; ``named``: src, dst of links by contig; ``own``: contig, sequence, if they are at hand."""
+    n, index = kept.count(), kept.select("contig", "id")
+    of = lambda end, to: index.select(F.col("contig").alias(end), F.col("id").alias(to))
+    assembly = neighbours.canonical_edges(named.join(of("src", "i"), "src").join(of("dst", "j"), "dst").select(F.col("i").alias("src"), F.col("j").alias("dst"))).checkpoint()
 
     a, b = (views.select("id", F.col(k).alias("u")) for k in ("a", "b"))
     nulls = {k: partition.null_scores(x, config.evidence.null_draws, config.seed).checkpoint() for k, x in (("a", a), ("b", b))}
@@ -77,7 +106,7 @@ def run(spark: SparkSession, fasta_path: str, coverage_path: str, gfa_path: str,
     null_a = partition.null_scores(embedding, config.evidence.null_draws, config.seed).checkpoint()
 
     locked = None
-    if config.repeats.alone:
+    if config.repeats.alone and own is not None:
         repeats = completeness.terminal_repeats(own, config.repeats.seed)
         gated = completeness.gate(repeats, config.repeats.least, config.repeats.share)
         locked = gated.join(index, "contig").select(F.col("id").alias("contig"), "locked").checkpoint()
@@ -86,9 +115,11 @@ def run(spark: SparkSession, fasta_path: str, coverage_path: str, gfa_path: str,
     bins = found.join(kept, "id").select("contig", "bin", "length").checkpoint()
 
     tables.write_assignments(bins, f"{output}/assignments.tsv")
-    fasta.write_bins(own, bins.select("contig", F.format_string("bin_%06d", "bin").alias("bin")), f"{output}/bins")
+    if own is not None:
+        fasta.write_bins(own, bins.select("contig", F.format_string("bin_%06d", "bin").alias("bin")), f"{output}/bins")
     sizes = metrics.size_stats(bins).first().asDict()
-    shut = locked.filter("locked").count() if locked is not None else 0
-    told = {"parameters": config.told(), "contigs": n, "assembly": {"candidates": assembly.count(), "supported": supported.count()}, "training": learned, "clustering": stats, "result": sizes, "locked": shut, "locked_fraction": shut / n, "seconds": round(time.time() - began, 3)}
+    alone = index.select("id").limit(0) if locked is None else locked.filter("locked").select(F.col("contig").alias("id"))
+    shut, (_, withheld) = alone.count(), acceptance.withheld(candidates, alone)
+    told = {"parameters": config.told(), "contigs": n, "assembly": {"candidates": assembly.count(), "supported": supported.count()}, "training": learned, "clustering": stats, "result": sizes, "locked": shut, "locked_fraction": shut / n, "withheld_edges": withheld, "seconds": round(time.time() - began, 3)}
     spark.createDataFrame([(json.dumps(told, sort_keys=True, default=float),)], "value string").coalesce(1).write.mode("overwrite").text(f"{output}/run.json")
     return bins

@@ -323,8 +323,6 @@ def test_tables(spark, inputs, tmp_path):
         assert sorted(map(tuple, tables.read_bins(spark, write(tmp_path / "bins.tsv", text)).collect())) == [("x", "b1"), ("y", "b1")]
     files = frame(spark, [(f"/r/{n}.fastq.gz",) for n in ("b_R1", "b_R2", "a_1", "a_2", "c")] + [("/r/x.txt",)], "path string")
     assert sorted(map(tuple, tables.read_pairs(files).select("sample", "stem", (F.col("r2").isNotNull()).alias("p")).collect())) == [("sample0", "a", True), ("sample1", "b", True), ("sample2", "c", False)]
-    folder = frame(spark, [("/o/bin_1.fa", "contig_0"), ("/o/bin_2.fa", "contig_1"), ("/o/bin_2.fa", "other")], "path string, contig string")
-    assert sorted(map(tuple, tables.assignments_from_records(folder, contigs).collect())) == [("contig_0", "bin_1"), ("contig_1", "bin_2")]
     records, truth = frame(spark, [("contig_0", "A" * 2500), ("contig_1", "C" * 2500), ("x", "A")], "contig string, sequence string"), frame(spark, [("contig_0", "g1_s2"), ("contig_1", "unbinned")], "contig string, strain string")
     assert tables.export_cohort(records, truth, tables.read_coverage(spark, inputs["coverage"]), str(tmp_path / "cohort")) == 1
     assert spark.read.csv(str(tmp_path / "cohort/truth.tsv"), sep="\t", header=True).first()["species"] == "g1"
@@ -348,6 +346,36 @@ def test_binning_end_to_end(spark, inputs, tmp_path):
     assert written.columns == ["contig_id", "bin_id", "length"] and written.count() == 6
 
 
+def test_prepared_dataset_is_binned_like_its_files(spark, inputs, tmp_path):
+    from contigbin.sources import dataset, gfa
+
+    config = BinningConfig(search=Search(neighbours=2, seed_neighbours=2))
+    plain = binning.run(spark, inputs["fasta"], inputs["coverage"], inputs["gfa"], str(tmp_path / "plain"), config=config, learn=False)
+    records = fasta.checked(fasta.read_fasta(spark, inputs["fasta"]))
+    kept = records.filter("length(sequence) >= 2000").select("contig")
+    edges = gfa.contig_edges(gfa.read_links(spark, inputs["gfa"]), kept, gfa.read_paths(spark, inputs["gfa"]))
+    path = str(tmp_path / "prepared")
+    dataset.write_dataset(records, tables.read_coverage(spark, inputs["coverage"]), edges, path)
+    groups = lambda bins: {frozenset(r["contig"] for r in g) for g in (lambda rows: [[r for r in rows if r["bin"] == b] for b in {r["bin"] for r in rows}])(bins.collect())}
+    assert groups(binning.run_prepared(spark, path, str(tmp_path / "a"), inputs["fasta"], config=config, learn=False)) == groups(plain)
+    bare = binning.run_prepared(spark, path, str(tmp_path / "b"), config=config, learn=False)
+    told = json.loads(spark.read.text(str(tmp_path / "b/run.json")).first()[0])
+    assert bare.count() == 6 and (told["locked"], told["withheld_edges"]) == (0, 0) and not (tmp_path / "b/bins").exists() and (tmp_path / "a/bins").exists()
+    with pytest.raises(FileNotFoundError):
+        binning.run_prepared(spark, str(tmp_path / "none"), str(tmp_path / "c"))
+
+
+def test_command_line(capsys):
+    from contigbin import __version__, cli
+
+    with pytest.raises(SystemExit) as end:
+        cli.main(["--version"])
+    assert end.value.code == 0 and capsys.readouterr().out == f"contigbin {__version__}\n"
+    assert cli.main(["doctor"]) == 0 and "all packages found" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["bin", "only-one"])
+
+
 def test_length_filter_makes_dense_ids(spark):
     rows = frame(spark, [(n, l) for n, l in zip("abcde", (1000, 2500, 1500, 2500, 2500), strict=True)], "contig string, length long")
     assert [tuple(r) for r in features.retained(rows, 2000).orderBy("contig").select("contig", "node_index").collect()] == [("b", 0), ("d", 1), ("e", 2)]
