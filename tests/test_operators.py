@@ -336,7 +336,7 @@ def test_tables(spark, inputs, tmp_path):
 
 
 def test_binning_end_to_end(spark, inputs, tmp_path):
-    config = BinningConfig(search=Search(neighbours=2, seed_neighbours=2), training=Training(epochs=(5, 10), check_every=5, hidden=8, latent=4))
+    config = BinningConfig(search=Search(neighbours=2, seed_neighbours=2), training=Training(epochs=(2, 2), check_every=2, hidden=8, latent=4))
     bins = binning.run(spark, inputs["fasta"], inputs["coverage"], inputs["gfa"], str(tmp_path / "out"), config=config)
     rows = bins.collect()
     assert len(rows) == 6 and {r["length"] for r in rows} == {2500}
