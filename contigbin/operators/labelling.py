@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import reverse_complement
 from ..functions.text import alphanumeric
-from .pileup import interval_union
-from .ranks import totals_before
+from .pileup import interval_union  # noqa: F401  (queries take it from here)
+from .ranks import attach, dealt, fresh, totals_before
 
 
 def identities(hits: DataFrame) -> DataFrame:
@@ -133,17 +133,20 @@ def rivals(spans: DataFrame, groups: DataFrame, lengths: DataFrame, share: float
     """query, best, rival, extra: the first target of another group, by matches, whose spans cover ``share`` of the query outside the best's (JN-14).
 
     ``spans``: query, target, start, end, matches; ``groups``: target, truth; ``lengths``: query, length.
+    Spans move once, by query; all that follows stays in its task.
     """
-    scored = spans.groupBy("query", "target").agg(F.sum("matches").alias("matches")).join(groups, "target")
-    by = Window.partitionBy("query").orderBy(F.desc("matches"), "target")
-    ranked = scored.withColumns({"rank": F.row_number().over(by), "best": F.first("target").over(by), "own": F.first("truth").over(by)})
-    others = ranked.filter("truth <> own").select("query", "target", "best", "rank")
-    # the cover of best and other together, less that of the best alone
-    alone = interval_union(spans, "query", "target").select("query", F.col("target").alias("best"), F.col("covered").alias("b"))
-    pairs = others.withColumn("of", F.explode(F.array("target", "best")))
-    both = pairs.join(spans.select("query", F.col("target").alias("of"), "start", "end"), ["query", "of"]).withColumnRenamed("target", "rival")
-    together = interval_union(both, "query", "rival", "best", "rank").join(alone, ["query", "best"]).join(lengths, "query")
-    far = together.withColumn("extra", F.col("covered") - F.col("b")).filter(F.col("extra") >= share * F.col("length"))
+    named = attach(spans.filter("target IS NOT NULL").select("query", "target", "start", "end", "matches"), groups.select("target", "truth"), "target")
+    rows = dealt(named, "query").join(lengths.select("query", "length"), "query")
+    pair, query = Window.partitionBy("query", "target"), Window.partitionBy("query")
+    by = query.orderBy(F.desc("total"), "target")
+    size = F.greatest(F.col("end") - F.col("start"), F.lit(0))
+    ranked = rows.withColumns({"total": F.sum("matches").over(pair), "most": F.sum(size).over(pair), "f": fresh(F.col("start"), F.col("end"), "query", "target")})
+    ranked = ranked.withColumns({"rank": F.dense_rank().over(by), "best": F.first("target").over(by), "own": F.first("truth").over(by)})
+    # what the best covers, as disjoint spans; a target whose spans add up to too little cannot be a rival
+    beside = ranked.withColumn("cover", F.collect_list(F.when(F.col("target") == F.col("best"), F.col("f"))).over(query)).filter((F.col("truth") != F.col("own")) & (F.col("most") >= share * F.col("length")))
+    both = lambda s, x: s + F.greatest(F.lit(0), F.least(x["end"], F.col("f.end")) - F.greatest(x["start"], F.col("f.start")))
+    extra = F.col("f.end") - F.col("f.start") - F.aggregate("cover", F.lit(0).cast("long"), both)
+    far = beside.groupBy("query", "best", "rank", F.col("target").alias("rival"), "length").agg(F.sum(extra).alias("extra")).filter(F.col("extra") >= share * F.col("length"))
     first = far.groupBy("query", "best").agg(F.min(F.struct("rank", "rival", "extra")).alias("r"))
     return first.select("query", "best", F.col("r.rival").alias("rival"), F.col("r.extra").alias("extra"))
 
