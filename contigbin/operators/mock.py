@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import graph, labelling
 from .acceptance import beside
 from .pileup import interval_union
+from .ranks import dealt, fresh
 
 
 @dataclass(frozen=True)
@@ -22,13 +23,32 @@ class Thresholds:
     chimera: float = 0.25
 
 
+def supported(hits: DataFrame, lengths: DataFrame, how: Thresholds = Thresholds()) -> DataFrame:
+    """query, target, start, end, matches, sums of the pair (m, b), length, f (what a span adds) of the alignments of all pairs that reach the identity and whose spans add up to the cover at least.
+
+    Alignments move once, by query; all else stays in its task.
+    """
+    known = dealt(hits.filter("target IS NOT NULL").select("query", "target", F.col("query_start").alias("start"), F.col("query_end").alias("end"), "matches", "block"), "query").join(lengths.select("query", "length"), "query")
+    pair = Window.partitionBy("query", "target")
+    real = lambda c: F.sum(F.when(F.col("block") > 0, F.col(c))).over(pair)
+    sums = known.withColumns({"m": real("matches"), "b": real("block"), "most": F.sum(F.greatest(F.col("end") - F.col("start"), F.lit(0))).over(pair)})
+    near = sums.filter((F.col("m") / F.greatest("b", F.lit(1)) >= how.identity) & (_share("most") >= how.query_cover))
+    return near.select("query", "target", "start", "end", "matches", "m", "b", "length", fresh(F.col("start"), F.col("end"), "query", "target").alias("f"))
+
+
+def _share(covered: str):
+    return F.when(F.col("length") > 0, F.col(covered) / F.col("length")).otherwise(0.0)
+
+
 def passing(hits: DataFrame, lengths: DataFrame, how: Thresholds = Thresholds()) -> DataFrame:
     """query, target, matches, block, identity, query_cover of pairs that reach both thresholds (PRJ-13). ``hits``: alignments (``tables.read_paf``); ``lengths``: query, length."""
-    known = hits.join(lengths.select("query"), "query", "left_semi")
-    covered = interval_union(known.select("query", "target", F.col("query_start").alias("start"), F.col("query_end").alias("end")), "query", "target")
-    scored = labelling.identities(known.filter("block > 0")).join(covered, ["query", "target"]).join(lengths.select("query", "length"), "query")
-    cover = F.when(F.col("length") > 0, F.col("covered") / F.col("length")).otherwise(0.0)
-    return scored.withColumn("query_cover", cover).filter((F.col("identity") >= how.identity) & (F.col("query_cover") >= how.query_cover)).select("query", "target", "matches", "block", "identity", "query_cover")
+    return _covering(supported(hits, lengths, how), how)
+
+
+def _covering(near: DataFrame, how: Thresholds) -> DataFrame:
+    scored = near.groupBy("query", "target", F.col("m").alias("matches"), F.col("b").alias("block"), "length").agg(F.sum(F.col("f.end") - F.col("f.start")).alias("covered"))
+    judged = scored.withColumns({"identity": F.col("matches") / F.greatest("block", F.lit(1)), "query_cover": _share("covered")})
+    return judged.filter(F.col("query_cover") >= how.query_cover).select("query", "target", "matches", "block", "identity", "query_cover")
 
 
 def merged_names(scored: DataFrame, tie: float) -> DataFrame:
@@ -48,13 +68,14 @@ def label(hits: DataFrame, references: DataFrame, lengths: DataFrame, level: str
     contig; ``level``: the column of ``references`` that holds the genomes. labels: query, truth, molecule, identity, query_cover, status (labelled, merged, chimeric or
     unlabelled) of every contig. references: target, agent, molecule, truth, length, covered, fraction, contigs, bases. summary: one row.
     """
-    scored = passing(hits, lengths, how).join(references.select("target", F.col(level).alias("of"), "molecule"), "target", "left")
+    near = supported(hits, lengths, how).checkpoint()
+    scored = _covering(near, how).join(references.select("target", F.col(level).alias("of"), "molecule"), "target", "left")
     scored = scored.withColumns({"name": F.coalesce("of", "target"), "molecule": F.coalesce("molecule", "target")}).drop("of").checkpoint()
     merged = merged_names(scored, how.tie).checkpoint()
     with_truth = lambda rows: rows.join(merged, "name", "left").withColumn("truth", F.coalesce("truth", "name"))
     named = with_truth(scored)
     best = named.groupBy("query").agg(F.min(F.struct((-F.col("matches")).alias("m"), "target", "truth", "molecule", "identity", "query_cover")).alias("b")).select("query", "b.*")
-    spans = hits.join(scored.select("query", "target"), ["query", "target"], "left_semi").select("query", "target", F.col("query_start").alias("start"), F.col("query_end").alias("end"), "matches")
+    spans = near.join(scored.select("query", "target"), ["query", "target"], "left_semi").select("query", "target", "start", "end", "matches")
     # one truth a target: a target is named alike in every query
     rivals = labelling.rivals(spans, named.select("target", "truth").distinct(), lengths.select("query", "length"), how.chimera).select("query", F.lit(True).alias("chimeric"))
     status = F.when(F.col("chimeric"), "chimeric").when(F.col("truth").isNull(), "unlabelled").when(F.contains("truth", F.lit("|")), "merged").otherwise("labelled")

@@ -1,7 +1,7 @@
 """Depth along coordinates by difference arrays over tiles (SRC-16, AGG-12, PRJ-6, AGG-8, WIN-7).
 
-A span adds one at its start and takes one off at its end. Such events are summed by position
-before they move, then each tile of TILE positions is run through alone, from the depth
+A span adds one at its start and takes one off at its end. Such events move once, by group and
+tile, and are summed by position; each tile of TILE positions is run through alone, from the depth
 that the tiles before it leave. A target with a large share of all spans is thus many
 tasks, and a task holds TILE events at most, however many spans there are.
 """
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import dealt, fresh
+
 TILE = 1 << 16
 #: Reads that don't count: unmapped, secondary, failing checks, duplicate, supplementary.
 UNUSED = 0xF04
@@ -30,7 +32,8 @@ def depth_runs(spans: DataFrame, *by: str, tile: int = TILE) -> DataFrame:
     sign = F.when(end > start, 1).otherwise(0).cast("long")
     event = lambda pos, d: F.struct(pos.alias("pos"), d.alias("d"))
     ends = spans.select(F.struct(*by).alias("key"), F.explode(F.array(event(start, sign), event(F.greatest(start, end), -sign))).alias("e"))
-    events = ends.groupBy("key", F.floor(F.col("e.pos") / tile).alias("tile"), F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
+    placed = dealt(ends.select("key", F.floor(F.col("e.pos") / tile).alias("tile"), "e.pos", "e.d"), "key", "tile")
+    events = placed.groupBy("key", "tile", "pos").agg(F.sum("d").alias("d"))
     across, inside = Window.partitionBy("key").orderBy("tile"), Window.partitionBy("key", "tile").orderBy("pos")
     tiles = events.groupBy("key", "tile").agg(F.sum("d").alias("d"), F.min("pos").alias("first"))
     before = F.coalesce(F.sum("d").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -44,9 +47,18 @@ def depth_runs(spans: DataFrame, *by: str, tile: int = TILE) -> DataFrame:
 
 
 def interval_union(spans: DataFrame, *by: str, tile: int = TILE) -> DataFrame:
-    """by.., covered: length of the union of half-open spans (start, end); touching spans merge (AGG-8)."""
-    length = F.when(F.col("depth") > 0, F.col("end") - F.col("start")).otherwise(0)
-    return depth_runs(spans, *by, tile=tile).groupBy(*by).agg(F.sum(length).cast("long").alias("covered"))
+    """by.., covered: length of the union of half-open spans (start, end); touching spans merge (AGG-8).
+
+    Spans are cut at tile borders, so that covers of tiles add up and rows move once, by group and tile; of equal starts a task holds the longest alone.
+    """
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    real = F.coalesce(end > start, F.lit(False))  # others add nothing, but their group has a row
+    whole = spans.select(*by, F.when(real, start).otherwise(0).alias("start"), F.when(real, end).otherwise(0).alias("end"))
+    tiles = F.sequence(F.floor(F.col("start") / tile), F.floor(F.greatest(F.col("start"), F.col("end") - 1) / tile))
+    cut = whole.withColumn("tile", F.explode(tiles)).withColumns({"start": F.greatest("start", F.col("tile") * tile), "end": F.least("end", (F.col("tile") + 1) * tile)})
+    longest = dealt(cut, *by, "tile").groupBy(*by, "tile", "start").agg(F.max("end").alias("end"))
+    own = longest.select(*by, fresh(F.col("start"), F.col("end"), *by, "tile").alias("f"))
+    return own.groupBy(*by).agg(F.sum(F.col("f.end") - F.col("f.start")).cast("long").alias("covered"))
 
 
 def depth_summary(blocks: DataFrame, lengths: DataFrame, least_quality: int = 0, tile: int = TILE) -> DataFrame:
