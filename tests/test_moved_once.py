@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 from contigbin.operators import graph, labelling, mock, pileup, ranks
+from contigbin.sources import gfa
 from pyspark.sql import functions as F
 
 
@@ -70,3 +71,13 @@ def test_messages_of_vectors(spark):
     rows = spark.createDataFrame(pd.DataFrame({"id": [0, 1], "u": [[1.0, 2.0], [4.0, 8.0]]}))
     got = {(r["id"], r["dim"]): r["value"] for r in graph.message_rows(links, rows).collect()}
     assert got == {(0, 0): 3.0, (0, 1): 6.0, (1, 0): 0.5, (1, 1): 1.0}
+
+
+def test_walks_of_a_path_table_are_dealt_to_bounded_tasks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(ranks, "SORTED", 50)
+    (tmp_path / "t.tsv").write_text("name\tgraph_path\n" + "".join(f"c{i}\t*,1,-2,3,?,4,??\n" for i in range(100)))
+    contigs = spark.range(90).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("contig"))
+    got = gfa.read_path_table(spark, str(tmp_path / "t.tsv"), contigs)
+    assert "hashpartitioning(contig" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 8), REPARTITION_BY_NUM" in plan
+    rows = {tuple(r) for r in got.collect()}
+    assert len(rows) == 360 and ("c7", 1, "edge_2", "-") in rows and ("c7", 3, "edge_4", "+") in rows
