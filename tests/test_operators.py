@@ -453,3 +453,31 @@ def test_encoder_of_all_rows_equals_that_of_one_task(spark):
     links = frame(spark, edges.tolist(), "src long, dst long")
     got = {r["id"]: r["z"] for r in model.encode_all(rows, links, model._packed(net)).collect()}
     assert np.allclose([got[k] for k in range(45)], net.encode(x, model.spreader(45, *edges.T))[0])
+
+
+def digits_of_size(rows):
+    """Binary digits of the size that the planner takes a table to have."""
+    return rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_rounds_do_not_multiply_the_estimated_size(spark):
+    """A checkpoint keeps its estimate and every join multiplies it: after ten rounds it took the driver's whole memory."""
+    chain = frame(spark, [(k, k + 1, 1.0) for k in range(300)], "src long, dst long, weight double")
+    found = graph.connected_components(spark.range(301), chain)
+    assert digits_of_size(found) < 150 and {r["component"] for r in found.collect()} == {0}
+    bins = partition.cpm_partition(spark.range(301), chain, 0.25, limit=40, passes=1)
+    assert digits_of_size(bins) < 150 and bins.count() == 301
+
+
+def test_tables_of_rounds_are_removed(spark, tmp_path):
+    from pathlib import Path
+
+    from contigbin.sources.store import Tables
+
+    tables = Tables(spark, "test")
+    kept = [tables.keep(spark.range(k)) for k in (3, 4)]
+    first, last = (Path(p.removeprefix("file:")) for p in tables.paths)
+    tables.drop(1)
+    assert kept[1].count() == 4 and not first.exists() and last.exists()
+    tables.drop()
+    assert not last.exists()
