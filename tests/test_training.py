@@ -100,3 +100,21 @@ def test_training_needs_two_nodes(spark):
     rows, links = frames(spark, np.eye(2)[:1], np.array([[0, 0]]))
     with pytest.raises(ValueError, match="at least two"):
         training.train(rows, links, BinningConfig(training=HOW))
+
+
+def test_a_part_works_out_what_its_own_nodes_need(spark):
+    """Before, both layers and the decoder ran over all neighbours of neighbours: with the statistics held, the embedding is the same from fewer rows."""
+    import io
+
+    rows, links = frames(spark, *planted())
+    parts = [dict(np.load(io.BytesIO(r["data"]))) for r in training.parts_of(rows, links, 0, size=20, fanout=(2, 1)).collect()]
+    net = model.Autoencoder(parts[0]["x"].shape[1], 8, 4, 1 / 11, 0)
+    counted = {1: 0, 2: 0}
+    for part in parts:
+        n, (own, near) = len(part["ids"]), part["known"]
+        assert part["core"][:own].all() and not part["core"][own:].any() and own <= near <= n
+        z, (*_, first, second) = net.encode(part["x"], training.layered(part))
+        counted[1] += len(first[0])
+        counted[2] += len(second[0])
+        assert len(z) == own and np.allclose(z, net.encode(part["x"], training.gatherer(n, part["i"], part["j"], part["w"]))[0][:own])
+    assert counted[2] == rows.count() and counted[1] < sum(len(p["ids"]) for p in parts)
