@@ -149,6 +149,22 @@ def test_unknown_k_query_takes_the_configured_neighbours(spark, tmp_path, monkey
     assert {(r["src"], r["dst"]) for r in seen[0].collect()} == want
 
 
+def test_unknown_k_query_weighs_every_mutual_pair_above_the_exact_limit(spark, tmp_path, monkeypatch):
+    """Before, pairs over a ceiling by node were dropped unseen where a table has more rows than are compared exactly."""
+    from contigbin import config
+    from contigbin.plans import queries
+
+    x = np.random.default_rng(9).normal(size=(120, 64))
+    spark.createDataFrame([(i, i % 4, r.tolist()) for i, r in enumerate(x)], "vec_id long, label long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    seen, limited = [], BinningConfig(search=config.Search(exact_rows=60))
+    monkeypatch.setattr(partition, "unknown_k", lambda views, pairs, *_: (seen.append(pairs), None))
+    for how in (BinningConfig(), limited):
+        monkeypatch.setattr(config, "BinningConfig", lambda how=how: how)
+        queries.QUERIES["unknown_k_binning"](spark, str(tmp_path))
+    all_pairs, above = ({(r["src"], r["dst"]) for r in pairs.collect()} for pairs in seen)
+    assert above == all_pairs and len(all_pairs) > 120 * graph.degree_ceiling(120) // 2
+
+
 def test_metrics(spark):
     perfect = frame(spark, [(i, b, t) for i, (b, t) in enumerate([("a", "4"), ("a", "4"), ("b", "8"), ("b", "8")])], "contig long, bin string, truth string")
     assert tuple(metrics.precision_recall(perfect).first())[:3] == (1.0, 1.0, 1.0) and tuple(metrics.ari_nmi(perfect).first()) == (1.0, 1.0)
